@@ -19,8 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 SPACE = "▁"
-#: Units kept in a worker's memo; it is emptied when full. Longer units than UNIT_CHARS are not kept.
-MEMO_UNITS, UNIT_CHARS = 300_000, 48
+#: Units kept in each of a worker's two memos; a full one becomes the older one, from which units in use return. Longer units than UNIT_CHARS are not kept.
+MEMO_UNITS, UNIT_CHARS = 200_000, 48
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, BYTE, UNUSED = 1, 2, 3, 4, 6, 5
 
 
@@ -75,6 +75,7 @@ class PieceCodec:
         self.score = {t: -score[i] for t, i in self.ids.items()}
         self.bytes = {int(self.text[i][1:-1], 16): i for i, k in enumerate(self.kind) if k == BYTE}
         self.byte_of = {i: b for b, i in self.bytes.items()}
+        self.special = {i for i, k in enumerate(self.kind) if k != NORMAL}
         self.eos = next(i for i, t in enumerate(self.text) if t == "</s>")
         if any(re.search("[^ ] ", t) for t in self.ids):
             raise ValueError("a piece holds a space after another character")
@@ -82,6 +83,8 @@ class PieceCodec:
         alone = "".join(c for c in "\n\r\t" if c not in joined)
         self.units = re.compile(f" *[^ {alone}]+|[{alone}]| +" if alone else " *[^ ]+| +").findall
         self.memo: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.fresh: list[tuple[str, list[int]]] = []  # compiled, not yet compared with the library
         self.library = None
         if check:
             import sentencepiece
@@ -121,21 +124,30 @@ class PieceCodec:
 
     def compile(self, unit: str) -> bytes:
         """Decimal ids of a unit, joined by a space."""
-        out: list[int] = []
-        for s in self.merge(unit) if len(unit) > 1 else [unit]:
-            i = self.ids.get(s)
-            if i is None:
-                out += [self.bytes[b] for b in s.replace(" ", SPACE).encode()]
-            else:
-                out.append(i)
+        symbols = self.merge(unit) if len(unit) > 1 else [unit]
+        out = list(map(self.ids.get, symbols))
+        if None in out:
+            out = [i for s, k in zip(symbols, out) for i in ([k] if k is not None else [self.bytes[b] for b in s.replace(" ", SPACE).encode()])]
         if self.decode(out) != unit:
             raise ValueError(f"decoding does not give the unit back: {unit[:100]!r}")
-        if self.library is not None and unit[0] == " " and self.library.encode(unit[1:].replace(" ", SPACE)) != out and len(unit) > 1:
-            raise ValueError(f"the sentencepiece library encodes otherwise: {unit[:100]!r}")
-        return b" ".join(b"%d" % i for i in out)
+        if self.library is not None and unit[0] == " " and len(unit) > 1:
+            self.fresh.append((unit[1:], out))
+            if len(self.fresh) >= 5000:
+                self.check_units()
+        return " ".join(map(str, out)).encode()
+
+    def check_units(self) -> None:
+        """Compare the units compiled since the last call with the library."""
+        if self.fresh:
+            want = self.library.encode([u for u, _ in self.fresh], num_threads=1)
+            if wrong := [u for (u, ids), w in zip(self.fresh, want) if ids != w]:
+                raise ValueError(f"the sentencepiece library encodes otherwise: {wrong[0][:100]!r}")
+            self.fresh = []
 
     def decode(self, ids: list[int]) -> str:
         """Text of ids, with the spaces of all pieces; invalid bytes as U+FFFD."""
+        if not any(map(self.special.__contains__, ids)):
+            return "".join(map(self.text.__getitem__, ids))
         out, held = [], bytearray()
         for i in ids:
             if i in self.byte_of:
@@ -164,10 +176,10 @@ class PieceCodec:
             for k, p in enumerate(parts):
                 if p is None:
                     u = units[k]
-                    p = parts[k] = memo.get(u) or self.compile(u)
+                    p = parts[k] = memo.get(u) or self.older.get(u) or self.compile(u)
                     if len(u) <= UNIT_CHARS:
                         if len(memo) >= MEMO_UNITS:
-                            memo.clear()
+                            self.older, self.memo = memo, (memo := {})
                         memo[u] = p
         parts.append(b"%d" % self.eos)
         return b" ".join(parts), "".join(units)[1:]
@@ -217,6 +229,7 @@ def encode_pieces(docs: DataFrame, path: str | None = None, *, id_col: str = "do
                     found.append((ids.count(b" ") + 1, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()))
                 else:
                     found.append((list(map(int, ids.split())), decoded))
+            c.check_units()
             columns = [pa.array(x, t) for x, t in zip(zip(*found), [pa.int64(), pa.string(), pa.string()] if digests else [pa.list_(pa.int32()), pa.string()])] if found else []
             if found:
                 yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=[f.split("` ")[0].strip("`") if f[0] == "`" else f.split()[0] for f in schema.split(", ")])

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import sharding, url_filter
+from . import pieces, sharding, url_filter
 
 QUERIES = {
+    "op5_pieces": pieces.op5_pieces,
     "op6_url_filter": url_filter.op6_url_filter,
     "op8_sharding": sharding.op8_sharding,
 }
