@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import pieces, sharding, url_filter
+from . import pieces, sharding, token_counts, url_filter
 
 QUERIES = {
+    "op4_token_counts": token_counts.op4_token_counts,
     "op5_pieces": pieces.op5_pieces,
     "op6_url_filter": url_filter.op6_url_filter,
     "op8_sharding": sharding.op8_sharding,
