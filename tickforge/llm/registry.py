@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import pieces, sharding, token_counts, url_filter
+from . import pieces, sharding, token_counts, url_filter, warc
 
 QUERIES = {
+    "op10_warc": warc.op10_warc,
     "op4_token_counts": token_counts.op4_token_counts,
     "op5_pieces": pieces.op5_pieces,
     "op6_url_filter": url_filter.op6_url_filter,
     "op8_sharding": sharding.op8_sharding,
 }
-ORACLE_SQL = {"op6_url_filter": url_filter.OP6_SQL}
+ORACLE_SQL = {"op10_warc": warc.OP10_SQL, "op6_url_filter": url_filter.OP6_SQL}
