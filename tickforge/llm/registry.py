@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import flac, pieces, quality, sharding, token_counts, url_filter, warc
+from . import flac, pieces, quality, sharding, suffix_dedup, token_counts, url_filter, warc
 
 QUERIES = {
+    "op9_suffix_dedup": suffix_dedup.op9_suffix_dedup,
     "op1_quality": quality.op1_quality,
     "op3_flac": flac.op3_flac,
     "op10_warc": warc.op10_warc,
