@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import flac, pieces, quality, sharding, suffix_dedup, token_counts, url_filter, warc
+from . import flac, jaccard_join, pieces, quality, sharding, suffix_dedup, token_counts, url_filter, warc
 
 QUERIES = {
+    "op7_jaccard_join": jaccard_join.op7_jaccard_join,
     "op9_suffix_dedup": suffix_dedup.op9_suffix_dedup,
     "op1_quality": quality.op1_quality,
     "op3_flac": flac.op3_flac,
@@ -14,4 +15,4 @@ QUERIES = {
     "op6_url_filter": url_filter.op6_url_filter,
     "op8_sharding": sharding.op8_sharding,
 }
-ORACLE_SQL = {"op10_warc": warc.OP10_SQL, "op6_url_filter": url_filter.OP6_SQL}
+ORACLE_SQL = {"op7_jaccard_join": jaccard_join.OP7_SQL, "op10_warc": warc.OP10_SQL, "op6_url_filter": url_filter.OP6_SQL}
