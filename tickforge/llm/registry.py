@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import flac, jaccard_join, pieces, quality, sharding, suffix_dedup, token_counts, url_filter, warc
+from . import decontaminate, flac, jaccard_join, pieces, quality, sharding, suffix_dedup, token_counts, url_filter, warc
 
 QUERIES = {
+    "op2_decontaminate": decontaminate.op2_decontaminate,
     "op7_jaccard_join": jaccard_join.op7_jaccard_join,
     "op9_suffix_dedup": suffix_dedup.op9_suffix_dedup,
     "op1_quality": quality.op1_quality,
