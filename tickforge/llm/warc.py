@@ -23,9 +23,11 @@ from pyspark.sql import functions as F
 from .scratch import Scratch
 
 #: Compressed bytes at which a file ends; payload bytes of a shard lie between these bounds, and about a 256th of the table.
-FILE_BYTES, SHARD_BYTES = 32 << 20, (256 << 10, 512 << 20)
+FILE_BYTES, SHARD_BYTES = 32 << 20, (256 << 10, 64 << 20)
 #: Ids of one cell of the histogram that places the shards.
 CELL_IDS = 256
+#: Cells up to this number are broadcast (12 bytes each); more are joined by a shuffle. The cell of rows without an id.
+BROADCAST_CELLS, NO_ID = 2_000_000, -(1 << 60)
 SALTS = 32
 DATE = "2024-01-01T00:00:00Z"
 NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # that of URLs, a fixed value
@@ -99,49 +101,52 @@ def read_records(read):
         yield headers, body
 
 
-def _write_shards(root: str, file_bytes: int):
-    """Writes sorted rows (shard, page_id, url, html, refers_to) and yields manifest rows."""
+def _write_shard(root: str, file_bytes: int):
+    """Writes the rows (shard, page_id, url, html) of a shard; repeats has the revisits among them; gives manifest rows."""
 
-    def run(batches):
+    def run(rows: pa.Table, repeats: pa.Table) -> pa.Table:
         attempt = uuid.uuid4().hex
         files, base = _files(root)
-        out = sha = shard = None
-        part = records = size = 0
-        made: list[tuple] = []
-        earlier = None
+        files.create_dir(f"{base}/tmp", recursive=True)
+        shard = rows.column("shard")[0].as_py() if rows.num_rows else None
+        known = {(p, bytes(d)): r for p, d, r in zip(*(repeats.column(c).to_pylist() for c in ("page_id", "digest", "refers_to")))}
+        ids, urls = rows.column("page_id").to_pylist(), rows.column("url").to_pylist()
+        digests = [hashlib.sha256(_payload(h)).digest() for h in rows.column("html")]
+        order = sorted(range(len(ids)), key=lambda k: (ids[k] is not None, ids[k] or 0, digests[k], urls[k] or ""))
+        made, out, part, records, size, sha, earlier = [], None, 0, 0, 0, None, None
 
         def close():
-            nonlocal out
             if out is not None:
                 out.close()
                 made.append((f"{root}/tmp/{attempt}-{shard:08d}-{part:05d}.warc.gz", f"{root}/pages-{shard:08d}-{part:05d}.warc.gz", records, size, sha.hexdigest()))
-                out = None
 
-        for batch in batches:
-            for k in range(batch.num_rows):
-                at, page_id, url, html, refers_to = (batch.column(c)[k].as_py() for c in range(5))
-                if out is None or at != shard or size >= file_bytes:
-                    close()
-                    part = part + 1 if at == shard else 0
-                    shard, records, size, sha = at, 0, 0, hashlib.sha256()
-                    files.create_dir(f"{base}/tmp", recursive=True)
-                    out = files.open_output_stream(f"{base}/tmp/{attempt}-{shard:08d}-{part:05d}.warc.gz")
-                payload = (html or "").encode()
-                if refers_to is None and earlier == (page_id, payload):
-                    refers_to = page_id  # a row that is there twice
-                earlier = (page_id, payload)
-                pack = zlib.compressobj(6, zlib.DEFLATED, 31)
-                data = pack.compress(make_record(page_id, url, payload, refers_to)) + pack.flush()
-                out.write(data)
-                sha.update(data)
-                records, size = records + 1, size + len(data)
+        for k in order:
+            if out is None or size >= file_bytes:
+                close()
+                part += out is not None
+                records, size, sha = 0, 0, hashlib.sha256()
+                out = files.open_output_stream(f"{base}/tmp/{attempt}-{shard:08d}-{part:05d}.warc.gz")
+            key = ids[k], digests[k]
+            refers_to = known.get(key)
+            if refers_to is None and earlier == key:
+                refers_to = ids[k]  # a row that is there twice
+            earlier = key
+            pack = zlib.compressobj(6, zlib.DEFLATED, 31)
+            data = pack.compress(make_record(ids[k], urls[k], _payload(rows.column("html")[k]), refers_to)) + pack.flush()
+            out.write(data)
+            sha.update(data)
+            records, size = records + 1, size + len(data)
         close()
-        if made:
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*made)], names=["temporary", "file", "records", "bytes", "sha256"])
+        kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string()]
+        return pa.table([pa.array(x, t) for x, t in zip(zip(*made) if made else [[]] * 5, kinds)], names=["temporary", "file", "records", "bytes", "sha256"])
 
     return run
 
 
+def _payload(html: pa.Scalar) -> bytes:
+    return (html.as_py() or "").encode()
+
+
 def _commit(batches):
     """Renames the files of a manifest; a repeated task finds them renamed."""
     for batch in batches:
@@ -194,17 +199,14 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), kinds)], names=[c.split()[0] for c in RECORDS.split(", ")])
 
 
-def plan_records(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
-    """Columns page_id, url, html, refers_to: of equal payloads of at least least_bytes the page of the largest id is the response (refers_to null)."""
+def plan_revisits(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
+    """(page_id, digest, refers_to) of the pages that are revisits: of equal payloads of at least least_bytes the page of the largest id is the response."""
     html = F.coalesce(F.col("html"), F.lit(""))
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
-    digest = F.sha2(html.cast("binary"), 256)
-    groups = pages.where(F.octet_length(html) >= least_bytes).groupBy(digest.alias("digest")).agg(F.max("page_id").cast("long").alias("last"), F.count("*").alias("n")).where("n > 1")
-    groups = groups.select("digest", "last", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    rows = rows.withColumn("digest", digest).withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int"))
-    joined = rows.join(groups, ["digest", "salt"], "left")
-    same = F.col("last").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("last"))
-    return joined.select("page_id", "url", "html", F.when(same, F.col("last")).alias("refers_to"))
+    rows = pages.where(F.octet_length(html) >= least_bytes).select(F.col("page_id").cast("long").alias("page_id"), F.unhex(F.sha2(html.cast("binary"), 256)).alias("digest"))
+    groups = rows.groupBy("digest").agg(F.max("page_id").alias("last"), F.count("*").alias("n")).where("n > 1 AND last IS NOT NULL")
+    groups = groups.select("digest", F.col("last").alias("refers_to"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int"))
+    return rows.join(groups, ["digest", "salt"]).where(~F.col("page_id").eqNullSafe(F.col("refers_to"))).select("page_id", "digest", "refers_to")
 
 
 def write_warc(pages: DataFrame, root: str, least_bytes: int = 0, file_bytes: int = FILE_BYTES) -> DataFrame:
@@ -223,11 +225,14 @@ def write_warc(pages: DataFrame, root: str, least_bytes: int = 0, file_bytes: in
     # One row for 256 ids, so the prefix sum in one task stays small beside the table.
     before = F.coalesce(F.sum("bytes").over(Window.orderBy(F.col("cell").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     shards = sizes.select("cell", F.floor(before / F.lit(target)).cast("int").alias("shard"))
-    rows = plan_records(pages, least_bytes).withColumn("cell", cell)
-    rows = rows.join(shards, rows.cell.eqNullSafe(shards.cell)).select("shard", "page_id", "url", "html", "refers_to")
-    tasks = int(max(1, min(total // target + 1, 20_000)))
-    rows = rows.repartitionByRange(tasks, "shard").sortWithinPartitions("shard", F.col("page_id").asc_nulls_first(), "url", F.sha1(F.coalesce("html", F.lit("")).cast("binary")))
-    written = rows.mapInArrow(_write_shards(root, file_bytes), MANIFEST)
+    shards.select(F.coalesce("cell", F.lit(NO_ID)).alias("cell"), "shard").write.parquet(f"{root}/shards")
+    shards = spark.read.schema("cell long, shard int").parquet(f"{root}/shards")
+    shards = F.broadcast(shards) if shards.count() <= BROADCAST_CELLS else shards
+    cell = F.coalesce(cell, F.lit(NO_ID)).alias("cell")
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", cell).join(shards, "cell").select("shard", "page_id", "url", "html")
+    repeats = plan_revisits(pages, least_bytes).select("*", cell).join(shards, "cell").select(F.col("shard").alias("to_shard"), "page_id", "digest", "refers_to").distinct()
+    # the payloads are shuffled once, by shard; a shard is small enough for one task
+    written = rows.groupBy("shard").cogroup(repeats.groupBy("to_shard")).applyInArrow(_write_shard(root, file_bytes), MANIFEST)
     written.write.parquet(f"{root}/attempts")
     attempts = spark.read.schema(MANIFEST).parquet(f"{root}/attempts")
     files = max(1, min(attempts.count(), 2_000))
