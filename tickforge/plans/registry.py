@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import market
+from . import market, signals
 
-MODULES = [market]
+MODULES = [market, signals]
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLE = {k: v for m in MODULES for k, v in m.ORACLE.items()}
