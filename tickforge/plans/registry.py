@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import market, signals, trading
+from . import market, signals, streams, trading
 
-MODULES = [market, signals, trading]
+MODULES = [market, signals, trading, streams]
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLE = {k: v for m in MODULES for k, v in m.ORACLE.items()}
