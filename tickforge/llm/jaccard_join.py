@@ -28,9 +28,11 @@ from .suffix_dedup import _Powers, _blocks, _in_sorted, _load, _mixed, _pack48,
 SHINGLE_WORDS, LINK = 5, 80  # words of a shingle; per cent of the union that two linked documents share
 CHUNK_BYTES, PART_DOCS, LEAST_PARTS = 1 << 18, 20_000, 256
 #: Frequent shingles: found at least so often in a block; kept in a table of so many bits, the most frequent first.
-OFTEN, TABLE_BITS, TABLE_KEYS = 3, 24, 1 << 17
-#: Pairs that end the recursion, for each entry of a region; pairs up to this number are broadcast (16 bytes each).
+OFTEN, TABLE_BITS, TABLE_KEYS = 2, 24, 1 << 18
+#: Pairs that end the recursion, for each entry of the first regions; pairs up to this number are broadcast (16 bytes each).
 PAIRS_PER_ENTRY, BROADCAST_PAIRS = 4, 500_000
+#: Pivots that a region elects on average, after the first time.
+PIVOTS = 8
 KEY = np.uint64((1 << 48) - 1)
 _U = np.uint64
 _WORDS = _Powers(0xA0761D6478BD642F)
@@ -112,8 +114,8 @@ def _prefixes(doc: np.ndarray, prints: np.ndarray, frequent: np.ndarray, docs: i
     return rank < first[doc]
 
 
-def _collapse(ids: np.ndarray, known: np.ndarray, doc: np.ndarray, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each document its number of shingles, and the document with the least id among those of the same set (itself for empty sets and null ids)."""
+def _collapse(ids: np.ndarray, known: np.ndarray, doc: np.ndarray, prints: np.ndarray) -> tuple[np.ndarray, ...]:
+    """For each document its number of shingles, the document with the least id among those of the same set (itself for empty sets and null ids), and a 128-bit key of the set."""
     docs = len(ids)
     n = np.bincount(doc, minlength=docs)
     at = np.minimum(np.cumsum(n) - n, max(0, len(doc) - 1))
@@ -129,7 +131,38 @@ def _collapse(ids: np.ndarray, known: np.ndarray, doc: np.ndarray, prints: np.nd
     lead = np.maximum.accumulate(np.where(same, 0, np.arange(docs))) if docs else np.empty(0, np.int64)
     rep = np.empty(docs, np.int64)
     rep[order] = order[lead]
-    return n, rep
+    return n, rep, a.view(np.int64), b.view(np.int64)
+
+
+def _cells(prints: np.ndarray) -> bytes:
+    """Counts of a set's shingles in cells, about four a cell."""
+    cells = 16
+    while cells * 4 < len(prints) and cells < 1 << 16:
+        cells *= 2
+    return np.minimum(np.bincount((prints & _U(cells - 1)).astype(np.int64), minlength=cells), 255).astype(np.uint8).tobytes()
+
+
+def _most_shared(x: bytes, y: bytes) -> int:
+    """A bound on the shingles that two sets share: cell by cell, the smaller count."""
+    a, b = np.frombuffer(x, np.uint8).astype(np.int64), np.frombuffer(y, np.uint8).astype(np.int64)
+    if a.max() == 255 or b.max() == 255:
+        return 1 << 60
+    while len(a) > len(b):
+        a = a[:len(a) // 2] + a[len(a) // 2:]
+    while len(b) > len(a):
+        b = b[:len(b) // 2] + b[len(b) // 2:]
+    return int(np.minimum(a, b).sum())
+
+
+def _bound(batches):
+    """Keeps the pairs (a, b, na, nb) whose cells leave a link possible."""
+    for batch in batches:
+        na, nb = (batch.column(c).to_pylist() for c in (2, 3))
+        keep = []
+        for n, m, x, y in zip(na, nb, batch.column(4).to_pylist(), batch.column(5).to_pylist()):
+            k = min(_most_shared(x, y), n, m)
+            keep.append(100 * k >= LINK * (n + m - k))
+        yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
 def _measure(batches):
@@ -164,9 +197,9 @@ def link_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         ids = np.array(block.column(0).fill_null(0), np.int64)
         known = np.array(block.column(0).is_valid(), dtype=bool)
         doc, prints = shingle_sets(block.column(1).to_pylist())
-        n, rep = _collapse(ids, known, doc, prints)
+        n, rep, *key = _collapse(ids, known, doc, prints)
         live = ((rep == np.arange(len(ids))) & known)[doc] if len(doc) else np.empty(0, bool)
-        return ids, known, n, rep, doc[live], prints[live]
+        return ids, known, n, key, doc[live], prints[live]
 
     def store(batches):
         """Blocks in the shared folder; bits of frequent shingles, once for each block."""
@@ -181,7 +214,7 @@ def link_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     stored = scratch.table(inner.mapInArrow(store, "block string, bits array<int>, counts array<int>"), "stored")
     often = stored.select(F.explode(F.arrays_zip("bits", "counts")).alias("x")).groupBy("x.bits").agg(F.sum("x.counts").alias("n"))
-    often = np.array([r[0] for r in often.orderBy(F.desc("n"), "bits").limit(TABLE_KEYS).collect()], np.int64)  # TABLE_KEYS integers at most
+    often = often.orderBy(F.desc("n"), "bits").limit(TABLE_KEYS).select("bits").toArrow().column(0).to_numpy()  # TABLE_KEYS integers at most
     shared_bits = spark.sparkContext.broadcast(np.sort(often))
 
     def table() -> np.ndarray:
@@ -216,79 +249,100 @@ def link_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         """Rows: 0 an entry of a region, 1 a set, 2 a document."""
         name = t.column("block")[0].as_py()
         keys = np.sort(np.concatenate([_unpack48(k) for k in t.column("keys").to_pylist()]))
-        ids, known, n, rep, doc, prints = scan(_load(root, name))
+        ids, known, n, key, doc, prints = scan(_load(root, name))
         hit = np.flatnonzero(_prefixes(doc, prints, table(), len(ids)) & _in_sorted(prints, keys))
         involved = np.unique(doc[hit])
         begin, end = np.searchsorted(doc, involved), np.searchsorted(doc, involved, "right")
         sets = [_pack48(prints[a:b]) for a, b in zip(begin.tolist(), end.tolist())]
+        cells = [_cells(prints[a:b]) for a, b in zip(begin.tolist(), end.tolist())]
+        zeros = np.zeros(len(hit) + len(involved), np.int64)
         columns = {
             "kind": np.repeat([0, 1, 2], [len(hit), len(involved), len(ids)]).astype(np.int32),
-            "s": np.concatenate([prints[hit].astype(np.int64), np.zeros(len(involved) + len(ids), np.int64)]),
+            "s": np.concatenate([prints[hit].astype(np.int64), np.zeros(len(involved), np.int64), key[0]]),
+            "s2": np.concatenate([zeros, key[1]]),
             "n": np.concatenate([n[doc[hit]], n[involved], n]).astype(np.int64),
         }
         own = np.concatenate([ids[doc[hit]], ids[involved], ids])
         valid = np.concatenate([np.ones(len(hit) + len(involved), bool), known])
-        lead = np.concatenate([np.zeros(len(hit) + len(involved), np.int64), ids[rep]])
-        return pa.table({**{k: pa.array(v) for k, v in columns.items()}, "id": pa.array(own, mask=~valid), "rep": pa.array(lead, mask=~valid),
-                         "shingles": pa.array([None] * len(hit) + sets + [None] * len(ids), pa.binary())})
+        padded = ([None] * len(hit) + x + [None] * len(ids) for x in (cells, sets))
+        return pa.table({**{k: pa.array(v) for k, v in columns.items()}, "id": pa.array(own, mask=~valid), **{k: pa.array(x, pa.binary()) for k, x in zip(("cells", "shingles"), padded)}})
 
     step = stored.select("block").repartition(max(1, min(stored.count(), 100_000)), "block").mapInArrow(regions, "part int, block string, keys binary, first boolean")
     step = step.groupBy("part").applyInArrow(meet, "block string, keys binary")
-    step = step.groupBy("block").applyInArrow(enter, "kind int, s long, n long, id long, rep long, shingles binary")
+    step = step.groupBy("block").applyInArrow(enter, "kind int, s long, s2 long, n long, id long, cells binary, shingles binary")
     step = scratch.table(step, "entered")
-    members = step.where("kind = 2").select("id", "n", "rep")
-    sets = step.where("kind = 1").select("id", "n", "shingles")
-    entries = step.where("kind = 0").select("s", "id", "n")
+    scratch.drop("blocks")
+    scratch.release()
+    members = step.where("kind = 2").select("s", "s2", "n", "id")
+    same = members.where("n > 0 AND id IS NOT NULL").groupBy("s", "s2", "n").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
+    same = scratch.table(same, "same")  # a row for each distinct set
+    sets = step.where("kind = 1").select("id", "n", "cells", "shingles")
+    # copies of a set in other blocks leave the regions; there are as many at most as documents that are copies
+    copies = sets.select("id").join(same.select(F.col("rep").alias("id")), "id", "left_anti").distinct()
+    copies = scratch.table(copies, "copies")
+    entries = step.where("kind = 0").select("s", "id", "n").join(F.broadcast(copies) if copies.count() <= BROADCAST_PAIRS else copies, "id", "left_anti")
+
+    def joined(pairs: DataFrame, column: str) -> DataFrame:
+        few = pairs.count() <= BROADCAST_PAIRS
+        left, right = (F.broadcast(x) if few else x for x in (pairs, pairs.select(F.col("b").alias("id")).distinct()))
+        x = sets.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col(column).alias("x")).join(left, "a")
+        y = sets.select("id", "n", column).join(right, "id", "left_semi").select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col(column).alias("y"))
+        return x.join(y, "b").select("a", "b", "na", "nb", "x", "y")
 
     def measured(pairs: DataFrame, name: str) -> DataFrame:
-        """(a, b, na, nb, shared) of pairs (a, b)."""
+        """(a, b, na, nb, shared) of pairs (a, b) that may be linked."""
         pairs = scratch.table(pairs, f"pairs-{name}")
-        left = F.broadcast(pairs) if pairs.count() <= BROADCAST_PAIRS else pairs
-        x = sets.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("shingles").alias("x"))
-        y = sets.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("shingles").alias("y"))
-        both = x.join(left, "a").join(y.hint("merge"), "b").select("a", "b", "na", "nb", "x", "y")
-        return scratch.table(both.mapInArrow(_measure, "a long, b long, na long, nb long, shared long"), f"measured-{name}")
+        pairs = scratch.table(joined(pairs, "cells").mapInArrow(_bound, "a long, b long"), f"bound-{name}")
+        return scratch.table(joined(pairs, "shingles").mapInArrow(_measure, "a long, b long, na long, nb long, shared long"), f"measured-{name}")
 
     linked = F.col("shared") * 100 >= (F.col("na") + F.col("nb") - F.col("shared")) * LINK
     distance = 1 - F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared"))
-    salts = F.explode(F.sequence(F.lit(0), F.lit(7))).alias("salt")
-    # Documents of equal sets in different blocks are equal texts, or nearly; one region links them like others.
-    links = members.where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
-    number, last = 0, False
-    entries = entries.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(8)).cast("int"))
+    links = same.where("false").select(F.col("rep").alias("a"), F.col("rep").alias("b"))
+    number, regions_of = 0, entries.select(F.col("s").alias("region"), "id", "n")
     while True:
-        pivot = entries.groupBy("s").agg(F.min(F.struct(F.xxhash64(F.lit(number), "id").alias("h"), F.col("id").alias("pivot"), F.col("n").alias("np"))).alias("p"), F.count("*").alias("size"))
-        pivot = pivot.where("size > 1").select("s", "p.pivot", "p.np", salts)
-        placed = scratch.table(entries.join(pivot, ["s", "salt"]), f"placed-{number}")
-        star = placed.where(F.col("id") != F.col("pivot")).where(_alike("n", "np")).select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct()
-        seen = measured(star, f"star-{number}")
+        rank = F.pmod(F.xxhash64(F.lit(number), "id"), F.lit(1 << 40))
+        size = regions_of.groupBy("region").agg(F.min_by("id", rank).alias("least"), F.count("*").alias("size")).where("size > 1")
+        size = scratch.table(size, f"sizes-{number}")
+        placed = scratch.table(regions_of.join(size, "region"), f"placed-{number}")  # a large region is a skewed key, which Spark splits
+        if number == 0:
+            first = placed.count()
+            elected = F.col("id") == F.col("least")  # a shingle's region elects one
+        else:
+            elected = (F.col("id") == F.col("least")) | (rank * F.col("size") < PIVOTS << 40)
+        pivots = placed.where(elected).select("region", F.col("id").alias("pivot"), F.col("n").alias("np"))
+        star = placed.join(pivots, "region").where(F.col("id") != F.col("pivot"))
+        star = scratch.table(star.select("region", "id", "n", "pivot", "np"), f"stars-of-{number}")
+        scratch.release()
+        seen = measured(star.where(_alike("n", "np")).select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct(), f"star-{number}")
         links = scratch.table(links.unionByName(seen.where(linked).select("a", "b")), f"links-{number}")
         components = scratch.table(connected_components(links, scratch, f"stars-{number}"), f"components-{number}")
-        if last:
-            break
-        open_ = placed.join(components, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        # the pivot's own links are all known, so it leaves its regions
-        open_ = scratch.table(open_.where(F.col("id") != F.col("pivot")), f"open-{number}")
-        mixed = open_.groupBy("s").agg(F.count("*").alias("c"), F.min("component").alias("u"), F.max("component").alias("v")).where("u <> v")
+        # pivots leave, as all their links here are known; regions of one shingle with the same pivot become one
+        rest = placed.where(~elected).join(star.groupBy("region").agg(F.min("pivot").alias("pivot")), "region")
+        region = F.col("pivot") if number == 0 else F.col("region")
+        rest = rest.select(region.alias("region"), "id", "n", "pivot").distinct().join(components, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        rest = scratch.table(rest, f"rest-{number}")
+        mixed = rest.groupBy("region", "component").agg(F.count("*").alias("c")).groupBy("region").agg(F.sum("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("q"), F.count("*").alias("parts")).where("parts > 1")
         mixed = scratch.table(mixed, f"mixed-{number}")
-        size = mixed.agg(F.count("*"), F.sum("c"), F.sum(F.col("c") * (F.col("c") - 1) / 2)).first()
-        if not size[0]:
+        left = mixed.agg(F.count("*"), F.sum((F.col("c") * F.col("c") - F.col("q")) / 2)).first()  # pairs of different components
+        if not left[0]:
             break
-        open_ = open_.join(mixed.select("s", salts), ["s", "salt"])
-        if size[2] <= PAIRS_PER_ENTRY * size[1]:
+        rest = rest.join(mixed.select("region"), "region")
+        if left[1] <= PAIRS_PER_ENTRY * first:
             d = seen.select(F.col("a").alias("id"), F.col("b").alias("pivot"), distance.alias("d"))
-            near = open_.join(d, ["id", "pivot"], "left").select("s", "id", "n", "component", "d")
-            x, y = (near.select("s", *[F.col(c).alias(c + k) for c in ("id", "n", "component", "d")]) for k in "xy")
-            window = F.coalesce(F.abs(F.col("dx") - F.col("dy")) <= 1 - LINK / 100 + 1e-9, F.lit(True))
-            rest = x.join(y, "s").where("idx < idy AND componentx <> componenty").where(_alike("nx", "ny") & window)
-            seen = measured(rest.select(F.col("idx").alias("a"), F.col("idy").alias("b")).distinct(), "rest")
+            near = rest.join(d, ["id", "pivot"], "left").select("region", "id", "n", "component", "d")
+            x, y = (near.select("region", *[F.col(c).alias(c + k) for c in ("id", "n", "component", "d")]) for k in "xy")
+            window = F.when(F.col("dx").isNotNull() & F.col("dy").isNotNull(), F.abs(F.col("dx") - F.col("dy")) <= 1 - LINK / 100 + 1e-9).otherwise(F.lit(True))
+            pairs = x.join(y, "region").where("idx < idy AND componentx <> componenty").where(_alike("nx", "ny") & window)
+            seen = measured(pairs.select(F.col("idx").alias("a"), F.col("idy").alias("b")).distinct(), "rest")
             links = scratch.table(links.unionByName(seen.where(linked).select("a", "b")), "links")
             components = scratch.table(connected_components(links, scratch, "all"), "components")
             break
-        entries = scratch.table(open_.select("s", "id", "n", "salt"), f"entries-{number}")
+        regions_of = scratch.table(rest.select("region", "id", "n"), f"regions-{number}")
         number += 1
-    out = members.join(components.dropDuplicates(["id"]), "id", "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
+    group = same.join(components.dropDuplicates(["id"]), same.rep == components.id, "left").select("s", "s2", "n", F.coalesce("component", "rep").alias("component"))
+    out = members.join(scratch.table(group, "groups"), ["s", "s2", "n"], "left")
+    own = F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("component")).otherwise(F.col("id"))
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), own.alias("component_id"))
 
 
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
