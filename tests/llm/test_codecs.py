@@ -162,6 +162,14 @@ def test_leak_recall_and_clean_texts():
     assert not list(D.contaminated(bench, pa.array([pad(), "", None, "tiny ones"])))
 
 
+def test_leak_behind_a_repeat():
+    item = "no no no no no no one has ever walked so slowly over that bridge in winter, or so they say around here"
+    bench = D.Benchmark([(1, item)])
+    for n in (0, 20, 100, 1000):
+        for text in ("no " * n + item, item + " no" * n, "no " * n + item + " no" * n):
+            assert any((row, i, d) == (0, 1, 0) for row, i, _, _, d, _ in D.contaminated(bench, pa.array([text]))), n
+
+
 def test_leak_spans():
     bench = D.Benchmark([(1, ITEM), (2, "tiny one"), (3, None), (4, "...")])
     text = "é  before " + ITEM.upper() + " after; Tiny, one!"

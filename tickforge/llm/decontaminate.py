@@ -179,8 +179,11 @@ class Benchmark:
         head = np.flatnonzero(apart)
         count = np.diff(np.append(head, len(begin)))
         enough = count >= self.need[item[head]]
-        middle = begin[head + count // 2][enough]
-        return np.unique(np.stack([middle, self.size[item[head]][enough]], 1), axis=0)
+        # a chain may run through a whole repeat of a short phrase: a window for each BAND of it
+        chain = np.cumsum(apart) - 1
+        cut = np.flatnonzero(apart | np.append(True, np.diff((begin - begin[head][chain]) // (BAND + 1)) != 0))
+        cut, n = cut[enough[chain[cut]]], np.diff(np.append(cut, len(begin)))[enough[chain[cut]]]
+        return np.unique(np.stack([begin[cut + n // 2], self.size[item[cut]]], 1), axis=0)
 
     def candidates(self, text: np.ndarray, bounds: np.ndarray):
         """(document, string, context, place of the context in its document) of each window; documents lie between bounds."""
