@@ -170,6 +170,42 @@ def test_leak_behind_a_repeat():
             assert any((row, i, d) == (0, 1, 0) for row, i, _, _, d, _ in D.contaminated(bench, pa.array([text]))), n
 
 
+def spaced(text, rate, r, kinds="sid"):
+    """Edits at equal distances, int(rate * len(text)) of them; substitutions are by a letter that texts don't hold."""
+    n = int(rate * len(text))
+    at, out = {int((j + 0.5) * len(text) / n): r.choice(kinds) for j in range(n)}, []
+    for p, c in enumerate(text):
+        kind = at.get(p)
+        out.append({None: c, "s": "z", "i": "z" + c, "d": ""}[kind])
+    return "".join(out)
+
+
+def test_leak_recall_of_spaced_edits():
+    r = random.Random(8)
+    text = lambda n: " ".join("".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(2, 9))) for _ in range(n))
+    items = [(k, text(r.randint(3, 50))) for k in range(100)]
+    bench = D.Benchmark(items)
+    for rate in (0.09, 0.12, 0.15):
+        for kinds in ("s", "sid"):
+            docs = [text(60) + " " + spaced(t, rate, r, kinds) + " " + text(60) for _, t in items]
+            found = {(row, item) for row, item, *_ in D.contaminated(bench, pa.array(docs))}
+            assert sum((k, k) in found for k, _ in items) >= 99, (rate, kinds)
+
+
+def test_leak_filter_loses_nothing(monkeypatch):
+    r = random.Random(9)
+    monkeypatch.setattr(D, "MOST_CELLS", 300)
+    for size in [*range(12, 60), 101, 250]:
+        item = bytes(r.choice(b"abcd") for _ in range(size))
+        (p,) = D.Benchmark([(1, item.decode())]).parts
+        for kinds in ("s", "i", "d", "sid"):
+            passage = spaced(item.decode(), 0.15, r, kinds) if size * 0.15 >= 1 else item.decode()
+            before = "".join(r.choice("efgh") for _ in range(r.randint(0, 3 * size)))
+            text = (before + passage + "e" * r.randint(0, 2000)).encode()
+            a, b = len(before), len(before) + len(passage)
+            assert any(x <= a and b <= y for _, _, x, y in p.find(D.np.frombuffer(text, D.np.uint8)).tolist()), (size, kinds)
+
+
 def test_leak_spans():
     bench = D.Benchmark([(1, ITEM), (2, "tiny one"), (3, None), (4, "...")])
     text = "é  before " + ITEM.upper() + " after; Tiny, one!"

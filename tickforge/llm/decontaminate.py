@@ -1,15 +1,16 @@
 """Benchmark decontamination: documents that hold a passage within a small edit distance of a benchmark item.
 
 Texts and items are normalized (A-Z lower-cased, runs of ASCII signs and white space to one space). Windows of
-an item's size start where several grams of that item agree on a place. Windows and items are mapped by random
+an item's size start where enough parts of that item agree on a place. Windows and items are mapped by random
 CGK walks, which turn edit distance into Hamming distance: a walk copies the character under its pointer and
 moves on or stays by a random bit drawn for the step and the character, so two strings that differ by an edit
 fall into step again. Tables of sampled coordinates of the walks are the buckets of a locality-sensitive hash,
 repeated until TARGET_RECALL is reached; a window that meets an item of its size in a bucket is verified by an
 exact edit distance, which also finds where the passage starts and ends.
 
-Recall of the gram filter: at an edit rate of MAX_EDIT a gram stays whole with probability (1 - MAX_EDIT)**GRAM,
-0.14, so an item of 100 characters keeps 12 of 89 grams on average where 3 are asked for.
+The filter of parts loses nothing: an item of n bytes is cut into n // PART parts, of which k = MAX_EDIT * n edits
+spoil k at most, wherever they are. The others are in the passage, and their places in the text less those in the
+item differ by k at most, so they fall into two neighbours of cells of k + 1 places.
 """
 
 from __future__ import annotations
@@ -19,16 +20,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .suffix_dedup import _Powers, _text_bytes, _window_hashes
+from .suffix_dedup import _text_bytes
 
-#: Edits for each character of an item; grams of the filter and how many must agree; places that count as the same.
-MAX_EDIT, GRAM, AGREE, BAND = 0.15, 12, 3, 16
+#: Edits for each character of an item; bytes of the least item that may have edits; bytes of a part, where as many leave a part whole.
+MAX_EDIT, GRAM, PART = 0.15, 12, (5, 4)
 #: Walks, tables of each and coordinates of a table. The recall is measured in the tests.
 TARGET_RECALL, WALKS, TABLES, SAMPLED = 0.99, 3, 32, 2
 #: Bytes of items that are broadcast at once; larger benchmarks are handled in slices. Text bytes handled together.
 SLICE_BYTES, CHUNK_BYTES = 32 << 20, 1 << 19
+#: Bytes of items whose parts are looked up at once, and hits or cells that are; windows of a passage.
+PARTS_BYTES, MOST_CELLS, STARTS = 1 << 20, 1 << 23, 9
 SEED = 11
-_POWERS = _Powers(0xA24BAED4963EE407)
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 for _c in range(128):
@@ -86,8 +88,87 @@ def may_be_near(pattern: bytes, text: bytes, most: int) -> bool:
     return least <= 0 or len(text) > 3 and int(np.isin(_fours(pattern), _fours(text)).sum()) >= least
 
 
+def _codes(data: np.ndarray, size: int) -> np.ndarray:
+    """The size bytes at each place as a number."""
+    n = max(0, len(data) - size + 1)
+    out = np.zeros(n, np.uint64)
+    for j in range(size):
+        out = out << np.uint64(8) | data[j:j + n].astype(np.uint64)
+    return out
+
+
+class Parts:
+    """Disjoint parts of items of like size."""
+
+    def __init__(self, part: int, items: list[bytes]):
+        self.part, self.size = part, np.array([len(d) for d in items])
+        edits = (MAX_EDIT * self.size).astype(int)
+        self.longest, self.cell, self.need = int(self.size.max()), edits + 1, self.size // part - edits
+        codes = np.concatenate([_codes(np.frombuffer(d, np.uint8), part)[::part] for d in items])
+        owner = np.repeat(np.arange(len(items)), self.size // part)
+        rank = np.arange(len(codes)) - np.repeat(np.cumsum(self.size // part) - self.size // part, self.size // part)
+        order = np.argsort(codes, kind="stable")
+        self.codes, first, self.count = np.unique(codes[order], return_index=True, return_counts=True)
+        self.first, self.owner, self.rank = first.astype(np.int32), owner[order].astype(np.int32), rank[order].astype(np.int32)
+        # an item may start before the text does
+        self.back, self.width = (self.size[self.owner] - self.rank * part).astype(np.int32), self.cell[self.owner].astype(np.int32)
+
+    def find(self, text: np.ndarray) -> np.ndarray:
+        """Distinct (start, size, low, high) of windows where enough parts of an item agree; its passages there are between low and high."""
+        none = np.empty((0, 4), np.int64)
+        codes = _codes(text, self.part)
+        entry = np.minimum(np.searchsorted(self.codes, codes), len(self.codes) - 1)
+        hit = np.flatnonzero(self.codes[entry] == codes).astype(np.int32)
+        entry = entry[hit]
+        n = self.count[entry]
+        cells = (len(text) + self.size) // self.cell + 3
+        if max(int(n.sum()), int(cells.sum())) > MOST_CELLS and len(text) > 4 * self.longest:
+            half, lap = len(text) // 2, int(self.longest * (1 + MAX_EDIT)) + 1
+            return np.unique(np.concatenate([self.find(text[:half + lap]), self.find(text[half:]) + [half, 0, half, half]]), axis=0)
+        if not len(hit):
+            return none
+        base = np.cumsum(cells) - cells
+        entry = np.repeat((self.first[entry] - np.cumsum(n) + n).astype(np.int32), n) + np.arange(n.sum(), dtype=np.int32)
+        place = np.repeat(hit, n) + self.back[entry]
+        key = place // self.width[entry] + base.astype(np.int32)[self.owner][entry]
+        held = np.bincount(key, minlength=int(cells.sum()) + 1)
+        both = held[:-1] + held[1:]
+        pair = np.flatnonzero(both >= self.need.min())
+        item = np.searchsorted(base, pair, "right") - 1
+        pair, item = (x[both[pair] >= self.need[item]] for x in (pair, item))
+        out = [none]
+        for a in range(0, len(pair), 1 << 14):
+            out.append(self.agreeing(pair[a:a + (1 << 14)], item[a:a + (1 << 14)], base, key, place, entry, len(held)))
+        return np.unique(np.concatenate(out), axis=0)
+
+    def agreeing(self, pair: np.ndarray, item: np.ndarray, base: np.ndarray, key: np.ndarray, place: np.ndarray, entry: np.ndarray, cells: int) -> np.ndarray:
+        """Windows of the pairs of cells with hits of enough different parts."""
+        number = np.full(cells + 1, -1, np.int32)
+        number[pair] = np.arange(len(pair))
+        near = number[:-1] >= 0
+        near[1:] |= near[:-1].copy()
+        hit = np.flatnonzero(near[key])
+        seen = np.zeros((len(pair) + 1, int((self.size[item] // self.part).max(initial=1))), bool)
+        of = [number[key[hit]], number[key[hit] - 1]]
+        rank = np.minimum(self.rank[entry[hit]], seen.shape[1] - 1)
+        for x in of:
+            seen[x, rank] = True
+        good = np.append(seen[:-1].sum(1) >= self.need[item], False)
+        of, hit = np.concatenate(of), np.append(hit, hit)
+        of, hit = of[good[of]], hit[good[of]]
+        order = np.lexsort((place[hit], of))
+        of, start = of[order], place[hit][order].astype(np.int64)
+        head = np.flatnonzero(np.diff(of, prepend=-1))
+        last = np.diff(np.append(head, len(of))) - 1
+        at = np.unique(head[:, None] + last[:, None] * np.arange(STARTS) // (STARTS - 1))
+        own = item[of[at]]
+        size, edge = self.size[own], 2 * self.cell[own]
+        middle = (pair[of[at]] - base[own] + 1) * self.cell[own] - size
+        return np.stack([start[at] - size, size, middle - edge, middle + size + edge], 1)
+
+
 class Benchmark:
-    """Items, their grams and their buckets."""
+    """Items, their parts and their buckets."""
 
     def __init__(self, items: list[tuple[int, str]]):
         self.items = []
@@ -96,21 +177,15 @@ class Benchmark:
             if data:
                 self.items.append((item, data))
         self.size = np.array([len(d) for _, d in self.items], np.int64)
-        self.need = np.clip(self.size - GRAM + 1, 1, AGREE)
         self.short = [k for k, n in enumerate(self.size.tolist()) if n < GRAM]
-        grams, owner, place = [], [], []
-        for k, (_, d) in enumerate(self.items):
+        groups: dict[tuple[int, int, int], list[bytes]] = {}
+        held: dict[tuple[int, int], int] = {}
+        for _, d in self.items:
             if len(d) >= GRAM:
-                h = _window_hashes(np.frombuffer(d, np.uint8), GRAM, _POWERS)
-                grams.append(h)
-                owner.append(np.full(len(h), k))
-                place.append(np.arange(len(h)))
-        self.grams, self.owner, self.place = (np.concatenate([np.empty(0, t), *x]) for t, x in ((np.uint64, grams), (np.int64, owner), (np.int64, place)))
-        order = np.argsort(self.grams, kind="stable")
-        self.grams, self.owner, self.place = self.grams[order], self.owner[order], self.place[order]
-        self.bits = max(22, int(len(self.grams)).bit_length() + 6)
-        self.map = np.zeros(1 << self.bits, bool)
-        self.map[(self.grams >> np.uint64(64 - self.bits)).astype(np.int64)] = True
+                kind = next(p for p in PART if len(d) // p > int(MAX_EDIT * len(d))), len(d).bit_length() // 3
+                held[kind] = held.get(kind, 0) + len(d)
+                groups.setdefault((*kind, held[kind] // PARTS_BYTES), []).append(d)
+        self.parts = [Parts(part, own) for (part, *_), own in sorted(groups.items())]
         self.bits_of: dict[int, list[np.ndarray]] = {}
         self.buckets: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         self.by_size: dict[int, list[int]] = {}
@@ -159,63 +234,42 @@ class Benchmark:
             self.buckets[size] = keys.ravel()[order], np.repeat(own, keys.shape[1])[order]
         return self.buckets[size]
 
-    def windows(self, text: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """Distinct (start, size) of item-sized windows where enough grams of an item agree; text holds documents that begin at starts."""
-        none = np.empty((0, 2), np.int64)
-        if len(text) < GRAM or not len(self.grams):
-            return none
-        h = _window_hashes(text, GRAM, _POWERS)
-        hit = np.flatnonzero(self.map[(h >> np.uint64(64 - self.bits)).astype(np.int64)])
-        a, b = np.searchsorted(self.grams, h[hit]), np.searchsorted(self.grams, h[hit], "right")
-        hit, a, n = hit[b > a], a[b > a], (b - a)[b > a]
-        if not len(hit):
-            return none
-        entry = np.repeat(a - np.cumsum(n) + n, n) + np.arange(n.sum())
-        item, begin = self.owner[entry], np.repeat(hit, n) - self.place[entry]
-        doc = np.repeat(np.searchsorted(starts, hit, "right") - 1, n)
-        order = np.lexsort((begin, item, doc))
-        item, begin, doc = item[order], begin[order], doc[order]
-        apart = np.append(True, (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (begin[1:] - begin[:-1] > BAND))
-        head = np.flatnonzero(apart)
-        count = np.diff(np.append(head, len(begin)))
-        enough = count >= self.need[item[head]]
-        # a chain may run through a whole repeat of a short phrase: a window for each BAND of it
-        chain = np.cumsum(apart) - 1
-        cut = np.flatnonzero(apart | np.append(True, np.diff((begin - begin[head][chain]) // (BAND + 1)) != 0))
-        cut, n = cut[enough[chain[cut]]], np.diff(np.append(cut, len(begin)))[enough[chain[cut]]]
-        return np.unique(np.stack([begin[cut + n // 2], self.size[item[cut]]], 1), axis=0)
+    def windows(self, text: np.ndarray) -> np.ndarray:
+        """Distinct (start, size, low, high) of item-sized windows where enough parts of an item agree."""
+        return np.unique(np.concatenate([np.empty((0, 4), np.int64), *[p.find(text) for p in self.parts]]), axis=0)
 
     def candidates(self, text: np.ndarray, bounds: np.ndarray):
         """(document, string, context, place of the context in its document) of each window; documents lie between bounds."""
-        windows = self.windows(text, bounds[:-1])
-        doc = np.clip(np.searchsorted(bounds, np.maximum(windows[:, 0], 0) + windows[:, 1] // 2, "right") - 1, 0, len(bounds) - 2)
-        for d, at, size in zip(doc.tolist(), windows[:, 0].tolist(), windows[:, 1].tolist()):
-            low, high, margin = int(bounds[d]), int(bounds[d + 1]), int(MAX_EDIT * size) + BAND
-            a = max(low, at - margin)
-            string = text[max(at, low):min(at + size, high)].tobytes()
-            yield d, string.rjust(size if at < low else 0, b"\0").ljust(size, b"\0"), text[a:min(high, at + size + margin)].tobytes(), a - low
+        for at, size, a, b in self.windows(text).tolist():
+            # an item's parts may agree across the end of a document
+            for d in range(max(0, int(np.searchsorted(bounds, a, "right")) - 1), min(len(bounds) - 1, int(np.searchsorted(bounds, b)))):
+                low, high = int(bounds[d]), int(bounds[d + 1])
+                context = text[max(a, low):min(b, high)].tobytes()
+                if len(context) >= size - int(MAX_EDIT * size):
+                    string = text[min(max(at, low), high):max(min(at + size, high), low)].tobytes()
+                    yield d, string.rjust(size if at < low else 0, b"\0").ljust(size, b"\0"), context, max(a, low) - low
 
     def verified(self, found: list[tuple[int, bytes, bytes, int]]):
         """(document, item, start, end, distance) of the candidates that meet an item in a bucket and are near it."""
-        pairs = set()
+        pairs: dict[tuple[int, int, int, int], bytes] = {}
         found = sorted(found, key=lambda x: len(x[1]))
         for at in range(0, len(found), 1000):
             part = found[at:at + 1000]
             mine = self.keys([x[1] for x in part])
-            for r, (d, string, _, _) in enumerate(part):
+            for r, (d, string, context, place) in enumerate(part):
                 keys, owner = self.bucket(len(string))
                 a, b = np.searchsorted(keys, mine[r]), np.searchsorted(keys, mine[r], "right")
                 for t in np.flatnonzero(b > a).tolist():
-                    pairs.update((at + r, k) for k in owner[a[t]:b[t]].tolist())
-        for r, k in sorted(pairs):
-            d, _, context, place = found[r]
+                    for k in owner[a[t]:b[t]].tolist():
+                        pairs[d, k, place, len(context)] = context
+        for (d, k, place, _), context in sorted(pairs.items()):
             item, pattern = self.items[k]
             most = int(MAX_EDIT * len(pattern))
             if may_be_near(pattern, context, most) and (m := edit_search(pattern, context, most)) is not None:
                 yield d, item, place + m[1], place + m[2], m[0]
 
     def exact(self, text: np.ndarray, bounds: np.ndarray):
-        """Items too short for grams: whole words only."""
+        """Items too short for edits: whole words only."""
         raw = b" " + text.tobytes() if self.short else b""
         for k in self.short:
             item, pattern = self.items[k]
