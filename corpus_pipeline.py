@@ -33,10 +33,9 @@ def passage_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
     A character that a cut splits goes as a whole; a null text comes out empty.
     """
-    out = suffix_dedup.remove_repeats(docs, keep=COLUMNS[:1] + COLUMNS[2:])
-    out = out.where("NOT (n_removed > 0 AND n_removed = n_bytes)")
-    whole = F.expr("make_valid_utf8(cast(kept AS string))")
-    text = F.when(F.col("n_removed") == 0, whole).otherwise(F.regexp_replace(whole, "\uFFFD", ""))
+    out = suffix_dedup.remove_repeats(docs, keep=COLUMNS[:1] + COLUMNS[2:], whole=True)
+    out = out.where("NOT (n_removed > 0 AND octet_length(kept) = 0)")
+    text = F.expr("make_valid_utf8(cast(kept AS string))")
     out = out.select("doc_id", text.alias("text"), "lang", "source", F.length(text).cast("long").alias("n_chars"))
     return out.select(*COLUMNS)
 

@@ -41,3 +41,11 @@ def test_pipeline_keeps_what_it_should(spark, tmp_path):
         cut = good[21].encode().replace((" " + passage).encode(), b"")
         assert got[21].decoded_sha256 == hashlib.sha256(cut).hexdigest()
     assert [name for name, _ in corpus_pipeline.STAGES][0] == "quality classifier" and corpus_pipeline.ORACLE_SQL is None
+
+
+def test_passages_cut_whole_characters_only(spark):
+    passage = "this sentence of more than fifty bytes is in several of the documents here"
+    docs = [(1, "one é" + passage + "Ʃ 1"), (2, "mojibake \uFFFD two ũ" + passage + "Ƹ \uFFFD 2"), (3, "three \uFFFD"), (4, "ũ" + passage + "Ƹ"), (5, None)]
+    frame = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in docs], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {row.doc_id: row.text for row in corpus_pipeline.passage_stage(spark, frame, "").collect()}
+    assert got == {1: docs[0][1], 2: "mojibake \uFFFD two  \uFFFD 2", 3: docs[2][1], 5: ""}

@@ -208,10 +208,10 @@ def _blocks(batches, text_at: int):
         yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
-def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, whole: bool = False) -> DataFrame:
     """Columns id_col (and those of keep), n_bytes, n_removed, n_spans and kept (binary) for every row of docs.
 
-    kept holds the remaining bytes; a cut may split a character. A null text counts as empty (0 bytes, nothing
+    kept holds the remaining bytes; a cut may split a character, of which kept has no byte if whole is set. A null text counts as empty (0 bytes, nothing
     removed). A row with a null id neither loses bytes nor makes others lose any; rows of equal ids don't
     affect one another, and each row comes out once. Texts under 50 bytes stay whole; longer ones of any
     length are processed whole. An empty table gives no rows. Names in docs may clash with those used here.
@@ -355,6 +355,11 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         opens[edge] = gone[edge]
         total = np.concatenate([[0], np.cumsum(opens)])
         spans = total[bounds[1:]] - total[bounds[:-1]]
+        if whole:
+            first = (data & 0xC0) != 0x80
+            first[edge] = True
+            character = np.cumsum(first) - 1
+            gone = (np.bincount(character, gone) > 0)[character]
         raw, kept = data.tobytes(), []
         for a, b, r in zip(bounds[:-1].tolist(), bounds[1:].tolist(), removed.tolist()):
             kept.append(raw[a:b] if not r else data[a:b][~gone[a:b]].tobytes())
