@@ -1,13 +1,15 @@
-"""Removal of passages that occur in an earlier document, by longest-previous-factor arrays of a distributed suffix order.
+"""Removal of passages that occur in an earlier document, by groups of equal 50-byte strings.
+
+Neither a suffix array nor lengths of longest previous factors are computed: only whether one reaches 50 bytes counts.
 
 A byte goes if a 50-byte string that covers it also starts in a document with a smaller id: the suffix at that
-place has a previous factor of 50 bytes or more. Only suffixes that can have one are ordered. Each 50-byte
+place has a previous factor of 50 bytes or more. Only suffixes that can have one are grouped. Each 50-byte
 string names one of its 20-byte grams, that of the least hash (equal strings name equal grams), so:
 
 1. texts are stored in blocks in the shared folder, and the named grams of each block meet by hash;
 2. grams that two blocks share go back to their blocks, where runs of strings naming such a gram (or one that
    two documents of the block share) are cut out; of runs equal in a block only the first is sent;
-3. the runs that share a gram meet, and their suffixes are put in order, down to 50 bytes. In runs of equal
+3. the runs that share a gram meet, and their suffixes are sorted by a fingerprint of 50 bytes, not in lexicographic order. In runs of equal
    50-byte prefixes, sorted by document, the previous smaller position of a suffix is the first of its run
    (the next smaller doesn't exist), so its longest previous factor reaches 50 exactly if that document is
    smaller;
