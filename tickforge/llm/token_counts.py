@@ -1,11 +1,11 @@
-"""Token counts by deterministic finite-state transducers.
+"""Token counts by a deterministic finite-state transducer of pre-tokens and a memo of merges.
 
-Two transducers are compiled from a byte-level BPE vocabulary with word ends. The first reads classes of
+The transducer reads classes of
 characters and marks where the pre-tokens (contractions, letters, single digits, other signs) start; one of
 its states waits for what follows an apostrophe, so its output may fall one character back. A stream is cut in
 chunks, each chunk gives a map from every start state to an end state, the maps compose through a parallel
-prefix scan, and a second pass with the known start states gives the output. The second transducer annotates
-each pre-token with the number of tokens that it emits: the merges of all new pre-tokens of a batch run side by
+prefix scan, and a second pass with the known start states gives the output. Token
+counts are not on its transitions: the merges of all new pre-tokens of a batch run side by
 side on a matrix of symbols, lowest rank first, and the counts are kept under a 64-bit hash of the pre-token.
 
 Character classes are asked of the tokenizers library once per character and worker; everything else is
