@@ -192,6 +192,15 @@ def test_leak_recall_of_spaced_edits():
             assert sum((k, k) in found for k, _ in items) >= 99, (rate, kinds)
 
 
+def test_leak_recall_at_the_limit():
+    r = random.Random(10)
+    text = lambda n: " ".join("".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(2, 9))) for _ in range(n))
+    items = [(k, text(r.randint(12, 50))) for k in range(200)]
+    docs = [text(60) + " " + edited(t, D.MAX_EDIT, r) + " " + text(60) for _, t in items]
+    found = {(row, item) for row, item, *_ in D.contaminated(D.Benchmark(items), pa.array(docs))}
+    assert sum((k, k) in found for k, _ in items) >= D.TARGET_RECALL * len(items)
+
+
 def test_leak_filter_loses_nothing(monkeypatch):
     r = random.Random(9)
     monkeypatch.setattr(D, "MOST_CELLS", 300)
