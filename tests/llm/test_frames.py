@@ -71,9 +71,25 @@ def test_jaccard_equals_brute_force(docs):
 
 
 def test_jaccard_recursion(docs, monkeypatch):
-    monkeypatch.setattr(jaccard_join, "PAIRS_PER_ENTRY", 0)
     monkeypatch.setattr(jaccard_join, "BROADCAST_PAIRS", 0)
-    assert key(jaccard_join.link_components(docs).collect()) == key(brute_components(ROWS))
+    assert key(jaccard_join.link_components(docs, block_bytes=2000, small=2, sparse=0).collect()) == key(brute_components(ROWS))
+
+
+@pytest.mark.parametrize("small, sparse", [(jaccard_join.SMALL, jaccard_join.SPARSE), (3, 1)])
+def test_jaccard_of_large_regions(spark, small, sparse):
+    """Chains of near copies, texts around one common line and texts of two common lines."""
+    r = random.Random(5)
+    line, other = sentence(24, r).split(), sentence(24, r).split()
+    rows = []
+    for chain in range(3):
+        words = sentence(60, r).split()
+        for k in range(40):
+            words[r.randrange(60)] = f"c{chain}k{k}"
+            rows.append((len(rows), " ".join(words)))
+    rows += [(1000 + k, " ".join([f"a{k}", f"b{k}", *line, *other[:k % 25]])) for k in range(60)]
+    rows += [(2000 + k, " ".join([*other[k % 7:], *line[:24 - k % 5], f"e{k % 3}"])) for k in range(60)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert key(jaccard_join.link_components(d, block_bytes=20_000, small=small, sparse=sparse).collect()) == key(brute_components(rows))
 
 
 def brute_repeats(rows):

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .suffix_dedup import _text_bytes
+from .blocks import text_bytes
 
 #: Edits for each character of an item; bytes of the least item that may have edits; bytes of a part, where as many leave a part whole.
 MAX_EDIT, GRAM, PART = 0.15, 12, (5, 4)
@@ -284,7 +284,7 @@ def contaminated(bench: Benchmark, texts: pa.Array):
     """(row, item, start, end, distance, size) for each passage; places are bytes of the row's text."""
     candidates, found = [], []
     for a, b in _pieces(texts):
-        data, at = _text_bytes(texts.slice(a, b - a))
+        data, at = text_bytes(texts.slice(a, b - a))
         parts, bounds = [], [0]
         for d in range(b - a):
             parts += [normal(data[at[d]:at[d + 1]])[0], np.array([32], np.uint8)]

@@ -1,41 +1,53 @@
 """Exact Jaccard join of documents on word shingles in a metric space.
 
-Jaccard distance is a metric, so a pivot p tells that two documents can't be within r of each other if their
-distances to p differ by more than r. Random pivots are useless here: nearly all texts are at distance 1 from
-them. So the top regions are those of one shingle each: documents at distance r or less share one of the first
-n - ceil((1 - r) n) + 1 shingles of any common order, and a document is replicated to the regions of these
-shingles. The order puts shingles that are frequent inside blocks last, so regions stay small; it decides only
-how much work there is. Each region elects a pivot, all its documents are measured against it, and those
-within r are linked. A region whose documents form one component is done; the others recurse: they elect
-another pivot, or, when few pairs are left, join the documents of different components within the triangle
-inequality's window. A link between two components is never skipped, so components are exact.
-
-Shingle sets are compared by 48-bit fingerprints of shingles.
+Jaccard distance d is a metric; two documents link at d <= R. The join goes from coarse regions to fine ones:
+
+1. Equal sets become one document. The first pivots are sets of a single shingle: a document is nearer than 1
+   to those of its own shingles only, and linked documents share one of the first n - ceil(0.8 n) + 1 shingles of
+   any common order, so a document is replicated to the regions of these. Documents that share none of them
+   with another one link with nothing and are left out. For the rest the order is made exact, rare shingles first
+   (by the number of documents that have them), and a pair is compared only if enough shingles follow the one it meets
+   at in both sets. Regions with the same members are one region.
+2. A region of up to SMALL documents is joined directly. A larger one elects document pivots, every member is
+   measured against them, and those within R are linked. Its members then go to the Voronoi cell of the nearest
+   pivot p if it is nearer than NEAR, and as replicas to each other cell q with d(x, q) <= d(x, nearest) + 2 R: if y
+   links with an x of cell q, d(y, q) <= d(y, nearest) + 2 R. Members far from all pivots make one more cell, which
+   needs no replicas, as its pairs with nearer documents are found in the cells of these.
+3. A cell whose documents are in one component is done. Where few pairs of different components are left, those
+   within the triangle inequality's window, |d(x, p) - d(y, p)| <= R, are measured. Other cells are regions of the
+   next round, with twice as many pivots, so the number of rounds grows with the logarithm of a region.
+
+A link between two components is never skipped, so components are exact. Sets are compared by 64-bit fingerprints
+of shingles: for 10**10 documents of 300 shingles, about 10**-4 of their sets would hold two of the same print.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .blocks import BLOCK_BYTES, CHUNK_BYTES, Powers, block_root, cut_blocks, in_sorted, load_block, mixed, pack48, save_block, unpack48
 from .components import connected_components
 from .scratch import Scratch
-from .suffix_dedup import _Powers, _blocks, _in_sorted, _load, _mixed, _pack48, _save, _unpack48
 
 SHINGLE_WORDS, LINK = 5, 80  # words of a shingle; per cent of the union that two linked documents share
-CHUNK_BYTES, PART_DOCS, LEAST_PARTS = 1 << 18, 20_000, 256
-#: Frequent shingles: found at least so often in a block; kept in a table of so many bits, the most frequent first.
+R = 1 - LINK / 100
+PART_DOCS, LEAST_PARTS = 20_000, 256
+#: Frequent shingles: found at least so often in a block; kept by so many bits, the most frequent first.
 OFTEN, TABLE_BITS, TABLE_KEYS = 2, 24, 1 << 18
-#: Pairs that end the recursion, for each entry of the first regions; pairs up to this number are broadcast (16 bytes each).
-PAIRS_PER_ENTRY, BROADCAST_PAIRS = 4, 500_000
-#: Pivots that a region elects on average, after the first time.
-PIVOTS = 8
+#: Documents of a region that is joined directly, pivots of a larger one in the first round, farthest distance to a cell's pivot.
+SMALL, PIVOTS, NEAR = 24, 8, 0.6
+#: Documents of a cell outside its largest component, up to which they are measured against the others.
+SPARSE = 256
+#: Ids of pairs up to this number, and sets of up to so many bytes, are broadcast.
+BROADCAST_PAIRS, BROADCAST_BYTES = 500_000, 16 << 20
 KEY = np.uint64((1 << 48) - 1)
 _U = np.uint64
-_WORDS = _Powers(0xA0761D6478BD642F)
+_WORDS = Powers(0xA0761D6478BD642F)
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
@@ -71,7 +83,7 @@ def _shingles_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     up, down = _WORDS.upto(len(data))
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + _U(1)) * up, out=sums[1:])
-    word = _mixed((sums[end] - sums[begin]) * down[begin] + (end - begin).astype(np.uint64) * _U(0x9FB21C651E98DF25))
+    word = mixed((sums[end] - sums[begin]) * down[begin] + (end - begin).astype(np.uint64) * _U(0x9FB21C651E98DF25))
     doc = np.searchsorted(starts, begin, "right") - 1
     n = np.bincount(doc, minlength=len(texts))
     k = SHINGLE_WORDS
@@ -81,7 +93,7 @@ def _shingles_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         for i in range(1, k):
             h += word[i:len(word) - k + 1 + i] * _FACTORS[i]
         same = doc[:len(word) - k + 1] == doc[k - 1:]
-        h, where = _mixed(h[same]), doc[:len(word) - k + 1][same]
+        h, where = mixed(h[same]), doc[:len(word) - k + 1][same]
     short = np.flatnonzero((n > 0) & (n < k))
     if len(short):
         at = np.cumsum(n) - n
@@ -91,8 +103,7 @@ def _shingles_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
             for w in word[at[d]:at[d] + n[d]].tolist():
                 v = (v * 0x9E3779B97F4A7C15 + w + 1) & (1 << 64) - 1
             whole.append(v & (1 << 64) - 1)
-        h, where = np.concatenate([h, _mixed(np.array(whole, np.uint64))]), np.concatenate([where, short])
-    h &= KEY
+        h, where = np.concatenate([h, mixed(np.array(whole, np.uint64))]), np.concatenate([where, short])
     order = np.lexsort((h, where))
     h, where = h[order], where[order]
     new = np.append(True, (h[1:] != h[:-1]) | (where[1:] != where[:-1])) if len(h) else np.empty(0, bool)
@@ -100,247 +111,273 @@ def _shingles_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _bit(prints: np.ndarray) -> np.ndarray:
-    return (prints >> _U(48 - TABLE_BITS)).astype(np.int64)
+    return (prints >> _U(64 - TABLE_BITS)).astype(np.int64)
 
 
-def _prefixes(doc: np.ndarray, prints: np.ndarray, frequent: np.ndarray, docs: int) -> np.ndarray:
-    """Which shingles stand first in their document's order."""
+def _ranks(doc: np.ndarray, prints: np.ndarray, weight: np.ndarray, docs: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each shingle its place in its document's order (by weight, then fingerprint) and the document's number of shingles."""
     n = np.bincount(doc, minlength=docs)
-    late = frequent[_bit(prints)] if len(prints) else np.empty(0, bool)
-    order = np.lexsort((prints, late, doc))
+    order = np.lexsort((prints, weight, doc))
     rank = np.empty(len(doc), np.int64)
     rank[order] = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
-    first = n - -(-LINK * n // 100) + 1
-    return rank < first[doc]
+    return rank, n[doc]
+
 
+def _longer(n):
+    """Length of the prefix that a set needs against sets that aren't larger."""
+    return n - -(-LINK * n // 100) + 1
 
-def _collapse(ids: np.ndarray, known: np.ndarray, doc: np.ndarray, prints: np.ndarray) -> tuple[np.ndarray, ...]:
-    """For each document its number of shingles, the document with the least id among those of the same set (itself for empty sets and null ids), and a 128-bit key of the set."""
-    docs = len(ids)
+
+def _set_keys(doc: np.ndarray, prints: np.ndarray, docs: int) -> tuple[np.ndarray, ...]:
+    """For each document its number of shingles and a 128-bit key of its set."""
     n = np.bincount(doc, minlength=docs)
-    at = np.minimum(np.cumsum(n) - n, max(0, len(doc) - 1))
-    a, b = np.zeros(docs, np.uint64), np.zeros(docs, np.uint64)
+    keys = [np.zeros(docs, np.uint64), np.zeros(docs, np.uint64)]
     if len(doc):
         full = n > 0
-        for out, c in ((a, 0xD6E8FEB86659FD93), (b, 0xE7037ED1A0B428DB)):
-            x = _mixed(prints * _U(c) + _U(c >> 7))
-            out[full] = np.add.reduceat(x, at[full])
-    order = np.lexsort((ids, ~known, n, b, a))
-    same = np.append(False, (a[order][1:] == a[order][:-1]) & (b[order][1:] == b[order][:-1]) & (n[order][1:] == n[order][:-1])) if docs else np.empty(0, bool)
-    same &= (n[order] > 0) & known[order]
-    lead = np.maximum.accumulate(np.where(same, 0, np.arange(docs))) if docs else np.empty(0, np.int64)
-    rep = np.empty(docs, np.int64)
-    rep[order] = order[lead]
-    return n, rep, a.view(np.int64), b.view(np.int64)
-
-
-def _cells(prints: np.ndarray) -> bytes:
-    """Counts of a set's shingles in cells, about four a cell."""
-    cells = 16
-    while cells * 4 < len(prints) and cells < 1 << 16:
-        cells *= 2
-    return np.minimum(np.bincount((prints & _U(cells - 1)).astype(np.int64), minlength=cells), 255).astype(np.uint8).tobytes()
-
-
-def _most_shared(x: bytes, y: bytes) -> int:
-    """A bound on the shingles that two sets share: cell by cell, the smaller count."""
-    a, b = np.frombuffer(x, np.uint8).astype(np.int64), np.frombuffer(y, np.uint8).astype(np.int64)
-    if a.max() == 255 or b.max() == 255:
-        return 1 << 60
-    while len(a) > len(b):
-        a = a[:len(a) // 2] + a[len(a) // 2:]
-    while len(b) > len(a):
-        b = b[:len(b) // 2] + b[len(b) // 2:]
-    return int(np.minimum(a, b).sum())
-
-
-def _bound(batches):
-    """Keeps the pairs (a, b, na, nb) whose cells leave a link possible."""
-    for batch in batches:
-        na, nb = (batch.column(c).to_pylist() for c in (2, 3))
-        keep = []
-        for n, m, x, y in zip(na, nb, batch.column(4).to_pylist(), batch.column(5).to_pylist()):
-            k = min(_most_shared(x, y), n, m)
-            keep.append(100 * k >= LINK * (n + m - k))
-        yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-
-def _measure(batches):
-    """Adds the number of shared shingles of two sets."""
-    for batch in batches:
-        found = [len(np.intersect1d(_unpack48(x), _unpack48(y), assume_unique=True)) for x, y in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist())]
-        yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(found, pa.int64())], names=["a", "b", "na", "nb", "shared"])
-
-
-def _alike(x: str, y: str):
-    """Sizes that leave a link possible."""
-    return F.least(x, y) * 100 >= F.greatest(x, y) * LINK
-
-
-def link_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+        at = (np.cumsum(n) - n)[full]
+        for out, c in zip(keys, (0xD6E8FEB86659FD93, 0xE7037ED1A0B428DB)):
+            out[full] = np.add.reduceat(mixed(prints * _U(c) + _U(c >> 7)), at)
+    return n, keys[0].view(np.int64), keys[1].view(np.int64)
+
+
+def _firsts(s: np.ndarray, s2: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Which documents are the first of their set in a block; none of an empty set."""
+    order = np.lexsort((s2, s))
+    new = np.append(True, (s[order][1:] != s[order][:-1]) | (s2[order][1:] != s2[order][:-1])) if len(s) else np.empty(0, bool)
+    out = np.zeros(len(s), bool)
+    out[order[new]] = True
+    return out & (n > 0)
+
+
+def _by_part(name: str, keys: np.ndarray, count: np.ndarray, own: np.ndarray, parts: int) -> dict:
+    """Rows (part, block, keys, counts, own) of one block's sorted keys; own goes with one row, which each block has."""
+    part = (keys & _U(parts - 1)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    keys, count, part = keys[order], count[order], part[order]
+    at = np.searchsorted(part, np.arange(parts + 1))
+    rows = [p for p in range(parts) if at[p + 1] > at[p]] or [0]
+    return {"part": pa.array(rows, pa.int32()), "block": pa.array([name] * len(rows)), "keys": pa.array([pack48(keys[at[p]:at[p + 1]]) for p in rows], pa.binary()),
+            "counts": pa.array([count[at[p]:at[p + 1]].astype("<u4").tobytes() for p in rows], pa.binary()), "own": pa.array([own.astype("<i4").tobytes()] + [None] * (len(rows) - 1), pa.binary())}
+
+
+_BY_PART = "part int, block string, keys binary, counts binary, own binary"
+
+
+def _meet(t: pa.Table) -> pa.Table:
+    """For each block of a part those of its keys that are there twice or more, with their total counts."""
+    keys = [unpack48(k) for k in t.column("keys").to_pylist()]
+    count = np.concatenate([np.frombuffer(c, "<u4") for c in t.column("counts").to_pylist()]).astype(np.int64)
+    every = np.concatenate(keys)
+    order = np.argsort(every, kind="stable")
+    start = np.flatnonzero(np.append(True, np.diff(every[order]) != 0)) if len(every) else np.empty(0, np.int64)
+    total = np.add.reduceat(count[order], start) if len(every) else np.empty(0, np.int64)
+    shared, total = every[order][start][total > 1], total[total > 1]
+    names, own = t.column("block").to_pylist(), t.column("own").to_pylist()
+    rows = []
+    for k, x in enumerate(keys):
+        found = x[in_sorted(x, shared)]
+        if len(found) or own[k] is not None:
+            rows.append((names[k], pack48(found), np.minimum(total[np.searchsorted(shared, found)], (1 << 32) - 1).astype("<u4").tobytes(), own[k]))
+    kinds = [pa.string(), pa.binary(), pa.binary(), pa.binary()]
+    return pa.table([pa.array(x, k) for x, k in zip(zip(*rows) if rows else [[]] * 4, kinds)], names=["block", "keys", "counts", "own"])
+
+
+_MET = "block string, keys binary, counts binary, own binary"
+
+
+def _met(t: pa.Table) -> tuple[str, np.ndarray, np.ndarray, np.ndarray]:
+    """Name, keys in order, their counts and own of one block."""
+    keys = np.concatenate([unpack48(k) for k in t.column("keys").to_pylist()])
+    count = np.concatenate([np.frombuffer(c, "<u4") for c in t.column("counts").to_pylist()]).astype(np.int64)
+    own = next(np.frombuffer(o, "<i4") for o in t.column("own").to_pylist() if o is not None)
+    order = np.argsort(keys, kind="stable")
+    return t.column("block")[0].as_py(), keys[order], count[order], own
+
+
+def _enough(left, sizes):
+    """Whether so many shingles shared leave a link possible between sets of so many in sum."""
+    return left * (100 + LINK) >= sizes * LINK
+
+
+def link_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, small: int = SMALL, sparse: int = SPARSE) -> DataFrame:
     """Columns id_col, n_shingles and component_id for every row of docs.
 
     Two documents link when 100 * shared shingles >= LINK * all shingles of the two. A text with fewer words than
     a shingle has one shingle, its whole sequence; a null text or one without words has none and links with
     nothing, so it is its own component. Rows with a null id link with nothing and have a null component. Equal
     texts always share a component; rows of equal ids count as one document if their texts are equal, else the
-    links of each are links of that id. An empty table gives no rows; other columns are ignored.
+    links of each are links of that id. Texts of any length are taken whole. An empty table gives no rows; other
+    columns, whatever their names, are ignored.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "jaccard_join")
-    root = scratch.path("blocks")
-    root = root if "://" in root or root.startswith("file:") else "file://" + root
+    root = block_root(scratch)
     parts = 1 << max(LEAST_PARTS - 1, docs.count() // PART_DOCS).bit_length()
     inner = docs.select(F.col(f"`{id_col}`").cast("long").alias("i"), F.col(f"`{text_col}`").alias("t"))
 
-    def scan(block):
-        ids = np.array(block.column(0).fill_null(0), np.int64)
-        known = np.array(block.column(0).is_valid(), dtype=bool)
-        doc, prints = shingle_sets(block.column(1).to_pylist())
-        n, rep, *key = _collapse(ids, known, doc, prints)
-        live = ((rep == np.arange(len(ids))) & known)[doc] if len(doc) else np.empty(0, bool)
-        return ids, known, n, key, doc[live], prints[live]
-
     def store(batches):
-        """Blocks in the shared folder; bits of frequent shingles, once for each block."""
-        number, task = 0, TaskContext.get().partitionId()
-        for block in _blocks(batches, 1):
-            name = f"{task}-{number}"
-            number += 1
-            _save(root, name, block)
-            bit, count = np.unique(_bit(scan(block)[5]), return_counts=True)
+        """Blocks in the shared folder; a row for each, with its documents and the bits of its frequent shingles."""
+        for block in cut_blocks(batches, 1, block_bytes):
+            name = save_block(root, block)
+            doc, prints = shingle_sets(block.column(1).to_pylist())
+            n, s, s2 = _set_keys(doc, prints, block.num_rows)
+            first = _firsts(s, s2, n)
+            bit, count = np.unique(_bit(prints[first[doc]]), return_counts=True)
             bit, count = bit[count >= OFTEN], count[count >= OFTEN]
-            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([bit], pa.list_(pa.int32())), pa.array([count], pa.list_(pa.int32()))], names=["block", "bits", "counts"])
+            ids = pa.ListArray.from_arrays(pa.array([0, block.num_rows], pa.int32()), block.column(0))
+            yield pa.RecordBatch.from_arrays([pa.array([name]), ids, *[pa.array([x], pa.list_(pa.int64())) for x in (n, s, s2)], *[pa.array([x], pa.list_(pa.int32())) for x in (bit, count)]], names=["block", "ids", "n", "s", "s2", "bits", "counts"])
 
-    stored = scratch.table(inner.mapInArrow(store, "block string, bits array<int>, counts array<int>"), "stored")
+    stored = scratch.table(inner.mapInArrow(store, "block string, ids array<long>, n array<long>, s array<long>, s2 array<long>, bits array<int>, counts array<int>"), "stored")
     often = stored.select(F.explode(F.arrays_zip("bits", "counts")).alias("x")).groupBy("x.bits").agg(F.sum("x.counts").alias("n"))
-    often = often.orderBy(F.desc("n"), "bits").limit(TABLE_KEYS).select("bits").toArrow().column(0).to_numpy()  # TABLE_KEYS integers at most
-    shared_bits = spark.sparkContext.broadcast(np.sort(often))
+    often = often.orderBy(F.desc("n"), "bits").limit(TABLE_KEYS).toArrow()  # TABLE_KEYS rows at most
+    classes = spark.sparkContext.broadcast((often.column(0).to_numpy(), np.array([min(255, int(8 * math.log2(n))) for n in often.column(1).to_pylist()], np.uint8)))
+    members = stored.select("block", F.posexplode(F.arrays_zip("ids", "n", "s", "s2")).alias("pos", "x")).select("block", "pos", F.col("x.ids").alias("id"), "x.n", "x.s", "x.s2")
+    placed = members.where("n > 0 AND id IS NOT NULL")
+    same = placed.groupBy("s", "s2", "n").agg(F.min(F.struct("id", "block", "pos")).alias("lead"), F.count("*").alias("copies"))
+    same = scratch.table(same, "same")  # a row for each distinct set
+    leads = same.select("lead.block", "lead.pos").groupBy("block").agg(F.collect_list("pos").alias("pos"))  # no more than a block's documents
+    names = scratch.table(stored.select("block").join(leads, "block"), "names")
 
-    def table() -> np.ndarray:
-        out = np.zeros(1 << TABLE_BITS, bool)
-        out[shared_bits.value] = True
+    def weights() -> np.ndarray:
+        out = np.zeros(1 << TABLE_BITS, np.uint8)
+        out[classes.value[0]] = classes.value[1]
         return out
 
+    def sets_of(name: str, live: np.ndarray) -> tuple[np.ndarray, ...]:
+        block = load_block(root, name)
+        doc, prints = shingle_sets(block.column(1).to_pylist())
+        keep = np.zeros(block.num_rows, bool)
+        keep[live] = True
+        keep = keep[doc]
+        return np.array(block.column(0).fill_null(0), np.int64), doc[keep], prints[keep]
+
     def regions(batches):
-        frequent = table()
+        weight = weights()
         for batch in batches:
-            for name in batch.column(0).to_pylist():
-                ids, _, _, _, doc, prints = scan(_load(root, name))
-                keys, count = np.unique(prints[_prefixes(doc, prints, frequent, len(ids))], return_counts=True)
-                keys = np.repeat(keys, np.minimum(count, 2))  # twice if two documents of the block share it
-                part = (keys & _U(parts - 1)).astype(np.int64)
-                order = np.argsort(part, kind="stable")
-                keys, part = keys[order], part[order]
-                at = np.searchsorted(part, np.arange(parts + 1))
-                rows = [p for p in range(parts) if at[p + 1] > at[p]] or [0]
-                yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int32()), pa.array([name] * len(rows)), pa.array([_pack48(keys[at[p]:at[p + 1]]) for p in rows], pa.binary()), pa.array([i == 0 for i in range(len(rows))])], names=["part", "block", "keys", "first"])
-
-    def meet(t: pa.Table) -> pa.Table:
-        names, first = t.column("block").to_pylist(), t.column("first").to_pylist()
-        keys = [_unpack48(k) for k in t.column("keys").to_pylist()]
-        every = np.sort(np.concatenate(keys))
-        twice = np.unique(every[1:][every[1:] == every[:-1]])
-        found = [np.unique(k[_in_sorted(k, twice)]) for k in keys]
-        use = [i for i, f in enumerate(found) if len(f) or first[i]]
-        return pa.table({"block": pa.array([names[i] for i in use], pa.string()), "keys": pa.array([_pack48(found[i]) for i in use], pa.binary())})
+            for name, pos in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                live = np.array(pos, np.int64)
+                ids, doc, prints = sets_of(name, live)
+                often = weight[_bit(prints)]
+                rank, n = _ranks(doc, prints, often, len(ids))
+                # a frequent shingle counts as shared without being sent
+                keys, count = np.unique(prints[(rank < _longer(n)) & (often == 0)] & KEY, return_counts=True)
+                yield pa.RecordBatch.from_pydict(_by_part(name, keys, count, live, parts))
+
+    def census(t: pa.Table) -> pa.Table:
+        """Counts of all shingles of documents that share one of their first."""
+        name, keys, _, live = _met(t)
+        ids, doc, prints = sets_of(name, live)
+        often = weights()[_bit(prints)]
+        rank, n = _ranks(doc, prints, often, len(ids))
+        hit = (rank < _longer(n)) & ((often > 0) | in_sorted(prints & KEY, keys))
+        live = np.unique(doc[hit])
+        keep = np.zeros(len(ids), bool)
+        keep[live] = True
+        keys, count = np.unique(prints[keep[doc] & (often == 0)] & KEY, return_counts=True)
+        return pa.table(_by_part(name, keys, count, live, parts))
 
     def enter(t: pa.Table) -> pa.Table:
-        """Rows: 0 an entry of a region, 1 a set, 2 a document."""
-        name = t.column("block")[0].as_py()
-        keys = np.sort(np.concatenate([_unpack48(k) for k in t.column("keys").to_pylist()]))
-        ids, known, n, key, doc, prints = scan(_load(root, name))
-        hit = np.flatnonzero(_prefixes(doc, prints, table(), len(ids)) & _in_sorted(prints, keys))
+        """Rows with a region: an entry; with shingles: a set."""
+        name, keys, count, live = _met(t)
+        ids, doc, prints = sets_of(name, live)
+        often = weights()[_bit(prints)].astype(np.int64)
+        found = in_sorted(prints & KEY, keys)
+        many = np.ones(len(doc), np.int64)
+        many[found] = count[np.searchsorted(keys, prints[found] & KEY)]
+        rank, n = _ranks(doc, prints, (often << 40) + many, len(ids))
+        hit = np.flatnonzero((rank < _longer(n)) & (found | (often > 0)))
         involved = np.unique(doc[hit])
         begin, end = np.searchsorted(doc, involved), np.searchsorted(doc, involved, "right")
-        sets = [_pack48(prints[a:b]) for a, b in zip(begin.tolist(), end.tolist())]
-        cells = [_cells(prints[a:b]) for a, b in zip(begin.tolist(), end.tolist())]
-        zeros = np.zeros(len(hit) + len(involved), np.int64)
-        columns = {
-            "kind": np.repeat([0, 1, 2], [len(hit), len(involved), len(ids)]).astype(np.int32),
-            "s": np.concatenate([prints[hit].astype(np.int64), np.zeros(len(involved), np.int64), key[0]]),
-            "s2": np.concatenate([zeros, key[1]]),
-            "n": np.concatenate([n[doc[hit]], n[involved], n]).astype(np.int64),
-        }
-        own = np.concatenate([ids[doc[hit]], ids[involved], ids])
-        valid = np.concatenate([np.ones(len(hit) + len(involved), bool), known])
-        padded = ([None] * len(hit) + x + [None] * len(ids) for x in (cells, sets))
-        return pa.table({**{k: pa.array(v) for k, v in columns.items()}, "id": pa.array(own, mask=~valid), **{k: pa.array(x, pa.binary()) for k, x in zip(("cells", "shingles"), padded)}})
-
-    step = stored.select("block").repartition(max(1, min(stored.count(), 100_000)), "block").mapInArrow(regions, "part int, block string, keys binary, first boolean")
-    step = step.groupBy("part").applyInArrow(meet, "block string, keys binary")
-    step = step.groupBy("block").applyInArrow(enter, "kind int, s long, s2 long, n long, id long, cells binary, shingles binary")
+        none = [None] * len(involved)
+        own = pa.array(np.concatenate([ids[doc[hit]], ids[involved]]))
+        sizes = pa.array(np.concatenate([n[hit], end - begin]))
+        keep = np.zeros(len(ids), bool)
+        keep[involved] = True
+        values = pa.array(prints[keep[doc]].view(np.int64))
+        offsets = np.concatenate([np.zeros(len(hit) + 1, np.int64), np.cumsum(end - begin)]).astype(np.int32)
+        sets = pa.ListArray.from_arrays(pa.array(offsets), values, mask=pa.array(np.arange(len(offsets) - 1) < len(hit)))
+        return pa.table({"region": pa.array(prints[hit].view(np.int64).tolist() + none, pa.int64()), "id": own, "n": sizes, "left": pa.array((n - rank)[hit].tolist() + none, pa.int64()), "shingles": sets})
+
+    step = names.repartition(max(1, min(names.count(), 100_000)), "block").mapInArrow(regions, _BY_PART)
+    step = step.groupBy("part").applyInArrow(_meet, _MET).groupBy("block").applyInArrow(census, _BY_PART)
+    step = step.groupBy("part").applyInArrow(_meet, _MET).groupBy("block").applyInArrow(enter, "region long, id long, n long, left long, shingles array<long>")
     step = scratch.table(step, "entered")
     scratch.drop("blocks")
     scratch.release()
-    members = step.where("kind = 2").select("s", "s2", "n", "id")
-    same = members.where("n > 0 AND id IS NOT NULL").groupBy("s", "s2", "n").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
-    same = scratch.table(same, "same")  # a row for each distinct set
-    sets = step.where("kind = 1").select("id", "n", "cells", "shingles")
-    # copies of a set in other blocks leave the regions; there are as many at most as documents that are copies
-    copies = sets.select("id").join(same.select(F.col("rep").alias("id")), "id", "left_anti").distinct()
-    copies = scratch.table(copies, "copies")
-    entries = step.where("kind = 0").select("s", "id", "n").join(F.broadcast(copies) if copies.count() <= BROADCAST_PAIRS else copies, "id", "left_anti")
-
-    def joined(pairs: DataFrame, column: str) -> DataFrame:
-        few = pairs.count() <= BROADCAST_PAIRS
-        left, right = (F.broadcast(x) if few else x for x in (pairs, pairs.select(F.col("b").alias("id")).distinct()))
-        x = sets.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col(column).alias("x")).join(left, "a")
-        y = sets.select("id", "n", column).join(right, "id", "left_semi").select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col(column).alias("y"))
-        return x.join(y, "b").select("a", "b", "na", "nb", "x", "y")
+    sets = step.where("region IS NULL").select("id", "n", "shingles")
+    entries = step.where("region IS NOT NULL").select("region", "id", "n", "left")
+    print_ = [F.bit_xor(F.xxhash64(F.lit(k), "id", "n")).alias(f"h{k}") for k in range(2)]
+    size = entries.groupBy("region").agg(F.count("*").alias("size"), F.max(_enough(F.col("left"), F.col("n") * 2)).alias("any"), *print_).where("size > 1 AND any")
+    size = size.select("region", "size", F.min("region").over(Window.partitionBy("size", "h0", "h1")).alias("lead"))  # regions of the same documents are one
+    entries = entries.join(size, "region").groupBy(F.col("lead").alias("region"), "id", "n", "size").agg(F.max("left").alias("left"))
+    entries = scratch.table(entries, "regions")  # a large region is a skewed key, which Spark splits
 
     def measured(pairs: DataFrame, name: str) -> DataFrame:
-        """(a, b, na, nb, shared) of pairs (a, b) that may be linked."""
-        pairs = scratch.table(pairs, f"pairs-{name}")
-        pairs = scratch.table(joined(pairs, "cells").mapInArrow(_bound, "a long, b long"), f"bound-{name}")
-        return scratch.table(joined(pairs, "shingles").mapInArrow(_measure, "a long, b long, na long, nb long, shared long"), f"measured-{name}")
-
-    linked = F.col("shared") * 100 >= (F.col("na") + F.col("nb") - F.col("shared")) * LINK
-    distance = 1 - F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared"))
-    links = same.where("false").select(F.col("rep").alias("a"), F.col("rep").alias("b"))
-    number, regions_of = 0, entries.select(F.col("s").alias("region"), "id", "n")
-    while True:
-        rank = F.pmod(F.xxhash64(F.lit(number), "id"), F.lit(1 << 40))
-        size = regions_of.groupBy("region").agg(F.min_by("id", rank).alias("least"), F.count("*").alias("size")).where("size > 1")
-        size = scratch.table(size, f"sizes-{number}")
-        placed = scratch.table(regions_of.join(size, "region"), f"placed-{number}")  # a large region is a skewed key, which Spark splits
-        if number == 0:
-            first = placed.count()
-            elected = F.col("id") == F.col("least")  # a shingle's region elects one
-        else:
-            elected = (F.col("id") == F.col("least")) | (rank * F.col("size") < PIVOTS << 40)
-        pivots = placed.where(elected).select("region", F.col("id").alias("pivot"), F.col("n").alias("np"))
-        star = placed.join(pivots, "region").where(F.col("id") != F.col("pivot"))
-        star = scratch.table(star.select("region", "id", "n", "pivot", "np"), f"stars-of-{number}")
-        scratch.release()
-        seen = measured(star.where(_alike("n", "np")).select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct(), f"star-{number}")
-        links = scratch.table(links.unionByName(seen.where(linked).select("a", "b")), f"links-{number}")
+        """(a, b, linked, d) of pairs (a, b)."""
+        pairs = scratch.table(pairs.distinct(), f"pairs-{name}")
+        ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+        own = scratch.table(sets.join(F.broadcast(ids) if pairs.count() <= BROADCAST_PAIRS else ids, "id", "left_semi"), f"sets-{name}")
+        few = 8 * (own.agg(F.sum("n")).first()[0] or 0) <= BROADCAST_BYTES
+        x, y = (own.select(F.col("id").alias(i), F.col("n").alias("n" + i), F.col("shingles").alias(c)) for i, c in ("ax", "by"))
+        both = pairs.join(F.broadcast(x) if few else x, "a").join(F.broadcast(y) if few else y, "b").select("a", "b", F.size(F.array_intersect("x", "y")).cast("long").alias("shared"), (F.col("na") + F.col("nb")).alias("all"))
+        union = F.col("all") - F.col("shared")
+        both = both.select("a", "b", (F.col("shared") * 100 >= union * LINK).alias("linked"), (1 - F.col("shared") / union).alias("d"))
+        out = scratch.table(both.groupBy("a", "b").agg(F.max("linked").alias("linked"), F.min("d").alias("d")), f"measured-{name}")
+        scratch.drop(f"pairs-{name}")
+        scratch.drop(f"sets-{name}")
+        return out
+
+    def sided(rows: DataFrame, side: str) -> DataFrame:
+        return rows.select("region", *[F.col(c).alias(c + side) for c in rows.columns if c != "region"])
+
+    fit = _enough(F.least("leftx", "lefty"), F.col("nx") + F.col("ny"))  # all that two sets share follows the first shingle they share
+    rows = entries.where(F.col("size") <= small).select("region", "id", "n", "left")
+    pairs = sided(rows, "x").join(sided(rows, "y"), "region").where("idx < idy").where(fit)
+    links = measured(pairs.select(F.col("idx").alias("a"), F.col("idy").alias("b")), "small").where("linked").select("a", "b")
+    rest = entries.where(F.col("size") > small).select("region", "id", "n", "left")
+    number = 0
+    while rest.limit(1).count():
+        share = F.pmod(F.xxhash64(F.lit(number), "id"), F.lit(1 << 40)) / (1 << 40)
+        size = rest.groupBy("region").agg(F.min_by("id", share).alias("least"), F.count("*").alias("size"))
+        here = rest.join(size, "region").withColumn("elected", (F.col("id") == F.col("least")) | (share * F.col("size") < PIVOTS << number))
+        here = scratch.table(here, f"here-{number}")
+        pivots = here.where("elected").select("region", F.col("id").alias("pivot")).distinct()
+        star = scratch.table(here.join(pivots, "region").where("id <> pivot").select("region", "id", "n", "left", "elected", "pivot"), f"star-{number}")
+        seen = measured(star.select(F.col("id").alias("a"), F.col("pivot").alias("b")), str(number))
+        links = scratch.table(links.unionByName(seen.where("linked").select("a", "b")), f"links-{number}")
         components = scratch.table(connected_components(links, scratch, f"stars-{number}"), f"components-{number}")
-        # pivots leave, as all their links here are known; regions of one shingle with the same pivot become one
-        rest = placed.where(~elected).join(star.groupBy("region").agg(F.min("pivot").alias("pivot")), "region")
-        region = F.col("pivot") if number == 0 else F.col("region")
-        rest = rest.select(region.alias("region"), "id", "n", "pivot").distinct().join(components, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        rest = scratch.table(rest, f"rest-{number}")
-        mixed = rest.groupBy("region", "component").agg(F.count("*").alias("c")).groupBy("region").agg(F.sum("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("q"), F.count("*").alias("parts")).where("parts > 1")
-        mixed = scratch.table(mixed, f"mixed-{number}")
-        left = mixed.agg(F.count("*"), F.sum((F.col("c") * F.col("c") - F.col("q")) / 2)).first()  # pairs of different components
-        if not left[0]:
-            break
-        rest = rest.join(mixed.select("region"), "region")
-        if left[1] <= PAIRS_PER_ENTRY * first:
-            d = seen.select(F.col("a").alias("id"), F.col("b").alias("pivot"), distance.alias("d"))
-            near = rest.join(d, ["id", "pivot"], "left").select("region", "id", "n", "component", "d")
-            x, y = (near.select("region", *[F.col(c).alias(c + k) for c in ("id", "n", "component", "d")]) for k in "xy")
-            window = F.when(F.col("dx").isNotNull() & F.col("dy").isNotNull(), F.abs(F.col("dx") - F.col("dy")) <= 1 - LINK / 100 + 1e-9).otherwise(F.lit(True))
-            pairs = x.join(y, "region").where("idx < idy AND componentx <> componenty").where(_alike("nx", "ny") & window)
-            seen = measured(pairs.select(F.col("idx").alias("a"), F.col("idy").alias("b")).distinct(), "rest")
-            links = scratch.table(links.unionByName(seen.where(linked).select("a", "b")), "links")
-            components = scratch.table(connected_components(links, scratch, "all"), "components")
-            break
-        regions_of = scratch.table(rest.select("region", "id", "n"), f"regions-{number}")
+        # pivots leave: all their links in the region are known
+        near = star.where("NOT elected").join(seen.select(F.col("a").alias("id"), F.col("b").alias("pivot"), "d"), ["id", "pivot"])
+        near = near.withColumn("best", F.min(F.struct("d", "pivot")).over(Window.partitionBy("region", "id", "n")))
+        home = F.col("pivot") == F.col("best.pivot")
+        far = home & (F.col("best.d") > NEAR)
+        inside = (home & ~far) | ((F.col("d") <= F.col("best.d") + 2 * R + 1e-9) & (F.col("best.d") <= NEAR + R + 1e-9))
+        # cells of one pivot are one, whatever regions they come from
+        cells = near.where(inside).groupBy(F.xxhash64("pivot").alias("region"), "id", "n").agg(F.max("left").alias("left"), F.min("d").alias("d"), F.max(home & ~far).alias("home"))
+        cells = cells.unionByName(near.where(far).select(F.xxhash64("region", F.lit("far")).alias("region"), "id", "n", "left", "d", F.lit(True).alias("home")))
+        least = cells.groupBy("region").agg(F.min("n").alias("least"))
+        partner = F.greatest("least", F.ceil(F.col("n") * LINK / 100))  # the smallest set that may be a partner
+        cells = cells.join(least, "region").where(_enough(F.col("left"), F.col("n") + partner)).join(components, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        cells = scratch.table(cells.drop("least"), f"cells-{number}")
+        parted = cells.groupBy("region", "component").agg(F.count("*").alias("c")).groupBy("region").agg(F.sum("c").alias("size"), F.max(F.struct("c", "component")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
+        few = F.col("size") - F.col("main.c") <= sparse
+        parted = scratch.table(parted.select("region", F.col("main.component").alias("main"), few.alias("few")), f"parted-{number}")
+        unsettled = cells.join(parted, "region")
+        rows = unsettled.where("few")
+        window = (F.abs(F.col("dx") - F.col("dy")) <= R + 1e-9) & (F.col("homex") | F.col("homey"))
+        pairs = sided(rows.where("component <> main"), "x").join(sided(rows, "y"), "region").where("componentx <> componenty AND (componenty = mainx OR idx < idy)")
+        seen = measured(pairs.where(fit & window).select(F.col("idx").alias("a"), F.col("idy").alias("b")), f"cells-{number}")
+        links = scratch.table(links.unionByName(seen.where("linked").select("a", "b")), f"all-links-{number}")
+        rest = scratch.table(unsettled.where("NOT few").select("region", "id", "n", "left"), f"rest-{number}")
+        for name in ("here", "star", "cells", "parted"):
+            scratch.drop(f"{name}-{number}")
         number += 1
-    group = same.join(components.dropDuplicates(["id"]), same.rep == components.id, "left").select("s", "s2", "n", F.coalesce("component", "rep").alias("component"))
-    out = members.join(scratch.table(group, "groups"), ["s", "s2", "n"], "left")
+    components = scratch.table(connected_components(links, scratch, "all-stars"), "components")
+    group = same.select("s", "s2", "n", F.col("lead.id").alias("id")).join(components, "id", "left").select("s", "s2", "n", F.coalesce("component", "id").alias("component"))
+    group = scratch.table(group, "groups")
+    scratch.drop("entered")
+    scratch.drop("regions")
+    out = members.join(group, ["s", "s2", "n"], "left")
     own = F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("component")).otherwise(F.col("id"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), own.alias("component_id"))
 

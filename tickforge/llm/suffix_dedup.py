@@ -25,11 +25,10 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .blocks import BLOCK_BYTES, CHUNK_BYTES, Powers, block_root, cut_blocks, in_sorted, load_block, mixed, pack48, save_block, text_bytes, unpack48
 from .scratch import Scratch
 
 LENGTH, GRAM = 50, 20
@@ -41,43 +40,20 @@ KEY = np.uint64((1 << 48) - 1)
 _U = np.uint64
 
 
-class _Powers:
-    """Powers of an odd base modulo 2**64 and of its inverse."""
+_GRAMS, _PREFIXES = Powers(0x9E3779B97F4A7C15), Powers(0xC2B2AE3D27D4EB4F)
 
-    def __init__(self, base: int):
-        self.base, self.n = base, 0
 
-    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if n > self.n:
-            self.n = max(n, CHUNK_BYTES + 4096)
-            self.up, self.down = (np.full(self.n, b, np.uint64) for b in (self.base, pow(self.base, -1, 1 << 64)))
-            for a in (self.up, self.down):
-                a[0] = 1
-                np.cumprod(a, out=a)
-        return self.up[:n], self.down[:n]
-
-
-_GRAMS, _PREFIXES = _Powers(0x9E3779B97F4A7C15), _Powers(0xC2B2AE3D27D4EB4F)
-
-
-def _mixed(h: np.ndarray) -> np.ndarray:
-    h ^= h >> _U(32)
-    h *= _U(0xD6E8FEB86659FD93)
-    h ^= h >> _U(32)
-    return h
-
-
-def _sums(data: np.ndarray, powers: _Powers) -> np.ndarray:
+def _sums(data: np.ndarray, powers: Powers) -> np.ndarray:
     out = np.zeros(len(data) + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + _U(1)) * powers.upto(len(data))[0], out=out[1:])
     return out
 
 
-def _window_hashes(data: np.ndarray, size: int, powers: _Powers) -> np.ndarray:
+def _window_hashes(data: np.ndarray, size: int, powers: Powers) -> np.ndarray:
     s = _sums(data, powers)
     h = s[size:] - s[:-size]
     h *= powers.upto(len(data))[1][:len(h)]
-    return _mixed(h)
+    return mixed(h)
 
 
 def _segments(bounds: np.ndarray):
@@ -130,7 +106,7 @@ def runs_of_strings(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, .
         at, count, seg = at[whole], count[whole], seg[whole]
         s = _sums(text, _PREFIXES)
         h = (s[at + count + LENGTH - 1] - s[at]) * _PREFIXES.upto(len(text))[1][at]
-        print_ = _mixed(h + count.astype(np.uint64) * _U(0x9FB21C651E98DF25))
+        print_ = mixed(h + count.astype(np.uint64) * _U(0x9FB21C651E98DF25))
         shift = np.array([a for _, a, _ in chunk]) - (ends - sizes)
         out.append((np.array([d for d, _, _ in chunk])[seg], at + shift[seg], count, least[at], print_))
     if not out:
@@ -138,78 +114,6 @@ def runs_of_strings(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, .
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
-def _text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes of all texts and where each starts; null as empty."""
-    column = column.cast(pa.large_string())
-    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset:column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
-    size = np.where(np.array(column.is_valid()), np.diff(offsets), 0) if len(column) else np.empty(0, np.int64)
-    raw = np.frombuffer(column.buffers()[2] or b"", np.uint8) if len(column) else np.empty(0, np.uint8)
-    if len(column) and int(size.sum()) == offsets[-1] - offsets[0]:
-        return raw[offsets[0]:offsets[-1]], offsets - offsets[0]
-    parts = [raw[a:a + n] for a, n in zip(offsets[:-1].tolist(), size.tolist())]
-    return np.concatenate([np.empty(0, np.uint8), *parts]), np.concatenate([[0], np.cumsum(size)])
-
-
-def _in_sorted(values: np.ndarray, table: np.ndarray) -> np.ndarray:
-    if not len(table):
-        return np.zeros(len(values), bool)
-    return table[np.minimum(np.searchsorted(table, values), len(table) - 1)] == values
-
-
-def _pack48(keys: np.ndarray) -> bytes:
-    return keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
-
-
-def _unpack48(data: bytes) -> np.ndarray:
-    raw = np.zeros((len(data) // 6, 8), np.uint8)
-    raw[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
-    return raw.reshape(-1).view("<u8")
-
-
-def _save(root: str, name: str, batch: pa.RecordBatch) -> None:
-    """One block, under its final name only when whole; a repeated task writes the same."""
-    import uuid
-
-    from pyarrow import fs
-
-    files, base = fs.FileSystem.from_uri(root)
-    files.create_dir(base, recursive=True)
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
-        w.write_batch(batch)
-    temporary = f"{base}/.{name}-{uuid.uuid4().hex}"
-    with files.open_output_stream(temporary) as f:
-        f.write(sink.getvalue())
-    files.move(temporary, f"{base}/{name}")
-
-
-def _load(root: str, name: str) -> pa.RecordBatch:
-    from pyarrow import fs
-
-    files, base = fs.FileSystem.from_uri(root)
-    with files.open_input_stream(f"{base}/{name}") as f:
-        return pa.ipc.open_stream(f.read()).read_next_batch()
-
-
-def _blocks(batches, text_at: int):
-    """Record batches cut at about BLOCK_BYTES of text, small ones joined."""
-    held, size = [], 0
-    for batch in batches:
-        lengths = pc.fill_null(pc.binary_length(batch.column(text_at)), 0)
-        a, total = 0, size
-        for k, n in enumerate(lengths.to_pylist()):
-            total += n
-            if total >= BLOCK_BYTES:
-                held.append(batch.slice(a, k + 1 - a))
-                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-                held, a, total = [], k + 1, 0
-        if a < batch.num_rows:
-            held.append(batch.slice(a))
-        size = total
-    if held:
-        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-
-
 def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, whole: bool = False) -> DataFrame:
     """Columns id_col (and those of keep), n_bytes, n_removed, n_spans and kept (binary) for every row of docs.
 
@@ -230,7 +134,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     text_at = len(columns)
 
     def scan(batch):
-        data, bounds = _text_bytes(batch.column(text_at))
+        data, bounds = text_bytes(batch.column(text_at))
         ids, known = batch.column(text_at + 1), np.array(batch.column(text_at + 1).is_valid(), dtype=bool)
         ids = np.array(ids.fill_null(0), np.int64)
         doc, place, count, gram, print_ = runs_of_strings(data, bounds)
@@ -240,32 +144,32 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     def store(batches):
         number = 0
         part_of = TaskContext.get().partitionId()
-        for block in _blocks(batches, text_at):
+        for block in cut_blocks(batches, text_at):
             gram = scan(block)[6]
             name = f"{part_of}-{number}-{hashlib.sha1(str((part_of, number, block.num_rows)).encode()).hexdigest()[:8]}"
             number += 1
-            _save(root, name, block)
+            save_block(root, name, block)
             keys = np.unique(gram)
             part = (keys & _U(parts - 1)).astype(np.int64)
             order = np.argsort(part, kind="stable")
             keys, part = keys[order], part[order]
             at = np.searchsorted(part, np.arange(parts + 1))
             rows = [p for p in range(parts) if at[p + 1] > at[p]] or [0]  # each block sends a row at least
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int32()), pa.array([name] * len(rows)), pa.array([_pack48(keys[at[p]:at[p + 1]]) for p in rows], pa.binary()), pa.array([i == 0 for i in range(len(rows))])], names=["part", "block", "keys", "first"])
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int32()), pa.array([name] * len(rows)), pa.array([pack48(keys[at[p]:at[p + 1]]) for p in rows], pa.binary()), pa.array([i == 0 for i in range(len(rows))])], names=["part", "block", "keys", "first"])
 
     def shared(table: pa.Table) -> pa.Table:
         names, first = table.column("block").to_pylist(), table.column("first").to_pylist()
-        keys = [_unpack48(k) for k in table.column("keys").to_pylist()]
+        keys = [unpack48(k) for k in table.column("keys").to_pylist()]
         every = np.sort(np.concatenate(keys))
         twice = np.unique(every[1:][every[1:] == every[:-1]])
-        found = [k[_in_sorted(k, twice)] for k in keys]
+        found = [k[in_sorted(k, twice)] for k in keys]
         use = [i for i, f in enumerate(found) if len(f) or first[i]]
-        return pa.table({"block": pa.array([names[i] for i in use], pa.string()), "keys": pa.array([_pack48(found[i]) for i in use], pa.binary())})
+        return pa.table({"block": pa.array([names[i] for i in use], pa.string()), "keys": pa.array([pack48(found[i]) for i in use], pa.binary())})
 
     def cut(table: pa.Table) -> pa.Table:
         name = table.column("block")[0].as_py()
-        keys = np.sort(np.concatenate([_unpack48(k) for k in table.column("keys").to_pylist()]))
-        data, _, ids, doc, place, count, gram, print_ = scan(_load(root, name))
+        keys = np.sort(np.concatenate([unpack48(k) for k in table.column("keys").to_pylist()]))
+        data, _, ids, doc, place, count, gram, print_ = scan(load_block(root, name))
         own = ids[doc] if len(doc) else np.empty(0, np.int64)
         order = np.argsort(gram, kind="stable")
         start = np.flatnonzero(np.append(True, np.diff(gram[order]) != 0)) if len(order) else np.empty(0, np.int64)
@@ -273,7 +177,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         if len(order):
             apart = np.minimum.reduceat(own[order], start) != np.maximum.reduceat(own[order], start)
             several[order] = np.repeat(apart, np.diff(np.append(start, len(order))))
-        use = np.flatnonzero(several | _in_sorted(gram, keys))
+        use = np.flatnonzero(several | in_sorted(gram, keys))
         own, place, count, gram, print_ = own[use], place[use], count[use], gram[use], print_[use]
         order = np.lexsort((place, own, print_))
         own, place, count, gram, print_ = own[order], place[order], count[order], gram[order], print_[order]
@@ -334,8 +238,8 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
 
     def remove(table: pa.Table) -> pa.Table:
         name = table.column("block")[0].as_py()
-        block = _load(root, name)
-        data, bounds = _text_bytes(block.column(text_at))
+        block = load_block(root, name)
+        data, bounds = text_bytes(block.column(text_at))
         rows = list(zip(table.column("kind").to_pylist(), table.column("places").to_pylist(), table.column("masks").to_pylist()))
         place = np.concatenate([np.empty(0, "<i8"), *[np.frombuffer(p, "<i8") for k, p, _ in rows if k == 1]])
         mask = np.concatenate([np.empty(0, "<u4"), *[np.frombuffer(m, "<u4") for k, _, m in rows if k == 1]])
@@ -343,7 +247,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         if alias and len(place):
             copy, lead = (np.concatenate(x) for x in zip(*alias))
             order = np.argsort(place)
-            hit = _in_sorted(lead, place[order])
+            hit = in_sorted(lead, place[order])
             place, mask = np.concatenate([place, copy[hit]]), np.concatenate([mask, mask[order][np.searchsorted(place[order], lead[hit])]])
         starts = np.concatenate([np.empty(0, np.int64), *[place[(mask >> b) & 1 == 1] + b for b in range(RUN)]]).astype(np.int64)
         change = np.bincount(starts, minlength=len(data) + 1) - np.bincount(starts + LENGTH, minlength=len(data) + 1)
