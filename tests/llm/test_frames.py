@@ -110,11 +110,9 @@ def brute_repeats(rows):
     return out
 
 
-@pytest.mark.parametrize("block, chunk", [(4 << 20, 1 << 18), (3000, 500)])
-def test_repeats_equal_brute_force(docs, monkeypatch, block, chunk):
-    monkeypatch.setattr(suffix_dedup, "BLOCK_BYTES", block)
-    monkeypatch.setattr(suffix_dedup, "CHUNK_BYTES", chunk)
-    got = suffix_dedup.remove_repeats(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256)).collect()
+@pytest.mark.parametrize("block, chunk", [(4 << 20, 1 << 18), (20_000, 1000), (3000, 500)])
+def test_repeats_equal_brute_force(docs, block, chunk):
+    got = suffix_dedup.remove_repeats(docs, block_bytes=block, chunk_bytes=chunk).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256)).collect()
     assert key(got) == key(brute_repeats(ROWS))
 
 

@@ -4,8 +4,8 @@ Jaccard distance d is a metric; two documents link at d <= R. The join goes from
 
 1. Equal sets become one document. The first pivots are sets of a single shingle: a document is nearer than 1
    to those of its own shingles only, and linked documents share one of the first n - ceil(0.8 n) + 1 shingles of
-   any common order, so a document is replicated to the regions of these. Documents that share none of them
-   with another one link with nothing and are left out. For the rest the order is made exact, rare shingles first
+   any common order (and k more of k more), so a document is replicated to the regions of these. Documents that
+   share fewer of them with others link with nothing and are left out. For the rest the order is made exact, rare shingles first
    (by the number of documents that have them), and a pair is compared only if enough shingles follow the one it meets
    at in both sets. Regions with the same members are one region.
 2. A region of up to SMALL documents is joined directly. A larger one elects document pivots, every member is
@@ -13,8 +13,9 @@ Jaccard distance d is a metric; two documents link at d <= R. The join goes from
    pivot p if it is nearer than NEAR, and as replicas to each other cell q with d(x, q) <= d(x, nearest) + 2 R: if y
    links with an x of cell q, d(y, q) <= d(y, nearest) + 2 R. Members far from all pivots make one more cell, which
    needs no replicas, as its pairs with nearer documents are found in the cells of these.
-3. A cell whose documents are in one component is done. Where few pairs of different components are left, those
-   within the triangle inequality's window, |d(x, p) - d(y, p)| <= R, are measured. Other cells are regions of the
+3. A cell whose documents are in one component is done. Where all but SPARSE documents are in one, these are taken
+   to the others in rows of their own, and compared where the triangle inequality's window, |d(x, p) - d(y, p)| <= R,
+   and the sizes let them link; only links come out. Other cells are regions of the
    next round, with twice as many pivots, so the number of rounds grows with the logarithm of a region.
 
 A link between two components is never skipped, so components are exact. Sets are compared by 64-bit fingerprints
@@ -45,6 +46,8 @@ SMALL, PIVOTS, NEAR = 24, 8, 0.6
 SPARSE = 256
 #: Ids of pairs up to this number, and sets of up to so many bytes, are broadcast.
 BROADCAST_PAIRS, BROADCAST_BYTES = 500_000, 16 << 20
+#: Bytes of sets in a row that is compared with a cell's documents, on average.
+PACKED_BYTES = 1 << 20
 KEY = np.uint64((1 << 48) - 1)
 _U = np.uint64
 _WORDS = Powers(0xA0761D6478BD642F)
@@ -123,9 +126,14 @@ def _ranks(doc: np.ndarray, prints: np.ndarray, weight: np.ndarray, docs: int) -
     return rank, n[doc]
 
 
-def _longer(n):
-    """Length of the prefix that a set needs against sets that aren't larger."""
-    return n - -(-LINK * n // 100) + 1
+def _prefix(n, several=0):
+    """Number of a set's first shingles, of which linked sets share one, and `several` more of as many more."""
+    return n - -(-LINK * n // 100) + 1 + several
+
+
+def _several(n):
+    """How many shared shingles more than one are asked of a longer prefix in the first pass."""
+    return n // 20
 
 
 def _set_keys(doc: np.ndarray, prints: np.ndarray, docs: int) -> tuple[np.ndarray, ...]:
@@ -150,14 +158,14 @@ def _firsts(s: np.ndarray, s2: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 
 def _by_part(name: str, keys: np.ndarray, count: np.ndarray, own: np.ndarray, parts: int) -> dict:
-    """Rows (part, block, keys, counts, own) of one block's sorted keys; own goes with one row, which each block has."""
+    """Rows (part, block, keys, counts up to 255, own) of one block's sorted keys; own goes with one row, which each block has."""
     part = (keys & _U(parts - 1)).astype(np.int64)
     order = np.argsort(part, kind="stable")
     keys, count, part = keys[order], count[order], part[order]
     at = np.searchsorted(part, np.arange(parts + 1))
     rows = [p for p in range(parts) if at[p + 1] > at[p]] or [0]
     return {"part": pa.array(rows, pa.int32()), "block": pa.array([name] * len(rows)), "keys": pa.array([pack48(keys[at[p]:at[p + 1]]) for p in rows], pa.binary()),
-            "counts": pa.array([count[at[p]:at[p + 1]].astype("<u4").tobytes() for p in rows], pa.binary()), "own": pa.array([own.astype("<i4").tobytes()] + [None] * (len(rows) - 1), pa.binary())}
+            "counts": pa.array([np.minimum(count[at[p]:at[p + 1]], 255).astype("u1").tobytes() for p in rows], pa.binary()), "own": pa.array([own.astype("<i4").tobytes()] + [None] * (len(rows) - 1), pa.binary())}
 
 
 _BY_PART = "part int, block string, keys binary, counts binary, own binary"
@@ -166,7 +174,7 @@ _BY_PART = "part int, block string, keys binary, counts binary, own binary"
 def _meet(t: pa.Table) -> pa.Table:
     """For each block of a part those of its keys that are there twice or more, with their total counts."""
     keys = [unpack48(k) for k in t.column("keys").to_pylist()]
-    count = np.concatenate([np.frombuffer(c, "<u4") for c in t.column("counts").to_pylist()]).astype(np.int64)
+    count = np.concatenate([np.frombuffer(c, "u1") for c in t.column("counts").to_pylist()]).astype(np.int64)
     every = np.concatenate(keys)
     order = np.argsort(every, kind="stable")
     start = np.flatnonzero(np.append(True, np.diff(every[order]) != 0)) if len(every) else np.empty(0, np.int64)
@@ -260,17 +268,18 @@ def link_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
                 often = weight[_bit(prints)]
                 rank, n = _ranks(doc, prints, often, len(ids))
                 # a frequent shingle counts as shared without being sent
-                keys, count = np.unique(prints[(rank < _longer(n)) & (often == 0)] & KEY, return_counts=True)
+                keys, count = np.unique(prints[(rank < _prefix(n, _several(n))) & (often == 0)] & KEY, return_counts=True)
                 yield pa.RecordBatch.from_pydict(_by_part(name, keys, count, live, parts))
 
     def census(t: pa.Table) -> pa.Table:
-        """Counts of all shingles of documents that share one of their first."""
+        """Counts of all shingles of documents that share enough of their first."""
         name, keys, _, live = _met(t)
         ids, doc, prints = sets_of(name, live)
         often = weights()[_bit(prints)]
         rank, n = _ranks(doc, prints, often, len(ids))
-        hit = (rank < _longer(n)) & ((often > 0) | in_sorted(prints & KEY, keys))
-        live = np.unique(doc[hit])
+        hit = (rank < _prefix(n, _several(n))) & ((often > 0) | in_sorted(prints & KEY, keys))
+        size = np.bincount(doc, minlength=len(ids))
+        live = np.flatnonzero((np.bincount(doc[hit], minlength=len(ids)) > _several(size)) & (size > 0))
         keep = np.zeros(len(ids), bool)
         keep[live] = True
         keys, count = np.unique(prints[keep[doc] & (often == 0)] & KEY, return_counts=True)
@@ -285,7 +294,7 @@ def link_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         many = np.ones(len(doc), np.int64)
         many[found] = count[np.searchsorted(keys, prints[found] & KEY)]
         rank, n = _ranks(doc, prints, (often << 40) + many, len(ids))
-        hit = np.flatnonzero((rank < _longer(n)) & (found | (often > 0)))
+        hit = np.flatnonzero((rank < _prefix(n)) & (found | (often > 0)))
         involved = np.unique(doc[hit])
         begin, end = np.searchsorted(doc, involved), np.searchsorted(doc, involved, "right")
         none = [None] * len(involved)
@@ -312,12 +321,16 @@ def link_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     entries = entries.join(size, "region").groupBy(F.col("lead").alias("region"), "id", "n", "size").agg(F.max("left").alias("left"))
     entries = scratch.table(entries, "regions")  # a large region is a skewed key, which Spark splits
 
+    def owned(ids: DataFrame, few: bool, name: str) -> tuple[DataFrame, bool]:
+        """Sets of some ids, and whether they may be broadcast."""
+        own = scratch.table(sets.join(F.broadcast(ids) if few else ids, "id", "left_semi"), f"sets-{name}")
+        return own, 8 * (own.agg(F.sum("n")).first()[0] or 0) <= BROADCAST_BYTES
+
     def measured(pairs: DataFrame, name: str) -> DataFrame:
         """(a, b, linked, d) of pairs (a, b)."""
         pairs = scratch.table(pairs.distinct(), f"pairs-{name}")
         ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-        own = scratch.table(sets.join(F.broadcast(ids) if pairs.count() <= BROADCAST_PAIRS else ids, "id", "left_semi"), f"sets-{name}")
-        few = 8 * (own.agg(F.sum("n")).first()[0] or 0) <= BROADCAST_BYTES
+        own, few = owned(ids, pairs.count() <= BROADCAST_PAIRS, name)
         x, y = (own.select(F.col("id").alias(i), F.col("n").alias("n" + i), F.col("shingles").alias(c)) for i, c in ("ax", "by"))
         both = pairs.join(F.broadcast(x) if few else x, "a").join(F.broadcast(y) if few else y, "b").select("a", "b", F.size(F.array_intersect("x", "y")).cast("long").alias("shared"), (F.col("na") + F.col("nb")).alias("all"))
         union = F.col("all") - F.col("shared")
@@ -327,6 +340,26 @@ def link_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         scratch.drop(f"sets-{name}")
         return out
 
+    def crossing(rows: DataFrame, name: str) -> DataFrame:
+        """Links (a, b) between documents outside a cell's main component and the cell's others."""
+        ids = rows.select("id").distinct()
+        own, few = owned(ids, ids.count() <= BROADCAST_PAIRS, f"cells-{name}")
+        own = own.select("id", "n", "shingles")
+        rows = rows.join(F.broadcast(own) if few else own, ["id", "n"])
+        apart = rows.where("component <> main")
+        chunks = apart.groupBy("region").agg(F.ceil(F.sum("n") * 8 / PACKED_BYTES).alias("chunks"))
+        packed = apart.join(chunks, "region").groupBy("region", F.pmod(F.xxhash64("id"), F.col("chunks"))).agg(F.collect_list(F.struct("id", "n", "left", "d", "home", "component", "shingles")).alias("others")).select("region", "others")
+
+        def linked(o):
+            window = (F.abs(F.col("d") - o["d"]) <= R + 1e-9) & (F.col("home") | o["home"])
+            fit = _enough(F.least(F.col("left"), o["left"]), F.col("n") + o["n"])
+            both = F.size(F.array_intersect(F.col("shingles"), o["shingles"]))
+            once = (o["component"] != F.col("component")) & ((F.col("component") == F.col("main")) | (o["id"] < F.col("id")))
+            return once & fit & window & (both * 100 >= (F.col("n") + o["n"] - both) * LINK)
+
+        out = rows.join(packed, "region").select(F.col("id").alias("a"), F.explode(F.transform(F.filter("others", linked), lambda o: o["id"])).alias("b"))
+        return out.distinct()
+
     def sided(rows: DataFrame, side: str) -> DataFrame:
         return rows.select("region", *[F.col(c).alias(c + side) for c in rows.columns if c != "region"])
 
@@ -364,10 +397,8 @@ def link_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         parted = scratch.table(parted.select("region", F.col("main.component").alias("main"), few.alias("few")), f"parted-{number}")
         unsettled = cells.join(parted, "region")
         rows = unsettled.where("few")
-        window = (F.abs(F.col("dx") - F.col("dy")) <= R + 1e-9) & (F.col("homex") | F.col("homey"))
-        pairs = sided(rows.where("component <> main"), "x").join(sided(rows, "y"), "region").where("componentx <> componenty AND (componenty = mainx OR idx < idy)")
-        seen = measured(pairs.where(fit & window).select(F.col("idx").alias("a"), F.col("idy").alias("b")), f"cells-{number}")
-        links = scratch.table(links.unionByName(seen.where("linked").select("a", "b")), f"all-links-{number}")
+        found = scratch.table(crossing(rows, str(number)), f"found-{number}")
+        links = scratch.table(links.unionByName(found), f"all-links-{number}")
         rest = scratch.table(unsettled.where("NOT few").select("region", "id", "n", "left"), f"rest-{number}")
         for name in ("here", "star", "cells", "parted"):
             scratch.drop(f"{name}-{number}")

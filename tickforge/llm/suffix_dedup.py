@@ -1,22 +1,21 @@
-"""Removal of passages that occur in an earlier document, by groups of equal 50-byte strings.
-
-Neither a suffix array nor lengths of longest previous factors are computed: only whether one reaches 50 bytes counts.
+"""Removal of passages that occur in an earlier document, by longest previous factors over a distributed suffix order.
 
 A byte goes if a 50-byte string that covers it also starts in a document with a smaller id: the suffix at that
-place has a previous factor of 50 bytes or more. Only suffixes that can have one are grouped. Each 50-byte
+place has a previous factor of 50 bytes or more. Only suffixes that can have one are put in order. Each 50-byte
 string names one of its 20-byte grams, that of the least hash (equal strings name equal grams), so:
 
 1. texts are stored in blocks in the shared folder, and the named grams of each block meet by hash;
 2. grams that two blocks share go back to their blocks, where runs of strings naming such a gram (or one that
-   two documents of the block share) are cut out; of runs equal in a block only the first is sent;
-3. the runs that share a gram meet, and their suffixes are sorted by a fingerprint of 50 bytes, not in lexicographic order. In runs of equal
-   50-byte prefixes, sorted by document, the previous smaller position of a suffix is the first of its run
-   (the next smaller doesn't exist), so its longest previous factor reaches 50 exactly if that document is
-   smaller;
+   two documents of the block share) are cut out; of runs equal in a block, byte by byte, only the first is sent;
+3. the runs that share a gram meet, and their suffixes are sorted by their bytes, down to 50 of them, and by
+   document. The common prefix of each two neighbours is measured. The search for a suffix's previous smaller
+   document goes back from it, and that for its next smaller one forward, as long as 50 bytes stay common: beyond
+   that a factor is too short to count. As equal suffixes are in the order of documents, there is no next smaller
+   one among them, and a suffix has a previous one if its document isn't the first of its equals;
 4. the places found go back to the blocks, where the bytes they cover are removed.
 
-Prefixes are compared by 64-bit fingerprints. Texts are never shuffled; what is shuffled are grams (6 bytes
-each) and the runs. A passage in a third of all documents is one entry per block, not per document.
+Hashes choose what meets; bytes alone decide what goes. Whole texts are never shuffled; what is shuffled are grams
+(6 bytes each) and the runs. A passage in a third of all documents is one entry per block, not per document.
 """
 
 from __future__ import annotations
@@ -32,10 +31,10 @@ from .blocks import BLOCK_BYTES, CHUNK_BYTES, Powers, block_root, cut_blocks, in
 from .scratch import Scratch
 
 LENGTH, GRAM = 50, 20
-#: Bytes of text in a block, bytes that are hashed together, and documents whose grams make one part.
-BLOCK_BYTES, CHUNK_BYTES, PART_DOCS, LEAST_PARTS = 4 << 20, 1 << 18, 20_000, 256
-#: Strings of a run, one bit of a mask each.
-RUN = 32
+#: Documents whose grams make one part, and the least number of parts.
+PART_DOCS, LEAST_PARTS = 20_000, 256
+#: Strings of a run, one bit of a mask each; suffixes that are sorted at once.
+RUN, SLICE = 32, 1 << 20
 KEY = np.uint64((1 << 48) - 1)
 _U = np.uint64
 
@@ -56,16 +55,16 @@ def _window_hashes(data: np.ndarray, size: int, powers: Powers) -> np.ndarray:
     return mixed(h)
 
 
-def _segments(bounds: np.ndarray):
+def _segments(bounds: np.ndarray, chunk_bytes: int):
     """Chunks of (document, start, end): whole texts, or overlapping parts of long ones, of LENGTH bytes at least."""
     chunk, held = [], 0
     for d in np.flatnonzero(np.diff(bounds) >= LENGTH).tolist():
         a, end = int(bounds[d]), int(bounds[d + 1])
         while end - a >= LENGTH:
-            b = min(end, a + CHUNK_BYTES)
+            b = min(end, a + chunk_bytes)
             chunk.append((d, a, b))
             held += b - a
-            if held >= CHUNK_BYTES:
+            if held >= chunk_bytes:
                 yield chunk
                 chunk, held = [], 0
             a = b - LENGTH + 1
@@ -73,10 +72,10 @@ def _segments(bounds: np.ndarray):
         yield chunk
 
 
-def runs_of_strings(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, ...]:
+def runs_of_strings(data: np.ndarray, bounds: np.ndarray, chunk_bytes: int = CHUNK_BYTES) -> tuple[np.ndarray, ...]:
     """Runs of consecutive 50-byte strings that name the same gram: document, place, number of strings, gram, fingerprint of the run's bytes."""
     out = []
-    for chunk in _segments(bounds):
+    for chunk in _segments(bounds, chunk_bytes):
         text = np.concatenate([data[a:b] for _, a, b in chunk]) if len(chunk) > 1 else data[chunk[0][1]:chunk[0][2]]
         sizes = np.array([b - a for _, a, b in chunk])
         ends = np.cumsum(sizes)
@@ -114,7 +113,43 @@ def runs_of_strings(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, .
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
-def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, whole: bool = False) -> DataFrame:
+def previous_factors(text: np.ndarray, place: np.ndarray, owner: np.ndarray, most: int = SLICE) -> np.ndarray:
+    """Whether the suffix at each place has a previous factor of LENGTH bytes or more: one in a document that stands before its owner.
+
+    More suffixes than most are sorted in ranges of their first bytes, one after the other.
+    """
+    out = np.zeros(len(place), bool)
+    start = (text[place].astype(np.int32) << 16) | (text[place + 1].astype(np.int32) << 8) | text[place + 2]
+    ranged = np.lexsort((owner, start)) if len(place) > most else np.argsort(owner, kind="stable")
+    bound = [0]
+    if len(place) > most:
+        new = np.flatnonzero(np.diff(start[ranged])) + 1
+        while len(place) - bound[-1] > most and len(new) and new[-1] > bound[-1]:
+            k = np.searchsorted(new, bound[-1] + most, "right")
+            bound.append(int(new[k - 1] if k and new[k - 1] > bound[-1] else new[k]))
+    for a, b in zip(bound, [*bound[1:], len(place)]):
+        by_owner = ranged[a:b]
+        strings = np.lib.stride_tricks.sliding_window_view(text, LENGTH)[place[by_owner]]
+        order = np.argsort(strings.view(f"S{LENGTH}").ravel(), kind="stable")  # suffixes by bytes, equal ones by owner
+        strings, owners = strings[order], owner[by_owner][order]
+        common = np.append(False, (strings[1:] == strings[:-1]).all(axis=1))  # LENGTH bytes in common with the neighbour before
+        first = np.maximum.accumulate(np.where(common, 0, np.arange(len(order))))
+        out[by_owner[order]] = owners > owners[first]
+    return out
+
+
+def _equal_bytes(data: np.ndarray, x: np.ndarray, y: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether the strings of these sizes at x and y are equal."""
+    out = np.zeros(len(x), bool)
+    for n in np.unique(size).tolist():
+        for part in np.array_split(np.flatnonzero(size == n), max(1, int((size == n).sum()) >> 14)):
+            views = np.lib.stride_tricks.sliding_window_view(data, n)
+            out[part] = (views[x[part]] == views[y[part]]).all(axis=1)
+    return out
+
+
+def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, whole: bool = False,
+                   block_bytes: int = BLOCK_BYTES, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """Columns id_col (and those of keep), n_bytes, n_removed, n_spans and kept (binary) for every row of docs.
 
     kept holds the remaining bytes; a cut may split a character, of which kept has no byte if whole is set. A null text counts as empty (0 bytes, nothing
@@ -123,8 +158,8 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     length are processed whole. An empty table gives no rows. Names in docs may clash with those used here.
     """
     spark = docs.sparkSession
-    root = Scratch(spark, "suffix_dedup").path("blocks")
-    root = root if "://" in root or root.startswith("file:") else "file://" + root
+    scratch = Scratch(spark, "suffix_dedup")
+    root = block_root(scratch)
     fields = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
     columns = [c for c in (keep or [id_col])]
     columns = columns if id_col in columns else [id_col, *columns]
@@ -137,18 +172,17 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         data, bounds = text_bytes(batch.column(text_at))
         ids, known = batch.column(text_at + 1), np.array(batch.column(text_at + 1).is_valid(), dtype=bool)
         ids = np.array(ids.fill_null(0), np.int64)
-        doc, place, count, gram, print_ = runs_of_strings(data, bounds)
+        doc, place, count, gram, print_ = runs_of_strings(data, bounds, chunk_bytes)
         live = known[doc] if len(doc) else np.empty(0, bool)
         return data, bounds, ids, doc[live], place[live], count[live], gram[live] & KEY, print_[live]
 
     def store(batches):
-        number = 0
-        part_of = TaskContext.get().partitionId()
-        for block in cut_blocks(batches, text_at):
-            gram = scan(block)[6]
-            name = f"{part_of}-{number}-{hashlib.sha1(str((part_of, number, block.num_rows)).encode()).hexdigest()[:8]}"
-            number += 1
-            save_block(root, name, block)
+        for block in cut_blocks(batches, text_at, block_bytes):
+            yield pa.RecordBatch.from_arrays([pa.array([save_block(root, block)])], names=["block"])
+
+    def grams(batches):
+        for name in (n for batch in batches for n in batch.column(0).to_pylist()):
+            gram = scan(load_block(root, name))[6]
             keys = np.unique(gram)
             part = (keys & _U(parts - 1)).astype(np.int64)
             order = np.argsort(part, kind="stable")
@@ -183,6 +217,9 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         own, place, count, gram, print_ = own[order], place[order], count[order], gram[order], print_[order]
         head = np.append(True, print_[1:] != print_[:-1]) if len(order) else np.empty(0, bool)
         lead = np.maximum.accumulate(np.where(head, np.arange(len(order)), 0)) if len(order) else np.empty(0, np.int64)
+        same = np.flatnonzero(~head)
+        other = same[~((count[same] == count[lead[same]]) & _equal_bytes(data, place[same], place[lead[same]], count[same] + LENGTH - 1))]
+        head[other], lead[other] = True, other
         later = own > own[lead] if len(order) else head
         every = ((1 << count[later].astype(np.uint64)) - 1).astype(np.uint64)
         alias = ~head & ~later
@@ -203,7 +240,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         kinds = [pa.int32(), pa.string(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
         return pa.table([pa.array(x, t) for x, t in zip(zip(*rows), kinds)], names=["part", "block", "kind", "owners", "places", "counts", "texts"])
 
-    def previous_factors(table: pa.Table) -> pa.Table:
+    def factors(table: pa.Table) -> pa.Table:
         rows = table.select(["block", "kind", "owners", "places", "counts", "texts"]).to_pylist()
         out = [(r["block"], r["kind"], r["places"], r["counts"]) for r in rows if r["kind"]]
         rows = [r for r in rows if not r["kind"]]
@@ -213,17 +250,8 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
             size = count + LENGTH - 1
             text = np.frombuffer(b"".join(r["texts"] for r in rows), np.uint8)
             begin, first = np.cumsum(size) - size, np.cumsum(count) - count
-            prefix = np.empty(int(count.sum()), np.uint64)
-            for a, b in _slices(size):
-                inside = _window_hashes(text[begin[a]:begin[b - 1] + size[b - 1]], LENGTH, _PREFIXES)
-                where = np.repeat(begin[a:b] - begin[a] - first[a:b], count[a:b]) + np.arange(first[a], first[b - 1] + count[b - 1])
-                prefix[first[a]:first[b - 1] + count[b - 1]] = inside[where]
-            whose = np.repeat(owner, count)
-            order = np.lexsort((whose, prefix))
-            head = np.append(True, np.diff(prefix[order]) != 0)
-            lead = np.maximum.accumulate(np.where(head, np.arange(len(order)), 0))
-            found = np.zeros(len(order), np.uint64)
-            found[order] = whose[order] > whose[order][lead]  # the previous smaller position is another document
+            place = np.repeat(begin - first, count) + np.arange(int(count.sum()))
+            found = previous_factors(text, place, np.repeat(owner, count)).astype(np.uint64)
             bit = np.arange(len(found)) - np.repeat(first, count)
             mask = np.bitwise_or.reduceat(found << bit.astype(np.uint64), first)
             at = 0
@@ -271,26 +299,15 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
             kept.append(raw[a:b] if not r else data[a:b][~gone[a:b]].tobytes())
         return pa.table([*block.columns[:text_at], pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.binary())], names=[*[f"c{i}" for i in range(text_at)], "n_bytes", "n_removed", "n_spans", "kept"])
 
-    step = inner.mapInArrow(store, "part int, block string, keys binary, first boolean")
+    stored = scratch.table(inner.mapInArrow(store, "block string"), "stored")  # blocks are written once, whatever is done with the result
+    step = stored.repartition(max(1, min(stored.count(), 100_000)), "block").mapInArrow(grams, "part int, block string, keys binary, first boolean")
     step = step.groupBy("part").applyInArrow(shared, "block string, keys binary")
     step = step.groupBy("block").applyInArrow(cut, "part int, block string, kind int, owners binary, places binary, counts binary, texts binary")
-    step = step.groupBy("part").applyInArrow(previous_factors, "block string, kind int, places binary, masks binary")
+    step = step.groupBy("part").applyInArrow(factors, "block string, kind int, places binary, masks binary")
     step = step.groupBy("block").applyInArrow(remove, ", ".join(f"c{i} {fields[c]}" for i, c in enumerate(columns)) + ", n_bytes long, n_removed long, n_spans long, kept binary")
     return step.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(columns)], "n_bytes", "n_removed", "n_spans", "kept")
 
 
-def _slices(size: np.ndarray):
-    """Ranges of entries of about CHUNK_BYTES."""
-    a, held = 0, 0
-    for k, n in enumerate(size.tolist()):
-        held += n
-        if held >= CHUNK_BYTES:
-            yield a, k + 1
-            a, held = k + 1, 0
-    if a < len(size):
-        yield a, len(size)
-
-
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents without the 50-byte strings of earlier ones."""
     out = remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
