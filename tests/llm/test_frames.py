@@ -70,8 +70,7 @@ def test_jaccard_equals_brute_force(docs):
     assert key(got) == key(brute_components(ROWS))
 
 
-def test_jaccard_recursion(docs, monkeypatch):
-    monkeypatch.setattr(jaccard_join, "BROADCAST_PAIRS", 0)
+def test_jaccard_recursion(docs):
     assert key(jaccard_join.link_components(docs, block_bytes=2000, small=2, sparse=0).collect()) == key(brute_components(ROWS))
 
 

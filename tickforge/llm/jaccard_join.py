@@ -44,8 +44,6 @@ OFTEN, TABLE_BITS, TABLE_KEYS = 2, 24, 1 << 18
 SMALL, PIVOTS, NEAR = 24, 8, 0.6
 #: Documents of a cell outside its largest component, up to which they are measured against the others.
 SPARSE = 256
-#: Ids of pairs up to this number, and sets of up to so many bytes, are broadcast.
-BROADCAST_PAIRS, BROADCAST_BYTES = 500_000, 16 << 20
 #: Bytes of sets in a row that is compared with a cell's documents, on average.
 PACKED_BYTES = 1 << 20
 KEY = np.uint64((1 << 48) - 1)
@@ -321,31 +319,18 @@ def link_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     entries = entries.join(size, "region").groupBy(F.col("lead").alias("region"), "id", "n", "size").agg(F.max("left").alias("left"))
     entries = scratch.table(entries, "regions")  # a large region is a skewed key, which Spark splits
 
-    def owned(ids: DataFrame, few: bool, name: str) -> tuple[DataFrame, bool]:
-        """Sets of some ids, and whether they may be broadcast."""
-        own = scratch.table(sets.join(F.broadcast(ids) if few else ids, "id", "left_semi"), f"sets-{name}")
-        return own, 8 * (own.agg(F.sum("n")).first()[0] or 0) <= BROADCAST_BYTES
-
-    def measured(pairs: DataFrame, name: str) -> DataFrame:
-        """(a, b, linked, d) of pairs (a, b)."""
-        pairs = scratch.table(pairs.distinct(), f"pairs-{name}")
-        ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-        own, few = owned(ids, pairs.count() <= BROADCAST_PAIRS, name)
-        x, y = (own.select(F.col("id").alias(i), F.col("n").alias("n" + i), F.col("shingles").alias(c)) for i, c in ("ax", "by"))
-        both = pairs.join(F.broadcast(x) if few else x, "a").join(F.broadcast(y) if few else y, "b").select("a", "b", F.size(F.array_intersect("x", "y")).cast("long").alias("shared"), (F.col("na") + F.col("nb")).alias("all"))
+    def measured(pairs: DataFrame, own: DataFrame, name: str) -> DataFrame:
+        """(a, b, linked, d) of pairs (a, b); sets are joined in one way at every size, as they soon outgrow a broadcast."""
+        x, y = (own.select(F.col("id").alias(i), F.col("n").alias("n" + i), F.col("shingles").alias(c)).hint("merge") for i, c in ("ax", "by"))
+        both = pairs.distinct().join(x, "a").join(y, "b")
+        both = both.select("a", "b", F.size(F.array_intersect("x", "y")).cast("long").alias("shared"), (F.col("na") + F.col("nb")).alias("all"))
         union = F.col("all") - F.col("shared")
         both = both.select("a", "b", (F.col("shared") * 100 >= union * LINK).alias("linked"), (1 - F.col("shared") / union).alias("d"))
-        out = scratch.table(both.groupBy("a", "b").agg(F.max("linked").alias("linked"), F.min("d").alias("d")), f"measured-{name}")
-        scratch.drop(f"pairs-{name}")
-        scratch.drop(f"sets-{name}")
-        return out
+        return scratch.table(both.groupBy("a", "b").agg(F.max("linked").alias("linked"), F.min("d").alias("d")), f"measured-{name}")
 
-    def crossing(rows: DataFrame, name: str) -> DataFrame:
+    def crossing(rows: DataFrame, own: DataFrame) -> DataFrame:
         """Links (a, b) between documents outside a cell's main component and the cell's others."""
-        ids = rows.select("id").distinct()
-        own, few = owned(ids, ids.count() <= BROADCAST_PAIRS, f"cells-{name}")
-        own = own.select("id", "n", "shingles")
-        rows = rows.join(F.broadcast(own) if few else own, ["id", "n"])
+        rows = rows.join(own.hint("merge"), ["id", "n"])
         apart = rows.where("component <> main")
         chunks = apart.groupBy("region").agg(F.ceil(F.sum("n") * 8 / PACKED_BYTES).alias("chunks"))
         packed = apart.join(chunks, "region").groupBy("region", F.pmod(F.xxhash64("id"), F.col("chunks"))).agg(F.collect_list(F.struct("id", "n", "left", "d", "home", "component", "shingles")).alias("others")).select("region", "others")
@@ -366,8 +351,9 @@ def link_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     fit = _enough(F.least("leftx", "lefty"), F.col("nx") + F.col("ny"))  # all that two sets share follows the first shingle they share
     rows = entries.where(F.col("size") <= small).select("region", "id", "n", "left")
     pairs = sided(rows, "x").join(sided(rows, "y"), "region").where("idx < idy").where(fit)
-    links = measured(pairs.select(F.col("idx").alias("a"), F.col("idy").alias("b")), "small").where("linked").select("a", "b")
+    links = measured(pairs.select(F.col("idx").alias("a"), F.col("idy").alias("b")), sets, "small").where("linked").select("a", "b")
     rest = entries.where(F.col("size") > small).select("region", "id", "n", "left")
+    own = scratch.table(sets.join(rest.select("id").distinct(), "id", "left_semi"), "own")  # sets of large regions
     number = 0
     while rest.limit(1).count():
         share = F.pmod(F.xxhash64(F.lit(number), "id"), F.lit(1 << 40)) / (1 << 40)
@@ -376,7 +362,7 @@ def link_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         here = scratch.table(here, f"here-{number}")
         pivots = here.where("elected").select("region", F.col("id").alias("pivot")).distinct()
         star = scratch.table(here.join(pivots, "region").where("id <> pivot").select("region", "id", "n", "left", "elected", "pivot"), f"star-{number}")
-        seen = measured(star.select(F.col("id").alias("a"), F.col("pivot").alias("b")), str(number))
+        seen = measured(star.select(F.col("id").alias("a"), F.col("pivot").alias("b")), own, str(number))
         links = scratch.table(links.unionByName(seen.where("linked").select("a", "b")), f"links-{number}")
         components = scratch.table(connected_components(links, scratch, f"stars-{number}"), f"components-{number}")
         # pivots leave: all their links in the region are known
@@ -397,7 +383,7 @@ def link_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         parted = scratch.table(parted.select("region", F.col("main.component").alias("main"), few.alias("few")), f"parted-{number}")
         unsettled = cells.join(parted, "region")
         rows = unsettled.where("few")
-        found = scratch.table(crossing(rows, str(number)), f"found-{number}")
+        found = scratch.table(crossing(rows, own), f"found-{number}")
         links = scratch.table(links.unionByName(found), f"all-links-{number}")
         rest = scratch.table(unsettled.where("NOT few").select("region", "id", "n", "left"), f"rest-{number}")
         for name in ("here", "star", "cells", "parted"):
