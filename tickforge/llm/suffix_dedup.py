@@ -155,13 +155,16 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     kept holds the remaining bytes; a cut may split a character, of which kept has no byte if whole is set. A null text counts as empty (0 bytes, nothing
     removed). A row with a null id neither loses bytes nor makes others lose any; rows of equal ids don't
     affect one another, and each row comes out once. Texts under 50 bytes stay whole; longer ones of any
-    length are processed whole. An empty table gives no rows. Names in docs may clash with those used here.
+    length are processed whole. An empty table gives no rows. Names in docs may clash with those
+    used here; a column of keep that has the name of one given out here is left out. Blocks are written once a call,
+    under names of their own for each attempt of a task, and stay in the shared folder for as long as the result may
+    be read.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "suffix_dedup")
     root = block_root(scratch)
     fields = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
-    columns = [c for c in (keep or [id_col])]
+    columns = [c for c in (keep or [id_col]) if c == id_col or c not in ("n_bytes", "n_removed", "n_spans", "kept")]
     columns = columns if id_col in columns else [id_col, *columns]
     id_at = columns.index(id_col)
     parts = 1 << max(LEAST_PARTS - 1, docs.count() // PART_DOCS).bit_length()
