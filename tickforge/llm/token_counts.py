@@ -6,16 +6,17 @@ its states waits for what follows an apostrophe, so its output may fall one char
 chunks, each chunk gives a map from every start state to an end state, the maps compose through a parallel
 prefix scan, and a second pass with the known start states gives the output. Token
 counts are not on its transitions: the merges of all new pre-tokens of a batch run side by
-side on a matrix of symbols, lowest rank first, and the counts are kept under a 64-bit hash of the pre-token.
+side on a matrix of symbols, lowest rank first, and the counts are kept under a 64-bit hash of the pre-token. A
+second, independent hash of 64 bits is compared before a count is used.
 
-Character classes are asked of the tokenizers library once per character and worker; everything else is
-compiled from the vocabulary file.
+Character classes are asked of the tokenizers library once per character and worker, and texts that aren't ASCII
+are normalized by it, as its Unicode tables are newer than Python's; everything else is compiled from the
+vocabulary file.
 """
 
 from __future__ import annotations
 
 import json
-import unicodedata
 
 import numpy as np
 import pyarrow as pa
@@ -84,16 +85,17 @@ def run_transducer(classes: np.ndarray) -> np.ndarray:
 
 
 class CountTable:
-    """64-bit hash -> small count; open addressing, emptied when half full."""
+    """64-bit hash, with a second one to compare -> small count; open addressing, emptied when half full."""
 
     def __init__(self, bits: int = TABLE_BITS):
         self.mask = np.uint64((1 << bits) - 1)
         self.keys = np.zeros(1 << bits, np.uint64)
         self.values = np.zeros(1 << bits, np.int32)
+        self.checks = np.zeros(1 << bits, np.uint64)
         self.used = 0
 
-    def get(self, keys: np.ndarray) -> np.ndarray:
-        """Counts; -1 where there is none."""
+    def get(self, keys: np.ndarray, checks: np.ndarray) -> np.ndarray:
+        """Counts; -1 where there is none, or one of another check."""
         slot = (keys & self.mask).astype(np.intp)
         held = self.keys[slot]
         out = np.where(held == keys, self.values[slot], -1)
@@ -104,10 +106,11 @@ class CountTable:
             hit = held == keys[left]
             out[left[hit]] = self.values[slot[left[hit]]]
             left = left[~hit & (held != 0)]
+        out[self.checks[slot] != checks] = -1
         return out
 
-    def put(self, keys: np.ndarray, values: np.ndarray) -> None:
-        """Add distinct keys that are not held."""
+    def put(self, keys: np.ndarray, checks: np.ndarray, values: np.ndarray) -> None:
+        """Add distinct keys; one that is held with another check is replaced."""
         if self.used + len(keys) > len(self.keys) // 2:
             self.keys[:] = 0
             self.used = 0
@@ -121,6 +124,7 @@ class CountTable:
             self.keys[slot[free]] = keys[free]
             won = self.keys[slot[left]] == keys[left]
             self.values[slot[left[won]]] = values[left[won]]
+            self.checks[slot[left[won]]] = checks[left[won]]
             left = left[~won]
             slot[left] = (slot[left] + 1) & int(self.mask)
 
@@ -136,7 +140,8 @@ class TokenCounter:
         kinds = [x["type"] for x in spec["normalizer"]["normalizers"]], [x["type"] for x in spec["pre_tokenizer"]["pretokenizers"]]
         if kinds != (["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"]) or spec["model"]["end_of_word_suffix"] != "</w>" or spec["model"]["ignore_merges"]:
             raise ValueError("another kind of tokenizer than is compiled here")
-        self.pre = Tokenizer.from_file(path).pre_tokenizer
+        library = Tokenizer.from_file(path)
+        self.pre, self.normalizer = library.pre_tokenizer, library.normalizer
         self.special = [x["content"] for x in spec["added_tokens"]]
         vocab = spec["model"]["vocab"]
         shown = self._byte_characters()
@@ -155,7 +160,7 @@ class TokenCounter:
         for c in "stmd":
             self.classes[ord(c)] = SINGLE
         self.table = CountTable()
-        self.base = np.uint64(0x9E3779B97F4A7C15)
+        self.bases = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
         self._powers(1 << 16)
 
     @staticmethod
@@ -166,13 +171,13 @@ class TokenCounter:
         return [chr(b) if b in own else chr(next(more)) for b in range(256)]
 
     def _powers(self, n: int) -> None:
-        inverse = pow(int(self.base), -1, 1 << 64)
-        self.power = np.full(n, self.base, np.uint64)
-        self.power[0] = 1
-        np.cumprod(self.power, out=self.power)
-        self.inverse = np.full(n, inverse, np.uint64)
-        self.inverse[0] = 1
-        np.cumprod(self.inverse, out=self.inverse)
+        self.powers = []
+        for base in self.bases:
+            pair = [np.full(n, b, np.uint64) for b in (base, pow(base, -1, 1 << 64))]
+            for p in pair:
+                p[0] = 1
+                np.cumprod(p, out=p)
+            self.powers.append(pair)
 
     def classify(self, points: np.ndarray) -> np.ndarray:
         out = self.classes[points]
@@ -190,14 +195,17 @@ class TokenCounter:
             out = self.classes[points]
         return out
 
-    @staticmethod
-    def normal(text: str) -> str:
-        """NFC, then lower case character by character."""
+    def normal(self, text: str) -> str:
+        """NFC, and lower case character by character; other than ASCII by the library, in parts cut before spaces, which nothing composes with."""
         if text.isascii():
             return text.lower()
-        if not unicodedata.is_normalized("NFC", text):
-            text = unicodedata.normalize("NFC", text)
-        return text.replace("Σ", "σ").lower()
+        out, at = [], 0
+        while at < len(text):
+            end = text.find(" ", at + STREAM_CHARS) if len(text) - at > STREAM_CHARS else -1
+            end = len(text) if end < 0 else end
+            out.append(self.normalizer.normalize_str(text[at:end]))
+            at = end
+        return "".join(out)
 
     def merge_counts(self, words: list[bytes]) -> np.ndarray:
         """Number of tokens of each pre-token."""
@@ -284,7 +292,7 @@ class TokenCounter:
         n = len(points)
         if n == 0:
             return np.zeros(len(starts), np.int64)
-        if n >= len(self.power):
+        if n >= len(self.powers[0][0]):
             self._powers(2 * n)
         classes = self.classify(points)
         found = run_transducer(classes)
@@ -294,21 +302,27 @@ class TokenCounter:
         is_first = first[breaks]
         ends = np.append(breaks[1:], n)[is_first]
         begins = breaks[is_first]
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum((points.astype(np.uint64) + np.uint64(1)) * self.power[:n], out=sums[1:])
-        h = (sums[ends] - sums[begins]) * self.inverse[begins]
-        h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-        h ^= (h >> np.uint64(29)) ^ (ends - begins).astype(np.uint64)
+        hashes, values = [], points.astype(np.uint64) + np.uint64(1)
+        for up, down in self.powers:
+            sums = np.zeros(n + 1, np.uint64)
+            np.cumsum(values * up[:n], out=sums[1:])
+            h = (sums[ends] - sums[begins]) * down[begins]
+            h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+            hashes.append(h ^ (h >> np.uint64(29)) ^ (ends - begins).astype(np.uint64))
+        h, check = hashes
         h[h == 0] = 1
-        counts = self.table.get(h)
+        counts = self.table.get(h, check)
         missing = np.flatnonzero(counts < 0)
         if len(missing):
             keys, where, back = np.unique(h[missing], return_index=True, return_inverse=True)
             at = missing[where]
-            words = [text[b:e].encode() for b, e in zip(begins[at].tolist(), ends[at].tolist())]
-            new = self.merge_counts(words)
+            words = lambda at: [text[b:e].encode() for b, e in zip(begins[at].tolist(), ends[at].tolist())]
+            new = self.merge_counts(words(at))
             counts[missing] = new[back]
-            self.table.put(keys, new)
+            other = missing[check[missing] != check[at][back]]
+            if len(other):
+                counts[other] = self.merge_counts(words(other))
+            self.table.put(keys, check[at], new)
         doc = np.searchsorted(starts, begins, "right") - 1
         return np.bincount(doc, counts, len(starts)).astype(np.int64)
 
