@@ -28,6 +28,8 @@ FILE_BYTES, SHARD_BYTES = 32 << 20, (256 << 10, 64 << 20)
 CELL_IDS = 256
 #: Cells up to this number are broadcast (12 bytes each); more are joined by a shuffle. The cell of rows without an id.
 BROADCAST_CELLS, NO_ID = 2_000_000, -(1 << 60)
+#: Cells of a range, more if there would be more ranges than RANGES.
+RANGE_CELLS, RANGES = 100_000, 10_000
 SALTS = 32
 DATE = "2024-01-01T00:00:00Z"
 NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # that of URLs, a fixed value
@@ -220,11 +222,18 @@ def write_warc(pages: DataFrame, root: str, least_bytes: int = 0, file_bytes: in
     spark = pages.sparkSession
     cell = F.floor(F.col("page_id") / CELL_IDS)
     sizes = pages.groupBy(cell.alias("cell")).agg(F.sum(F.coalesce(F.octet_length("html"), F.lit(0)).cast("long") + 512).alias("bytes"))
-    total = sizes.agg(F.sum("bytes")).first()[0] or 0
+    sizes.write.parquet(f"{root}/sizes")
+    sizes = spark.read.schema("cell long, bytes long").parquet(f"{root}/sizes")
+    total, cells = sizes.agg(F.coalesce(F.sum("bytes"), F.lit(0)), F.count("*")).first()
     target = min(max(total // 256, SHARD_BYTES[0]), SHARD_BYTES[1])
-    # One row for 256 ids, so the prefix sum in one task stays small beside the table.
-    before = F.coalesce(F.sum("bytes").over(Window.orderBy(F.col("cell").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    shards = sizes.select("cell", F.floor(before / F.lit(target)).cast("int").alias("shard"))
+    # prefix sums inside ranges of cells, and over the ranges, of which there are RANGES at most
+    ranges = max(1, min(cells // RANGE_CELLS, RANGES))
+    sizes.repartitionByRange(ranges, F.col("cell").asc_nulls_first()).withColumn("range", F.spark_partition_id()).write.parquet(f"{root}/ranges")
+    sizes = spark.read.schema("cell long, bytes long, range int").parquet(f"{root}/ranges")
+    up = lambda w: F.coalesce(F.sum("bytes").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.groupBy("range").agg(F.sum("bytes").alias("bytes")).select("range", up(Window.orderBy("range")).alias("start"))
+    before = F.col("start") + up(Window.partitionBy("range").orderBy(F.col("cell").asc_nulls_first()))
+    shards = sizes.join(F.broadcast(starts), "range").select("cell", F.floor(before / F.lit(target)).cast("int").alias("shard"))
     shards.select(F.coalesce("cell", F.lit(NO_ID)).alias("cell"), "shard").write.parquet(f"{root}/shards")
     shards = spark.read.schema("cell long, shard int").parquet(f"{root}/shards")
     shards = F.broadcast(shards) if shards.count() <= BROADCAST_CELLS else shards
