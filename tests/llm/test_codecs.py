@@ -21,17 +21,21 @@ def noise(seed, n=400):
 
 def test_pieces_equal_the_library():
     c = pieces.codec(pieces.model_path())
-    for t in TEXTS + noise(1):
-        ids, decoded = c.encode(t)
-        c.check(t, ids, decoded)
-    c.check_units()
+    texts = TEXTS + noise(1)
+    assert c.encode_batch(texts) == [c.by_library(t) for t in texts] and c.agrees
+
+
+def test_pieces_of_the_library_where_it_differs():
+    c = pieces.PieceCodec(pieces.model_path())
+    c.memo[" two"] = b"1 2 3"
+    assert c.encode_batch(["one two", "two"]) == [c.by_library("one two"), c.by_library("two")] and not c.agrees
 
 
 def test_memo_may_overflow(monkeypatch):
     monkeypatch.setattr(pieces, "MEMO_UNITS", 5)
     c = pieces.PieceCodec(pieces.model_path())
     for t in noise(2, 60):
-        c.check(t, *c.encode(t))
+        assert c.encode(t) == c.by_library(t)
 
 
 def test_token_counts_equal_the_library():
@@ -68,9 +72,36 @@ def test_table_that_fills_up():
 
     t = token_counts.CountTable(4)
     for k in range(1, 40):
-        keys = np.array([k * 16 + 1, k * 16 + 2], np.uint64)
-        t.put(keys[t.get(keys) < 0], np.array([k, k + 1])[t.get(keys) < 0])
-        assert t.get(keys).tolist() == [k, k + 1]
+        keys, checks = np.array([k * 16 + 1, k * 16 + 2], np.uint64), np.array([k, k + 1], np.uint64)
+        new = t.get(keys, checks) < 0
+        t.put(keys[new], checks[new], np.array([k, k + 1])[new])
+        assert t.get(keys, checks).tolist() == [k, k + 1]
+        assert t.get(keys, checks + np.uint64(1)).tolist() == [-1, -1]  # equal hashes of other words
+
+
+def test_words_of_one_hash(monkeypatch):
+    c = token_counts.TokenCounter(__import__("public_tokenizers").path("word_bpe_49k.json"))
+    want = c.count(["alpha beta-gamma incomprehensibilities", "beta alpha"]).tolist()
+    c.bases = c.bases[1], c.bases[1]
+    c._powers(1 << 16)
+    c.table = token_counts.CountTable()
+    monkeypatch.setattr(c.table, "get", lambda keys, checks: -np_ones(len(keys)))
+    assert c.count(["alpha beta-gamma incomprehensibilities", "beta alpha"]).tolist() == want
+
+
+def np_ones(n):
+    import numpy as np
+
+    return np.ones(n, np.int32)
+
+
+def test_token_counts_of_every_character():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    texts = [f"a{chr(p)}B {chr(p)}x" for p in range(1, 0x30000) if not 0xD800 <= p < 0xE000]
+    assert token_counts.counter().count(texts).tolist() == [len(e.ids) for e in t.encode_batch(texts, add_special_tokens=False)]
 
 
 PAYLOADS = [flac.text_payload(t) for t in [None, *TEXTS, "word " * 1000]] + [os.urandom(640), b"\0" * 6400, b"\0\xff" * 320, bytes(range(256)) * 20]

@@ -27,7 +27,7 @@ MAX_EDIT, GRAM, PART = 0.15, 12, (5, 4)
 #: Recall that the tests ask for at MAX_EDIT; walks, tables of each and coordinates of a table, which aren't derived from it.
 TARGET_RECALL, WALKS, TABLES, SAMPLED = 0.99, 3, 32, 2
 #: Bytes of items that are broadcast at once; larger benchmarks are handled in slices. Text bytes handled together.
-SLICE_BYTES, CHUNK_BYTES = 32 << 20, 1 << 19
+SLICE_BYTES, CHUNK_BYTES = 8 << 20, 1 << 19
 #: Bytes of items whose parts are looked up at once, and hits or cells that are; windows of a passage.
 PARTS_BYTES, MOST_CELLS, STARTS = 1 << 20, 1 << 23, 9
 SEED = 11
@@ -332,9 +332,11 @@ def find_leaks(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", tex
     distance is at most MAX_EDIT of the item's normalized length. Items of one normalized text are all reported;
     of overlapping passages of an item the nearest. Items under GRAM characters match exactly, as whole words.
     Null and empty texts hold nothing; rows with null or repeated ids are searched like others; no items or an
-    empty table give no rows; other columns are ignored.
+    empty table give no rows; other columns are ignored. Texts of any length are searched whole. Where both id
+    columns have one name, the item's is given out with item_ before it.
     """
     kind = docs.schema[id_col].dataType.simpleString()
+    item_name = item_col if item_col != id_col else f"item_{item_col}"
     out = None
     for bench in benchmark_slices(items, item_col=item_col, text_col=item_text_col):
         shared = docs.sparkSession.sparkContext.broadcast(bench)
@@ -345,15 +347,19 @@ def find_leaks(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", tex
                 if found:
                     row, item, start, end, distance, size = (list(x) for x in zip(*found))
                     like = [1 - d / max(n, 1) for d, n in zip(distance, size)]
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(item, pa.int64()), pa.array(start, pa.int64()), pa.array(end, pa.int64()), pa.array(distance, pa.int32()), pa.array(like)], names=[id_col, item_col, "start", "end", "distance", "similarity"])
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(item, pa.int64()), pa.array(start, pa.int64()), pa.array(end, pa.int64()), pa.array(distance, pa.int32()), pa.array(like)], names=[id_col, item_name, "start", "end", "distance", "similarity"])
 
-        part = docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, `{item_col}` long, start long, end long, distance int, similarity double")
+        part = docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, `{item_name}` long, start long, end long, distance int, similarity double")
         out = part if out is None else out.unionByName(part)
     return out
 
 
 def drop_leaks(docs: DataFrame, items: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """The rows of docs, all columns, whose text holds no passage of an item."""
+    """The rows of docs, all columns, whose text holds no passage of an item.
+
+    Null and empty texts hold nothing and stay; rows with null or repeated ids are judged like others; no items
+    leave all rows, an empty table stays empty, and names of columns don't matter.
+    """
     at = docs.columns.index(text_col)
     for bench in benchmark_slices(items, item_col=item_col, text_col=item_text_col):
         shared = docs.sparkSession.sparkContext.broadcast(bench)

@@ -161,14 +161,14 @@ def held_out(id_col) -> F.Column:
 def fit_quality(docs: DataFrame, labels: DataFrame, *, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text") -> QualityModel:
     """A model from at most FIT_ROWS labelled rows that aren't held out, the first by a hash of the id.
 
-    Labels that are null are no labels; of several labels of an id the smallest counts. Texts over
-    FIT_TEXT_BYTES and null ids take no part in the fit, but are scored. A quarter of the rows, by CRC-32 of
+    Labels that are null are no labels; of several labels of an id the smallest counts, of several texts the first
+    in order. Texts over FIT_TEXT_BYTES and null ids take no part in the fit, but are scored. A quarter of the rows, by CRC-32 of
     the id, sets the temperature.
     """
     key = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where("id IS NOT NULL AND label IN (0, 1)").where(~held_out(F.col("id")))
     key = key.groupBy("id").agg(F.min("label").alias("label")).orderBy(F.xxhash64(F.lit(SEED), "id"), "id").limit(FIT_ROWS)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.octet_length("text") <= FIT_TEXT_BYTES)
-    rows = rows.join(F.broadcast(key), "id").select("id", "text", "label").limit(2 * FIT_ROWS)  # the broadcast has FIT_ROWS rows at most
+    rows = rows.join(F.broadcast(key), "id").groupBy("id").agg(F.min("text").alias("text"), F.min("label").alias("label"))  # FIT_ROWS rows at most
     found = rows.toPandas().sort_values(["id", "text"])
     tune = [zlib.crc32(str(i).encode()) % 4 == 3 for i in found["id"]]
     return QualityModel(found["text"].tolist(), found["label"].tolist(), tune)
@@ -178,10 +178,11 @@ def score_quality(docs: DataFrame, model: QualityModel, *, id_col: str = "doc_id
     """Columns id_col (and those of keep), held_out, score and predicted for every row of docs.
 
     A null text counts as empty and gets the score of an empty text. Rows with null or repeated ids are scored
-    like others (a null id is not held out); an empty table gives no rows.
+    like others (a null id is not held out); an empty table gives no rows. Texts of any length are scored whole. A
+    column of keep that has the name of one given out here is left out.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by VOCABULARY and DIMENSIONS
-    columns = [id_col, *[c for c in keep or [] if c != id_col]]
+    columns = [id_col, *[c for c in keep or [] if c not in (id_col, "held_out", "score", "predicted")]]
     fields = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
     inner = docs.select(*[F.col(f"`{c}`") for c in columns], F.col(text_col).alias("__text"))
 
