@@ -5,6 +5,7 @@ import random
 import zlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from tickforge.llm import pieces
 
@@ -43,6 +44,14 @@ def test_pipeline_keeps_what_it_should(spark, tmp_path):
     assert [name for name, _ in corpus_pipeline.STAGES][0] == "quality classifier" and corpus_pipeline.ORACLE_SQL is None
 
 
+def test_rows_of_one_id_are_one_document(spark):
+    text = " ".join(f"word{k}" for k in range(40))
+    rows = [(1, text, "en", "s", 9), (1, text, "en", "s", 9), (2, text + " more", "en", "s", 9), (3, "b other words in this text here", "en", "s", 1), (3, "a first words of another text there", "en", "s", 1), (None, text, "en", "s", 1), (None, text, "en", "s", 1), (4, None, "en", "s", 0), (4, None, "en", "s", 0)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumn("rows", F.lit(1))
+    got = sorted(((r.doc_id, (r.text or "")[:1]) for r in corpus_pipeline.near_duplicate_stage(spark, frame, "").collect()), key=repr)
+    assert got == [(1, "w"), (3, "a"), (4, ""), (None, "w"), (None, "w")]
+
+
 def test_passages_cut_whole_characters_only(spark):
     passage = "this sentence of more than fifty bytes is in several of the documents here"
     docs = [(1, "one é" + passage + "Ʃ 1"), (2, "mojibake \uFFFD two ũ" + passage + "Ƹ \uFFFD 2"), (3, "three \uFFFD"), (4, "ũ" + passage + "Ƹ"), (5, None)]
