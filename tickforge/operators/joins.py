@@ -5,22 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-MICROS_DAY = 86_400_000_000
-BROADCAST_ROWS = 100_000
-
 
 def asof(probes: DataFrame, quotes: DataFrame, values: list[str], *, at: str = "at", time: str = "timestamp", key: str = "symbol", tie: str = "seq", forward: bool = True) -> DataFrame:
     """Each probe with the first quote at or after it (or the last at or before it); found is the quote's time, null without one.
 
-    A union sorted once by (key, time) and a running first or last value: no range join. Of quotes at one time
-    the one of the least tie counts forwards, that of the largest backwards.
+    A union sorted by (key, day, time) and a running first or last value, and the edge quote of each day carried
+    over to the days beyond it: no range join, and no task holds more than a day of a key. Of quotes at one time the
+    one of the least tie counts forwards, that of the largest backwards.
     """
     row = F.struct(F.col(time).alias("found"), *[F.col(v) for v in values])
     q = quotes.select(F.col(key).alias("__k"), F.col(time).alias("__t"), F.col(tie).alias("__s"), row.alias("__q"), F.lit(None).cast(probes.select(F.struct("*")).schema[0].dataType).alias("__p"))
     p = probes.select(F.col(key).alias("__k"), F.col(at).alias("__t"), F.lit(None).cast("long").alias("__s"), F.lit(None).cast(q.schema["__q"].dataType).alias("__q"), F.struct(*probes.columns).alias("__p"))
     order = [F.col("__t").desc(), F.col("__s").desc_nulls_last()] if forward else [F.col("__t").asc(), F.col("__s").asc_nulls_last()]
-    w = Window.partitionBy("__k").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    out = q.unionByName(p).withColumn("__q", F.last("__q", ignorenulls=True).over(w)).where("__p IS NOT NULL")
+    both = q.unionByName(p).withColumn("__d", F.to_date("__t"))
+    w = Window.partitionBy("__k", "__d").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    place = F.when(F.col("__q").isNotNull(), F.struct("__t", "__s"))
+    days = both.groupBy("__k", "__d").agg((F.min_by if forward else F.max_by)("__q", place).alias("__e"))
+    beyond = Window.partitionBy("__k").orderBy(F.desc("__d") if forward else F.asc("__d")).rowsBetween(Window.unboundedPreceding, -1)  # a row a day
+    days = days.select("__k", "__d", F.last("__e", ignorenulls=True).over(beyond).alias("__e"))
+    out = both.withColumn("__q", F.last("__q", ignorenulls=True).over(w)).where("__p IS NOT NULL")
+    out = out.join(days, ["__k", "__d"], "left").withColumn("__q", F.coalesce("__q", "__e"))
     return out.select("__p.*", F.col("__q.found").alias("found"), *[F.col(f"__q.{v}").alias(v) for v in values])
 
 
@@ -30,11 +34,11 @@ def with_offsets(trades: DataFrame, time: str, seconds: list[int]) -> DataFrame:
     return x.withColumn("at", F.col(time) + F.expr("make_dt_interval(0, 0, 0, offset)"))
 
 
-def interval_join(points: DataFrame, spans: DataFrame, time: str, start: str, end: str, bin_seconds: int = 3600) -> DataFrame:
-    """Pairs of a point and a span that holds it (ends included), joined by equal bins of time: a span goes to every bin it touches."""
+def interval_join(points: DataFrame, spans: DataFrame, time: str, start: str, end: str, bin_seconds: int = 3600, keys: list[str] | None = None) -> DataFrame:
+    """Pairs of a point and a span that holds it (ends included), joined by equal keys and bins of time: a span goes to every bin it touches."""
     bins = lambda c: F.floor(F.unix_micros(F.col(c).cast("timestamp")) / F.lit(bin_seconds * 1_000_000))
     s = spans.withColumn("__bin", F.explode(F.sequence(bins(start), bins(end))))
-    return points.withColumn("__bin", bins(time)).join(s, "__bin").where(F.col(time).between(F.col(start), F.col(end))).drop("__bin")
+    return points.withColumn("__bin", bins(time)).join(s, [*(keys or []), "__bin"]).where(F.col(time).between(F.col(start), F.col(end))).drop("__bin")
 
 
 def event_context(points: DataFrame, events: DataFrame) -> DataFrame:
@@ -42,7 +46,8 @@ def event_context(points: DataFrame, events: DataFrame) -> DataFrame:
 
     points: symbol, timestamp and a key point_id; events as macro_events gives them, symbol * for all.
     """
-    hit = interval_join(points, events.withColumnRenamed("symbol", "event_symbol"), "timestamp", "pre_from", "post_to").where("event_symbol = symbol OR event_symbol = '*'")
+    hit = interval_join(points, events.where("symbol <> '*'"), "timestamp", "pre_from", "post_to", keys=["symbol"])
+    hit = hit.unionByName(interval_join(points, events.where("symbol = '*'").drop("symbol"), "timestamp", "pre_from", "post_to"))
     minutes = (F.unix_micros(F.col("event_time").cast("timestamp")) - F.unix_micros(F.col("timestamp").cast("timestamp"))) / 60e6
     state = F.when(F.col("timestamp") < F.col("event_time"), "pre_event").when(F.col("timestamp") <= F.col("release_to"), "release_window").otherwise("post_event")
     hit = hit.withColumns({"m": minutes, "state": state})
@@ -54,10 +59,8 @@ def event_context(points: DataFrame, events: DataFrame) -> DataFrame:
 
 
 def wildcard_join(signals: DataFrame, edges: DataFrame, equal: list[str], wild: list[str]) -> DataFrame:
-    """Equal keys must agree, a null wild key of an edge agrees with all. Edges are few: broadcast up to BROADCAST_ROWS."""
+    """Equal keys must agree, a null wild key of an edge agrees with all. Spark broadcasts the edges if their size allows it."""
     e = edges.select(*[F.col(c).alias(f"e_{c}") if c in wild else F.col(c) for c in edges.columns])
-    if e.count() <= BROADCAST_ROWS:
-        e = F.broadcast(e)
     out = signals.join(e, equal)
     for c in wild:
         out = out.where(F.col(f"e_{c}").isNull() | (F.col(f"e_{c}") == F.col(c)))
@@ -67,7 +70,7 @@ def wildcard_join(signals: DataFrame, edges: DataFrame, equal: list[str], wild:
 def limit_fills(orders: DataFrame, quotes: DataFrame, timeout_seconds: int) -> DataFrame:
     """The first quote within the timeout that trades through the limit with enough size. orders: trade_id, symbol, at, side, limit, contracts."""
     o = orders.withColumn("until", F.col("at") + F.expr(f"INTERVAL {timeout_seconds} SECONDS"))
-    hit = interval_join(quotes.withColumnRenamed("symbol", "q_symbol"), o, "timestamp", "at", "until", max(60, timeout_seconds)).where("q_symbol = symbol")
+    hit = interval_join(quotes, o, "timestamp", "at", "until", max(60, timeout_seconds), ["symbol"])
     hit = hit.where("(side = 'long' AND ask <= limit AND ask_size >= contracts) OR (side = 'short' AND bid >= limit AND bid_size >= contracts)")
     first = hit.groupBy("trade_id").agg(F.min(F.struct("timestamp", "seq", F.expr("CASE WHEN side = 'long' THEN ask ELSE bid END").alias("price"))).alias("f"))
     return orders.join(first, "trade_id", "left").select(*orders.columns, F.col("f.timestamp").alias("fill_time"), F.col("f.price").alias("fill_price"))
@@ -82,16 +85,27 @@ def forward_fill(series: DataFrame, group: str, time: str, value: str, names: li
     days = at.groupBy("__day").agg(*[F.max_by(F.col(f"`{n}`"), F.when(F.col(f"`{n}`").isNotNull(), F.col(time))).alias(f"__l{i}") for i, n in enumerate(names)])
     before = Window.orderBy("__day").rowsBetween(Window.unboundedPreceding, -1)  # a row a day
     days = days.select("__day", *[F.last(f"__l{i}", ignorenulls=True).over(before).alias(f"__p{i}") for i in range(len(names))])
-    out = at.join(F.broadcast(days), "__day")
+    out = at.join(days, "__day")
     return out.select(time, *[F.coalesce(F.last(F.col(f"`{n}`"), ignorenulls=True).over(inner), F.col(f"__p{i}"), F.lit(0.0)).alias(n) for i, n in enumerate(names)])
 
 
 def jaccard_pairs(rows: DataFrame, item: str, token: str, least: float) -> DataFrame:
-    """Pairs of items by the share of tokens that they have in common, through equal tokens only."""
+    """Pairs of items by the share of tokens that they have in common.
+
+    Only the first tokens of each item meet, the rare ones first: as many as a pair of that share can't do without.
+    Pairs whose sizes or places rule the share out are left before their tokens are compared.
+    """
     t = rows.select(F.col(item).alias("i"), F.col(token).alias("t")).distinct()
-    n = t.groupBy("i").agg(F.count("*").alias("n"))
-    p = t.select(F.col("i").alias("a"), "t").join(t.select(F.col("i").alias("b"), "t"), "t").where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared"))
-    p = p.join(n.select(F.col("i").alias("a"), F.col("n").alias("na")), "a").join(n.select(F.col("i").alias("b"), F.col("n").alias("nb")), "b")
+    sets = t.groupBy("i").agg(F.collect_list("t").alias("tokens")).withColumn("n", F.size("tokens"))
+    df = t.groupBy("t").agg(F.count("*").alias("df"))
+    order = Window.partitionBy("i").orderBy("df", "t")
+    p = t.join(df, "t").withColumns({"k": F.row_number().over(order), "n": F.count("*").over(Window.partitionBy("i"))})
+    p = p.where(F.col("k") <= F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1)
+    side = lambda c: p.select(F.col("i").alias(c), "t", F.col("k").alias(f"k{c}"), F.col("n").alias(f"n{c}"))
+    rest = F.least(F.col("na") - F.col("ka"), F.col("nb") - F.col("kb")) + 1
+    p = side("a").join(side("b"), "t").where("a < b").where(rest * (1 + least) >= (F.col("na") + F.col("nb")) * least - 1e-9).select("a", "b").distinct()
+    p = p.join(sets.select(F.col("i").alias("a"), F.col("tokens").alias("x"), F.col("n").alias("na")), "a").join(sets.select(F.col("i").alias("b"), F.col("tokens").alias("y"), F.col("n").alias("nb")), "b")
+    p = p.select("a", "b", F.size(F.array_intersect("x", "y")).cast("long").alias("shared"), "na", "nb")
     return p.withColumn("jaccard", F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared"))).where(F.col("jaccard") >= least)
 
 

@@ -18,16 +18,16 @@ def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def macro_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every 400th event: 30 minutes before, 10 of release and 45 after it; some concern all symbols."""
-    e = table(spark, sf_dir, "events").where("event_id % 400 = 0")
-    return e.selectExpr("event_id", "ts AS event_time", "cast(user_id % 3 AS int) AS importance", "CASE WHEN event_id % 800 = 0 THEN '*' ELSE event_type END AS symbol",
-                        "ts - INTERVAL 30 MINUTES AS pre_from", "ts + INTERVAL 10 MINUTES AS release_to", "ts + INTERVAL 55 MINUTES AS post_to")
+    """A calendar with an event for each supplier: 30 minutes before, 10 of release and 45 after it; some concern all symbols."""
+    e = table(spark, sf_dir, "supplier").selectExpr("s_suppkey AS event_id", "TIMESTAMP_NTZ '2024-01-01 00:00:00' + make_dt_interval(0, 0, cast(s_suppkey * 43 % 43200 AS int)) AS event_time", "cast(s_nationkey % 3 AS int) AS importance",
+                                                    "element_at(array('click', 'error', 'purchase', 'signup', 'view', '*'), cast(s_suppkey % 6 + 1 AS int)) AS symbol")
+    return e.selectExpr("*", "event_time - INTERVAL 30 MINUTES AS pre_from", "event_time + INTERVAL 10 MINUTES AS release_to", "event_time + INTERVAL 55 MINUTES AS post_to")
 
 
 def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One trade per 20th event, held for an hour."""
-    e = table(spark, sf_dir, "events").where("event_id % 20 = 0")
-    return e.selectExpr("event_id AS trade_id", "event_type AS symbol", "ts AS entry_time", "ts + INTERVAL 60 MINUTES AS exit_time", "CASE WHEN event_id % 2 = 0 AND event_id % 40 = 0 THEN 'long' ELSE 'short' END AS side", "cast(1 + user_id % 3 AS int) AS contracts")
+    """A trade for each event, held for an hour."""
+    e = table(spark, sf_dir, "events")
+    return e.selectExpr("event_id AS trade_id", "event_type AS symbol", "ts AS entry_time", "ts + INTERVAL 60 MINUTES AS exit_time", "CASE WHEN event_id % 2 = 0 THEN 'long' ELSE 'short' END AS side", "cast(1 + user_id % 3 AS int) AS contracts")
 
 
 def order_pnl(spark: SparkSession, sf_dir: str) -> DataFrame:
