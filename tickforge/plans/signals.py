@@ -74,14 +74,87 @@ def _scan_query(letter: str) -> None:
     families = C.SETS[letter]
     name = f"scan_set_{letter}"
     QUERIES[name] = lambda spark, sf: C.scan(frame(spark, sf), families).select("symbol", "timestamp", "scan_type", "direction", "session_bucket", "trend_bin", "volume_bin", "range_bin")
-    ORACLE[name] = f"WITH {D.features()}, {_RF}, s AS ({_scan_sql(families)}) SELECT symbol, timestamp, scan_type, direction, session_bucket, trend_bin, volume_bin, range_bin FROM s"
-
-
+    ORACLE[name] = f"""WITH {D.features()}, {_RF}, {_SIDED}, s AS ({_MIRRORED[letter]})
+SELECT symbol, timestamp, scan_type, d AS direction, session_bucket, trend_bin, volume_bin, range_bin FROM s"""
+
+
+#: The catalogues once more, written by hand over columns that are mirrored by the side d.
+_SIDED = """m AS (SELECT r.*, d, trend_bin * d AS t, ret1 * d AS r1, ret3 * d AS r3, ret5 * d AS r5, ret15 * d AS r15, z20 * d AS y, z50 * d AS z, body_to_range * d AS b, CASE d WHEN 1 THEN close_location ELSE round(1 - close_location, 9) END AS l,
+  CASE d WHEN 1 THEN rsi14 ELSE round(100 - rsi14, 9) END AS rsi, CASE d WHEN 1 THEN stoch20 ELSE round(1 - stoch20, 9) END AS st, CASE d WHEN 1 THEN high20_prev ELSE -low20_prev END AS top20, CASE d WHEN 1 THEN low20_prev ELSE -high20_prev END AS bot20,
+  CASE d WHEN 1 THEN high60_prev ELSE -low60_prev END AS top60, CASE d WHEN 1 THEN opening_high_prev ELSE -opening_low_prev END AS orx, CASE d WHEN 1 THEN prior_day_high ELSE -prior_day_low END AS pdh, CASE d WHEN 1 THEN prior_day_low ELSE -prior_day_high END AS pdl,
+  CASE d WHEN 1 THEN session_low_prev ELSE -session_high_prev END AS sl, CASE d WHEN 1 THEN low ELSE -high END AS lo, CASE d WHEN 1 THEN high ELSE -low END AS hi, close * d AS c, session_vwap * d AS vw, prev_close * d AS pc, prior_day_close * d AS pdc, ma9 * d AS m9, ma20 * d AS m20, ma50 * d AS m50
+  FROM r, (SELECT unnest([1, -1]) AS d))"""
+
+
+def _hand(text: str) -> str:
+    return " UNION ALL ".join(f"SELECT *, '{n.strip()}' AS scan_type FROM m WHERE {c}" for n, c in (x.split(":", 1) for x in text.strip().splitlines()))
+
+
+_MIRRORED = {"a": _hand("""
+breakout_continuation: c > top20 AND t = 1 AND volume_bin >= 1
+opening_range_breakout: minute >= 180 AND c > orx AND t = 1 AND volume_bin >= 1
+failed_breakout_reversion: lo < bot20 AND c > bot20 AND z <= -1 AND abs(b) <= 0.45
+vwap_reclaim_continuation: prev_vwap_dist * d < 0 AND vwap_dist * d >= 0 AND t = 1 AND volume_bin >= 0 AND r1 > 0
+outside_bar_momentum: high >= prev_high AND low <= prev_low AND b >= 0.55 AND c > open * d AND volume_bin >= 1
+range_expansion_continuation: b >= 0.6 AND range_bin >= 2 AND volume_bin >= 1
+trend_pullback_reclaim: t = 1 AND r5 < 0 AND r1 > 0 AND c > m20
+zscore_mean_reversion: z <= -2 AND volume_bin <= 1
+volume_climax_reversion: z <= -1.5 AND volume_bin >= 2 AND abs(b) <= 0.35
+session_extreme_reversion: c <= sl + 0.1 * range20 AND z <= -1.25 AND volume_bin <= 1 AND abs(b) <= 0.45
+low_volume_drift: t = 1 AND volume_bin = -1 AND r1 > 0"""), "b": _hand("""
+opening_range_breakout: minute >= 600 AND minute <= 959 AND c > orx AND t = 1 AND volume_bin >= 0
+opening_range_retest_reclaim: minute >= 600 AND minute <= 959 AND c > orx AND lo <= orx + 0.25 * range20 AND l >= 0.6 AND t = 1
+vwap_reclaim_continuation: prev_vwap_dist * d < 0 AND vwap_dist * d >= 0 AND r1 > 0 AND t = 1 AND volume_bin >= 0
+vwap_pullback_bounce: c > vw AND lo <= vw + 0.2 * range20 AND l >= 0.65 AND t = 1
+high_volume_impulse_continuation: r3 >= 0.75 * range20 AND l >= 0.65 AND volume_ratio >= 1.35 AND t = 1
+range_expansion_continuation: b >= 0.6 AND range_bin >= 2 AND volume_bin >= 0 AND t = 1
+donchian20_breakout: c > top20 AND volume_bin >= 0 AND t = 1
+prior_day_breakout: c > pdh AND volume_bin >= 0 AND t = 1
+prior_day_rejection: lo < pdl AND c > pdl AND z <= -0.75
+selling_absorption_reversal: d = 1 AND volume_ratio >= 1.6 AND r5 < 0 AND l >= 0.65 AND b >= 0 AND z <= -0.5
+buying_absorption_reversal: d = -1 AND volume_ratio >= 1.6 AND r5 < 0 AND l >= 0.65 AND b >= 0 AND z <= -0.5
+trend_pullback_reclaim: t = 1 AND c > m20 AND r5 < 0 AND r1 > 0
+low_volume_drift: t = 1 AND volume_bin = -1 AND r1 > 0
+session_extreme_reversion: c <= sl + 0.1 * range20 AND z <= -1 AND volume_bin <= 1
+rsi_extreme_reversal: rsi <= 28 AND y <= -0.75 AND l >= 0.55 AND volume_bin <= 2
+stoch_extreme_reversal: st <= 0.15 AND l >= 0.6 AND z <= -0.35
+ma_reacceleration: m9 > m20 AND m20 > m50 AND pc <= m9 AND c > m9 AND r1 > 0 AND volume_bin >= 0
+prior_close_reclaim: pc < pdc AND c >= pdc AND c > vw AND volume_bin >= 0
+midday_zscore_reversion: minute >= 720 AND minute <= 899 AND y <= -1.25 AND l >= 0.6 AND volume_bin <= 1
+closing_drive_continuation: minute >= 900 AND minute <= 1019 AND c > vw AND r15 > 0.5 * range60 AND l >= 0.6 AND volume_bin >= 0"""), "c": _hand("""
+candle_momentum_40: b >= 0.4 AND c > open * d AND r1 > 0
+candle_momentum_60: b >= 0.6 AND c > open * d AND r1 > 0
+impulse_continuation_1: r1 >= 0.35 * range20 AND l >= 0.65
+impulse_continuation_3: r3 >= 0.75 * range20 AND r1 > 0 AND l >= 0.6
+impulse_reversal_5: r5 <= -1.25 * range20 AND l >= 0.65 AND b > 0
+trend_pullback_reclaim: t = 1 AND c > m20 AND r5 < 0 AND r1 > 0
+ma50_stretch_reversion: z <= -1.25 AND l >= 0.55
+bollinger20_reversion: y <= -1.75 AND l >= 0.5
+vwap_side_continuation: c > vw AND r1 > 0 AND t = 1
+vwap_reclaim_continuation: prev_vwap_dist * d < 0 AND vwap_dist * d >= 0 AND r1 > 0 AND t = 1 AND volume_bin >= 0
+donchian20_breakout: c > top20 AND volume_bin >= 0
+donchian60_breakout: c > top60 AND volume_bin >= 0
+failed_donchian20_reversion: lo < bot20 AND c > bot20 AND z <= -0.75
+range_expansion_continuation: b >= 0.6 AND range_bin >= 2 AND volume_bin >= 0
+range_expansion_reversion: b <= -0.65 AND range_bin >= 2 AND z <= -1
+rsi14_reversion: rsi <= 30 AND l >= 0.45
+rsi14_momentum: rsi >= 60 AND r1 > 0 AND t = 1
+stoch20_reversion: st <= 0.1 AND l >= 0.5
+session_extreme_reversion: c <= sl + 0.1 * range20 AND z <= -1 AND volume_bin <= 1
+opening_range_breakout: minute >= 600 AND minute <= 959 AND c > orx AND t = 1 AND volume_bin >= 0
+low_volume_drift: t = 1 AND volume_bin = -1 AND r1 > 0""")}
 for _l in "abc":
     _scan_query(_l)
 
-_STATS = """count(*) AS n, round(round(sum(p), 9), 6) AS total, round(round(avg(p), 9), 6) AS mean, round(avg(CASE WHEN p > 0 THEN 1.0 ELSE 0.0 END), 6) AS win_rate,
-  round(CASE WHEN sum(CASE WHEN p < 0 THEN -p ELSE 0 END) > 1e-9 THEN sum(CASE WHEN p > 0 THEN p ELSE 0 END) / sum(CASE WHEN p < 0 THEN -p ELSE 0 END) END, 6) AS profit_factor"""
+def _half_up(x: str) -> str:
+    """Rounded to 6 places, ties away from zero in decimal digits as Spark does."""
+    return f"round(round({x}, 9) + sign({x}) * 1e-10, 6)"
+
+
+_SUM = "sum({}::DECIMAL(18, 9))::DOUBLE"
+_GAIN, _LOSS = _SUM.format("CASE WHEN p > 0 THEN p ELSE 0 END"), _SUM.format("CASE WHEN p < 0 THEN -p ELSE 0 END")
+_STATS = f"""count(*) AS n, {_half_up(_SUM.format('p'))} AS total, {_half_up(_SUM.format('p') + ' / count(p)')} AS mean, {_half_up('avg(CASE WHEN p > 0 THEN 1.0 ELSE 0.0 END)')} AS win_rate,
+  CASE WHEN {_LOSS} > 0 THEN {_half_up(_GAIN + ' / ' + _LOSS)} END AS profit_factor"""
 _FWD = "fw AS (SELECT *, lead(open) OVER (PARTITION BY symbol ORDER BY timestamp) AS entry_open, lead(close, 3) OVER (PARTITION BY symbol ORDER BY timestamp) AS future_close FROM f)"
 _RFW = _RF.replace("FROM f)", "FROM fw)")
 _SIG = f"{D.features()}, {_FWD}, {_RFW}, s AS ({_scan_sql(C.SET_A, 'symbol, timestamp, session_bucket, dow, trend_bin, volume_bin, range_bin, close, entry_open, future_close')}), e AS (SELECT *, round((future_close - entry_open) * direction, 9) AS p FROM s WHERE future_close IS NOT NULL)"
@@ -101,6 +174,31 @@ def close_to_close(spark, sf):
     return r6(C.edge_stats(f.withColumn("pnl", (F.col("future_close") - F.col("close")) * F.col("direction")), ["session_bucket", "dow", "trend_bin", "volume_bin", "direction"]))
 
 
+HORIZONS = [1, 3, 6]
+
+
+@query(f"""WITH {D.features()}, {_RF}, {_SIDED}, s AS ({_MIRRORED['c']}), h AS (SELECT symbol, timestamp, unnest([1, 3, 6])::INT AS horizon, unnest([lead(close, 1) OVER w, lead(close, 3) OVER w, lead(close, 6) OVER w]) AS fc FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY timestamp)),
+e AS (SELECT scan_type, d AS direction, horizon, round((fc - close) * d, 9) AS p FROM s JOIN h USING (symbol, timestamp) WHERE fc IS NOT NULL) SELECT scan_type, direction, horizon, {_STATS} FROM e GROUP BY ALL""")
+def scan_horizons(spark, sf):
+    s = C.scan(C.at_horizons(frame(spark, sf), HORIZONS), C.SET_C, ["symbol", "timestamp", "close", "horizon", "future_close"])
+    return r6(C.edge_stats(s.withColumn("pnl", (F.col("future_close") - F.round("close", 9)) * F.col("direction")), ["scan_type", "direction", "horizon"]))
+
+
+@query(f"""WITH {D.features()}, x AS (SELECT f.*, lead(close, 3) OVER w AS fc, lead(timestamp, 3) OVER w AS ft FROM f WINDOW w AS (PARTITION BY symbol ORDER BY timestamp)),
+e AS (SELECT session_bucket, minute % 180 AS phase, dow, CASE WHEN ret1 > 0 THEN 1 WHEN ret1 < 0 THEN -1 ELSE 0 END AS ret1_sign, CASE WHEN round(ret5, 9) >= 5 THEN 2 WHEN round(ret5, 9) >= 1 THEN 1 WHEN round(ret5, 9) <= -5 THEN -2 WHEN round(ret5, 9) <= -1 THEN -1 ELSE 0 END AS ret5_bin, trend_bin, volume_bin, d AS direction, round((fc - close) * d, 9) AS p
+  FROM x, (SELECT unnest([1, -1]) AS d) WHERE fc IS NOT NULL AND epoch_us(ft) - epoch_us(timestamp) BETWEEN 10800000000 AND 14400000000)
+SELECT session_bucket, phase::INT AS phase, dow, ret1_sign, ret5_bin, trend_bin, volume_bin, direction, {_STATS} FROM e GROUP BY ALL""")
+def phase_scan(spark, sf):
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("symbol").orderBy("timestamp")
+    f = frame(spark, sf).withColumns({"future_close": F.lead("close", 3).over(w), "future_ts": F.lead("timestamp", 3).over(w)}).where("future_close IS NOT NULL")
+    f = C.continuous(f, "timestamp", "future_ts", 180, 60).withColumn("direction", F.explode(F.array(F.lit(1), F.lit(-1))))
+    r5 = F.round("ret5", 9)
+    f = f.withColumns({"phase": F.col("minute") % 180, "ret1_sign": F.coalesce(F.signum("ret1").cast("int"), F.lit(0)), "ret5_bin": F.when(r5 >= 5, 2).when(r5 >= 1, 1).when(r5 <= -5, -2).when(r5 <= -1, -1).otherwise(0)})
+    return r6(C.edge_stats(f.withColumn("pnl", (F.col("future_close") - F.col("close")) * F.col("direction")), ["session_bucket", "phase", "dow", "ret1_sign", "ret5_bin", "trend_bin", "volume_bin", "direction"]))
+
+
 PAIRS = [(2.0, 2.0), (4.0, 2.0), (6.0, 4.0), (10.0, 8.0)]
 
 
@@ -137,9 +235,7 @@ def rule_stats(spark, sf):
 SELECT scan_type, direction, session_bucket, count(*) AS edges, sum(n)::BIGINT AS trades, round(sum(wr * n) / sum(n), 6) AS win_probability FROM g GROUP BY GROUPING SETS ((scan_type), (direction), (session_bucket), (scan_type, direction), ())""")
 def basket_groups(spark, sf):
     g = C.edge_stats(signals(spark, sf), ["scan_type", "direction", "session_bucket"], least=2)
-    g.createOrReplaceTempView("tickforge_edges")
-    return r6(spark.sql("""SELECT scan_type, direction, session_bucket, count(*) AS edges, sum(n) AS trades, sum(win_rate * n) / sum(n) AS win_probability FROM tickforge_edges
-      GROUP BY GROUPING SETS ((scan_type), (direction), (session_bucket), (scan_type, direction), ())"""))
+    return r6(C.grouping_sets(g, ["scan_type", "direction", "session_bucket"], [["scan_type"], ["direction"], ["session_bucket"], ["scan_type", "direction"], []]))
 
 
 EDGES = [(1, "trend_pullback_reclaim", 1, "day", 1, None, None, 2.0), (2, "trend_pullback_reclaim", -1, "night", -1, 0, None, 1.5), (3, "low_volume_drift", 1, "evening", None, None, None, 1.0), (4, "zscore_mean_reversion", -1, "day", None, None, 0, 2.5),
@@ -163,7 +259,8 @@ def edge_wildcard(spark, sf):
     return out.select("edge_id", "symbol", "timestamp", "take_profit")
 
 
-@query(f"""WITH {D.TICKS}, m AS (SELECT event_id, ts AS event_time, user_id % 3 AS importance, CASE WHEN event_id % 800 = 0 THEN '*' ELSE event_type END AS es, ts - INTERVAL 30 MINUTES AS a, ts + INTERVAL 10 MINUTES AS r, ts + INTERVAL 55 MINUTES AS b FROM events WHERE event_id % 400 = 0),
+@query(f"""WITH {D.TICKS}, c AS (SELECT s_suppkey AS event_id, TIMESTAMP '2024-01-01' + to_minutes(s_suppkey * 43 % 43200) AS event_time, s_nationkey % 3 AS importance, ['click', 'error', 'purchase', 'signup', 'view', '*'][s_suppkey % 6 + 1] AS es FROM supplier),
+m AS (SELECT *, event_time - INTERVAL 30 MINUTES AS a, event_time + INTERVAL 10 MINUTES AS r, event_time + INTERVAL 55 MINUTES AS b FROM c),
 h AS (SELECT seq, event_id, importance, (epoch_us(event_time) - epoch_us(timestamp)) / 60e6 AS m, CASE WHEN timestamp < event_time THEN 'pre_event' WHEN timestamp <= r THEN 'release_window' ELSE 'post_event' END AS state
   FROM ticks JOIN m ON timestamp BETWEEN a AND b AND (es = symbol OR es = '*')),
 g AS (SELECT seq, first(state ORDER BY importance DESC, event_id) AS event_state, string_agg(event_id::VARCHAR, ',' ORDER BY event_id) AS active_event_ids, max(importance)::INT AS max_importance, min(CASE WHEN m >= 0 THEN m END) AS minutes_to_event, min(CASE WHEN m <= 0 THEN -m END) AS minutes_since_event FROM h GROUP BY seq)
@@ -173,7 +270,7 @@ def event_context(spark, sf):
     return r6(J.event_context(points, S.macro_events(spark, sf)).drop("timestamp"))
 
 
-_TRADES = "tr AS (SELECT event_id AS trade_id, event_type AS symbol, ts AS entry_time, CASE WHEN event_id % 40 = 0 THEN 'long' ELSE 'short' END AS side, (1 + user_id % 3)::INT AS contracts FROM events WHERE event_id % 20 = 0)"
+_TRADES = "tr AS (SELECT event_id AS trade_id, event_type AS symbol, ts AS entry_time, CASE WHEN event_id % 2 = 0 THEN 'long' ELSE 'short' END AS side, (1 + user_id % 3)::INT AS contracts FROM events)"
 
 
 @query(f"WITH {D.TICKS}, {_TRADES}, p AS (SELECT trade_id, symbol, entry_time + INTERVAL 90 SECONDS AS \"at\" FROM tr) SELECT trade_id, p.symbol, \"at\", timestamp AS found, round(bid, 6) AS bid, round(ask, 6) AS ask FROM p ASOF LEFT JOIN ticks t ON p.symbol = t.symbol AND p.\"at\" <= t.timestamp")
@@ -220,13 +317,13 @@ def param_cross(spark, sf):
     return r6(S.table(spark, sf, "part").crossJoin(v).groupBy("p_brand", "tp", "sl").agg(F.count("*").alias("n"), F.avg(F.col("p_retailprice") * F.col("tp") / F.col("sl")).alias("scaled")))
 
 
-TYPES = ["click", "purchase", "signup", "view"]
+TYPES = ["click", "error", "purchase", "signup", "view"]
 
 
-@query("WITH a AS (SELECT DISTINCT ts AS timestamp FROM events WHERE event_type IN ('click', 'purchase', 'signup', 'view')), " + ", ".join(f"s{i} AS (SELECT ts, max(value) AS v FROM events WHERE event_type = '{t}' GROUP BY ts)" for i, t in enumerate(TYPES))
+@query("WITH a AS (SELECT DISTINCT ts AS timestamp FROM events), " + ", ".join(f"s{i} AS (SELECT ts, max(value) AS v FROM events WHERE event_type = '{t}' GROUP BY ts)" for i, t in enumerate(TYPES))
        + " SELECT timestamp, " + ", ".join(f"coalesce(last_value(s{i}.v IGNORE NULLS) OVER (ORDER BY timestamp ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) AS \"{t}\"" for i, t in enumerate(TYPES)) + " FROM a " + " ".join(f"LEFT JOIN s{i} ON s{i}.ts = a.timestamp" for i in range(len(TYPES))))
 def equity_ffill(spark, sf):
-    e = S.table(spark, sf, "events").where(F.col("event_type").isin(TYPES)).select("event_type", F.col("ts").alias("timestamp"), "value")
+    e = S.table(spark, sf, "events").select("event_type", F.col("ts").alias("timestamp"), "value")
     return J.forward_fill(e, "event_type", "timestamp", "value", TYPES)
 
 
