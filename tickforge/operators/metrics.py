@@ -42,11 +42,42 @@ def by_dimension(df: DataFrame, dimensions: dict[str, Column]) -> DataFrame:
     return x.groupBy("dimension", "bucket").agg(F.count("*").alias("n"), F.sum("pnl").alias("net"), F.avg(F.when(F.col("pnl") > 0, 1.0).otherwise(0.0)).alias("win_rate"))
 
 
-def nearest_rank(df: DataFrame, by: list[str], value: str, q: float) -> DataFrame:
-    """The value at index round-half-even(q * (n - 1)) of the sorted values; row numbers, so no group is gathered."""
-    w = Window.partitionBy(*by)
-    x = df.withColumn("__i", F.row_number().over(w.orderBy(value)) - 1).withColumn("__n", F.count("*").over(w))
-    return x.where(F.col("__i") == F.bround(F.lit(q) * (F.col("__n") - 1)).cast("long")).select(*by, F.col(value).alias("value"))
+def bucketed(col: str, limits: dict[str, float], beyond: str) -> Column:
+    """The name of the first limit that a value lies below."""
+    out = F.lit(beyond)
+    for name, most in sorted(limits.items(), key=lambda x: -x[1]):
+        out = F.when(F.col(col) < most, name).otherwise(out)
+    return out
+
+
+def subset_totals(ledger: DataFrame, group: str, most: int) -> DataFrame:
+    """Count and sum of every subset of up to `most` groups: totals by group first, so what is enumerated are groups, not rows."""
+    total = ledger.groupBy(group).agg(F.count("*").alias("n"), F.sum("pnl").alias("net"))
+    one = total.select(F.array(group).alias("members"), "n", "net")
+    out = step = one
+    for _ in range(most - 1):  # each step adds a group that stands behind all members
+        step = step.join(total.select(F.col(group).alias("g"), F.col("n").alias("m"), F.col("net").alias("x")), F.col("g") > F.element_at("members", -1))
+        step = step.select(F.array_append("members", F.col("g")).alias("members"), (F.col("n") + F.col("m")).alias("n"), (F.col("net") + F.col("x")).alias("net"))
+        out = out.unionByName(step)
+    return out.select(F.array_join("members", "+").alias("subset"), F.size("members").cast("long").alias("size"), "n", "net")
+
+
+def nearest_rank(df: DataFrame, by: list[str], value: str, q: float, bins: int = 4096) -> DataFrame:
+    """The value at index round-half-even(q * (n - 1)) of a group's sorted values; nulls don't count.
+
+    A histogram of each group tells the bin that holds the index; only that bin's rows are put in order.
+    """
+    d = df.where(F.col(value).isNotNull()).withColumn("__v", F.col(value).cast("double"))
+    ends = d.groupBy(*by).agg(F.min("__v").alias("__a"), F.max("__v").alias("__b"), F.count("*").alias("__n"))
+    d = d.join(ends, by) if by else d.crossJoin(ends)  # one row without groups
+    d = d.withColumn("__bin", F.when(F.col("__b") > F.col("__a"), F.least(F.floor((F.col("__v") - F.col("__a")) / (F.col("__b") - F.col("__a")) * bins), F.lit(bins - 1))).otherwise(0))
+    hist = d.groupBy(*by, "__bin").agg(F.count("*").alias("__c"), F.max("__n").alias("__n"))
+    before = Window.partitionBy(*by).orderBy("__bin").rowsBetween(UP, -1)  # `bins` rows a group
+    at = F.bround(F.lit(q) * (F.col("__n") - 1)).cast("long")
+    hist = hist.withColumn("__s", F.coalesce(F.sum("__c").over(before), F.lit(0))).where((at >= F.col("__s")) & (at < F.col("__s") + F.col("__c")))
+    x = d.drop("__n").join(hist.select(*by, "__bin", "__s", "__n"), [*by, "__bin"])
+    x = x.withColumn("__i", F.row_number().over(Window.partitionBy(*by, "__bin").orderBy(value)) - 1 + F.col("__s"))
+    return x.where(F.col("__i") == at).select(*by, F.col(value).alias("value"))
 
 
 def one_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:

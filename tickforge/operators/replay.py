@@ -13,32 +13,40 @@ def indexed(bars: DataFrame) -> DataFrame:
     return bars.withColumn("i", F.row_number().over(Window.partitionBy("symbol").orderBy("timestamp")) - 1)
 
 
-def exit_sim(signals: DataFrame, bars: DataFrame, hold: int, first: int = 1) -> DataFrame:
-    """Adds exit_i, exit_price and reason. signals: signal_id, symbol, i, direction, entry, stop, target; bars: symbol, i, high, low, close.
+def exit_sim(signals: DataFrame, bars: DataFrame, hold: int, first: int = 1, flatten: bool = False) -> DataFrame:
+    """Adds exit_i, exit_price and reason. signals: signal_id, symbol, i, direction, entry, stop, target; bars: symbol, i, high, low, close (and timestamp, to flatten).
 
     Looks at bars i + first to i + hold; where stop and target fall in one bar the stop counts. Without either
-    the close of the last bar counts, and a signal without a bar has nulls. A signal meets its bars through
-    equal (symbol, i), so nothing is joined by range.
+    the close of the last bar counts, and a signal without a bar has nulls. With flatten a position is closed at
+    the last close of its entry day. Signals and bars meet by bins of hold bars, two a signal.
     """
-    s = signals.withColumn("bar_i", F.explode(F.sequence(F.col("i") + first, F.col("i") + hold)))
-    b = bars.select("symbol", F.col("i").alias("bar_i"), "high", "low", "close")
-    x = s.join(b, ["symbol", "bar_i"])
+    width = F.lit(max(hold - first + 1, 1))
+    bin_ = lambda c: F.floor(c / width)
+    s = signals.withColumn("bin", F.explode(F.array_distinct(F.array(bin_(F.col("i") + first), bin_(F.col("i") + hold)))))
+    b = bars.select("symbol", F.col("i").alias("bar_i"), "high", "low", "close", bin_(F.col("i")).alias("bin"), *([F.to_date("timestamp").alias("bar_day")] if flatten else []))
+    x = s.join(b, ["symbol", "bin"]).where(F.col("bar_i").between(F.col("i") + first, F.col("i") + hold))
+    if flatten:
+        x = x.join(bars.select("symbol", "i", F.to_date("timestamp").alias("day")), ["symbol", "i"]).where("bar_day = day")
     down = F.when(F.col("direction") == 1, F.col("low") <= F.col("stop")).otherwise(F.col("high") >= F.col("stop"))
     up = F.when(F.col("direction") == 1, F.col("high") >= F.col("target")).otherwise(F.col("low") <= F.col("target"))
     hit = F.when(down, F.struct(F.col("bar_i").alias("exit_i"), F.col("stop").alias("exit_price"), F.lit("stop").alias("reason"))).when(up, F.struct(F.col("bar_i").alias("exit_i"), F.col("target").alias("exit_price"), F.lit("target").alias("reason")))
-    last = F.struct(F.col("bar_i").alias("exit_i"), F.col("close").alias("exit_price"), F.lit("time").alias("reason"))
+    time = F.when(F.col("bar_i") < F.col("i") + hold, "date_change").otherwise("time") if flatten else F.lit("time")
+    last = F.struct(F.col("bar_i").alias("exit_i"), F.col("close").alias("exit_price"), time.alias("reason"))
     out = x.groupBy("signal_id").agg(F.min_by(hit, F.when(hit.isNotNull(), F.col("bar_i"))).alias("h"), F.max_by(last, "bar_i").alias("l"))
     out = out.select("signal_id", F.coalesce("h", "l").alias("e")).select("signal_id", "e.*")
     return signals.join(out, "signal_id", "left")
 
 
 def select_signals(exits: DataFrame, slots: int = 1, cooldown: int = 0, regime: str | None = None) -> DataFrame:
-    """Signals that are entered: at most `slots` open at once (a slot is free after the exit bar), and with a regime at least cooldown bars between its entries."""
+    """Signals that are entered: at most `slots` open at once, and with a regime at least cooldown bars between its entries.
+
+    One slot is free again after the exit bar; of several, one is free from the exit bar on.
+    """
     def run(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values(["i", "signal_id"])
         open_, last, keep = [], {}, []
         for row in g.itertuples():
-            while open_ and open_[0] < row.i:
+            while open_ and (open_[0] < row.i or (slots > 1 and open_[0] == row.i)):
                 heapq.heappop(open_)
             key = getattr(row, regime) if regime else None
             ok = len(open_) < slots and (regime is None or key not in last or row.i - last[key] >= cooldown)
@@ -71,37 +79,67 @@ def fair_value_gaps(bars: DataFrame) -> DataFrame:
     return x.where("direction IS NOT NULL").select("symbol", "timestamp", "direction", "gap_low", "gap_high")
 
 
-def sweeps(bars: DataFrame, lookback: int = 20, reclaim: int = 3) -> DataFrame:
-    """Bars that pierce the low of the bars before them and close above it again within `reclaim` bars."""
+def sweeps(bars: DataFrame, lookback: int = 20, reclaim: int = 3, buffer: float = 0.25, direction: int = 1) -> DataFrame:
+    """Bars that pierce the extreme of the bars before them by more than buffer, and the bar within `reclaim` bars that closes back beyond it.
+
+    direction 1 sweeps lows, -1 highs; extreme is the farthest price from the piercing bar to the reclaiming one.
+    """
     w = Window.partitionBy("symbol").orderBy("timestamp")
-    x = bars.withColumns({"level": F.min("low").over(w.rowsBetween(-lookback, -1)), **{f"c{k}": F.lead("close", k).over(w) for k in range(reclaim + 1)}})
-    after = F.lit(None).cast("int")
+    side, worst, farther = ("low", F.min, F.least) if direction == 1 else ("high", F.max, F.greatest)
+    x = bars.withColumns({"level": worst(side).over(w.rowsBetween(-lookback, -1)), **{f"c{k}": F.lead("close", k).over(w) for k in range(reclaim + 1)}, **{f"x{k}": F.lead(side, k).over(w) for k in range(reclaim + 1)}})
+    found = F.lit(None)
     for k in range(reclaim, -1, -1):
-        after = F.when(F.col(f"c{k}") > F.col("level"), k).otherwise(after)
-    return x.where("low < level").withColumn("bars_to_reclaim", after).where("bars_to_reclaim IS NOT NULL").select("symbol", "timestamp", "level", F.col("low").alias("extreme"), "bars_to_reclaim")
+        extreme = farther(*[F.col(f"x{j}") for j in range(k + 1)]) if k else F.col("x0")
+        found = F.when(F.col(f"c{k}") * direction > F.col("level") * direction, F.struct(F.lit(k).alias("bars_to_reclaim"), extreme.alias("extreme"), F.col(f"c{k}").alias("reclaim_close"))).otherwise(found)
+    pierced = F.round((F.col("level") - F.col(side)) * direction, 9) > buffer
+    return x.where(pierced).withColumn("found", found).where("found IS NOT NULL").select("symbol", "timestamp", F.lit(direction).alias("direction"), "level", "found.extreme", "found.bars_to_reclaim", "found.reclaim_close")
+
+
+def equal_pivots(bars: DataFrame, left: int = 2, right: int = 2) -> DataFrame:
+    """Pivots whose extreme may be reached by other bars around them too."""
+    w = Window.partitionBy("symbol").orderBy("timestamp")
+    around = w.rowsBetween(-left, right)
+    full = F.count("*").over(around) == left + right + 1
+    x = bars.withColumns({"is_high": full & (F.col("high") == F.max("high").over(around)), "is_low": full & (F.col("low") == F.min("low").over(around)), "confirmed_at": F.lead("timestamp", right).over(w)})
+    return x.where("is_high OR is_low").select("symbol", "timestamp", "high", "low", "is_high", "is_low", "confirmed_at")
 
 
-def structure_events(bars: DataFrame, left: int = 2, right: int = 2) -> DataFrame:
-    """Breaks of the latest confirmed pivot by a close: BOS with the trend, CHOCH against it; a pivot counts once. One pass a symbol."""
+def structure_events(bars: DataFrame, left: int = 2, right: int = 2, buffer: float = 0.25, tolerance: float = 0.0) -> DataFrame:
+    """Closes beyond the latest unbroken confirmed pivot by more than buffer: BOS with the trend, else CHOCH (the first break too); a pivot breaks once.
+
+    Pivots come from windows; what is sequential is a stack of unbroken pivots for each side, one pass a symbol.
+    """
+    p = pivots(bars, left, right, tolerance).select("symbol", F.col("confirmed_at").alias("timestamp"), F.when(F.col("is_high"), F.col("high")).alias("top"), F.when(F.col("is_low"), F.col("low")).alias("bottom"))
+    d = bars.select("symbol", "timestamp", "close").join(p, ["symbol", "timestamp"], "left")
+
     def run(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("timestamp", ignore_index=True)
-        high, low, close, out = g["high"].to_numpy(), g["low"].to_numpy(), g["close"].to_numpy(), []
-        top = bottom = None
-        trend = 0
-        for i in range(len(g)):
-            p = i - right
-            if p >= left:
-                around = [*range(p - left, p), *range(p + 1, i + 1)]
-                if all(high[p] > high[k] for k in around):
-                    top = high[p]
-                if all(low[p] < low[k] for k in around):
-                    bottom = low[p]
-            if top is not None and close[i] > top:
-                out.append((g["symbol"][i], g["timestamp"][i], 1, "CHOCH" if trend == -1 else "BOS", float(top)))
-                top, trend = None, 1
-            elif bottom is not None and close[i] < bottom:
-                out.append((g["symbol"][i], g["timestamp"][i], -1, "CHOCH" if trend == 1 else "BOS", float(bottom)))
-                bottom, trend = None, -1
+        tops, bottoms, trend, out = [], [], 0, []
+        for r in g.itertuples():
+            if r.top == r.top:
+                tops.append(r.top)
+            if r.bottom == r.bottom:
+                bottoms.append(r.bottom)
+            if tops and r.close > tops[-1] + buffer:
+                out.append((r.symbol, r.timestamp, 1, "BOS" if trend == 1 else "CHOCH", float(tops.pop())))
+                trend = 1
+            if bottoms and r.close < bottoms[-1] - buffer:
+                out.append((r.symbol, r.timestamp, -1, "BOS" if trend == -1 else "CHOCH", float(bottoms.pop())))
+                trend = -1
         return pd.DataFrame(out, columns=["symbol", "timestamp", "direction", "event", "level"])
 
-    return bars.select("symbol", "timestamp", "high", "low", "close").groupBy("symbol").applyInPandas(run, "symbol string, timestamp timestamp_ntz, direction int, event string, level double")
+    return d.groupBy("symbol").applyInPandas(run, "symbol string, timestamp timestamp_ntz, direction int, event string, level double")
+
+
+def liquidity_pivots(blocks: DataFrame, marks: DataFrame, clearance: float = 1.0, reach: int = 48) -> DataFrame:
+    """The latest pivot after a block's origin and before its event that keeps clear of the block. blocks: symbol, event_i, direction, origin_i, block_low, block_high; marks: symbol, i, high, low, is_high, is_low.
+
+    Blocks and pivots meet by bins of reach bars, the longest way from origin to event.
+    """
+    bin_ = lambda c: F.floor(F.col(c) / F.lit(reach))
+    b = blocks.withColumn("bin", F.explode(F.sequence(bin_("origin_i"), bin_("event_i"))))
+    x = b.join(marks.select("symbol", "i", "high", "low", "is_high", "is_low", bin_("i").alias("bin")), ["symbol", "bin"]).where("origin_i < i AND i < event_i")
+    clear = F.when(F.col("direction") == 1, F.col("is_low") & (F.col("low") > F.col("block_high") + clearance)).otherwise(F.col("is_high") & (F.col("high") < F.col("block_low") - clearance))
+    price = F.when(F.col("direction") == 1, F.col("low")).otherwise(F.col("high"))
+    found = x.where(clear).groupBy("symbol", "event_i", "direction").agg(F.max("i").alias("pivot_i"), F.max_by(price, "i").alias("pivot_price"))
+    return blocks.join(found, ["symbol", "event_i", "direction"], "left")

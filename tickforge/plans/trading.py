@@ -75,13 +75,18 @@ def monthly_results(spark, sf):
     return _period_query(spark, sf, "month")
 
 
-_DIMS = {"year": "year(ts)::VARCHAR", "month": "strftime(ts, '%Y-%m')", "weekday": "dayofweek(ts)::VARCHAR", "side": "CASE WHEN seq % 2 = 0 THEN 'long' ELSE 'short' END", "status": "status"}
+#: Buckets of the minutes held, by the limit below which they lie: fixed values.
+HOLDING = {"00-05m": 5, "05-15m": 15, "15-60m": 60}
+_TR = "t AS (SELECT ts, event_id AS seq, value - 50 AS pnl, user_id % 300 AS held FROM events)"
+_DIMS = {"year": "year(ts)::VARCHAR", "month": "strftime(ts, '%Y-%m')", "hour": "hour(ts)::VARCHAR", "side": "CASE WHEN seq % 2 = 0 THEN 'long' ELSE 'short' END",
+         "holding": "CASE WHEN held < 5 THEN '00-05m' WHEN held < 15 THEN '05-15m' WHEN held < 60 THEN '15-60m' ELSE '60m+' END"}
 
 
-@query(f"WITH {_O}, x AS (" + " UNION ALL ".join(f"SELECT '{n}' AS dimension, {c} AS bucket, pnl FROM o" for n, c in _DIMS.items()) + ") SELECT dimension, bucket, count(*) AS n, round(sum(pnl), 2) AS net, round(avg(CASE WHEN pnl > 0 THEN 1.0 ELSE 0.0 END), 6) AS win_rate FROM x GROUP BY ALL")
+@query(f"WITH {_TR}, x AS (" + " UNION ALL ".join(f"SELECT '{n}' AS dimension, {c} AS bucket, pnl FROM t" for n, c in _DIMS.items()) + ") SELECT dimension, bucket, count(*) AS n, round(sum(pnl), 2) AS net, round(avg(CASE WHEN pnl > 0 THEN 1.0 ELSE 0.0 END), 6) AS win_rate FROM x GROUP BY ALL")
 def trade_distributions(spark, sf):
-    dims = {"year": F.year("ts"), "month": F.date_format("ts", "yyyy-MM"), "weekday": F.dayofweek("ts") - 1, "side": F.when(F.col("seq") % 2 == 0, "long").otherwise("short"), "status": F.col("status")}
-    d = M.by_dimension(S.order_pnl(spark, sf), dims)
+    t = S.table(spark, sf, "events").select("ts", F.col("event_id").alias("seq"), (F.col("value") - 50).alias("pnl"), (F.col("user_id") % 300).alias("held"))
+    dims = {"year": F.year("ts"), "month": F.date_format("ts", "yyyy-MM"), "hour": F.hour("ts"), "side": F.when(F.col("seq") % 2 == 0, "long").otherwise("short"), "holding": M.bucketed("held", HOLDING, "60m+")}
+    d = M.by_dimension(t, dims)
     return d.select("dimension", "bucket", "n", F.round("net", 2).alias("net"), F.round("win_rate", 6).alias("win_rate"))
 
 
@@ -238,12 +243,24 @@ def single_slot_replay(spark, sf):
     return R.select_signals(exits(spark, sf), 1).select("symbol", "signal_id", "exit_i")
 
 
-@query()
+_STILL = "list_filter(p.open, lambda x: x > od.i)"
+_SLOTS = f"""{_RP}, od AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY i, symbol || ':' || signal_id) AS k FROM xs)"""
+
+
+@query(f"""WITH RECURSIVE {_SLOTS}, pick AS (SELECT symbol, k, signal_id, i, exit_i, true AS taken, [exit_i] AS open FROM od WHERE k = 1 UNION ALL
+  SELECT od.symbol, od.k, od.signal_id, od.i, od.exit_i, len({_STILL}) < 4, CASE WHEN len({_STILL}) < 4 THEN list_append({_STILL}, od.exit_i) ELSE {_STILL} END FROM pick p JOIN od ON od.symbol = p.symbol AND od.k = p.k + 1)
+SELECT symbol, symbol || ':' || signal_id AS signal_id, i::INT AS i, exit_i::INT AS exit_i FROM pick WHERE taken""")
 def multi_slot_replay(spark, sf):
     return R.select_signals(exits(spark, sf), 4).select("symbol", "signal_id", "i", "exit_i")
 
 
-@query()
+_REST = "od.i - coalesce(CASE od.regime WHEN 'pullback' THEN p.last_p ELSE p.last_d END, -1000) >= 5"
+
+
+@query(f"""WITH RECURSIVE {_SLOTS}, pick AS (SELECT symbol, k, signal_id, regime, i, exit_i, true AS taken, [exit_i] AS open, CASE WHEN regime = 'pullback' THEN i END AS last_p, CASE WHEN regime <> 'pullback' THEN i END AS last_d FROM od WHERE k = 1 UNION ALL
+  SELECT od.symbol, od.k, od.signal_id, od.regime, od.i, od.exit_i, len({_STILL}) < 4 AND {_REST}, CASE WHEN len({_STILL}) < 4 AND {_REST} THEN list_append({_STILL}, od.exit_i) ELSE {_STILL} END,
+    CASE WHEN od.regime = 'pullback' AND len({_STILL}) < 4 AND {_REST} THEN od.i ELSE p.last_p END, CASE WHEN od.regime <> 'pullback' AND len({_STILL}) < 4 AND {_REST} THEN od.i ELSE p.last_d END FROM pick p JOIN od ON od.symbol = p.symbol AND od.k = p.k + 1)
+SELECT symbol, symbol || ':' || signal_id AS signal_id, regime, i::INT AS i, exit_i::INT AS exit_i FROM pick WHERE taken""")
 def cooldown_replay(spark, sf):
     return R.select_signals(exits(spark, sf), 4, 5, "regime").select("symbol", "signal_id", "regime", "i", "exit_i")
 
@@ -267,15 +284,43 @@ def fvg(spark, sf):
     return r6(R.fair_value_gaps(hourly(spark, sf)))
 
 
-@query(f"""WITH {D.bars(60)}, x AS (SELECT *, min(low) OVER (w ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING) AS level, lead(close, 1) OVER (w) AS c1, lead(close, 2) OVER (w) AS c2, lead(close, 3) OVER (w) AS c3 FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY timestamp)),
-y AS (SELECT *, CASE WHEN close > level THEN 0 WHEN c1 > level THEN 1 WHEN c2 > level THEN 2 WHEN c3 > level THEN 3 END AS k FROM x WHERE low < level) SELECT symbol, timestamp, round(level, 6) AS level, round(low, 6) AS extreme, k AS bars_to_reclaim FROM y WHERE k IS NOT NULL""")
+def _sweep_sql(side: str, sign: int) -> str:
+    worst, far, op = ("min", "least", ">") if sign == 1 else ("max", "greatest", "<")
+    leads = ", ".join(f"lead({c}, {k}) OVER (w) AS {n}{k}" for n, c in (("c", "close"), ("x", side)) for k in range(4))
+    steps = " ".join(f"WHEN c{k} {op} level THEN {{{k}}}" for k in range(4))
+    pick = lambda f: "CASE " + steps.format(*map(f, range(4))) + " END"
+    return f"""SELECT symbol, timestamp, {sign} AS direction, level, {pick(lambda k: f"{far}({', '.join(f'x{j}' for j in range(k + 1))})")} AS extreme, {pick(str)} AS k, {pick(lambda k: f'c{k}')} AS rc
+  FROM (SELECT *, {worst}({side}) OVER (w ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING) AS level, {leads} FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY timestamp)) WHERE round((level - {side}) * {sign}, 9) > 0.25"""
+
+
+@query(f"""WITH {D.bars(60)}, y AS ({_sweep_sql('low', 1)} UNION ALL {_sweep_sql('high', -1)})
+SELECT symbol, timestamp, direction, round(level, 6) AS level, round(extreme, 6) AS extreme, k AS bars_to_reclaim, round(rc, 6) AS reclaim_close FROM y WHERE k IS NOT NULL""")
 def sweep(spark, sf):
-    return r6(R.sweeps(hourly(spark, sf)))
+    b = hourly(spark, sf)
+    return r6(R.sweeps(b).unionByName(R.sweeps(b, direction=-1)))
+
+
+@query(f"""WITH {D.bars(60)}, x AS (SELECT *, max(high) OVER v AS hh, min(low) OVER v AS ll, count(*) OVER v AS n, lead(timestamp, 2) OVER (PARTITION BY symbol ORDER BY timestamp) AS confirmed_at FROM bars WINDOW v AS (PARTITION BY symbol ORDER BY timestamp ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING))
+SELECT symbol, timestamp, round(high, 6) AS high, round(low, 6) AS low, high = hh AS is_high, low = ll AS is_low, confirmed_at FROM x WHERE n = 5 AND (high = hh OR low = ll)""")
+def pivots_equal(spark, sf):
+    return r6(R.equal_pivots(hourly(spark, sf)))
+
+
+_PV = f"""{D.bars(60)}, px AS (SELECT *, greatest(max(high) OVER (w ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING), max(high) OVER (w ROWS BETWEEN 1 FOLLOWING AND 2 FOLLOWING)) AS hh, least(min(low) OVER (w ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING), min(low) OVER (w ROWS BETWEEN 1 FOLLOWING AND 2 FOLLOWING)) AS ll,
+  count(*) OVER (w ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS n, row_number() OVER (w) - 1 AS i FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY timestamp)),
+bz AS (SELECT a.symbol, a.timestamp, a.i, a.close, CASE WHEN p.n = 5 AND round(p.high - p.hh, 9) > 0 THEN p.high END AS top, CASE WHEN p.n = 5 AND round(p.ll - p.low, 9) > 0 THEN p.low END AS bottom FROM px a LEFT JOIN px p ON p.symbol = a.symbol AND p.i = a.i - 2)"""
+#: A bar's work on the state of the bar before: stacks of unbroken pivots, and the trend after each side.
+_UP, _DOWN = "b.close > list_last(t1) + 0.25", "b.close < list_last(b1) - 0.25"
 
 
-@query()
+@query(f"""WITH RECURSIVE {_PV}, st AS (SELECT symbol, -1::BIGINT AS i, []::DOUBLE[] AS tops, []::DOUBLE[] AS bottoms, 0 AS trend, NULL::DOUBLE AS up_level, NULL::DOUBLE AS down_level, 0 AS before, NULL::TIMESTAMP AS timestamp FROM (SELECT DISTINCT symbol FROM bz) UNION ALL
+  SELECT symbol, i, CASE WHEN up THEN t1[:-2] ELSE t1 END, CASE WHEN down THEN b1[:-2] ELSE b1 END, CASE WHEN down THEN -1 WHEN up THEN 1 ELSE trend END, CASE WHEN up THEN list_last(t1) END, CASE WHEN down THEN list_last(b1) END, trend, timestamp FROM (
+    SELECT *, coalesce({_UP.replace('b.', '')}, false) AS up, coalesce({_DOWN.replace('b.', '')}, false) AS down FROM (
+      SELECT b.symbol, b.i, b.close, b.timestamp, s.trend, CASE WHEN b.top IS NULL THEN s.tops ELSE list_append(s.tops, b.top) END AS t1, CASE WHEN b.bottom IS NULL THEN s.bottoms ELSE list_append(s.bottoms, b.bottom) END AS b1 FROM st s JOIN bz b ON b.symbol = s.symbol AND b.i = s.i + 1)))
+SELECT symbol, timestamp, 1 AS direction, CASE WHEN before = 1 THEN 'BOS' ELSE 'CHOCH' END AS event, round(up_level, 6) AS level FROM st WHERE up_level IS NOT NULL
+UNION ALL SELECT symbol, timestamp, -1, CASE WHEN up_level IS NULL AND before = -1 THEN 'BOS' ELSE 'CHOCH' END, round(down_level, 6) FROM st WHERE down_level IS NOT NULL""")
 def structure_events(spark, sf):
-    return R.structure_events(hourly(spark, sf))
+    return r6(R.structure_events(hourly(spark, sf)))
 
 
 FOLDS = (date(1992, 1, 1), date(1998, 12, 31), 365, 90, 180, 180, 5, 60)
@@ -307,10 +352,11 @@ def walk_forward_match(spark, sf):
     return x.select("fold", "grp", "status", "train_n", F.round("train_win_rate", 6).alias("train_win_rate"), "test_n", F.round("test_win_rate", 6).alias("test_win_rate"), F.round("test_total", 2).alias("test_total"))
 
 
-@query(f"WITH {_O}, s(subset, grp) AS (VALUES ('hot', '1-URGENT'), ('hot', '2-HIGH'), ('cold', '5-LOW'), ('all', '1-URGENT'), ('all', '2-HIGH'), ('all', '3-MEDIUM'), ('all', '5-LOW')) SELECT subset, count(*) AS n, round(sum(pnl), 2) AS net FROM o JOIN s USING (grp) GROUP BY subset")
+@query(f"""WITH {_O}, g AS (SELECT grp, row_number() OVER (ORDER BY grp) - 1 AS k, count(*) OVER () AS m FROM (SELECT DISTINCT grp FROM o)),
+u AS (SELECT mask, string_agg(grp, '+' ORDER BY grp) AS subset, count(*) AS size, list(grp) AS members FROM range(1, 64) t(mask) JOIN g ON (mask >> k) & 1 = 1 WHERE mask < (1 << m) GROUP BY mask HAVING count(*) <= 3)
+SELECT subset, size, count(*) AS n, round(sum(pnl), 2) AS net FROM u, (SELECT grp, pnl FROM o) x WHERE list_contains(members, x.grp) GROUP BY ALL""")
 def subset_metrics(spark, sf):
-    s = F.broadcast(spark.createDataFrame([("hot", "1-URGENT"), ("hot", "2-HIGH"), ("cold", "5-LOW"), *[("all", g) for g in ("1-URGENT", "2-HIGH", "3-MEDIUM", "5-LOW")]], "subset string, grp string"))
-    return S.order_pnl(spark, sf).join(s, "grp").groupBy("subset").agg(F.count("*").alias("n"), F.round(F.sum("pnl"), 2).alias("net"))
+    return M.subset_totals(S.order_pnl(spark, sf), "grp", 3).select("subset", "size", "n", F.round("net", 2).alias("net"))
 
 
 @query("WITH g AS (SELECT a, b, c FROM (SELECT unnest([2, 3, 4]) AS a), (SELECT unnest([5, 10]) AS b), (SELECT unnest([1, 2, 3]) AS c) WHERE a * c <= 8) SELECT a, b, c, sha256('a=' || a || ';b=' || b || ';c=' || c) AS variant FROM g")
