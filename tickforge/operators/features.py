@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from ..functions.windows import UP, day_window, frame, full, steps, symbol_window
 
+#: Bars of a day that are counted one by one for a percentile.
+PERCENTILE_RUN = 32
 
 def frame_features(bars: DataFrame, opening: tuple[int, int] = (0, 179)) -> DataFrame:
     """Features whose frames end before the current bar and may be partly filled."""
@@ -43,17 +45,38 @@ def frame_features(bars: DataFrame, opening: tuple[int, int] = (0, 179)) -> Data
     return d.withColumn("session_bucket", bucket)
 
 
+def session_percentile(bars: DataFrame, value: str, least: int) -> DataFrame:
+    """(symbol, timestamp, share): the share of a day's values so far that don't exceed a bar's own; null before so many bars.
+
+    Values of a day are ranked, and merged into runs of bars: a bar counts whole earlier runs by a running count
+    at its rank and only its own run one by one, so a day of n bars makes n * sqrt(n) rows at most, never a list a bar.
+    """
+    d = bars.select("symbol", F.to_date("timestamp").alias("day"), "timestamp", F.col(value).cast("double").alias("x"))
+    d = d.withColumn("k", F.row_number().over(day_window())).withColumn("run", F.floor((F.col("k") - 1) / PERCENTILE_RUN))
+    own = d.select("symbol", "day", "run", F.col("k").alias("k2"), F.col("x").alias("x2"))
+    inside = d.join(own, ["symbol", "day", "run"]).where("k2 <= k AND x2 <= x").groupBy("symbol", "day", "k").agg(F.count("*").alias("inside"))
+    runs = d.groupBy("symbol", "day").agg(F.max("run").alias("runs"))
+    marks = d.join(runs, ["symbol", "day"]).withColumn("at", F.explode(F.sequence(F.col("run"), F.col("runs"))))
+    # for each run as reader: values of earlier runs, and its own as questions, in order of value
+    w = Window.partitionBy("symbol", "day", "at").orderBy("x").rangeBetween(UP, 0)
+    before = marks.withColumn("before", F.sum(F.when(F.col("run") < F.col("at"), 1).otherwise(0)).over(w)).where("run = at").select("symbol", "day", "k", "before")
+    out = d.join(inside, ["symbol", "day", "k"]).join(before, ["symbol", "day", "k"])
+    return out.select("symbol", "timestamp", F.when(F.col("k") >= least, (F.col("inside") + F.col("before")) / F.col("k")).alias("share"))
+
+
 def full_features(bars: DataFrame) -> DataFrame:
     """Features that are null until their window, which holds the current bar, is full."""
     d = bars.withColumn("day", F.to_date("timestamp")).withColumn("v", F.greatest("tick_count", F.lit(0)).cast("double")).withColumn("rng", F.col("high") - F.col("low"))
     prev = F.lag("close").over(symbol_window())
     d = d.withColumns({"tr": F.when(prev.isNull(), F.col("rng")).otherwise(F.greatest("rng", F.abs(F.col("high") - prev), F.abs(F.col("low") - prev))), "diff1": F.coalesce(F.col("close") - prev, F.lit(0.0)), "prev_high": F.lag("high").over(symbol_window()), "prev_low": F.lag("low").over(symbol_window())})
-    ranges, day_volumes = F.collect_list("rng").over(symbol_window().rowsBetween(-19, 0)), F.collect_list("v").over(day_window().rowsBetween(UP, 0))
+    ranges = F.collect_list("rng").over(symbol_window().rowsBetween(-19, 0))
     share = lambda values, col: F.size(F.filter(values, lambda x: x <= F.col(col))) / F.size(values)
     d = d.withColumns({
         "atr_14": full(F.avg, "tr", 14), "realized_volatility_20": full(F.stddev_pop, "diff1", 20), "range_percentile_20": F.when(F.size(ranges) == 20, share(ranges, "rng")),
         "volume_ma_5": full(F.avg, "v", 5), "volume_ma_20": full(F.avg, "v", 20), "sum5": full(F.sum, "v", 5), "sum15": full(F.sum, "v", 15),
-        "volume_percentile_session": F.when(F.size(day_volumes) >= 5, share(day_volumes, "v")), "return_5m": F.col("close") - F.lag("close", 5).over(symbol_window())})
+        "return_5m": F.col("close") - F.lag("close", 5).over(symbol_window())})
+    ranks = session_percentile(d, "v", 5).withColumnRenamed("share", "volume_percentile_session")
+    d = d.join(ranks, ["symbol", "timestamp"], "left")
     d = d.withColumns({"relative_volume_5": F.when(F.col("volume_ma_5") > 0, F.col("v") / F.col("volume_ma_5")), "relative_volume_20": F.when(F.col("volume_ma_20") > 0, F.col("v") / F.col("volume_ma_20")),
                        "atr_mean_20": F.when(F.row_number().over(symbol_window()) > 20, F.avg("atr_14").over(symbol_window().rowsBetween(-20, -1))), "sum5_mean": F.avg("sum5").over(symbol_window().rowsBetween(-20, -1)), "sum15_mean": F.avg("sum15").over(symbol_window().rowsBetween(-20, -1))})
     spike = F.col("relative_volume_20") >= 2
@@ -67,25 +90,69 @@ def full_features(bars: DataFrame) -> DataFrame:
         "multi_timeframe_volume_confirm": F.when((F.col("relative_volume_5") >= 1.5) & (F.col("sum5") >= 1.2 * F.col("sum5_mean")) & (F.col("sum15") >= 1.1 * F.col("sum15_mean")), 1.0).otherwise(0.0)})
 
 
+#: Bars of a symbol and day whose EMA is one prefix sum: few enough that powers of the decay stay in range.
+EMA_RUN = 512
+
+
 def ema_features(bars: DataFrame, fast: int = 9, slow: int = 21) -> DataFrame:
-    """EMA pair (seeded with the first value, never reset), its slope, age of the trend within the day and depth of a pullback; one group a symbol."""
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("timestamp", ignore_index=True)
-        e = {n: g["close"].ewm(alpha=2 / (n + 1), adjust=False).mean().where(g.index >= n - 1) for n in (fast, slow)}
-        spread = e[fast] - e[slow]
-        age, ages, last, day = 0, [], 0, None
-        for d, s in zip(g["timestamp"].dt.date, spread):
-            if d != day:
-                age, last, day = 0, 0, d
-            sign = 0 if pd.isna(s) else (s > 0) - (s < 0)
-            if sign == 0:
-                ages.append(0.0)
-                continue
-            age = age + 1 if sign == last else 1
-            last = sign
-            ages.append(float(age))
-        side = spread.apply(lambda s: 0 if pd.isna(s) else (s > 0) - (s < 0))
-        depth = ((e[fast] - g["close"]) * side).clip(lower=0)
-        return pd.DataFrame({"symbol": g["symbol"], "timestamp": g["timestamp"], "ema_fast": e[fast], "ema_slow": e[slow], "ema_spread": spread, "ema_slope": e[fast].diff(), "trend_age": ages, "pullback_depth": depth})
-
-    return bars.select("symbol", "timestamp", "close").groupBy("symbol").applyInPandas(run, "symbol string, timestamp timestamp_ntz, ema_fast double, ema_slow double, ema_spread double, ema_slope double, trend_age double, pullback_depth double")
+    """EMA pair (seeded with the first value, never reset), its slope, age of the trend within the day and depth of a pullback.
+
+    An EMA is a linear recurrence: inside a run of bars it is a prefix sum plus the value before the run, decayed,
+    and runs compose to a value and a factor each. So bars stay in windows of a symbol and day, and only one row a
+    run goes through the sequential pass.
+    """
+    gains = {"fast": 2 / (fast + 1), "slow": 2 / (slow + 1)}
+    d = bars.select("symbol", "timestamp", "close").withColumn("day", F.to_date("timestamp"))
+    k = F.row_number().over(day_window()) - 1
+    d = d.withColumns({"run": F.floor(k / EMA_RUN), "j": k % EMA_RUN + 1})
+    w = Window.partitionBy("symbol", "day", "run").orderBy("timestamp").rowsBetween(UP, 0)
+    d = d.withColumns({f"part_{n}": F.pow(F.lit(1 - a), F.col("j")) * a * F.sum(F.col("close") * F.pow(F.lit(1 - a), -F.col("j"))).over(w) for n, a in gains.items()})
+    runs = d.groupBy("symbol", "day", "run").agg(F.count("*").alias("n"), F.min_by("close", "timestamp").alias("first"), *[F.max_by(f"part_{n}", "timestamp").alias(f"end_{n}") for n in gains])
+
+    def carry(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values(["day", "run"])
+        value, before, out = {n: float(g["first"].iloc[0]) for n in gains}, 0, []
+        for r in g.itertuples():
+            out.append((r.symbol, r.day, r.run, before, value["fast"], value["slow"]))
+            value = {n: getattr(r, f"end_{n}") + (1 - a) ** r.n * value[n] for n, a in gains.items()}
+            before += r.n
+        return pd.DataFrame(out, columns=["symbol", "day", "run", "before", "from_fast", "from_slow"])
+
+    starts = runs.groupBy("symbol").applyInPandas(carry, "symbol string, day date, run long, before long, from_fast double, from_slow double")
+    d = d.join(starts, ["symbol", "day", "run"])
+    at = F.col("before") + F.col("j")
+    value = lambda n: F.col(f"part_{n}") + F.pow(F.lit(1 - gains[n]), F.col("j")) * F.col(f"from_{n}")
+    d = d.withColumns({"ema_fast": F.when(at >= fast, value("fast")), "ema_slow": F.when(at >= slow, value("slow")), "ema_slope": F.when(at > fast, gains["fast"] / (1 - gains["fast"]) * (F.col("close") - value("fast")))})
+    d = d.withColumn("ema_spread", F.col("ema_fast") - F.col("ema_slow")).withColumn("sign", F.coalesce(F.signum("ema_spread"), F.lit(0.0)))
+    # runs of one sign; bars without a sign have age 0 and don't end a run
+    last = F.last(F.when(F.col("sign") != 0, F.col("sign")), ignorenulls=True).over(day_window().rowsBetween(UP, -1))
+    d = d.withColumn("flip", F.when((F.col("sign") != 0) & ~F.col("sign").eqNullSafe(last), 1).otherwise(0))
+    d = d.withColumn("trend", F.sum("flip").over(day_window().rowsBetween(UP, 0)))
+    age = F.sum(F.when(F.col("sign") != 0, 1).otherwise(0)).over(Window.partitionBy("symbol", "day", "trend").orderBy("timestamp").rowsBetween(UP, 0))
+    d = d.withColumns({"trend_age": F.when(F.col("sign") != 0, age).otherwise(0).cast("double"), "pullback_depth": F.when(F.col("ema_fast").isNotNull(), F.greatest((F.col("ema_fast") - F.col("close")) * F.col("sign"), F.lit(0.0)))})
+    return d.select("symbol", "timestamp", "ema_fast", "ema_slow", "ema_spread", "ema_slope", "trend_age", "pullback_depth")
+
+
+def session_features(bars: DataFrame, first: int, last: int, tick: float = 0.25, opening: int = 30) -> DataFrame:
+    """Distances to levels of the session, of the day before and of the opening minutes, clock distances, spread in ticks, bodies and wicks, z-score and absorption.
+
+    first and last are the session's first and last minute of the day. Levels of the session and of the opening
+    hold the current bar.
+    """
+    d = full_features(bars).withColumn("minute", F.hour("timestamp") * 60 + F.minute("timestamp"))
+    here = day_window().rowsBetween(UP, 0)
+    inside = (F.col("minute") - first).between(0, opening - 1)
+    levels = {"session_high": F.max("high").over(here), "session_low": F.min("low").over(here), "opening_range_high": F.max(F.when(inside, F.col("high"))).over(here), "opening_range_low": F.min(F.when(inside, F.col("low"))).over(here)}
+    days = d.groupBy("symbol", "day").agg(F.max("high").alias("h"), F.min("low").alias("l"))
+    w = Window.partitionBy("symbol").orderBy("day")
+    days = days.select("symbol", "day", F.lag("h").over(w).alias("prior_day_high"), F.lag("l").over(w).alias("prior_day_low"))
+    d = d.join(days, ["symbol", "day"], "left").withColumns(levels)
+    body, rng = F.col("close") - F.col("open"), F.col("high") - F.col("low")
+    share = lambda c: F.when(rng > 0, c / rng).otherwise(0.0)
+    mean, sd = full(F.avg, "close", 20), full(F.stddev_pop, "close", 20)
+    weak = (F.col("relative_volume_20") >= 2) & F.col("atr_14").isNotNull() & (F.abs(body) <= F.greatest(F.col("atr_14") * 0.15, F.lit(tick)))
+    return d.withColumns({
+        **{f"{n}_dist": F.col("close") - F.col(n) for n in [*levels, "prior_day_high", "prior_day_low"]},
+        "minutes_since_open": (F.col("minute") - first).cast("double"), "minutes_to_close": (last - F.col("minute")).cast("double"), "spread_ticks": F.coalesce("avg_spread", F.lit(0.0)) / tick,
+        "bar_body_ratio": share(F.abs(body)), "signed_body_ratio": share(body), "close_zscore_20": F.when(sd > 0, (F.col("close") - mean) / sd).when(sd.isNotNull(), 0.0),
+        "volume_absorption_flag": F.when(weak, F.when(body >= 0, -1.0).otherwise(1.0)).otherwise(0.0), "bar_volume": F.col("v"), "tick_count_1m": F.col("v"), "return_1m": F.col("close") - F.lag("close").over(symbol_window()), "return_15m": F.col("close") - F.lag("close", 15).over(symbol_window())})
