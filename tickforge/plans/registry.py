@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import market, signals, strategies, streams, trading
+from . import market, research, signals, strategies, streams, trading
 
-MODULES = [market, signals, trading, strategies, streams]
+MODULES = [market, signals, trading, research, strategies, streams]
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLE = {k: v for m in MODULES for k, v in m.ORACLE.items()}
