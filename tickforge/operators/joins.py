@@ -68,11 +68,11 @@ def wildcard_join(signals: DataFrame, edges: DataFrame, equal: list[str], wild:
 
 
 def limit_fills(orders: DataFrame, quotes: DataFrame, timeout_seconds: int) -> DataFrame:
-    """The first quote within the timeout that trades through the limit with enough size. orders: trade_id, symbol, at, side, limit, contracts."""
+    """The first quote within the timeout that trades through the limit with enough size; it fills at the limit. orders: trade_id, symbol, at, side, limit, contracts."""
     o = orders.withColumn("until", F.col("at") + F.expr(f"INTERVAL {timeout_seconds} SECONDS"))
     hit = interval_join(quotes, o, "timestamp", "at", "until", max(60, timeout_seconds), ["symbol"])
     hit = hit.where("(side = 'long' AND ask <= limit AND ask_size >= contracts) OR (side = 'short' AND bid >= limit AND bid_size >= contracts)")
-    first = hit.groupBy("trade_id").agg(F.min(F.struct("timestamp", "seq", F.expr("CASE WHEN side = 'long' THEN ask ELSE bid END").alias("price"))).alias("f"))
+    first = hit.groupBy("trade_id").agg(F.min(F.struct("timestamp", "seq", F.col("limit").alias("price"))).alias("f"))
     return orders.join(first, "trade_id", "left").select(*orders.columns, F.col("f.timestamp").alias("fill_time"), F.col("f.price").alias("fill_price"))
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import execution as E
 from ..operators import joins as J
 from ..operators import metrics as M
 from ..operators import replay as R
@@ -329,3 +330,35 @@ def take_profit_search(spark, sf):
     x = R.exit_sim(s, f.select("symbol", "i", "timestamp", "high", "low", "close"), 8, flatten=True).where("exit_i IS NOT NULL")
     points = F.sum(F.round(F.col("exit_price") - F.col("entry"), 6).cast("decimal(18,6)")).cast("double")
     return r6(x.groupBy("tp", "sl").agg(F.count("*").alias("n"), points.alias("points")))
+
+
+_EX = f"""{D.TICKS}, tr AS (SELECT event_id AS trade_id, event_type AS symbol, ts AS entry_time, ts + INTERVAL 60 MINUTES AS exit_time, CASE WHEN event_id % 2 = 0 THEN 1 ELSE -1 END AS d, (1 + user_id % 3)::INT AS contracts, 10.0::DOUBLE * (1 + user_id % 3) AS gross, round(100 + value / 10, 3) AS lim FROM events),
+pr AS (SELECT trade_id, symbol, d, k, s, CASE k WHEN 'entry' THEN entry_time ELSE exit_time END + to_seconds(s) AS at FROM tr, (SELECT unnest(['entry', 'exit']) AS k), (SELECT unnest([0, 1, 5]) AS s)),
+fo AS (SELECT pr.*, t.timestamp AS found, t.bid, t.ask, t.bid_size, t.ask_size, t.spread FROM pr ASOF LEFT JOIN ticks t ON pr.symbol = t.symbol AND pr.at <= t.timestamp),
+pp AS (SELECT *, CASE WHEN (d = 1) = (k = 'entry') THEN ask ELSE bid END AS price FROM fo),
+gr AS (SELECT a.trade_id, a.s, a.found, a.price AS paid, CASE WHEN a.d = 1 THEN a.ask_size ELSE a.bid_size END AS size, a.spread + b.spread AS sp, (b.price - a.price) * a.d * 20 AS move, b.found IS NOT NULL AND a.found IS NOT NULL AS ok FROM pp a JOIN pp b ON b.trade_id = a.trade_id AND b.s = a.s AND a.k = 'entry' AND b.k = 'exit'),
+ex AS (SELECT tr.*, z.ok, z.found AS fill_time, z.paid, z.size, z.sp, z.move * contracts - gross AS delta0, CASE WHEN o.ok THEN o.move * contracts - gross END AS delta1, CASE WHEN f.ok THEN f.move * contracts - gross END AS delta5 FROM tr JOIN gr z ON z.trade_id = tr.trade_id AND z.s = 0 JOIN gr o ON o.trade_id = tr.trade_id AND o.s = 1 JOIN gr f ON f.trade_id = tr.trade_id AND f.s = 5),
+la AS (SELECT trade_id, symbol, d, paid, s, fill_time + to_seconds(s) AS at FROM ex, (SELECT unnest([60, 900]) AS s) WHERE ok), ad AS (SELECT trade_id, la.s, (paid - t.mid) * d / 0.25 AS v FROM la ASOF LEFT JOIN ticks t ON la.symbol = t.symbol AND la.at <= t.timestamp),
+li AS (SELECT DISTINCT tr.trade_id FROM tr JOIN ticks t ON t.symbol = tr.symbol AND t.timestamp BETWEEN entry_time AND entry_time + INTERVAL 30 MINUTES WHERE (d = 1 AND t.ask <= lim AND t.ask_size >= contracts) OR (d = -1 AND t.bid >= lim AND t.bid_size >= contracts)),
+ro AS (SELECT trade_id, CASE WHEN ok THEN 'validated' ELSE 'missing_quote' END AS status, CASE WHEN ok THEN delta0 END AS gross_delta, CASE WHEN ok THEN delta0 - 10 * contracts END AS conservative_delta, CASE WHEN ok THEN sp * 20 * contracts END AS spread_cost, CASE WHEN ok THEN least(size / contracts, 1.0) END AS fill_ratio,
+  CASE WHEN ok THEN delta0 END AS delay_0_delta, CASE WHEN ok THEN delta1 END AS delay_1_delta, CASE WHEN ok THEN delta5 END AS delay_5_delta, (SELECT max(v) FROM ad WHERE ad.trade_id = ex.trade_id AND s = 60) AS adverse_60, (SELECT max(v) FROM ad WHERE ad.trade_id = ex.trade_id AND s = 900) AS adverse_900,
+  CASE WHEN ok THEN trade_id IN (SELECT trade_id FROM li) END AS limit_filled, CASE WHEN ok AND trade_id NOT IN (SELECT trade_id FROM li) THEN gross END AS missed_cost FROM ex)"""
+_MEASURES = "gross_delta conservative_delta spread_cost fill_ratio delay_0_delta delay_1_delta delay_5_delta adverse_60 adverse_900 missed_cost"
+
+
+def _executed(spark, sf):
+    t = S.trades(spark, sf).join(S.ticks(spark, sf).select(F.col("seq").alias("trade_id"), F.round("mid", 3).alias("entry_price")), "trade_id").withColumn("gross_pnl", 10.0 * F.col("contracts"))
+    return E.executions(t, S.ticks(spark, sf), after=(60, 900), timeout=1800)
+
+
+@query(f"WITH {_EX} SELECT trade_id, status, limit_filled, {D.rounded(_MEASURES)} FROM ro")
+def execution_report(spark, sf):
+    return r6(_executed(spark, sf).select("trade_id", "status", "limit_filled", *_MEASURES.split()))
+
+
+@query(f"""WITH {_EX}, lo AS (SELECT unnest({_MEASURES.split()}) AS measure, unnest([{', '.join(_MEASURES.split())}]) AS v FROM ro), nn AS (SELECT *, row_number() OVER (PARTITION BY measure ORDER BY v) - 1 AS i, count(*) OVER (PARTITION BY measure) AS n FROM lo WHERE v IS NOT NULL),
+tl AS (SELECT measure, min(v) AS tail FROM nn WHERE i = round_even((CASE WHEN measure LIKE 'adverse%' THEN 0.95 ELSE 0.05 END)::DOUBLE * (n - 1), 0) AND (measure LIKE 'adverse%' OR measure LIKE 'delay%') GROUP BY 1)
+SELECT measure, count(*) AS samples, round(sum(round(v, 6)::DECIMAL(18, 6))::DOUBLE / count(*), 4) AS mean, round(any_value(tail), 6) AS tail FROM nn LEFT JOIN tl USING (measure) GROUP BY measure""")
+def execution_summary(spark, sf):
+    x = E.execution_summary(_executed(spark, sf), after=(60, 900))
+    return x.withColumns({"mean": F.round("mean", 4), "tail": F.round("tail", 6)})

@@ -292,7 +292,7 @@ def asof_offsets(spark, sf):
 
 
 @query(f"""WITH {D.TICKS}, {_TRADES}, o AS (SELECT trade_id, tr.symbol, entry_time AS "at", side, contracts, round(mid, 3) AS lim FROM tr JOIN ticks ON seq = trade_id),
-h AS (SELECT trade_id, timestamp, CASE WHEN side = 'long' THEN ask ELSE bid END AS price, row_number() OVER (PARTITION BY trade_id ORDER BY timestamp, seq) AS n FROM o JOIN ticks t ON t.symbol = o.symbol AND t.timestamp BETWEEN "at" AND "at" + INTERVAL 2 HOURS
+h AS (SELECT trade_id, timestamp, lim AS price, row_number() OVER (PARTITION BY trade_id ORDER BY timestamp, seq) AS n FROM o JOIN ticks t ON t.symbol = o.symbol AND t.timestamp BETWEEN "at" AND "at" + INTERVAL 2 HOURS
   WHERE (side = 'long' AND ask <= lim AND ask_size >= contracts) OR (side = 'short' AND bid >= lim AND bid_size >= contracts))
 SELECT trade_id, side, h.timestamp AS fill_time, round(price, 6) AS fill_price FROM o LEFT JOIN (SELECT * FROM h WHERE n = 1) h USING (trade_id)""")
 def limit_fill(spark, sf):
