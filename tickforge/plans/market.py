@@ -168,6 +168,20 @@ def vwap_reclaim(spark, sf):
     return f.select("symbol", "timestamp", flag.alias("vwap_reclaim_flag"))
 
 
+_SESSION = "session_high_dist session_low_dist opening_range_high_dist opening_range_low_dist prior_day_high_dist prior_day_low_dist minutes_since_open minutes_to_close spread_ticks bar_body_ratio signed_body_ratio close_zscore_20 volume_absorption_flag bar_volume return_1m return_15m"
+
+
+@query(f"""WITH {D.full()}, p AS (SELECT symbol, day, lag(h) OVER w AS ph, lag(l) OVER w AS pl FROM (SELECT symbol, day, max(high) AS h, min(low) AS l FROM g GROUP BY ALL) WINDOW w AS (PARTITION BY symbol ORDER BY day)),
+m AS (SELECT *, hour(timestamp) * 60 + minute(timestamp) AS mi, row_number() OVER s AS rk, avg(close) OVER (s ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS mean, stddev_pop(close) OVER (s ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS sd, lag(close, 15) OVER s AS c15 FROM g WINDOW s AS (PARTITION BY symbol ORDER BY timestamp)),
+q AS (SELECT m.*, ph, pl, max(high) OVER d AS sh, min(low) OVER d AS sl, max(CASE WHEN mi BETWEEN 480 AND 509 THEN high END) OVER d AS oh, min(CASE WHEN mi BETWEEN 480 AND 509 THEN low END) OVER d AS ol FROM m LEFT JOIN p USING (symbol, day) WINDOW d AS (PARTITION BY symbol, day ORDER BY timestamp)),
+z AS (SELECT symbol, timestamp, close - sh AS session_high_dist, close - sl AS session_low_dist, close - oh AS opening_range_high_dist, close - ol AS opening_range_low_dist, close - ph AS prior_day_high_dist, close - pl AS prior_day_low_dist, mi - 480 AS minutes_since_open, 1200 - mi AS minutes_to_close, avg_spread / 0.25 AS spread_ticks,
+  CASE WHEN rng > 0 THEN abs(close - open) / rng ELSE 0 END AS bar_body_ratio, CASE WHEN rng > 0 THEN (close - open) / rng ELSE 0 END AS signed_body_ratio, CASE WHEN rk >= 20 THEN CASE WHEN sd > 0 THEN (close - mean) / sd ELSE 0 END END AS close_zscore_20,
+  CASE WHEN relative_volume_20 >= 2 AND atr_14 IS NOT NULL AND abs(close - open) <= greatest(atr_14 * 0.15, 0.25) THEN CASE WHEN close >= open THEN -1 ELSE 1 END ELSE 0 END AS volume_absorption_flag, v AS bar_volume, close - pc AS return_1m, close - c15 AS return_15m FROM q)
+SELECT symbol, timestamp, {D.rounded(_SESSION)} FROM z""")
+def session_features(spark, sf):
+    return r6(X.session_features(hourly(spark, sf), 480, 1200).select("symbol", "timestamp", *[F.col(c).cast("double").alias(c) for c in _SESSION.split()]))
+
+
 EMA_SQL = f"""{D.bars(60)}, n AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY timestamp) AS k FROM bars),
 e AS (SELECT symbol, timestamp, k, close, close AS a, close AS b FROM n WHERE k = 1 UNION ALL
   SELECT n.symbol, n.timestamp, n.k, n.close, n.close * (2.0 / 10)::DOUBLE + e.a * (1 - (2.0 / 10)::DOUBLE), n.close * (2.0::DOUBLE / 22) + e.b * (1 - 2.0::DOUBLE / 22) FROM e JOIN n ON n.symbol = e.symbol AND n.k = e.k + 1),
