@@ -109,7 +109,7 @@ def structure_events(bars: DataFrame, left: int = 2, right: int = 2, buffer: flo
 
     Pivots come from windows; what is sequential is a stack of unbroken pivots for each side, one pass a symbol.
     """
-    p = pivots(bars, left, right, tolerance).select("symbol", F.col("confirmed_at").alias("timestamp"), F.when(F.col("is_high"), F.col("high")).alias("top"), F.when(F.col("is_low"), F.col("low")).alias("bottom"))
+    p = pivots(bars, left, right, tolerance).select("symbol", F.col("confirmed_at").alias("timestamp"), F.when(F.col("is_high"), F.col("high")).alias("top"), F.when(F.col("is_low"), F.col("low")).alias("bottom"), F.col("timestamp").alias("pivot_time"))
     d = bars.select("symbol", "timestamp", "close").join(p, ["symbol", "timestamp"], "left")
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
@@ -117,18 +117,18 @@ def structure_events(bars: DataFrame, left: int = 2, right: int = 2, buffer: flo
         tops, bottoms, trend, out = [], [], 0, []
         for r in g.itertuples():
             if r.top == r.top:
-                tops.append(r.top)
+                tops.append((float(r.top), r.pivot_time))
             if r.bottom == r.bottom:
-                bottoms.append(r.bottom)
-            if tops and r.close > tops[-1] + buffer:
-                out.append((r.symbol, r.timestamp, 1, "BOS" if trend == 1 else "CHOCH", float(tops.pop())))
+                bottoms.append((float(r.bottom), r.pivot_time))
+            if tops and r.close > tops[-1][0] + buffer:
+                out.append((r.symbol, r.timestamp, 1, "BOS" if trend == 1 else "CHOCH", *tops.pop()))
                 trend = 1
-            if bottoms and r.close < bottoms[-1] - buffer:
-                out.append((r.symbol, r.timestamp, -1, "BOS" if trend == -1 else "CHOCH", float(bottoms.pop())))
+            if bottoms and r.close < bottoms[-1][0] - buffer:
+                out.append((r.symbol, r.timestamp, -1, "BOS" if trend == -1 else "CHOCH", *bottoms.pop()))
                 trend = -1
-        return pd.DataFrame(out, columns=["symbol", "timestamp", "direction", "event", "level"])
+        return pd.DataFrame(out, columns=["symbol", "timestamp", "direction", "event", "level", "pivot_time"])
 
-    return d.groupBy("symbol").applyInPandas(run, "symbol string, timestamp timestamp_ntz, direction int, event string, level double")
+    return d.groupBy("symbol").applyInPandas(run, "symbol string, timestamp timestamp_ntz, direction int, event string, level double, pivot_time timestamp_ntz")
 
 
 def liquidity_pivots(blocks: DataFrame, marks: DataFrame, clearance: float = 1.0, reach: int = 48) -> DataFrame:

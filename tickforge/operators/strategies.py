@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,45 +21,70 @@ def close_trade(symbol, side, entry, exit_, reasons, costs: dict, contracts: int
 COSTS = {"tick_size": 0.25, "point_value": 20.0, "fees": 5.0, "slippage_ticks": 1}
 
 
-def signal_bars(bars: DataFrame, signal: Column, stop: float | Column, target: float | Column, hold: int, per_day: int = 1, costs: dict = COSTS) -> DataFrame:
-    """One position at a time within a day: entered at the side's close of a signal bar (1 long, -1 short), tested from the next bar on for stop, target and hold, closed at the day's last bar.
+def signal_bars(bars: DataFrame, signal: Column, stop: float | Column, target: float | Column, hold: int, per_day: int = 1, costs: dict = COSTS, session: tuple[int, int, int] = (0, 1439, 1439), contracts: int = 1) -> DataFrame:
+    """One position at a time within a day: entered at the side's close of a signal bar (1 long, -1 short), tested from the next bar on for stop, target, hold and the flatten time, closed at the day's last bar.
 
-    bars: symbol, timestamp, high, low, close, bid_close, ask_close. The signal and distances are columns, so they
-    stay in the JVM; only the choice of trades is a pass over the day.
+    session: first and last minute of the day in which a position may be opened, and the minute from which one is
+    closed; later bars don't count. bars: symbol, timestamp, high, low, close, bid_close, ask_close. The signal and
+    distances are columns, so they stay in the JVM; only the choice of trades is a pass over the day.
     """
     as_col = lambda x: x if isinstance(x, Column) else F.lit(float(x))
-    d = bars.select("symbol", F.to_date("timestamp").alias("day"), "timestamp", "high", "low", "close", "bid_close", "ask_close", F.coalesce(signal.cast("int"), F.lit(0)).alias("signal"), as_col(stop).alias("stop"), as_col(target).alias("target"))
+    minute = F.hour("timestamp") * 60 + F.minute("timestamp")
+    d = bars.select("symbol", F.to_date("timestamp").alias("day"), "timestamp", minute.alias("minute"), "high", "low", "close", "bid_close", "ask_close", F.coalesce(signal.cast("int"), F.lit(0)).alias("signal"), as_col(stop).alias("stop"), as_col(target).alias("target"))
+    first, last, flatten = session
+    d = d.where(F.col("minute").between(first, flatten))
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("timestamp")
-        out, held, n = [], None, 0
-        rows = list(g.itertuples())
-        for k, r in enumerate(rows):
+        out, held, n, r = [], None, 0, None
+        for k, r in enumerate(g.sort_values("timestamp").itertuples()):
             if held:
                 side, entry, low, high, at = held
                 long = side == "long"
+                away = r.bid_close if long else r.ask_close
+                down, up = r.low <= low, r.high >= high
                 hit = None
-                if r.low <= low if long else r.high >= high:
+                if down if long else up:
                     hit = (low if long else high), "stop_loss"
-                elif r.high >= high if long else r.low <= low:
+                elif up if long else down:
                     hit = (high if long else low), "take_profit"
                 elif k - at >= hold:
-                    hit = (r.bid_close if long else r.ask_close), "max_hold"
-                elif k == len(rows) - 1:
-                    hit = (r.bid_close if long else r.ask_close), "flatten"
+                    hit = away, "max_hold"
+                elif flatten < 1439 and r.minute >= flatten:
+                    hit = away, "flatten"
                 if hit:
-                    out.append(close_trade(r.symbol, side, entry, (r.timestamp, float(hit[0])), ("signal", hit[1]), costs))
+                    out.append(close_trade(r.symbol, side, entry, (r.timestamp, float(hit[0])), ("signal", hit[1]), costs, contracts))
                     held = None
-                continue
-            if r.signal and n < per_day and k < len(rows) - 1:
+            elif r.signal and n < per_day and r.minute <= last:
                 side, price = ("long", r.ask_close) if r.signal > 0 else ("short", r.bid_close)
                 low, high = (price - r.stop, price + r.target) if r.signal > 0 else (price - r.target, price + r.stop)
                 held, n = (side, (r.timestamp, float(price)), low, high, k), n + 1
+        if held:
+            out.append(close_trade(r.symbol, held[0], held[1], (r.timestamp, float(r.bid_close if held[0] == "long" else r.ask_close)), ("signal", "end_of_data"), costs, contracts))
         return pd.DataFrame(out, columns=NAMES)
 
     return d.groupBy("symbol", "day").applyInPandas(run, TRADES)
 
 
+def grammar_batch(features: DataFrame, specs: list[dict], hold: int, per_day: int = 1) -> DataFrame:
+    """Trades of many predicate specifications in one job: spec (name), and the columns of a trade.
+
+    specs: name, entry, side, stop, target. Signals of all of them are one array of columns; specifications that agree
+    in all but the name run once.
+    """
+    from ..functions.grammar import compile_node
+    from .variants import stable_hash
+
+    once: dict[str, dict] = {}
+    for s in specs:
+        once.setdefault(stable_hash({k: v for k, v in s.items() if k != "name"}), s)
+    rows = F.array(*[F.struct(F.lit(h).alias("h"), F.when(compile_node(s["entry"], features.columns), 1 if s.get("side", "long") == "long" else -1).otherwise(0).alias("signal"), F.lit(float(s["stop"])).alias("s"), F.lit(float(s["target"])).alias("t")) for h, s in once.items()])
+    d = features.withColumn("x", F.explode(rows)).select(F.concat_ws("|", "symbol", "x.h").alias("symbol"), "timestamp", "high", "low", "close", "bid_close", "ask_close", "x.signal", "x.s", "x.t")
+    out = signal_bars(d, F.col("signal"), F.col("s"), F.col("t"), hold, per_day)
+    names = features.sparkSession.createDataFrame([(s["name"], stable_hash({k: v for k, v in s.items() if k != "name"})) for s in specs], "spec string, h string")
+    out = out.withColumns({"h": F.substring_index("symbol", "|", -1), "symbol": F.substring_index("symbol", "|", 1)})
+    return out.join(names, "h").drop("h")
+
+
 def opening_range(bars: DataFrame, first: int, stop: float, target: float, hold: int = 10_000, costs: dict = COSTS) -> DataFrame:
     """Breakout of the extremes of a day's first bars."""
     from pyspark.sql import Window
@@ -114,71 +137,26 @@ def tick_replay(ticks: DataFrame, opening_minutes: int, stop: float, target: flo
     return d.groupBy("symbol", "day").applyInPandas(run, TRADES)
 
 
-#: State machine of a setup: states and what leads from one to the next.
-IDLE, ARMED, SWEPT, PENDING, OPEN, COOLDOWN = "IDLE", "ARMED", "SWEPT", "PENDING", "OPEN", "COOLDOWN"
-TRANSITIONS = "symbol string, timestamp timestamp_ntz, from_state string, to_state string, price double, reason string"
-
-
-def step(state: dict, bar, ttl: int, cooldown: int, r: float) -> tuple[dict, tuple | None]:
-    """The state after a bar, and the transition that it made (from, to, price, reason). A pure function, for batch and stream alike.
+def event_blocks(bars: DataFrame, events: DataFrame, least: int = 1, most: int = 10_000, tick: float = 0.25, reach: int = 64) -> DataFrame:
+    """The last bar against the direction from an event's pivot to the event itself, if its height in ticks lies within bounds.
 
-    A pivot low arms a setup; a bar that pierces it sweeps, one that closes above it again leaves a limit order
-    there; the order fills or expires (or is cancelled when the target comes first), the position ends at stop
-    or target (stop first), and a pause follows.
+    bars: symbol, timestamp, open, high, low, close; events: symbol, timestamp, direction, pivot_time. A block reaches from
+    the extreme of the bar to the far end of its body. Events meet bars by bins of reach bars from pivot to event.
     """
-    s = dict(state)
-    name, s["age"] = s["name"], s["age"] + 1
-
-    def to(new, price, reason, **more):
-        return s | {"name": new, "age": 0} | more, (name, new, float(price), reason)
-
-    if name == IDLE and bar.pivot_low == bar.pivot_low and bar.pivot_low is not None:
-        return to(ARMED, bar.pivot_low, "pivot", level=float(bar.pivot_low))
-    if name == ARMED:
-        if bar.low < s["level"]:
-            return to(SWEPT, bar.low, "sweep", extreme=float(bar.low))
-        if s["age"] >= ttl:
-            return to(IDLE, bar.close, "setup_expired")
-    if name == SWEPT:
-        s["extreme"] = min(s["extreme"], float(bar.low))
-        if bar.close > s["level"]:
-            risk = s["level"] - s["extreme"]
-            return to(PENDING, s["level"], "reclaim", target=s["level"] + r * risk) if risk > 0 else to(IDLE, bar.close, "no_risk")
-        if s["age"] >= ttl:
-            return to(IDLE, bar.close, "no_reclaim")
-    if name == PENDING:
-        if bar.low <= s["level"]:
-            return to(OPEN, s["level"], "fill")
-        if bar.high >= s["target"]:
-            return to(IDLE, bar.close, "target_reached_before_fill")
-        if s["age"] >= ttl:
-            return to(IDLE, bar.close, "pending_ttl_expired")
-    if name == OPEN:
-        if bar.low <= s["extreme"]:
-            return to(COOLDOWN, s["extreme"], "stop_loss")
-        if bar.high >= s["target"]:
-            return to(COOLDOWN, s["target"], "take_profit")
-    if name == COOLDOWN and s["age"] >= cooldown:
-        return to(IDLE, bar.close, "cooldown_over")
-    return s, None
-
-
-START = {"name": IDLE, "age": 0, "level": 0.0, "extreme": 0.0, "target": 0.0}
-
-
-def state_machine(bars: DataFrame, pivot_lows: DataFrame, ttl: int = 12, cooldown: int = 3, r: float = 2.0, machine: Callable = step) -> DataFrame:
-    """All transitions of a symbol's bars; pivot_lows (symbol, timestamp of confirmation, pivot_low)."""
-    d = bars.join(pivot_lows, ["symbol", "timestamp"], "left").select("symbol", "timestamp", "high", "low", "close", "pivot_low")
+    from .replay import indexed
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        state, out = dict(START), []
-        for bar in g.sort_values("timestamp").itertuples():
-            state, made = machine(state, bar, ttl, cooldown, r)
-            if made:
-                out.append((bar.symbol, bar.timestamp, *made))
-        return pd.DataFrame(out, columns=[c.split()[0] for c in TRANSITIONS.split(", ")])
-
-    return d.groupBy("symbol").applyInPandas(run, TRANSITIONS)
+    b = indexed(bars).select("symbol", "timestamp", "i", "open", "high", "low", "close")
+    at = b.select("symbol", "timestamp", "i")
+    e = events.join(at.withColumnRenamed("i", "event_i"), ["symbol", "timestamp"]).join(at.select("symbol", F.col("timestamp").alias("pivot_time"), F.col("i").alias("pivot_i")), ["symbol", "pivot_time"])
+    bin_ = lambda c: F.floor(F.col(c) / F.lit(reach))
+    x = e.select("symbol", "event_i", "pivot_i", "direction", F.explode(F.sequence(bin_("pivot_i"), bin_("event_i"))).alias("bin")).join(b.withColumn("bin", bin_("i")).drop("timestamp"), ["symbol", "bin"])
+    against = F.when(F.col("direction") == 1, F.col("close") < F.col("open")).otherwise(F.col("close") > F.col("open"))
+    bar = F.max_by(F.struct("open", "high", "low", "close"), "i").alias("b")
+    x = x.where(F.col("i").between(F.col("pivot_i"), F.col("event_i")) & against).groupBy("symbol", "event_i", "direction").agg(F.max("i").alias("origin_i"), bar)
+    low = F.when(F.col("direction") == 1, F.col("b.low")).otherwise(F.least("b.open", "b.close"))
+    high = F.when(F.col("direction") == 1, F.greatest("b.open", "b.close")).otherwise(F.col("b.high"))
+    x = x.select("symbol", "event_i", "direction", "origin_i", low.alias("block_low"), high.alias("block_high"))
+    return x.where(F.bround((F.col("block_high") - F.col("block_low")) / tick).between(least, most))
 
 
 def order_blocks(bars: DataFrame, events: DataFrame, lookback: int = 12) -> DataFrame:

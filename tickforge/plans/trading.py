@@ -320,7 +320,7 @@ _UP, _DOWN = "b.close > list_last(t1) + 0.25", "b.close < list_last(b1) - 0.25"
 SELECT symbol, timestamp, 1 AS direction, CASE WHEN before = 1 THEN 'BOS' ELSE 'CHOCH' END AS event, round(up_level, 6) AS level FROM st WHERE up_level IS NOT NULL
 UNION ALL SELECT symbol, timestamp, -1, CASE WHEN up_level IS NULL AND before = -1 THEN 'BOS' ELSE 'CHOCH' END, round(down_level, 6) FROM st WHERE down_level IS NOT NULL""")
 def structure_events(spark, sf):
-    return r6(R.structure_events(hourly(spark, sf)))
+    return r6(R.structure_events(hourly(spark, sf)).drop("pivot_time"))
 
 
 FOLDS = (date(1992, 1, 1), date(1998, 12, 31), 365, 90, 180, 180, 5, 60)

@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .tables import existing
+
 OHLCV = "ts_event string, rtype int, publisher_id int, instrument_id long, open double, high double, low double, close double, volume long, symbol string"
 #: Names that vendors give to a column, in order of preference: fixed values.
 ALIASES = {"timestamp": ["ts_event", "timestamp", "ts_recv", "time"], "bid": ["bid_px_00", "bid", "bid_price"], "ask": ["ask_px_00", "ask", "ask_price"], "bid_size": ["bid_sz_00", "bid_size"], "ask_size": ["ask_sz_00", "ask_size"]}
@@ -76,6 +78,15 @@ def binary_ticks(spark: SparkSession, path: str, scale: float = 1000.0) -> DataF
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "path string, ms long, bid double, ask double, bid_size double, ask_size double")
 
 
+def hourly_ticks(spark: SparkSession, path: str, scale: float = 1000.0) -> DataFrame:
+    """Ticks of binary hour files with symbol and time, both from the path: SYMBOL/year/month/day/hour..., months from 0."""
+    part = lambda k: F.regexp_extract("path", r"([A-Za-z0-9.]+)/(\d{4})/(\d{2})/(\d{2})/(\d{2})h?[^/]*$", k)
+    num = lambda k: part(k).cast("int")
+    hour = F.make_timestamp_ntz(num(2), num(3) + 1, num(4), num(5), F.lit(0), F.lit(0))
+    d = binary_ticks(spark, path, scale).select(part(1).alias("symbol"), (hour + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.col("ms") / F.lit(1000).cast("decimal(10,0)"))).alias("timestamp"), "bid", "ask", "bid_size", "ask_size")
+    return d.withColumns({"mid": (F.col("bid") + F.col("ask")) / 2, "spread": F.col("ask") - F.col("bid")})
+
+
 def event_calendar(spark: SparkSession, path: str) -> DataFrame:
     """Events of JSON calendars, one row for each affected symbol."""
     d = spark.read.option("multiLine", True).json(path).select("calendar_id", F.explode("events").alias("e")).select("calendar_id", "e.*")
@@ -93,12 +104,7 @@ def write_days(d: DataFrame, path: str, time: str = "timestamp", force: bool = F
     """Parquet by symbol and day; days that are there stay unless forced, and then only days of the new rows are replaced."""
     spark = d.sparkSession
     d = d.withColumn("date", F.to_date(time))
-    try:
-        present = spark.read.parquet(path).select("symbol", F.col("date").cast("date").alias("date")).distinct()
-    except Exception as e:  # nothing is there yet
-        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-            raise
-        present = None
-    if present is not None and not force:
+    if not force and existing(spark, [path]):
+        present = spark.read.schema("symbol string, date date").parquet(path).select("symbol", "date").distinct()
         d = d.join(present, ["symbol", "date"], "left_anti")
     d.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("symbol", "date").parquet(path)
