@@ -114,6 +114,12 @@ def grouping_sets(edges: DataFrame, keys: list[str], sets: list[list[str]]) -> D
     return x.groupBy("set", *keys).agg(F.count("*").alias("edges"), F.sum("n").alias("trades"), (F.sum("won") / F.sum("n")).alias("win_probability")).drop("set")
 
 
+def over_years(ledger: DataFrame, keys: list[str]) -> DataFrame:
+    """Statistics of each key by year, then over the years: weighted win rate, years with a profit, worst year."""
+    y = ledger.groupBy(*keys, F.year("ts").alias("year")).agg(F.count("*").alias("n"), F.avg((F.col("pnl") > 0).cast("double")).alias("rate"), F.sum("pnl").alias("net"))
+    return y.groupBy(*keys).agg(F.sum("n").alias("n"), (F.sum(F.col("rate") * F.col("n")) / F.sum("n")).alias("win_rate"), F.count_if(F.col("net") > 0).alias("positive_years"), F.count("*").alias("years"), F.min("net").cast("double").alias("worst_year"), F.sum("net").cast("double").alias("net"))
+
+
 def level_stats(signals: DataFrame, levels: dict[str, list[str]], pnl: str = "pnl") -> DataFrame:
     """The same over several sets of keys at once; level names the set, keys that it doesn't have are null."""
     every = list(dict.fromkeys(k for ks in levels.values() for k in ks))

@@ -231,11 +231,14 @@ def rule_stats(spark, sf):
     return r6(out.withColumn("tag", F.when(F.col("rule").contains("breakout"), "breakout")))
 
 
-@query(f"""WITH {_SIG}, g AS (SELECT scan_type, direction, session_bucket, count(*) AS n, avg(CASE WHEN p > 0 THEN 1.0 ELSE 0.0 END) AS wr FROM e GROUP BY ALL HAVING count(*) >= 2)
-SELECT scan_type, direction, session_bucket, count(*) AS edges, sum(n)::BIGINT AS trades, round(sum(wr * n) / sum(n), 6) AS win_probability FROM g GROUP BY GROUPING SETS ((scan_type), (direction), (session_bucket), (scan_type, direction), ())""")
+BASKET_KEYS = ["scan_type", "direction", "session_bucket", "trend_bin", "volume_bin"]
+BASKETS = [["scan_type"], ["direction"], ["session_bucket"], ["trend_bin"], ["volume_bin"], ["scan_type", "direction"], ["scan_type", "session_bucket"], ["session_bucket", "trend_bin"], ["session_bucket", "volume_bin"], ["trend_bin", "volume_bin"], ["session_bucket", "trend_bin", "volume_bin"], ["scan_type", "direction", "session_bucket"], []]
+
+
+@query(f"""WITH {_SIG}, g AS (SELECT {', '.join(BASKET_KEYS)}, count(*) AS n, avg(CASE WHEN p > 0 THEN 1.0 ELSE 0.0 END) AS wr FROM e GROUP BY ALL HAVING count(*) >= 2)
+SELECT {', '.join(BASKET_KEYS)}, count(*) AS edges, sum(n)::BIGINT AS trades, {_half_up('sum(wr * n) / sum(n)')} AS win_probability FROM g GROUP BY GROUPING SETS ({', '.join('(' + ', '.join(b) + ')' for b in BASKETS)})""")
 def basket_groups(spark, sf):
-    g = C.edge_stats(signals(spark, sf), ["scan_type", "direction", "session_bucket"], least=2)
-    return r6(C.grouping_sets(g, ["scan_type", "direction", "session_bucket"], [["scan_type"], ["direction"], ["session_bucket"], ["scan_type", "direction"], []]))
+    return r6(C.grouping_sets(C.edge_stats(signals(spark, sf), BASKET_KEYS, least=2), BASKET_KEYS, BASKETS))
 
 
 EDGES = [(1, "trend_pullback_reclaim", 1, "day", 1, None, None, 2.0), (2, "trend_pullback_reclaim", -1, "night", -1, 0, None, 1.5), (3, "low_volume_drift", 1, "evening", None, None, None, 1.0), (4, "zscore_mean_reversion", -1, "day", None, None, 0, 2.5),
@@ -251,6 +254,16 @@ def edge_match(spark, sf):
     return s.join(e, ["scan_type", "direction", "session_bucket", "trend_bin", "volume_bin"]).select("edge_id", "symbol", "timestamp", "take_profit")
 
 
+FULL_EDGES = [(k, "trend_pullback_reclaim", d, b, w, d, v, r, 1.0 + k % 3) for k, (d, b, w, v, r) in enumerate((d, b, w, v, r) for d in (1, -1) for b in ("day", "night") for w in range(7) for v in (-1, 0, 1) for r in (-1, 0, 1))]
+_FULL_EDGES = "ef(edge_id, scan_type, direction, session_bucket, dow, trend_bin, volume_bin, range_bin, take_profit) AS (VALUES " + ", ".join(map(str, FULL_EDGES)) + ")"
+
+
+@query(f"WITH {_SIG}, {_FULL_EDGES} SELECT edge_id, symbol, timestamp, take_profit::DOUBLE AS take_profit FROM s JOIN ef USING (scan_type, direction, session_bucket, dow, trend_bin, volume_bin, range_bin)")
+def edge_match_full(spark, sf):
+    e = spark.createDataFrame(FULL_EDGES, "edge_id int, scan_type string, direction int, session_bucket string, dow int, trend_bin int, volume_bin int, range_bin int, take_profit double")
+    return C.scan(frame(spark, sf), C.SET_A).join(F.broadcast(e), C.KEYS).select("edge_id", "symbol", "timestamp", "take_profit")  # 252 rows
+
+
 @query(f"""WITH {_SIG}, {_EDGES} SELECT edge_id, symbol, timestamp, take_profit::DOUBLE AS take_profit FROM s JOIN ed ON s.scan_type = ed.scan_type AND s.direction = ed.direction AND s.session_bucket = ed.session_bucket
   AND (ed.trend_bin IS NULL OR ed.trend_bin = s.trend_bin) AND (ed.volume_bin IS NULL OR ed.volume_bin = s.volume_bin) AND (ed.range_bin IS NULL OR ed.range_bin = s.range_bin)""")
 def edge_wildcard(spark, sf):
@@ -358,3 +371,10 @@ SELECT symbol, timestamp, round(coalesce(n.open, o.open), 6) AS open, round(coal
 def bar_upsert(spark, sf):
     o = hourly(spark, sf).select("symbol", "timestamp", "open", "close")
     return r6(J.upsert(o, o.where(F.hour("timestamp") % 4 == 0).withColumn("close", F.col("close") + 1), ["symbol", "timestamp"]))
+
+
+@query("""WITH y AS (SELECT o_orderpriority AS grp, o_orderstatus AS status, year(o_orderdate) AS year, count(*) AS n, count(*) FILTER (o_totalprice > 250000) / count(*) AS rate, sum(round(o_totalprice - 250000, 2)::DECIMAL(18, 2)) AS net FROM orders GROUP BY ALL)
+SELECT grp, status, sum(n)::BIGINT AS n, round(round(sum(rate * n) / sum(n), 9), 6) AS win_rate, count(*) FILTER (net > 0) AS positive_years, count(*) AS years, min(net)::DOUBLE AS worst_year, sum(net)::DOUBLE AS net FROM y GROUP BY ALL""")
+def yearly_then_all(spark, sf):
+    o = S.order_pnl(spark, sf).withColumn("pnl", F.round("pnl", 2).cast("decimal(18,2)"))
+    return r6(C.over_years(o, ["grp", "status"]))

@@ -210,7 +210,7 @@ def replay_inputs(spark, sf):
     s = f.withColumn("x", F.explode(F.array_compact(hits))).selectExpr("symbol", "i", "x.direction", "close AS entry", "x.regime")
     s = s.withColumns({"signal_id": F.col("i") * 10 + F.when(F.col("regime") == "pullback", 0).otherwise(4) + F.col("direction") + 1, "stop": F.col("entry") - 4 * F.col("direction"), "target": F.col("entry") + 6 * F.col("direction")})
     s = s.withColumn("signal_id", F.concat_ws(":", "symbol", "signal_id"))
-    return s, f.select("symbol", "i", "high", "low", "close")
+    return s, f.select("symbol", "i", "timestamp", "high", "low", "close")
 
 
 def exits(spark, sf):
@@ -254,6 +254,18 @@ def multi_slot_replay(spark, sf):
     return R.select_signals(exits(spark, sf), 4).select("symbol", "signal_id", "i", "exit_i")
 
 
+_FLAT = _RP.replace("AND b.i > s0.i AND b.i <= s0.i + 12)", "AND b.i > s0.i AND b.i <= s0.i + 12 JOIN ix a ON a.symbol = s0.symbol AND a.i = s0.i AND a.day = b.day)").replace("'time') AS reason", "CASE WHEN max(bi) < any_value(si) + 12 THEN 'date_change' ELSE 'time' END) AS reason").replace("SELECT s0.symbol, signal_id, b.i AS bi", "SELECT s0.symbol, signal_id, s0.i AS si, b.i AS bi")
+
+
+@query(f"""WITH RECURSIVE {_FLAT}, od AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY i, symbol || ':' || signal_id) AS k FROM xs), pick AS (SELECT symbol, k, signal_id, i, exit_i, reason, true AS taken, [exit_i] AS open FROM od WHERE k = 1 UNION ALL
+  SELECT od.symbol, od.k, od.signal_id, od.i, od.exit_i, od.reason, len({_STILL}) < 3, CASE WHEN len({_STILL}) < 3 THEN list_append({_STILL}, od.exit_i) ELSE {_STILL} END FROM pick p JOIN od ON od.symbol = p.symbol AND od.k = p.k + 1)
+SELECT symbol, symbol || ':' || signal_id AS signal_id, i::INT AS i, exit_i::INT AS exit_i, reason FROM pick WHERE taken""")
+def basket_replay(spark, sf):
+    """Three slots; positions are closed at the last bar of their day."""
+    s, b = replay_inputs(spark, sf)
+    return R.select_signals(R.exit_sim(s, b, 12, flatten=True), 3).select("symbol", "signal_id", "i", "exit_i", "reason")
+
+
 _REST = "od.i - coalesce(CASE od.regime WHEN 'pullback' THEN p.last_p ELSE p.last_d END, -1000) >= 5"
 
 
