@@ -488,7 +488,8 @@ def encode_flac(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 def decode_flac(media: DataFrame, *, id_col: str = "doc_id") -> DataFrame:
     """Adds pcm (the payload, unsigned 8-bit), blocks (sample offset, byte offset in flac and samples of each block) and feature to the rows of encode_flac.
 
-    A stream whose checksums don't match raises an error. A null flac gives nulls.
+    A stream whose checksums don't match raises an error. A null flac gives nulls. Rows with null or repeated ids are
+    decoded each for itself, equal streams to equal values; an empty table gives no rows; other columns are ignored.
     """
     kind = media.schema[id_col].dataType.simpleString()
     block = pa.struct([("sample_offset", pa.int64()), ("byte_offset", pa.int64()), ("samples", pa.int32())])

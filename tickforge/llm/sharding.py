@@ -42,8 +42,8 @@ def stratified_shards(docs: DataFrame, shards: int = 24, *, id_col: str = "doc_i
     could not be, under this law).
 
     A null text counts as empty (size 8, CRC 0); a null stratum is a stratum of its own; rows with null or
-    repeated ids are placed like others; rows equal in every input fill adjacent places of one order. An empty
-    table gives no rows. Other columns of docs, whatever their names, are ignored.
+    repeated ids are placed like others; rows equal in every input fill adjacent places of one order. Texts of any
+    length count whole. An empty table gives no rows. Other columns of docs, whatever their names, are ignored.
     """
     if shards < 1:
         raise ValueError("shards must be at least 1")

@@ -12,6 +12,8 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .scratch import Scratch
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: (host, path, verdict): fixed values of the query.
 RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
@@ -64,7 +66,7 @@ def mine_rules(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confid
 
 def match_rules(tokens: DataFrame, rules: DataFrame) -> DataFrame:
     """For each distinct `tokens` array the verdict of the surest rule it holds (then best supported, then first by name); arrays without one are absent."""
-    rules = rules.persist()  # small; mined once
+    rules = Scratch(tokens.sparkSession, "url_filter").table(rules, "rules")  # mined once
     count = rules.count()
     df = rules.select(F.explode("antecedent").alias("token")).groupBy("token").agg(F.count("*").alias("uses"))
     keyed = rules.select("*", F.explode("antecedent").alias("token")).join(df, "token")
@@ -82,8 +84,8 @@ def filter_urls(pages: DataFrame, rules=RULES, *, id_col: str = "page_id", url_c
 
     URLs that an explicit rule fits take its verdict and are the labelled rows of the mining; the rest take that
     of the best mined rule, and `allow` if none matches. A null url has empty host and path, no rule and
-    `allow`. Rows with null or repeated ids are judged like others; other columns are ignored; an empty table
-    gives no rows.
+    `allow`. Rows with null or repeated ids are judged like others; URLs of any length are taken whole; other
+    columns, whatever their names, are ignored; an empty table gives no rows.
     """
     host, path = url_host_path(F.col(url_col))
     urls = pages.select(F.col(id_col).alias("id"), host.alias("host"), path.alias("path"))

@@ -216,8 +216,8 @@ def write_warc(pages: DataFrame, root: str, least_bytes: int = 0, file_bytes: in
 
     A null html is an empty payload, a null url an empty target, a null page_id an empty id (such rows sort
     first; a group whose ids are all null is all responses). Rows that agree in id and payload: the first is
-    the response or revisit that its group makes it, the others revisit it. Other columns are ignored. An empty
-    table gives an empty manifest.
+    the response or revisit that its group makes it, the others revisit it. Payloads of any length are one record
+    each. Other columns, whatever their names, are ignored. An empty table gives an empty manifest.
     """
     spark = pages.sparkSession
     cell = F.floor(F.col("page_id") / CELL_IDS)
@@ -250,7 +250,11 @@ def write_warc(pages: DataFrame, root: str, least_bytes: int = 0, file_bytes: in
 
 
 def read_warc(spark: SparkSession, root: str) -> DataFrame:
-    """The records of an archive (RECORDS); digests, counts and files are verified against headers and manifest."""
+    """The records of an archive (RECORDS); digests, counts and files are verified against headers and manifest.
+
+    A row for each row that was written, repeated ones too; null ids, urls and payloads come back as null, null and
+    empty; an empty archive gives no rows.
+    """
     manifest = spark.read.schema(MANIFEST).parquet(f"{root}/manifest")
     files = max(1, min(manifest.count(), 20_000))
     return manifest.repartition(files, "file").mapInArrow(_read(), RECORDS)
