@@ -27,10 +27,10 @@ def _folder(spark) -> str:
     return f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
-def _arrivals(spark, sf, folder: str, parts: int = 4) -> DataFrame:
-    """Ticks as files in order of time, and a last tick far ahead that moves the watermark past all others."""
+def _arrivals(spark, sf, folder: str, parts: int = 4, by_symbol: bool = True) -> DataFrame:
+    """Ticks as files in order of time (or by their numbers, so that bars arrive in parts), and a last tick far ahead that moves the watermark past all others."""
     t = S.ticks(spark, sf)
-    n = F.ntile(parts).over(Window.partitionBy("symbol").orderBy("timestamp", "seq"))
+    n = F.ntile(parts).over(Window.partitionBy("symbol").orderBy("timestamp", "seq")) if by_symbol else (F.col("seq") % parts + 1).cast("int")
     t = t.withColumn("part", n)
     for k in range(1, parts + 1):  # files arrive one after the other
         t.where(F.col("part") == k).drop("part").coalesce(1).write.mode("append").parquet(folder)
@@ -68,8 +68,39 @@ def stream_lookback_signal(spark, sf):
     return r6(spark.read.parquet(f"{at}/out").select("symbol", F.col("timestamp").cast("timestamp_ntz").alias("timestamp"), "z"))
 
 
-QUERIES |= {"stream_minute_bars": stream_minute_bars, "stream_dedupe": stream_dedupe, "stream_cooldown": stream_cooldown, "stream_lookback_signal": stream_lookback_signal}
+def stream_upsert_bars(spark, sf):
+    """Bars as they stand after every micro-batch: later versions of a bar replace earlier ones."""
+    at = _folder(spark)
+    T.upsert_available(T.minute_bars(_arrivals(spark, sf, f"{at}/in", by_symbol=False), 60, "40 days"), f"{at}/out", f"{at}/state", ["symbol", "timestamp"])
+    out = T.last_version(spark, f"{at}/out", ["symbol", "timestamp"]).where("symbol <> 'end'")
+    return r6(out.withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz")).withColumn("tick_count", F.col("tick_count").cast("int")))
+
+
+def stream_merge(spark, sf):
+    """Repeated reports of one order: equal ones count once, gaps are filled by later ones, and a different value is a conflict."""
+    at = _folder(spark)
+    e = S.table(spark, sf, "events").select(F.col("user_id").alias("key"), F.col("ts").alias("timestamp"), F.col("event_id").alias("seq"), F.when(F.col("event_id") % 3 > 0, F.col("event_type")).alias("kind"))
+    parts = e.withColumn("part", F.ntile(3).over(Window.partitionBy(F.col("seq") % 8).orderBy("seq")))
+    for k in range(1, 4):
+        parts.where(F.col("part") == k).drop("part").coalesce(1).write.mode("append").parquet(f"{at}/in")
+    T.run_available(T.merged_reports(T.tick_stream(spark, f"{at}/in", e.schema), ["kind"]), f"{at}/out", f"{at}/state", "append")
+    return spark.read.parquet(f"{at}/out").groupBy("outcome").agg(F.count("*").alias("n"))
+
+
+def stream_plans(spark, sf):
+    """Signals that are planned: each hash once, so many a day and symbol."""
+    at = _folder(spark)
+    s = _arrivals(spark, sf, f"{at}/in").where("symbol <> 'end'").withColumn("hash", F.sha2(F.concat_ws("|", "symbol", F.date_trunc("hour", "timestamp").cast("string")), 256))
+    T.run_available(T.planned(s, 5), f"{at}/out", f"{at}/state")
+    return spark.read.parquet(f"{at}/out").select("symbol", F.col("timestamp").cast("timestamp_ntz").alias("timestamp"), "seq")
+
+
+QUERIES |= {"stream_upsert_bars": stream_upsert_bars, "stream_merge": stream_merge, "stream_plans": stream_plans, "stream_minute_bars": stream_minute_bars, "stream_dedupe": stream_dedupe, "stream_cooldown": stream_cooldown, "stream_lookback_signal": stream_lookback_signal}
 ORACLE |= {
+    "stream_upsert_bars": f"WITH {D.bars(60)} SELECT symbol, timestamp, tick_count, {D.rounded('open high low close')} FROM bars",
+    "stream_plans": f"""WITH {D.TICKS}, f AS (SELECT *, row_number() OVER (PARTITION BY symbol, date_trunc('hour', timestamp) ORDER BY timestamp, seq) AS k FROM ticks), d AS (SELECT *, row_number() OVER (PARTITION BY symbol, timestamp::DATE ORDER BY timestamp, seq) AS n FROM f WHERE k = 1) SELECT symbol, timestamp, seq FROM d WHERE n <= 5""",
+    "stream_merge": """WITH RECURSIVE o AS (SELECT user_id AS key, event_id AS seq, CASE WHEN event_id % 3 > 0 THEN event_type END AS kind, ntile(3) OVER (PARTITION BY event_id % 8 ORDER BY event_id) AS part FROM events), n AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY part, seq) AS k FROM o),
+m AS (SELECT key, k, kind AS held, 'new' AS outcome FROM n WHERE k = 1 UNION ALL SELECT n.key, n.k, coalesce(m.held, n.kind), CASE WHEN n.kind IS NULL OR n.kind = m.held THEN 'duplicate' WHEN m.held IS NULL THEN 'enriched' ELSE 'conflict' END FROM m JOIN n ON n.key = m.key AND n.k = m.k + 1) SELECT outcome, count(*) AS n FROM m GROUP BY outcome""",
     "stream_minute_bars": f"WITH {D.bars(15)} SELECT symbol, timestamp, tick_count, {D.rounded('open high low close')} FROM bars",
     "stream_dedupe": f"WITH {D.TICKS} SELECT DISTINCT symbol, date_trunc('hour', timestamp) AS slot FROM ticks",
     "stream_cooldown": f"""WITH RECURSIVE {D.TICKS}, n AS (SELECT symbol, timestamp, seq, row_number() OVER (PARTITION BY symbol ORDER BY timestamp, seq) AS k FROM ticks),

@@ -65,6 +65,62 @@ def lookback_signals(bars: DataFrame, n: int = 20, z: float = 1.5) -> DataFrame:
     return bars.groupBy("symbol").applyInPandasWithState(run, "symbol string, timestamp timestamp, z double", "past array<double>", "append", GroupStateTimeout.NoTimeout)
 
 
+def merged_reports(reports: DataFrame, columns: list[str]) -> DataFrame:
+    """What each report (key, timestamp, seq and columns) is to those of its key before: new, duplicate (adds nothing), enriched (fills a gap) or conflict (a value differs; the first stays). The state is a row a key."""
+    fields = ", ".join(f"{c} string" for c in columns)
+
+    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = list(state.get) if state.exists else None
+        out = []
+        for r in pd.concat(list(frames)).sort_values("seq").itertuples():
+            own = [getattr(r, c) for c in columns]
+            own = [None if v is None or v != v else v for v in own]
+            if held is None:
+                held, kind = own, "new"
+            else:
+                differs = any(a is not None and b is not None and a != b for a, b in zip(held, own))
+                fills = any(a is None and b is not None for a, b in zip(held, own))
+                kind = "conflict" if differs else "enriched" if fills else "duplicate"
+                if not differs:
+                    held = [a if a is not None else b for a, b in zip(held, own)]
+            out.append((r.key, r.seq, kind))
+        if held is not None:
+            state.update(tuple(held))
+        yield pd.DataFrame(out, columns=["key", "seq", "outcome"])
+
+    return reports.groupBy("key").applyInPandasWithState(run, "key long, seq long, outcome string", fields, "append", GroupStateTimeout.NoTimeout)
+
+
+def planned(signals: DataFrame, a_day: int, late: str = "10 minutes") -> DataFrame:
+    """Signals (symbol, timestamp, seq, hash) whose hash was not planned before, up to a number a day and symbol; the state is the latest day's hashes of a symbol."""
+    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        day, seen, n = state.get if state.exists else (None, [], 0)
+        seen, rows, keep = list(seen), pd.concat(list(frames)).sort_values(["timestamp", "seq"]), []
+        for r in rows.itertuples():
+            if (today := str(r.timestamp.date())) != day:
+                day, seen, n = today, [], 0
+            ok = r.hash not in seen and n < a_day
+            if ok:
+                seen.append(r.hash)
+                n += 1
+            keep.append(ok)
+        state.update((day, seen, n))
+        yield rows[keep][["symbol", "timestamp", "seq"]]
+
+    return signals.withWatermark("timestamp", late).groupBy("symbol").applyInPandasWithState(run, "symbol string, timestamp timestamp, seq long", "day string, seen array<string>, n int", "append", GroupStateTimeout.NoTimeout)
+
+
+def fresh(quotes: DataFrame, seconds: int, now: str = "current_timestamp()") -> DataFrame:
+    """Adds age in seconds and whether a quote is stale by now."""
+    age = F.expr(f"timestampdiff(MICROSECOND, cast(timestamp AS timestamp), cast({now} AS timestamp)) / 1e6D")
+    return quotes.withColumn("age", age).withColumn("stale", F.col("age") > seconds)
+
+
+def simulated(spark: SparkSession, start: str, seconds: int, count: int) -> DataFrame:
+    """Trigger events at a fixed step: seq, timestamp."""
+    return spark.range(count).select(F.col("id").alias("seq"), (F.lit(start).cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), (F.col("id") * seconds).cast("int"))).alias("timestamp"))
+
+
 def run_available(stream: DataFrame, out: str, checkpoint: str, mode: str = "append") -> None:
     """Handles all that is there and ends; out is a Parquet folder, exactly once by the checkpoint."""
     q = stream.writeStream.outputMode(mode).format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
