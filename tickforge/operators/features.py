@@ -11,6 +11,13 @@ from ..functions.windows import UP, day_window, frame, full, steps, symbol_windo
 #: Bars of a day that are counted one by one for a percentile.
 PERCENTILE_RUN = 32
 
+def prior_day(bars: DataFrame) -> DataFrame:
+    """Adds the levels of the trading day before, from a frame of days: no join, and nothing is done for levels that aren't used."""
+    d = bars.withColumn("day_number", F.dense_rank().over(Window.partitionBy("symbol").orderBy("day")))
+    before = Window.partitionBy("symbol").orderBy("day_number").rangeBetween(-1, -1)
+    return d.withColumns({"prior_day_high": F.max("high").over(before), "prior_day_low": F.min("low").over(before), "prior_day_close": F.max_by("close", "timestamp").over(before)}).drop("day_number")
+
+
 def frame_features(bars: DataFrame, opening: tuple[int, int] = (0, 179)) -> DataFrame:
     """Features whose frames end before the current bar and may be partly filled."""
     d = bars.withColumn("day", F.to_date("timestamp")).withColumn("minute", F.hour("timestamp") * 60 + F.minute("timestamp")).withColumn("dow", F.dayofweek("timestamp") - 1)
@@ -28,10 +35,7 @@ def frame_features(bars: DataFrame, opening: tuple[int, int] = (0, 179)) -> Data
         "session_vwap": F.sum(F.expr("(high + low + close) / 3") * weight).over(day_window().rowsBetween(UP, 0)) / F.sum(weight).over(day_window().rowsBetween(UP, 0)),
         "session_high_prev": F.max("high").over(before), "session_low_prev": F.min("low").over(before), "session_open": F.first("open").over(day_window().rowsBetween(UP, 0)),
         "opening_high_prev": F.max(F.when(inside, F.col("high"))).over(before), "opening_low_prev": F.min(F.when(inside, F.col("low"))).over(before)})
-    days = d.groupBy("symbol", "day").agg(F.max("high").alias("h"), F.min("low").alias("l"), F.max_by("close", "timestamp").alias("c"))
-    w = Window.partitionBy("symbol").orderBy("day")
-    days = days.select("symbol", "day", *[F.lag(a).over(w).alias(b) for a, b in (("h", "prior_day_high"), ("l", "prior_day_low"), ("c", "prior_day_close"))])
-    d = d.join(days, ["symbol", "day"], "left")
+    d = prior_day(d)
     ratio = lambda a, b, other: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(F.lit(other))
     d = d.withColumns({
         "volume_ratio": ratio("tick_count", "vol50", 1.0), "range_ratio": ratio("rng", "range20", 1.0), "vwap_dist": F.col("close") - F.col("session_vwap"),
@@ -143,10 +147,7 @@ def session_features(bars: DataFrame, first: int, last: int, tick: float = 0.25,
     here = day_window().rowsBetween(UP, 0)
     inside = (F.col("minute") - first).between(0, opening - 1)
     levels = {"session_high": F.max("high").over(here), "session_low": F.min("low").over(here), "opening_range_high": F.max(F.when(inside, F.col("high"))).over(here), "opening_range_low": F.min(F.when(inside, F.col("low"))).over(here)}
-    days = d.groupBy("symbol", "day").agg(F.max("high").alias("h"), F.min("low").alias("l"))
-    w = Window.partitionBy("symbol").orderBy("day")
-    days = days.select("symbol", "day", F.lag("h").over(w).alias("prior_day_high"), F.lag("l").over(w).alias("prior_day_low"))
-    d = d.join(days, ["symbol", "day"], "left").withColumns(levels)
+    d = prior_day(d).withColumns(levels)
     body, rng = F.col("close") - F.col("open"), F.col("high") - F.col("low")
     share = lambda c: F.when(rng > 0, c / rng).otherwise(0.0)
     mean, sd = full(F.avg, "close", 20), full(F.stddev_pop, "close", 20)
