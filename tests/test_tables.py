@@ -104,3 +104,17 @@ def test_reports_and_orders(spark, tmp_path):
     assert sorted(r.value for r in sinks.order_lines(t, "Sim").collect())[0].startswith("PLACE;Sim;NQ;BUY;2;MARKET")
     sinks.write_json_lines(t.select("trade_id", F.lit(None).cast("int").alias("x")), f"{tmp_path}/j")
     assert spark.read.text(f"{tmp_path}/j").first().value == '{"trade_id":"t1","x":null}'
+
+
+def test_days_are_derived_once(spark, tmp_path):
+    asked = []
+
+    def make(days):
+        asked.append(days)
+        return spark.createDataFrame([(d, len(asked)) for d in days], "date string, n int").withColumn("date", F.col("date").cast("date"))
+
+    at = f"{tmp_path}/cache"
+    assert sinks.cached_days(spark, at, ["2024-01-01"], make).count() == 1
+    got = sinks.cached_days(spark, at, ["2024-01-01", "2024-01-02"], make)
+    assert asked == [["2024-01-01"], ["2024-01-02"]] and sorted(r.n for r in got.collect()) == [1, 2]
+    assert sinks.cached_days(spark, at, ["2024-01-02"], make).count() == 1 and len(asked) == 2

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .joins import asof, limit_fills
@@ -60,3 +60,15 @@ def execution_summary(rows: DataFrame, delays: tuple = (0, 1, 5), after: tuple =
         t = nearest_rank(long.where(F.col("measure").isin([n for n, p in ranked.items() if p == q])), ["measure"], "v", q)
         tails = t if tails is None else tails.unionByName(t)
     return out.join(tails.withColumnRenamed("value", "tail"), "measure", "left")
+
+
+def paper_replay(trades: DataFrame, start: float = 100_000.0) -> DataFrame:
+    """Fills of trades in order of time, with the position and the equity of each symbol after them. trades: trade_id, symbol, side, entry_time, exit_time, entry_price, exit_price, contracts, pnl.
+
+    A trade's profit counts at its exit. At one time exits come before entries, then in order of trade_id.
+    """
+    sign = F.when(F.col("side") == "long", 1).otherwise(-1)
+    leg = lambda k, rank: F.struct(F.lit(k).alias("leg"), F.lit(rank).alias("rank"), F.col(f"{k}_time").alias("time"), F.col(f"{k}_price").alias("price"), (sign * F.col("contracts") * (1 if k == "entry" else -1)).alias("quantity"), (F.col("pnl") if k == "exit" else F.lit(0).cast(trades.schema["pnl"].dataType)).alias("realized"))
+    x = trades.select("trade_id", "symbol", F.explode(F.array(leg("entry", 1), leg("exit", 0))).alias("f")).select("trade_id", "symbol", "f.*")
+    w = Window.partitionBy("symbol").orderBy("time", "rank", "trade_id").rowsBetween(Window.unboundedPreceding, 0)
+    return x.withColumns({"position": F.sum("quantity").over(w), "equity": F.lit(start) + F.sum("realized").over(w)}).drop("rank", "realized")

@@ -34,6 +34,32 @@ def in_folds(ledger: DataFrame, folds: DataFrame) -> DataFrame:
     return interval_join(ledger, spans, "ts", "__a", "__b", 32 * 86_400).drop("__a", "__b")
 
 
+def overlapping_tests(folds: DataFrame) -> DataFrame:
+    """Folds whose test part begins before the test part of an earlier one has ended; without any, results of all folds may be added."""
+    from pyspark.sql import Window
+
+    t = folds.where("split = 'test'")
+    before = F.max("to_day").over(Window.partitionBy().orderBy("from_day", "fold").rowsBetween(Window.unboundedPreceding, -1))  # a row a fold
+    return t.withColumn("before", before).where("before >= from_day").select("fold", "from_day", "before")
+
+
+def independent_tests(folds: list[tuple[int, date, date]]) -> list[int]:
+    """Folds taken in order as long as their test parts don't overlap."""
+    out, end = [], None
+    for fold, a, b in sorted(folds, key=lambda f: (f[1], f[0])):
+        if end is None or a > end:
+            out.append(fold)
+            end = b
+    return out
+
+
+def concentration(ledger: DataFrame, by: list[str]) -> DataFrame:
+    """How much of a group's trades and profit comes from its largest day: days, most trades a day, shares of both."""
+    days = ledger.groupBy(*by, F.to_date("ts").alias("day")).agg(F.count("*").alias("n"), F.sum("pnl").alias("net"))
+    gain = F.sum(F.when(F.col("net") > 0, F.col("net")))
+    return days.groupBy(*by).agg(F.count("*").alias("days"), F.max("n").alias("most"), (F.max("n") / F.sum("n")).alias("trade_share"), (F.max("net") / gain).alias("gain_share"))
+
+
 def walk_forward(ledger: DataFrame, folds: DataFrame, keys: list[str], least: int, win_rate: float) -> DataFrame:
     """Rules that qualify in training and their results in the test part of the same fold."""
     x = in_folds(ledger, folds)

@@ -9,10 +9,11 @@ from ..operators import joins as J
 from ..operators import metrics as M
 from ..operators import replay as R
 from ..operators import research as Y
+from ..operators import validation as V
 from ..sources import fixtures as S
 from . import sqlbase as D
 from .market import hourly, r6
-from .trading import _EQ, _O, r2
+from .trading import _O, FOLDS, _folds_sql, r2
 
 QUERIES, ORACLE = {}, {}
 
@@ -362,3 +363,28 @@ SELECT measure, count(*) AS samples, round(sum(round(v, 6)::DECIMAL(18, 6))::DOU
 def execution_summary(spark, sf):
     x = E.execution_summary(_executed(spark, sf), after=(60, 900))
     return x.withColumns({"mean": F.round("mean", 4), "tail": F.round("tail", 6)})
+
+
+@query(f"""WITH {D.TICKS}, t AS (SELECT seq AS trade_id, symbol, CASE WHEN seq % 2 = 0 THEN 1 ELSE -1 END AS d, timestamp AS a, timestamp + INTERVAL 2 HOURS AS b, round(mid, 6) AS p, round(mid + 0.5, 6) AS x, bid_size::INT AS q FROM ticks),
+f AS (SELECT trade_id, symbol, 'entry' AS leg, 1 AS r, a AS time, p AS price, d * q AS quantity, 0::DECIMAL(18, 6) AS realized FROM t UNION ALL SELECT trade_id, symbol, 'exit', 0, b, x, -d * q, round(0.5::DOUBLE * d * q, 6)::DECIMAL(18, 6) FROM t)
+SELECT trade_id, symbol, leg, time, price, quantity, (sum(quantity) OVER w)::BIGINT AS position, round(100000 + (sum(realized) OVER w)::DOUBLE, 6) AS equity FROM f WINDOW w AS (PARTITION BY symbol ORDER BY time, r, trade_id ROWS UNBOUNDED PRECEDING)""")
+def paper_replay(spark, sf):
+    long = F.col("seq") % 2 == 0
+    t = S.ticks(spark, sf).select(F.col("seq").alias("trade_id"), "symbol", F.when(long, "long").otherwise("short").alias("side"), F.col("timestamp").alias("entry_time"), (F.col("timestamp") + F.expr("INTERVAL 2 HOURS")).alias("exit_time"), F.round("mid", 6).alias("entry_price"), F.round(F.col("mid") + 0.5, 6).alias("exit_price"),
+                                  F.col("bid_size").cast("int").alias("contracts"), F.round(F.lit(0.5) * F.when(long, 1).otherwise(-1) * F.col("bid_size").cast("int"), 6).cast("decimal(18,6)").alias("pnl"))
+    return E.paper_replay(t).withColumn("equity", F.round(F.col("equity").cast("double"), 6))
+
+
+@query(f"""WITH {_O}, d AS (SELECT grp, ts::DATE AS day, count(*) AS n, sum(round(pnl, 2)::DECIMAL(18, 2))::DOUBLE AS net FROM o GROUP BY ALL) SELECT grp, count(*) AS days, max(n) AS most, round(max(n) / sum(n), 6) AS trade_share, round(max(net) / sum(net) FILTER (net > 0), 6) AS gain_share FROM d GROUP BY grp""")
+def trade_concentration(spark, sf):
+    o = S.order_pnl(spark, sf).withColumn("pnl", F.round("pnl", 2).cast("decimal(18,2)"))
+    x = V.concentration(o, ["grp"])
+    return r6(x.withColumns({"gain_share": F.col("gain_share").cast("double")}))
+
+
+_CLOSE = (*FOLDS[:5], 90, *FOLDS[6:])
+
+
+@query(f"WITH {_folds_sql(_CLOSE)}, t AS (SELECT *, max(to_day) OVER (ORDER BY from_day, fold ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM folds WHERE split = 'test') SELECT fold, from_day, before FROM t WHERE before >= from_day")
+def overlapping_tests(spark, sf):
+    return V.overlapping_tests(V.rolling_folds(spark, *_CLOSE))

@@ -338,8 +338,8 @@ def structure_events(spark, sf):
 FOLDS = (date(1992, 1, 1), date(1998, 12, 31), 365, 90, 180, 180, 5, 60)
 
 
-def _folds_sql() -> str:
-    first, last, train, val, test, step, emb, hold = FOLDS
+def _folds_sql(folds: tuple = FOLDS) -> str:
+    first, last, train, val, test, step, emb, hold = folds
     return f"""fo AS (SELECT k::INT AS fold, DATE '{first}' + (k * {step})::INT AS a FROM range(100) t(k)), fd AS (
   SELECT fold, 'train' AS split, a AS from_day, a + {train - 1} AS to_day FROM fo UNION ALL SELECT fold, 'validation', a + {train + emb}, a + {train + emb + val - 1} FROM fo
   UNION ALL SELECT fold, 'test', a + {train + 2 * emb + val}, a + {train + 2 * emb + val + test - 1} FROM fo),

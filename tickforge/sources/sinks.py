@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import BARS, TICKS
+from .tables import BARS, TICKS, existing
 
 TRADES = "trade_id string, symbol string, side string, entry_time timestamp_ntz, exit_time timestamp_ntz, entry_price double, exit_price double, contracts int, gross_pnl double, net_pnl double, exit_reason string"
 EQUITY = "seq long, timestamp timestamp_ntz, equity double, drawdown double"
@@ -39,6 +39,16 @@ def write_table(d: DataFrame, path: str, schema: str | None = None) -> None:
         fs.delete(old, True)
 
 
+def cached_days(spark, path: str, days: list[str], make) -> DataFrame:
+    """A table derived by day, stored under path by date: days that are there are read, make(days) is asked for the others only."""
+    there = set()
+    if existing(spark, [path]):
+        there = {str(r.date) for r in spark.read.schema("date date").parquet(path).select("date").distinct().collect()}  # a row a day
+    if missing := [d for d in days if d not in there]:
+        make(missing).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date").parquet(path)
+    return spark.read.parquet(path).where(F.col("date").isin([F.lit(d).cast("date") for d in days]) if days else F.lit(False))
+
+
 def write_ticks(d: DataFrame, path: str) -> None:
     write_table(d, path, TICKS)
 
