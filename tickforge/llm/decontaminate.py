@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .blocks import text_bytes
+from .worker import begin, trim
 
 #: Edits for each character of an item; bytes of the least item that may have edits; bytes of a part, where as many leave a part whole.
 MAX_EDIT, GRAM, PART = 0.15, 12, (5, 4)
@@ -342,7 +343,9 @@ def find_leaks(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", tex
         shared = docs.sparkSession.sparkContext.broadcast(bench)
 
         def run(batches, shared=shared):
+            begin("decontaminate")
             for batch in batches:
+                trim()
                 found = list(contaminated(shared.value, batch.column(1)))
                 if found:
                     row, item, start, end, distance, size = (list(x) for x in zip(*found))
@@ -365,7 +368,9 @@ def drop_leaks(docs: DataFrame, items: DataFrame, *, text_col: str = "text", ite
         shared = docs.sparkSession.sparkContext.broadcast(bench)
 
         def run(batches, shared=shared):
+            begin("decontaminate")
             for batch in batches:
+                trim()
                 bad = {row for row, *_ in contaminated(shared.value, batch.column(at))}
                 yield batch.filter(pa.array([k not in bad for k in range(batch.num_rows)])) if bad else batch
 

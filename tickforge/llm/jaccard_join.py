@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 from .blocks import BLOCK_BYTES, CHUNK_BYTES, Powers, block_root, cut_blocks, in_sorted, load_block, mixed, pack48, save_block, unpack48
 from .components import connected_components
 from .scratch import Scratch
+from .worker import begin, trim
 
 SHINGLE_WORDS, LINK = 5, 80  # words of a shingle; per cent of the union that two linked documents share
 R = 1 - LINK / 100
@@ -171,6 +172,7 @@ _BY_PART = "part int, block string, keys binary, counts binary, own binary"
 
 def _meet(t: pa.Table) -> pa.Table:
     """For each block of a part those of its keys that are there twice or more, with their total counts."""
+    begin("jaccard_join")
     keys = [unpack48(k) for k in t.column("keys").to_pylist()]
     count = np.concatenate([np.frombuffer(c, "u1") for c in t.column("counts").to_pylist()]).astype(np.int64)
     every = np.concatenate(keys)
@@ -223,6 +225,7 @@ def link_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     def store(batches):
         """Blocks in the shared folder; a row for each, with its documents and the bits of its frequent shingles."""
+        begin("jaccard_join")
         for block in cut_blocks(batches, 1, block_bytes):
             name = save_block(root, block)
             doc, prints = shingle_sets(block.column(1).to_pylist())
@@ -258,6 +261,7 @@ def link_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         return np.array(block.column(0).fill_null(0), np.int64), doc[keep], prints[keep]
 
     def regions(batches):
+        begin("jaccard_join")
         weight = weights()
         for batch in batches:
             for name, pos in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -268,9 +272,11 @@ def link_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
                 # a frequent shingle counts as shared without being sent
                 keys, count = np.unique(prints[(rank < _prefix(n, _several(n))) & (often == 0)] & KEY, return_counts=True)
                 yield pa.RecordBatch.from_pydict(_by_part(name, keys, count, live, parts))
+                trim()
 
     def census(t: pa.Table) -> pa.Table:
         """Counts of all shingles of documents that share enough of their first."""
+        begin("jaccard_join")
         name, keys, _, live = _met(t)
         ids, doc, prints = sets_of(name, live)
         often = weights()[_bit(prints)]
@@ -285,6 +291,8 @@ def link_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     def enter(t: pa.Table) -> pa.Table:
         """Rows with a region: an entry; with shingles: a set."""
+        begin("jaccard_join")
+        trim()
         name, keys, count, live = _met(t)
         ids, doc, prints = sets_of(name, live)
         often = weights()[_bit(prints)].astype(np.int64)
@@ -294,14 +302,14 @@ def link_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         rank, n = _ranks(doc, prints, (often << 40) + many, len(ids))
         hit = np.flatnonzero((rank < _prefix(n)) & (found | (often > 0)))
         involved = np.unique(doc[hit])
-        begin, end = np.searchsorted(doc, involved), np.searchsorted(doc, involved, "right")
+        start, stop = np.searchsorted(doc, involved), np.searchsorted(doc, involved, "right")
         none = [None] * len(involved)
         own = pa.array(np.concatenate([ids[doc[hit]], ids[involved]]))
-        sizes = pa.array(np.concatenate([n[hit], end - begin]))
+        sizes = pa.array(np.concatenate([n[hit], stop - start]))
         keep = np.zeros(len(ids), bool)
         keep[involved] = True
         values = pa.array(prints[keep[doc]].view(np.int64))
-        offsets = np.concatenate([np.zeros(len(hit) + 1, np.int64), np.cumsum(end - begin)]).astype(np.int32)
+        offsets = np.concatenate([np.zeros(len(hit) + 1, np.int64), np.cumsum(stop - start)]).astype(np.int32)
         sets = pa.ListArray.from_arrays(pa.array(offsets), values, mask=pa.array(np.arange(len(offsets) - 1) < len(hit)))
         return pa.table({"region": pa.array(prints[hit].view(np.int64).tolist() + none, pa.int64()), "id": own, "n": sizes, "left": pa.array((n - rank)[hit].tolist() + none, pa.int64()), "shingles": sets})
 

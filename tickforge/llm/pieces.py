@@ -20,6 +20,8 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from .worker import begin, keeps
+
 SPACE = "▁"
 #: Units kept in each of a worker's two memos; a full one becomes the older one, from which units in use return. Longer units than UNIT_CHARS are not kept.
 MEMO_UNITS, UNIT_CHARS = 200_000, 48
@@ -209,6 +211,7 @@ class PieceCodec:
 
 
 _CODECS: dict[str, PieceCodec] = {}
+keeps("pieces", _CODECS.clear)
 
 
 def codec(path: str) -> PieceCodec:
@@ -235,6 +238,7 @@ def encode_pieces(docs: DataFrame, path: str | None = None, *, id_col: str = "do
     schema = f"`{id_col}` {kind}, " + ("n_tokens long, ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>, decoded string")
 
     def run(batches):
+        begin("pieces")
         c = codec(path or model_path())
         for batch in batches:
             found, texts = [], batch.column(1)

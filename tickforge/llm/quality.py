@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .worker import begin, trim
+
 #: Bounds of the fit: labelled rows, their text bytes (longer texts take no part in it), words of the vocabulary.
 FIT_ROWS, FIT_TEXT_BYTES, VOCABULARY = 4000, 30_000, 6000
 DIMENSIONS, NONZERO, WINDOW, HIDDEN = 96, 8, 2, 48
@@ -187,6 +189,7 @@ def score_quality(docs: DataFrame, model: QualityModel, *, id_col: str = "doc_id
     inner = docs.select(*[F.col(f"`{c}`") for c in columns], F.col(text_col).alias("__text"))
 
     def run(batches):
+        begin("quality")
         for batch in batches:
             texts = batch.column(len(columns))
             scores = []
@@ -194,6 +197,7 @@ def score_quality(docs: DataFrame, model: QualityModel, *, id_col: str = "doc_id
                 scores.append(shared.value.score([t or "" for t in texts.slice(at, 256).to_pylist()]))
             if scores:
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(np.concatenate(scores), pa.float64())], names=[*columns, "score"])
+            trim()
 
     out = inner.mapInArrow(run, ", ".join(f"`{c}` {fields[c]}" for c in columns) + ", score double")
     return out.select(*[F.col(f"`{c}`") for c in columns], held_out(F.col(id_col)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from .blocks import BLOCK_BYTES, CHUNK_BYTES, Powers, block_root, cut_blocks, in_sorted, load_block, mixed, pack48, save_block, text_bytes, unpack48
 from .scratch import Scratch
+from .worker import begin, trim
 
 LENGTH, GRAM = 50, 20
 #: Documents whose grams make one part, and the least number of parts.
@@ -180,10 +181,12 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         return data, bounds, ids, doc[live], place[live], count[live], gram[live] & KEY, print_[live]
 
     def store(batches):
+        begin("suffix_dedup")
         for block in cut_blocks(batches, text_at, block_bytes):
             yield pa.RecordBatch.from_arrays([pa.array([save_block(root, block)])], names=["block"])
 
     def grams(batches):
+        begin("suffix_dedup")
         for name in (n for batch in batches for n in batch.column(0).to_pylist()):
             gram = scan(load_block(root, name))[6]
             keys = np.unique(gram)
@@ -204,6 +207,8 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         return pa.table({"block": pa.array([names[i] for i in use], pa.string()), "keys": pa.array([pack48(found[i]) for i in use], pa.binary())})
 
     def cut(table: pa.Table) -> pa.Table:
+        begin("suffix_dedup")
+        trim()
         name = table.column("block")[0].as_py()
         keys = np.sort(np.concatenate([unpack48(k) for k in table.column("keys").to_pylist()]))
         data, _, ids, doc, place, count, gram, print_ = scan(load_block(root, name))
@@ -244,6 +249,8 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         return pa.table([pa.array(x, t) for x, t in zip(zip(*rows), kinds)], names=["part", "block", "kind", "owners", "places", "counts", "texts"])
 
     def factors(table: pa.Table) -> pa.Table:
+        begin("suffix_dedup")
+        trim()
         rows = table.select(["block", "kind", "owners", "places", "counts", "texts"]).to_pylist()
         out = [(r["block"], r["kind"], r["places"], r["counts"]) for r in rows if r["kind"]]
         rows = [r for r in rows if not r["kind"]]
@@ -252,8 +259,8 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
             count = np.concatenate([np.frombuffer(r["counts"], "u1") for r in rows]).astype(np.int64)
             size = count + LENGTH - 1
             text = np.frombuffer(b"".join(r["texts"] for r in rows), np.uint8)
-            begin, first = np.cumsum(size) - size, np.cumsum(count) - count
-            place = np.repeat(begin - first, count) + np.arange(int(count.sum()))
+            head, first = np.cumsum(size) - size, np.cumsum(count) - count
+            place = np.repeat(head - first, count) + np.arange(int(count.sum()))
             found = previous_factors(text, place, np.repeat(owner, count)).astype(np.uint64)
             bit = np.arange(len(found)) - np.repeat(first, count)
             mask = np.bitwise_or.reduceat(found << bit.astype(np.uint64), first)
@@ -268,6 +275,8 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         return pa.table([pa.array(x, t) for x, t in zip(zip(*out) if out else [[]] * 4, kinds)], names=["block", "kind", "places", "masks"])
 
     def remove(table: pa.Table) -> pa.Table:
+        begin("suffix_dedup")
+        trim()
         name = table.column("block")[0].as_py()
         block = load_block(root, name)
         data, bounds = text_bytes(block.column(text_at))

@@ -22,6 +22,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from .worker import begin, keeps
+
 CHUNK = 64
 #: Characters that are processed together, and merged words longer than this many bytes, which take a heap.
 STREAM_CHARS, MATRIX_BYTES = 1_000_000, 64
@@ -361,6 +363,7 @@ class TokenCounter:
 
 
 _COUNTERS: dict[str, TokenCounter] = {}
+keeps("token_counts", _COUNTERS.clear)
 
 
 def counter(path: str | None = None) -> TokenCounter:
@@ -383,6 +386,7 @@ def count_tokens(docs: DataFrame, limit: int = 2048, path: str | None = None, *,
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
+        begin("token_counts")
         c = counter(path)
         for batch in batches:
             texts = batch.column(1)
