@@ -121,3 +121,21 @@ ORACLE |= {
 y AS (SELECT symbol, seq, CASE WHEN lean >= 0.2 AND a >= 0.5 AND b >= 0.5 THEN 1 WHEN lean <= -0.2 AND a <= -0.5 AND b <= -0.5 THEN -1 ELSE 0 END AS signal FROM x WHERE spread <= 0.75 AND depth >= 1) SELECT * FROM y WHERE signal <> 0""",
     "live_last_bar": f"""WITH {D.features()}, {_RF}, l AS (SELECT symbol, max(timestamp) AS t FROM r GROUP BY symbol HAVING count(*) >= 50), {_SIDED}, s AS ({_MIRRORED['a']}) SELECT s.symbol, timestamp, scan_type, d AS direction FROM s JOIN l ON l.symbol = s.symbol AND l.t = s.timestamp""",
 }
+
+_TRADE = """side, entry_time, exit_time, round(p, 6) AS entry_price, round(x, 6) AS exit_price, 1 AS contracts, round(round((x - p) * d * 20, 9), 6) + 0.0 AS gross_pnl, round(round((x - p) * d * 20 - 15, 9), 6) + 0.0 AS net_pnl"""
+ORACLE |= {
+    "orb_backtest": f"""WITH {D.bars(60)}, b AS (SELECT *, timestamp::DATE AS day, row_number() OVER (PARTITION BY symbol, timestamp::DATE ORDER BY timestamp) AS k FROM bars),
+o AS (SELECT symbol, day, max(high) FILTER (k <= 3) AS top, min(low) FILTER (k <= 3) AS bottom, max(k) AS last FROM b GROUP BY ALL), g AS (SELECT b.*, last, CASE WHEN k > 3 AND close > top THEN 1 WHEN k > 3 AND close < bottom THEN -1 END AS d FROM b JOIN o USING (symbol, day)),
+e AS (SELECT symbol, day, k, d, last, timestamp AS entry_time, CASE d WHEN 1 THEN ask_close ELSE bid_close END AS p FROM (SELECT *, row_number() OVER (PARTITION BY symbol, day ORDER BY k) AS n FROM g WHERE d IS NOT NULL) WHERE n = 1),
+h AS (SELECT e.symbol, e.day, b.k, CASE WHEN (d = 1 AND b.low <= p - 3) OR (d = -1 AND b.high >= p + 3) THEN 'stop_loss' WHEN (d = 1 AND b.high >= p + 6) OR (d = -1 AND b.low <= p - 6) THEN 'take_profit' END AS hit FROM e JOIN b ON b.symbol = e.symbol AND b.day = e.day AND b.k > e.k),
+f AS (SELECT symbol, day, min(k) AS k, arg_min(hit, k) AS hit FROM h WHERE hit IS NOT NULL GROUP BY ALL),
+z AS (SELECT e.symbol, e.d, CASE e.d WHEN 1 THEN 'long' ELSE 'short' END AS side, entry_time, b.timestamp AS exit_time, p, CASE hit WHEN 'stop_loss' THEN p - 3 * e.d WHEN 'take_profit' THEN p + 6 * e.d ELSE CASE e.d WHEN 1 THEN b.bid_close ELSE b.ask_close END END AS x, 'signal' AS entry_reason, coalesce(hit, 'end_of_data') AS exit_reason
+  FROM e LEFT JOIN f ON f.symbol = e.symbol AND f.day = e.day JOIN b ON b.symbol = e.symbol AND b.day = e.day AND b.k = coalesce(f.k, e.last)) SELECT symbol, {_TRADE}, entry_reason, exit_reason FROM z""",
+    "tick_replay": f"""WITH {D.TICKS}, b AS (SELECT *, timestamp::DATE AS day, row_number() OVER w AS k, min(timestamp) OVER (PARTITION BY symbol, timestamp::DATE) + INTERVAL 180 MINUTES AS open FROM ticks WINDOW w AS (PARTITION BY symbol, timestamp::DATE ORDER BY timestamp, seq)),
+o AS (SELECT symbol, day, max(mid) FILTER (timestamp < open) AS top, min(mid) FILTER (timestamp < open) AS bottom, max(k) AS last FROM b GROUP BY ALL),
+s AS (SELECT symbol, day, any_value(last) AS last, min(k) AS k, arg_min(CASE WHEN mid > top THEN 1 ELSE -1 END, k) AS d FROM b JOIN o USING (symbol, day) WHERE timestamp >= open AND (mid > top OR mid < bottom) GROUP BY ALL),
+e AS (SELECT b.symbol, b.day, b.k, d, last, timestamp AS entry_time, CASE d WHEN 1 THEN ceil(round(ask / 0.25, 9)) * 0.25 ELSE floor(round(bid / 0.25, 9)) * 0.25 END AS p FROM s JOIN b ON b.symbol = s.symbol AND b.day = s.day AND b.k = s.k + 1),
+m AS (SELECT e.symbol, e.day, b.k, (CASE d WHEN 1 THEN b.bid ELSE b.ask END - p) * d AS move FROM e JOIN b ON b.symbol = e.symbol AND b.day = e.day AND b.k > e.k), f AS (SELECT symbol, day, min(k) AS k, arg_min(CASE WHEN move < 0 THEN 'stop_loss' ELSE 'take_profit' END, k) AS hit FROM m WHERE move <= -2.75 OR move >= 3.5 GROUP BY ALL),
+z AS (SELECT e.symbol, e.d, CASE e.d WHEN 1 THEN 'long' ELSE 'short' END AS side, entry_time, b.timestamp AS exit_time, p, CASE e.d WHEN 1 THEN floor(round(b.bid / 0.25, 9)) * 0.25 ELSE ceil(round(b.ask / 0.25, 9)) * 0.25 END AS x, 'breakout' AS entry_reason, coalesce(hit, 'flatten') AS exit_reason
+  FROM e LEFT JOIN f ON f.symbol = e.symbol AND f.day = e.day JOIN b ON b.symbol = e.symbol AND b.day = e.day AND b.k = coalesce(f.k, e.last)) SELECT symbol, {_TRADE}, entry_reason, exit_reason FROM z""",
+}
