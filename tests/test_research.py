@@ -159,3 +159,53 @@ def test_gap_modes(spark):
     assert side() == [0, -1] and side(mode="continuation") == [0, 1] and side(direction="long") == [0, 0]
     with pytest.raises(ValueError):
         signals.opening_gap(b, 541, mode="other")
+
+
+def test_features_are_in_the_catalogue(spark):
+    from tickforge.functions import catalog
+    from tickforge.plans import registry
+
+    rows = {r.name: r for r in registry.QUERIES["feature_catalog"](spark, "/root/testdata/sf0.001").collect()}
+    assert len(rows) >= 100 and {"ema_fast", "atr_14", "close_zscore_20", "ma200", "volume_absorption_flag"} <= set(rows)
+    assert (rows["ma200"].lookback, rows["ma200"].warm_up, rows["atr_14"].warm_up, rows["atr_14"].family) == (200, 1, 14, "volatility")
+    assert catalog.lookback("return_15m") == 15 and catalog.lookback("vwap_dist") == 1 and {r.leakage_risk for r in rows.values()} == {"none"}
+
+
+def test_hash_of_features(spark):
+    nan = float("nan")
+    rows = [("A", T0, 1.0, 2.00000000001), ("A", T0 + timedelta(days=1), nan, 3.0), ("B", T0, 1.0, 2.0)]
+    make = lambda rs: spark.createDataFrame(rs, "symbol string, timestamp timestamp_ntz, x double, y double")
+    a = {r.symbol: r.hash for r in research.snapshot_hash(make(rows), ["x", "y"]).collect()}
+    b = {r.symbol: r.hash for r in research.snapshot_hash(make([("A", T0, 1.0, 2.0), ("A", T0 + timedelta(days=1), float("inf"), 3.0), ("B", T0, 1.0, 2.1)][::-1]), ["y", "x"]).collect()}
+    assert a["A"] == b["A"] and a["B"] != b["B"]
+
+
+def test_clock_of_streams(spark):
+    from tickforge.streaming import bars as stream
+
+    q = spark.createDataFrame([(T0,), (T0 - timedelta(seconds=90),)], "timestamp timestamp_ntz")
+    got = sorted((r.age, r.stale) for r in stream.fresh(q, 60, f"TIMESTAMP_NTZ '{T0}'").collect())
+    assert got == [(0.0, False), (90.0, True)]
+    assert [r.timestamp for r in stream.simulated(spark, str(T0), 30, 3).orderBy("seq").collect()] == [T0, T0 + timedelta(seconds=30), T0 + timedelta(seconds=60)]
+
+
+def test_independent_folds():
+    from datetime import date
+
+    from tickforge.operators import validation
+
+    d = date(2024, 1, 1)
+    assert validation.independent_tests([(0, d, d + timedelta(9)), (1, d + timedelta(5), d + timedelta(14)), (2, d + timedelta(10), d + timedelta(19))]) == [0, 2]
+
+
+def test_binary_ticks_have_a_time(spark, tmp_path):
+    import lzma
+    import struct
+
+    from tickforge.sources import files
+
+    at = tmp_path / "EURUSD" / "2024" / "00" / "03"
+    at.mkdir(parents=True)
+    (at / "14h_ticks.bi5").write_bytes(lzma.compress(struct.pack(">IIIff", 1500, 101000, 100000, 2.0, 1.0) + struct.pack(">IIIff", 2500, 100000, 101000, 2.0, 1.0), format=lzma.FORMAT_ALONE))
+    got = sorted(map(tuple, files.hourly_ticks(spark, f"{at}/*").collect()), key=lambda r: r[1])
+    assert [(r[0], r[1], r[2], r[3], r[4], r[5]) for r in got] == [("EURUSD", datetime(2024, 1, 3, 14, 0, 1, 500000), 100.0, 101.0, 1.0, 2.0), ("EURUSD", datetime(2024, 1, 3, 14, 0, 2, 500000), 100.0, 101.0, 2.0, 1.0)]

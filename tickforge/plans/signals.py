@@ -378,3 +378,24 @@ SELECT grp, status, sum(n)::BIGINT AS n, round(round(sum(rate * n) / sum(n), 9),
 def yearly_then_all(spark, sf):
     o = S.order_pnl(spark, sf).withColumn("pnl", F.round("pnl", 2).cast("decimal(18,2)"))
     return r6(C.over_years(o, ["grp", "status"]))
+
+
+@query(f"""WITH {D.features()}, {_RF}, {_SIDED}, s AS ({_MIRRORED['a']}), h AS (SELECT symbol, timestamp, lead(open) OVER w AS eo, unnest([2, 4, 8])::INT AS horizon, unnest([lead(close, 2) OVER w, lead(close, 4) OVER w, lead(close, 8) OVER w]) AS fc FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY timestamp)),
+e AS (SELECT scan_type, d AS direction, horizon, round((fc - eo) * d, 9) AS p FROM s JOIN h USING (symbol, timestamp) WHERE fc IS NOT NULL) SELECT scan_type, direction, horizon, {_STATS} FROM e GROUP BY ALL""")
+def scan_set_e(spark, sf):
+    """Set A on both sides, entered at the next open, left at several horizons."""
+    f = C.at_horizons(C.with_forward(frame(spark, sf), 1).drop("future_close"), [2, 4, 8])
+    s = C.scan(f, C.SET_A, ["symbol", "timestamp", "horizon", "entry_open", "future_close"])
+    return r6(C.edge_stats(s.withColumn("pnl", (F.col("future_close") - F.col("entry_open")) * F.col("direction")), ["scan_type", "direction", "horizon"]))
+
+
+def feature_catalog(spark, sf):
+    """Every feature of the three tables, from their columns."""
+    from ..functions.catalog import catalog
+
+    b = hourly(spark, sf)
+    keys = {"symbol", "timestamp", "day", "dow", "rng", "v", *b.columns}
+    return catalog(spark, {"frame": X.frame_features(b), "full": X.session_features(b, 480, 1200), "ema": X.ema_features(b)}, keys)
+
+
+QUERIES["feature_catalog"] = feature_catalog
