@@ -111,8 +111,9 @@ def brute_repeats(rows):
 
 @pytest.mark.parametrize("block, chunk", [(4 << 20, 1 << 18), (20_000, 1000), (3000, 500)])
 def test_repeats_equal_brute_force(docs, block, chunk):
-    got = suffix_dedup.remove_repeats(docs, block_bytes=block, chunk_bytes=chunk).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256)).collect()
-    assert key(got) == key(brute_repeats(ROWS))
+    for hot in (suffix_dedup.HOT_BLOCKS, 2, 1):
+        got = suffix_dedup.remove_repeats(docs, block_bytes=block, chunk_bytes=chunk, hot_blocks=hot).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256)).collect()
+        assert key(got) == key(brute_repeats(ROWS))
 
 
 def test_repeats_carry_columns(docs):

@@ -7,6 +7,8 @@ string names one of its 20-byte grams, that of the least hash (equal strings nam
 1. texts are stored in blocks in the shared folder, and the named grams of each block meet by hash;
 2. grams that two blocks share go back to their blocks, where runs of strings naming such a gram (or one that
    two documents of the block share) are cut out; of runs equal in a block, byte by byte, only the first is sent;
+   Strings of a gram that very many blocks share are sent one by one and meet by their own hash, so that the
+   contexts of a frequent gram don't come to one task;
 3. the runs that share a gram meet, and their suffixes are sorted by their bytes, down to 50 of them, and by
    document. The common prefix of each two neighbours is measured. The search for a suffix's previous smaller
    document goes back from it, and that for its next smaller one forward, as long as 50 bytes stay common: beyond
@@ -36,6 +38,8 @@ LENGTH, GRAM = 50, 20
 PART_DOCS, LEAST_PARTS = 20_000, 256
 #: Strings of a run, one bit of a mask each; suffixes that are sorted at once.
 RUN, SLICE = 32, 1 << 20
+#: Blocks of a gram beyond which its strings meet one by one.
+HOT_BLOCKS = 2048
 KEY = np.uint64((1 << 48) - 1)
 _U = np.uint64
 
@@ -139,6 +143,17 @@ def previous_factors(text: np.ndarray, place: np.ndarray, owner: np.ndarray, mos
     return out
 
 
+def _singles(data: np.ndarray, place: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The single strings of runs: which run, place and fingerprint."""
+    of = np.repeat(np.arange(len(count)), count)
+    at = np.repeat(place, count) + np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
+    up = _PREFIXES.upto(LENGTH)[0]
+    views, out = np.lib.stride_tricks.sliding_window_view(data, LENGTH), np.empty(len(at), np.uint64)
+    for a in range(0, len(at), 1 << 14):
+        out[a:a + (1 << 14)] = ((views[at[a:a + (1 << 14)]].astype(np.uint64) + _U(1)) * up).sum(axis=1, dtype=np.uint64)
+    return of, at, mixed(out)
+
+
 def _equal_bytes(data: np.ndarray, x: np.ndarray, y: np.ndarray, size: np.ndarray) -> np.ndarray:
     """Whether the strings of these sizes at x and y are equal."""
     out = np.zeros(len(x), bool)
@@ -150,7 +165,7 @@ def _equal_bytes(data: np.ndarray, x: np.ndarray, y: np.ndarray, size: np.ndarra
 
 
 def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, whole: bool = False,
-                   block_bytes: int = BLOCK_BYTES, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+                   block_bytes: int = BLOCK_BYTES, chunk_bytes: int = CHUNK_BYTES, hot_blocks: int = HOT_BLOCKS) -> DataFrame:
     """Columns id_col (and those of keep), n_bytes, n_removed, n_spans and kept (binary) for every row of docs.
 
     kept holds the remaining bytes; a cut may split a character, of which kept has no byte if whole is set. A null text counts as empty (0 bytes, nothing
@@ -200,11 +215,11 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     def shared(table: pa.Table) -> pa.Table:
         names, first = table.column("block").to_pylist(), table.column("first").to_pylist()
         keys = [unpack48(k) for k in table.column("keys").to_pylist()]
-        every = np.sort(np.concatenate(keys))
-        twice = np.unique(every[1:][every[1:] == every[:-1]])
+        every, blocks = np.unique(np.concatenate(keys), return_counts=True)
+        twice, hot = every[blocks > 1], every[blocks > hot_blocks]
         found = [k[in_sorted(k, twice)] for k in keys]
         use = [i for i, f in enumerate(found) if len(f) or first[i]]
-        return pa.table({"block": pa.array([names[i] for i in use], pa.string()), "keys": pa.array([pack48(found[i]) for i in use], pa.binary())})
+        return pa.table({"block": pa.array([names[i] for i in use], pa.string()), "keys": pa.array([pack48(found[i]) for i in use], pa.binary()), "hot": pa.array([pack48(found[i][in_sorted(found[i], hot)]) for i in use], pa.binary())})
 
     def cut(table: pa.Table) -> pa.Table:
         begin("suffix_dedup")
@@ -221,6 +236,11 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
             several[order] = np.repeat(apart, np.diff(np.append(start, len(order))))
         use = np.flatnonzero(several | in_sorted(gram, keys))
         own, place, count, gram, print_ = own[use], place[use], count[use], gram[use], print_[use]
+        hot = in_sorted(gram, np.sort(np.concatenate([unpack48(k) for k in table.column("hot").to_pylist()])))
+        if hot.any():
+            of, at, single = _singles(data, place[hot], count[hot])
+            own, place, count = (np.concatenate([x[~hot], y]) for x, y in ((own, own[hot][of]), (place, at), (count, np.ones(len(at), count.dtype))))
+            gram, print_ = np.concatenate([gram[~hot], single & KEY]), np.concatenate([print_[~hot], single])
         order = np.lexsort((place, own, print_))
         own, place, count, gram, print_ = own[order], place[order], count[order], gram[order], print_[order]
         head = np.append(True, print_[1:] != print_[:-1]) if len(order) else np.empty(0, bool)
@@ -313,7 +333,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
 
     stored = scratch.table(inner.mapInArrow(store, "block string"), "stored")  # blocks are written once, whatever is done with the result
     step = stored.repartition(max(1, min(stored.count(), 100_000)), "block").mapInArrow(grams, "part int, block string, keys binary, first boolean")
-    step = step.groupBy("part").applyInArrow(shared, "block string, keys binary")
+    step = step.groupBy("part").applyInArrow(shared, "block string, keys binary, hot binary")
     step = step.groupBy("block").applyInArrow(cut, "part int, block string, kind int, owners binary, places binary, counts binary, texts binary")
     step = step.groupBy("part").applyInArrow(factors, "block string, kind int, places binary, masks binary")
     step = step.groupBy("block").applyInArrow(remove, ", ".join(f"c{i} {fields[c]}" for i, c in enumerate(columns)) + ", n_bytes long, n_removed long, n_spans long, kept binary")
