@@ -28,10 +28,11 @@ MAX_EDIT, GRAM, PART = 0.15, 12, (5, 4)
 #: Recall that the tests ask for at MAX_EDIT; walks, tables of each and coordinates of a table, which aren't derived from it.
 TARGET_RECALL, WALKS, TABLES, SAMPLED = 0.99, 3, 32, 2
 #: Bytes of items that are broadcast at once; larger benchmarks are handled in slices. Text bytes handled together.
-SLICE_BYTES, CHUNK_BYTES = 8 << 20, 1 << 19
+SLICE_BYTES, CHUNK_BYTES = 8 << 20, 1 << 17
 #: Bytes of items whose parts are looked up at once, and hits or cells that are; windows of a passage.
 PARTS_BYTES, MOST_CELLS, STARTS = 1 << 20, 1 << 23, 9
 SEED = 11
+NONE, SEVERAL = -1, -2
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 for _c in range(128):
@@ -90,12 +91,10 @@ def may_be_near(pattern: bytes, text: bytes, most: int) -> bool:
 
 
 def _codes(data: np.ndarray, size: int) -> np.ndarray:
-    """The size bytes at each place as a number."""
+    """The size bytes (8 at most) at each place as a number."""
     n = max(0, len(data) - size + 1)
-    out = np.zeros(n, np.uint64)
-    for j in range(size):
-        out = out << np.uint64(8) | data[j:j + n].astype(np.uint64)
-    return out
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray((n,), "<u8", padded.data, strides=(1,)) & np.uint64((1 << 8 * size) - 1)
 
 
 class Parts:
@@ -111,16 +110,32 @@ class Parts:
         order = np.argsort(codes, kind="stable")
         self.codes, first, self.count = np.unique(codes[order], return_index=True, return_counts=True)
         self.first, self.owner, self.rank = first.astype(np.int32), owner[order].astype(np.int32), rank[order].astype(np.int32)
+        # slots of a hash of codes: the code's place, NONE or SEVERAL
+        self.shift = np.uint64(64 - min(24, max(16, len(self.codes).bit_length() + 6)))
+        slot = self.slot(self.codes)
+        self.table = np.full(1 << (64 - int(self.shift)), NONE, np.int32)
+        self.table[slot] = np.arange(len(self.codes))
+        self.table[slot[self.table[slot] != np.arange(len(self.codes))]] = SEVERAL
         # an item may start before the text does
         self.back, self.width = (self.size[self.owner] - self.rank * part).astype(np.int32), self.cell[self.owner].astype(np.int32)
 
-    def find(self, text: np.ndarray) -> np.ndarray:
+    def slot(self, codes: np.ndarray) -> np.ndarray:
+        return ((codes * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int32)
+
+    def hits(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the codes that items have, and which codes they are."""
+        entry = self.table[self.slot(codes)]
+        hit = np.flatnonzero(entry != NONE)
+        entry, mine = entry[hit], codes[hit]
+        several = np.flatnonzero(entry == SEVERAL)
+        entry[several] = np.minimum(np.searchsorted(self.codes, mine[several]), len(self.codes) - 1)
+        good = self.codes[entry] == mine
+        return hit[good].astype(np.int32), entry[good]
+
+    def find(self, text: np.ndarray, codes: np.ndarray | None = None) -> np.ndarray:
         """Distinct (start, size, low, high) of windows where enough parts of an item agree; its passages there are between low and high."""
         none = np.empty((0, 4), np.int64)
-        codes = _codes(text, self.part)
-        entry = np.minimum(np.searchsorted(self.codes, codes), len(self.codes) - 1)
-        hit = np.flatnonzero(self.codes[entry] == codes).astype(np.int32)
-        entry = entry[hit]
+        hit, entry = self.hits(_codes(text, self.part) if codes is None else codes)
         n = self.count[entry]
         cells = (len(text) + self.size) // self.cell + 3
         if max(int(n.sum()), int(cells.sum())) > MOST_CELLS and len(text) > 4 * self.longest:
@@ -237,7 +252,8 @@ class Benchmark:
 
     def windows(self, text: np.ndarray) -> np.ndarray:
         """Distinct (start, size, low, high) of item-sized windows where enough parts of an item agree."""
-        return np.unique(np.concatenate([np.empty((0, 4), np.int64), *[p.find(text) for p in self.parts]]), axis=0)
+        codes = {part: _codes(text, part) for part in {p.part for p in self.parts}}
+        return np.unique(np.concatenate([np.empty((0, 4), np.int64), *[p.find(text, codes[p.part]) for p in self.parts]]), axis=0)
 
     def candidates(self, text: np.ndarray, bounds: np.ndarray):
         """(document, string, context, place of the context in its document) of each window; documents lie between bounds."""
