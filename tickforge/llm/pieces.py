@@ -100,45 +100,43 @@ class PieceCodec:
             self.library = sentencepiece.SentencePieceProcessor(model_file=path)
 
     def merge(self, unit: str) -> list[str]:
-        """The symbols left when the agenda is empty."""
-        sym = list(unit)
-        n = len(sym)
-        left, right = list(range(-1, n - 1)), list(range(1, n + 1))
-        score = self.score
-        agenda = []
-        for i in range(n - 1):
-            s = score.get(sym[i] + sym[i + 1])
-            if s is not None:
-                agenda.append((s, i, i + 1, 2))
+        """The symbols left when the agenda is empty. A symbol is where it starts and ends in the unit."""
+        n, get = len(unit), self.score.get
+        end, left = list(range(1, n + 1)), list(range(-1, n - 1))
+        agenda = [(s, i, i + 2) for i in range(n - 1) if (s := get(unit[i:i + 2])) is not None]
         heapq.heapify(agenda)
+        pop, push = heapq.heappop, heapq.heappush
         while agenda:
-            _, i, j, size = heapq.heappop(agenda)
-            if not sym[i] or not sym[j] or len(sym[i]) + len(sym[j]) != size:
+            _, i, e = pop(agenda)
+            j = end[i]
+            if not j or j >= n or end[j] != e:
                 continue  # one of the two has been merged since
-            sym[i] += sym[j]
-            sym[j] = ""
-            right[i] = k = right[j]
-            if k < n:
-                left[k] = i
-                s = score.get(sym[i] + sym[k])
+            end[i], end[j] = e, 0
+            if e < n:
+                left[e] = i
+                s = get(unit[i:end[e]])
                 if s is not None:
-                    heapq.heappush(agenda, (s, i, k, size + len(sym[k])))
+                    push(agenda, (s, i, end[e]))
             k = left[i]
             if k >= 0:
-                s = score.get(sym[k] + sym[i])
+                s = get(unit[k:e])
                 if s is not None:
-                    heapq.heappush(agenda, (s, k, i, size + len(sym[k])))
-        return [s for s in sym if s]
+                    push(agenda, (s, k, e))
+        out, i = [], 0
+        while i < n:
+            out.append(unit[i:end[i]])
+            i = end[i]
+        return out
 
     def compile(self, unit: str) -> bytes:
         """Decimal ids of a unit, joined by a space."""
         symbols = self.merge(unit) if len(unit) > 1 else [unit]
         out = list(map(self.ids.get, symbols))
-        if None in out:
+        if None in out:  # ids of symbols decode to the symbols, those of bytes need not
             out = [i for s, k in zip(symbols, out) for i in ([k] if k is not None else [self.bytes[b] for b in s.replace(" ", SPACE).encode()])]
-        text = self.decode(out)
-        if text != unit:
-            self.decoded[unit] = text
+            text = self.decode(out)
+            if text != unit:
+                self.decoded[unit] = text
         if self.library is not None and unit[0] == " " and len(unit) > 1:
             self.fresh.append((unit[1:], out))
             if len(self.fresh) >= 5000:
