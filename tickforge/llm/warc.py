@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .scratch import Scratch
 
 #: Compressed bytes at which a file ends; payload bytes of a shard lie between these bounds, and about a 256th of the table.
-FILE_BYTES, SHARD_BYTES = 32 << 20, (256 << 10, 64 << 20)
+FILE_BYTES, SHARD_BYTES = 32 << 20, (2 << 20, 64 << 20)
 #: Ids of one cell of the histogram that places the shards.
 CELL_IDS = 256
 #: Cells up to this number are broadcast (12 bytes each); more are joined by a shuffle. The cell of rows without an id.
