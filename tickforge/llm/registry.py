@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, flac, jaccard_join, pieces, prefix_trie, quality, sharding, suffix_dedup, token_counts, url_filter, warc
+from . import decontaminate, flac, jaccard_join, pieces, prefix_trie, quality, secret_scan, sharding, suffix_dedup, token_counts, url_filter, warc, whitening
 
 QUERIES = {
     "op2_decontaminate": decontaminate.op2_decontaminate,
@@ -16,5 +16,7 @@ QUERIES = {
     "op6_url_filter": url_filter.op6_url_filter,
     "op8_sharding": sharding.op8_sharding,
     "op11_prefix_trie": prefix_trie.op11_prefix_trie,
+    "op12_secret_scan": secret_scan.op12_secret_scan,
+    "op13_whitening": whitening.op13_whitening,
 }
 ORACLE_SQL = {"op7_jaccard_join": jaccard_join.OP7_SQL, "op10_warc": warc.OP10_SQL, "op6_url_filter": url_filter.OP6_SQL, "op11_prefix_trie": prefix_trie.OP11_SQL}
