@@ -42,6 +42,8 @@ def empty_folder(spark, folder, tmp_path_factory):
     at = str(tmp_path_factory.mktemp("empty"))
     for name in ("documents", "labels", "benchmark", "pages"):
         spark.read.parquet(f"{folder}/{name}.parquet").limit(0).write.parquet(f"{at}/{name}.parquet")
+    spark.createDataFrame([], "conv_id long, turn long, role string, text string").write.parquet(f"{at}/conversations.parquet")
+    spark.createDataFrame([], "vec_id long, embedding array<float>, label int").write.parquet(f"{at}/embeddings.parquet")
     return at
 
 

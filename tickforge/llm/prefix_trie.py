@@ -29,7 +29,7 @@ from .scratch import Scratch
 
 #: Conversations c and c - c % FAMILY are a family; a conversation takes fewer than HEADS turns of its base.
 FAMILY, HEADS = 100, 6
-#: Turns that are hashed in one task; cells of turn numbers and of depths have 2 ** CELL_BITS values.
+#: Turns that are hashed in one task, not fewer than HEADS - 1; cells of turn numbers and of depths have 2 ** CELL_BITS values.
 BLOCK, CELL_BITS = 1024, 10
 #: Ids of conversations in a piece of the list that ends_sha256 hashes.
 PIECE_BITS = 9
