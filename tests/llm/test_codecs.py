@@ -4,11 +4,12 @@ import hashlib
 import os
 import random
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
 from tickforge.llm import decontaminate as D
-from tickforge.llm import flac, pieces, token_counts, warc
+from tickforge.llm import flac, jaccard_join, pieces, token_counts, warc
 
 TEXTS = ["", "a", " a  b ", "\n", "\t\n x", "a▁b", "▁", "é日本語 \U0001F600", "x\x00y", "aaaa" * 200, "don't we'll I've 're 'rx '", "Σ ΑΣ İ ß ﬁ", "<|endoftext|> a<|startoftext|>b", "12 3½²٣", "é", "<s> </s> <0x41>"]
 
@@ -81,12 +82,12 @@ def test_table_that_fills_up():
 
 def test_words_of_one_hash(monkeypatch):
     c = token_counts.TokenCounter(__import__("public_tokenizers").path("word_bpe_49k.json"))
-    want = c.count(["alpha beta-gamma incomprehensibilities", "beta alpha"]).tolist()
-    c.bases = c.bases[1], c.bases[1]
+    want = c.count(["alpha beta-gamma incomprehensibilities", "beta alpha lahpa xyzzy zyxzy"]).tolist()
+    c.base = 1  # words of the same letters have one hash, and the other tells them apart
     c._powers(1 << 16)
     c.table = token_counts.CountTable()
     monkeypatch.setattr(c.table, "get", lambda keys, checks: -np_ones(len(keys)))
-    assert c.count(["alpha beta-gamma incomprehensibilities", "beta alpha"]).tolist() == want
+    assert c.count(["alpha beta-gamma incomprehensibilities", "beta alpha lahpa xyzzy zyxzy"]).tolist() == want
 
 
 def np_ones(n):
@@ -257,3 +258,35 @@ def test_leak_spans():
 def test_payloads():
     assert flac.text_payload("") == b"\0" * 64 and len(flac.text_payload("a" * 64)) == 64 and len(flac.text_payload("a" * 65)) == 128
     assert hashlib.sha256(flac.text_payload(None)).digest() == hashlib.sha256(b"\0" * 64).digest()
+
+
+def thue_morse(n, a, b):
+    return "".join((a, b)[bin(k).count("1") % 2] for k in range(n))
+
+
+def test_words_that_polynomials_modulo_powers_of_two_confuse():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    counter = token_counts.TokenCounter(public_tokenizers.path("word_bpe_49k.json"))
+    for n, a, b in [(1024, "i", "n"), (1024, "a", "q"), (2048, "t", "h"), (2048, "s", "z"), (4096, "i", "n")]:
+        words = [thue_morse(n, a, b), thue_morse(n, b, a)]
+        want = [len(library.encode(w, add_special_tokens=False).ids) for w in words]
+        assert counter.count(words).tolist() == want
+        assert [counter.count([w]).tolist()[0] for w in words[::-1]] == want[::-1]
+    left, right = (f"one two {thue_morse(512, *x)} four five" for x in ("ab", "ba"))
+    doc, prints = jaccard_join.shingle_sets([left, right])
+    assert doc.tolist() == [0, 1] and prints[0] != prints[1]
+
+
+def test_prime_prints_equal_polynomials():
+    from tickforge.llm.blocks import PrimePrints
+
+    values = np.random.default_rng(3).integers(0, (1 << 31) - 1, 5000).astype(np.uint64)
+    begin, end = np.array([0, 7, 200, 4999, 3]), np.array([5000, 107, 300, 5000, 3])
+    values[200:300] = values[7:107]
+    p = PrimePrints.P
+    want = [sum(int(v) * pow(PrimePrints.PLACES[0], k, p) for k, v in enumerate(values[a:b])) % p << 31 | sum(int(v) * pow(PrimePrints.PLACES[1], k, p) for k, v in enumerate(values[a:b])) % p for a, b in zip(begin, end)]
+    got = PrimePrints()(values, begin, end).tolist()
+    assert got == want and got[1] == got[2]

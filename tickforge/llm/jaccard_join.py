@@ -18,8 +18,9 @@ Jaccard distance d is a metric; two documents link at d <= R. The join goes from
    and the sizes let them link; only links come out. Other cells are regions of the
    next round, with twice as many pivots, so the number of rounds grows with the logarithm of a region.
 
-A link between two components is never skipped, so components are exact. Sets are compared by 64-bit fingerprints
-of shingles: for 10**10 documents of 300 shingles, about 10**-4 of their sets would hold two of the same print.
+A link between two components is never skipped, so components are exact. Sets are compared by fingerprints
+of shingles, made of 62-bit prints of words modulo a prime: for 10**10 documents of 300 shingles, about 10**-3 of their sets
+would hold two of the same print. Someone who knows the constants could write two words of one print.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .blocks import BLOCK_BYTES, CHUNK_BYTES, Powers, block_root, cut_blocks, in_sorted, load_block, mixed, pack48, save_block, unpack48
+from .blocks import BLOCK_BYTES, CHUNK_BYTES, PrimePrints, block_root, cut_blocks, in_sorted, load_block, mixed, pack48, save_block, unpack48
 from .components import connected_components
 from .scratch import Scratch
 from .worker import begin, trim
@@ -49,7 +50,7 @@ SPARSE = 256
 PACKED_BYTES = 1 << 20
 KEY = np.uint64((1 << 48) - 1)
 _U = np.uint64
-_WORDS = Powers(0xA0761D6478BD642F)
+_WORDS = PrimePrints()
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
@@ -82,10 +83,7 @@ def _shingles_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     begin, end = edge[0::2], edge[1::2]
     if not len(begin):
         return np.empty(0, np.int64), np.empty(0, np.uint64)
-    up, down = _WORDS.upto(len(data))
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + _U(1)) * up, out=sums[1:])
-    word = mixed((sums[end] - sums[begin]) * down[begin] + (end - begin).astype(np.uint64) * _U(0x9FB21C651E98DF25))
+    word = mixed(_WORDS(data.astype(np.uint64) + _U(1), begin, end) + (end - begin).astype(np.uint64) * _U(0x9FB21C651E98DF25))
     doc = np.searchsorted(starts, begin, "right") - 1
     n = np.bincount(doc, minlength=len(texts))
     k = SHINGLE_WORDS

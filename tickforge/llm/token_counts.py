@@ -7,7 +7,7 @@ chunks, each chunk gives a map from every start state to an end state, the maps
 prefix scan, and a second pass with the known start states gives the output. Token
 counts are not on its transitions: the merges of all new pre-tokens of a batch run side by
 side on a matrix of symbols, lowest rank first, and the counts are kept under a 64-bit hash of the pre-token. A
-second, independent hash of 64 bits is compared before a count is used.
+second hash of 62 bits, modulo a prime, is compared before a count is used.
 
 Character classes are asked of the tokenizers library once per character and worker, and texts that aren't ASCII
 are normalized by it, as its Unicode tables are newer than Python's; everything else is compiled from the
@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from .blocks import PrimePrints
 from .worker import begin, keeps
 
 CHUNK = 64
@@ -162,7 +163,7 @@ class TokenCounter:
         for c in "stmd":
             self.classes[ord(c)] = SINGLE
         self.table = CountTable()
-        self.bases = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
+        self.base, self.prints = 0x9E3779B97F4A7C15, PrimePrints()
         self._powers(1 << 16)
 
     @staticmethod
@@ -173,13 +174,10 @@ class TokenCounter:
         return [chr(b) if b in own else chr(next(more)) for b in range(256)]
 
     def _powers(self, n: int) -> None:
-        self.powers = []
-        for base in self.bases:
-            pair = [np.full(n, b, np.uint64) for b in (base, pow(base, -1, 1 << 64))]
-            for p in pair:
-                p[0] = 1
-                np.cumprod(p, out=p)
-            self.powers.append(pair)
+        self.powers = [np.full(n, b, np.uint64) for b in (self.base, pow(self.base, -1, 1 << 64))]
+        for p in self.powers:
+            p[0] = 1
+            np.cumprod(p, out=p)
 
     def classify(self, points: np.ndarray) -> np.ndarray:
         out = self.classes[points]
@@ -294,7 +292,7 @@ class TokenCounter:
         n = len(points)
         if n == 0:
             return np.zeros(len(starts), np.int64)
-        if n >= len(self.powers[0][0]):
+        if n >= len(self.powers[0]):
             self._powers(2 * n)
         classes = self.classify(points)
         found = run_transducer(classes)
@@ -304,15 +302,14 @@ class TokenCounter:
         is_first = first[breaks]
         ends = np.append(breaks[1:], n)[is_first]
         begins = breaks[is_first]
-        hashes, values = [], points.astype(np.uint64) + np.uint64(1)
-        for up, down in self.powers:
-            sums = np.zeros(n + 1, np.uint64)
-            np.cumsum(values * up[:n], out=sums[1:])
-            h = (sums[ends] - sums[begins]) * down[begins]
-            h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-            hashes.append(h ^ (h >> np.uint64(29)) ^ (ends - begins).astype(np.uint64))
-        h, check = hashes
+        values, (up, down) = points.astype(np.uint64) + np.uint64(1), self.powers
+        sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(values * up[:n], out=sums[1:])
+        h = (sums[ends] - sums[begins]) * down[begins]
+        h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+        h ^= (h >> np.uint64(29)) ^ (ends - begins).astype(np.uint64)
         h[h == 0] = 1
+        check = self.prints(values, begins, ends)
         counts = self.table.get(h, check)
         missing = np.flatnonzero(counts < 0)
         if len(missing):
