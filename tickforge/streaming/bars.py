@@ -29,21 +29,25 @@ def deduplicated(ticks: DataFrame, keys: list[str], late: str = "10 minutes") ->
 
 
 def cooldown(signals: DataFrame, seconds: int, late: str = "10 minutes") -> DataFrame:
-    """Signals of a symbol at least so many seconds after the one before that was let through; the state is one time a symbol."""
+    """Signals of a symbol at least so many seconds after the one before that was let through; the state is one time a symbol, until the watermark has passed the cooldown."""
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         last = state.get[0] if state.exists else None
-        rows = pd.concat(list(frames)).sort_values(["timestamp", "seq"])
+        rows = pd.concat(list(frames)).sort_values(["at", "seq"])
         keep = []
-        for t in rows["timestamp"]:
-            now = t.timestamp()
-            keep.append(last is None or now - last >= seconds)
+        for now in rows["at"]:
+            keep.append(last is None or now - last >= seconds * 1_000_000)
             if keep[-1]:
                 last = now
-        if last is not None:
-            state.update((last,))
-        yield rows[keep][["symbol", "timestamp", "seq"]]
+        state.update((last,))
+        state.setTimeoutTimestamp(max(last // 1000 + seconds * 1000, state.getCurrentWatermarkMs()) + 1)
+        if any(keep):
+            yield rows[keep][["symbol", "timestamp", "seq"]]
 
-    return signals.withWatermark("timestamp", late).groupBy("symbol").applyInPandasWithState(run, "symbol string, timestamp timestamp, seq long", "last double", "append", GroupStateTimeout.NoTimeout)
+    timed = signals.where("timestamp IS NOT NULL").withWatermark("timestamp", late).select("symbol", "timestamp", "seq", F.unix_micros(F.col("timestamp").cast("timestamp")).alias("at"))
+    return timed.groupBy("symbol").applyInPandasWithState(run, "symbol string, timestamp timestamp, seq long", "last long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def lookback_signals(bars: DataFrame, n: int = 20, z: float = 1.5) -> DataFrame:
@@ -60,17 +64,25 @@ def lookback_signals(bars: DataFrame, n: int = 20, z: float = 1.5) -> DataFrame:
                     out.append((r.symbol, r.timestamp, float(score)))
             past = (past + [float(r.close)])[-n:]
         state.update((past,))
-        yield pd.DataFrame(out, columns=["symbol", "timestamp", "z"])
+        if out:
+            yield pd.DataFrame(out, columns=["symbol", "timestamp", "z"])
 
     return bars.groupBy("symbol").applyInPandasWithState(run, "symbol string, timestamp timestamp, z double", "past array<double>", "append", GroupStateTimeout.NoTimeout)
 
 
-def merged_reports(reports: DataFrame, columns: list[str]) -> DataFrame:
-    """What each report (key, timestamp, seq and columns) is to those of its key before: new, duplicate (adds nothing), enriched (fills a gap) or conflict (a value differs; the first stays). The state is a row a key."""
+def merged_reports(reports: DataFrame, columns: list[str], late: str = "1 day", keep_hours: int = 24 * 40) -> DataFrame:
+    """What each report (key, timestamp, seq and columns) is to those of its key before: new, duplicate (adds nothing), enriched (fills a gap) or conflict (a value differs; the first stays).
+
+    The state is a row a key, and a time after which the key is forgotten: keep_hours after its last report, by the watermark. Reports behind the watermark are dropped.
+    """
     fields = ", ".join(f"{c} string" for c in columns)
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = list(state.get) if state.exists else None
+        if state.hasTimedOut:
+            state.remove()
+            return
+        *held, until = state.get if state.exists else (None,)
+        held, until = held or None, until or 0
         out = []
         for r in pd.concat(list(frames)).sort_values("seq").itertuples():
             own = [getattr(r, c) for c in columns]
@@ -83,31 +95,52 @@ def merged_reports(reports: DataFrame, columns: list[str]) -> DataFrame:
                 kind = "conflict" if differs else "enriched" if fills else "duplicate"
                 if not differs:
                     held = [a if a is not None else b for a, b in zip(held, own)]
+            until = max(until, r.at // 1000 + keep_hours * 3_600_000)
             out.append((r.key, r.seq, kind))
-        if held is not None:
-            state.update(tuple(held))
+        state.update((*held, until))
+        state.setTimeoutTimestamp(max(until, state.getCurrentWatermarkMs()) + 1)
         yield pd.DataFrame(out, columns=["key", "seq", "outcome"])
 
-    return reports.groupBy("key").applyInPandasWithState(run, "key long, seq long, outcome string", fields, "append", GroupStateTimeout.NoTimeout)
+    timed = reports.where("timestamp IS NOT NULL").withWatermark("timestamp", late).withColumn("at", F.unix_micros(F.col("timestamp").cast("timestamp")))
+    return timed.groupBy("key").applyInPandasWithState(run, "key long, seq long, outcome string", f"{fields}, until long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def planned(signals: DataFrame, a_day: int, late: str = "10 minutes", slots: int | None = None) -> DataFrame:
+    """Signals (symbol, timestamp, seq, hash) whose hash was not planned before, up to a number a day and symbol; with slots (and a column until), up to so many open at a time.
 
+    The state is the hashes of the days of a symbol that the watermark has not passed, so a late signal of an earlier day counts to that day and makes nothing forgotten; signals behind the watermark are dropped.
+    """
+    day = 86_400_000_000
 
-def planned(signals: DataFrame, a_day: int, late: str = "10 minutes") -> DataFrame:
-    """Signals (symbol, timestamp, seq, hash) whose hash was not planned before, up to a number a day and symbol; the state is the latest day's hashes of a symbol."""
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        day, seen, n = state.get if state.exists else (None, [], 0)
-        seen, rows, keep = list(seen), pd.concat(list(frames)).sort_values(["timestamp", "seq"]), []
-        for r in rows.itertuples():
-            if (today := str(r.timestamp.date())) != day:
-                day, seen, n = today, [], 0
-            ok = r.hash not in seen and n < a_day
-            if ok:
-                seen.append(r.hash)
-                n += 1
-            keep.append(ok)
-        state.update((day, seen, n))
-        yield rows[keep][["symbol", "timestamp", "seq"]]
-
-    return signals.withWatermark("timestamp", late).groupBy("symbol").applyInPandasWithState(run, "symbol string, timestamp timestamp, seq long", "day string, seen array<string>, n int", "append", GroupStateTimeout.NoTimeout)
+        days, hashes, ends = map(list, state.get) if state.exists else ([], [], [])
+        mark = state.getCurrentWatermarkMs() * 1000
+        if not state.hasTimedOut:
+            rows, keep = pd.concat(list(frames)).sort_values(["at", "seq"]), []
+            for at, hash_, end in zip(rows["at"], rows["hash"], rows["end"]):
+                today = at // day
+                busy = slots is not None and sum(e > at for e in ends) >= slots
+                ok = hash_ not in hashes and days.count(today) < a_day and not busy
+                if ok:
+                    days.append(today)
+                    hashes.append(hash_)
+                    ends.append(end)
+                keep.append(ok)
+            if any(keep):
+                yield rows[keep][["symbol", "timestamp", "seq"]]
+        held = [k for k, d in enumerate(days) if (d + 1) * day > mark or slots is not None and ends[k] > mark]
+        if not held:
+            if state.exists:
+                state.remove()
+            return
+        days, hashes, ends = ([x[k] for k in held] for x in (days, hashes, ends))
+        state.update((days, hashes, ends))
+        state.setTimeoutTimestamp(max(min((d + 1) * day // 1000 for d in days), state.getCurrentWatermarkMs()) + 1)
+
+    end = F.unix_micros(F.col("until").cast("timestamp")) if slots is not None else F.lit(0).cast("long")
+    timed = signals.where("timestamp IS NOT NULL").withWatermark("timestamp", late)
+    timed = timed.select("symbol", "timestamp", "seq", "hash", F.unix_micros(F.col("timestamp").cast("timestamp")).alias("at"), end.alias("end"))
+    return timed.groupBy("symbol").applyInPandasWithState(run, "symbol string, timestamp timestamp, seq long", "days array<long>, hashes array<string>, ends array<long>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def fresh(quotes: DataFrame, seconds: int, now: str = "current_timestamp()") -> DataFrame:
