@@ -26,6 +26,7 @@ def shown(v):
 def test_rows_equal(spark, con, name):
     df = registry.QUERIES[name](spark, SF)
     want = con.sql(registry.ORACLE[name])
+    assert want.limit(1).fetchall(), "green on nothing"
     assert sorted(df.columns) == sorted(want.columns)
     cols = sorted(df.columns)
     at = [want.columns.index(c) for c in cols]
@@ -37,6 +38,15 @@ def test_other_queries_run(spark, name):
     assert registry.QUERIES[name](spark, SF).count() >= 0
 
 
+def test_some_candidates_pass_and_all_families_are_there(con):
+    c = duckdb.connect()
+    folder = SF.replace("sf0.001", "sf0.01")
+    for t in ("orders", "events"):
+        c.sql(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{folder}/{t}.parquet')")
+    assert c.sql(f"SELECT count(*) FROM ({registry.ORACLE['candidate_gates']}) WHERE passed AND score IS NOT NULL").fetchall()[0][0] > 0
+    assert [c.sql(f"SELECT count(DISTINCT scan_type) FROM ({registry.ORACLE[f'scan_set_{k}']})").fetchall()[0][0] for k in "ac"] == [11, 21]
+
+
 def test_entry_and_names():
     import __spark_entry__ as e
 

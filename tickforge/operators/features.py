@@ -18,9 +18,10 @@ def prior_day(bars: DataFrame) -> DataFrame:
     return d.withColumns({"prior_day_high": F.max("high").over(before), "prior_day_low": F.min("low").over(before), "prior_day_close": F.max_by("close", "timestamp").over(before)}).drop("day_number")
 
 
-def frame_features(bars: DataFrame, opening: tuple[int, int] = (0, 179)) -> DataFrame:
-    """Features whose frames end before the current bar and may be partly filled."""
-    d = bars.withColumn("day", F.to_date("timestamp")).withColumn("minute", F.hour("timestamp") * 60 + F.minute("timestamp")).withColumn("dow", F.dayofweek("timestamp") - 1)
+def frame_features(bars: DataFrame, opening: tuple[int, int] = (0, 179), zone: str | None = None) -> DataFrame:
+    """Features whose frames end before the current bar and may be partly filled; days and minutes are those of a zone, as the bars' times are UTC."""
+    local = F.convert_timezone(F.lit("UTC"), F.lit(zone), F.col("timestamp")) if zone else F.col("timestamp")
+    d = bars.withColumn("day", F.to_date(local)).withColumn("minute", F.hour(local) * 60 + F.minute(local)).withColumn("dow", F.dayofweek(local) - 1)
     d = d.withColumn("ret1", F.col("close") - F.lag("close").over(symbol_window())).withColumn("rng", F.col("high") - F.col("low"))
     weight = F.greatest("tick_count", F.lit(1))
     inside = F.col("minute").between(*opening)

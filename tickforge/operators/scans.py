@@ -51,7 +51,7 @@ SET_C = {
     "ma50_stretch_reversion": ("z50 <= -1.25 AND close_location >= 0.55", "z50 >= 1.25 AND close_location <= 0.45"),
     "bollinger20_reversion": ("z20 <= -1.75 AND close_location >= 0.5", "z20 >= 1.75 AND close_location <= 0.5"),
     "vwap_side_continuation": ("close > session_vwap AND ret1 > 0 AND trend_bin = 1", "close < session_vwap AND ret1 < 0 AND trend_bin = -1"),
-    "vwap_reclaim_continuation": SET_A["vwap_reclaim_continuation"],
+    "vwap_reclaim_continuation": ("prev_vwap_dist < 0 AND vwap_dist >= 0 AND ret1 > 0", "prev_vwap_dist > 0 AND vwap_dist <= 0 AND ret1 < 0"),
     "donchian20_breakout": ("close > high20_prev AND volume_bin >= 0", "close < low20_prev AND volume_bin >= 0"),
     "donchian60_breakout": ("close > high60_prev AND volume_bin >= 0", "close < low60_prev AND volume_bin >= 0"),
     "failed_donchian20_reversion": ("low < low20_prev AND close > low20_prev AND z50 <= -0.75", "high > high20_prev AND close < high20_prev AND z50 >= 0.75"),
@@ -61,7 +61,7 @@ SET_C = {
     "rsi14_momentum": ("rsi14 >= 60 AND ret1 > 0 AND trend_bin = 1", "rsi14 <= 40 AND ret1 < 0 AND trend_bin = -1"),
     "stoch20_reversion": ("stoch20 <= 0.1 AND close_location >= 0.5", "stoch20 >= 0.9 AND close_location <= 0.5"),
     "session_extreme_reversion": SET_B["session_extreme_reversion"],
-    "opening_range_breakout": SET_B["opening_range_breakout"],
+    "opening_range_breakout": ("minute BETWEEN 600 AND 959 AND close > opening_high_prev AND volume_bin >= 0", "minute BETWEEN 600 AND 959 AND close < opening_low_prev AND volume_bin >= 0"),
     "low_volume_drift": SET_A["low_volume_drift"],
 }
 SETS = {"a": SET_A, "b": SET_B, "c": SET_C}

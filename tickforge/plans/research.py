@@ -46,12 +46,12 @@ def break_even(spark, sf):
     return r6(Y.break_even_cost(t, ["grp"]))
 
 
-#: Candidates made of each clerk's orders: the test part is 1994 and 1995, validation before and holdout after it.
+#: Candidates made of each clerk's orders: the test part is 1998 and 1999, validation before and holdout after it.
 _SCALE = 20
 _CAND = """o AS (SELECT o_custkey % 40 AS cand, year(o_orderdate)::INT AS y, o_orderdate AS ts, o_orderkey AS seq, round((o_totalprice - 120000) / 20, 4) AS pnl FROM orders),
-q AS (SELECT *, round(sum(pnl) OVER w, 4) AS eq FROM o WHERE y IN (1994, 1995) WINDOW w AS (PARTITION BY cand ORDER BY ts, seq ROWS UNBOUNDED PRECEDING)), dd AS (SELECT cand, max(greatest(0, pk) - eq) AS dd FROM (SELECT *, max(eq) OVER (PARTITION BY cand ORDER BY ts, seq ROWS UNBOUNDED PRECEDING) AS pk FROM q) GROUP BY cand),
+q AS (SELECT *, round(sum(pnl) OVER w, 4) AS eq FROM o WHERE y IN (1998, 1999) WINDOW w AS (PARTITION BY cand ORDER BY ts, seq ROWS UNBOUNDED PRECEDING)), dd AS (SELECT cand, max(greatest(0, pk) - eq) AS dd FROM (SELECT *, max(eq) OVER (PARTITION BY cand ORDER BY ts, seq ROWS UNBOUNDED PRECEDING) AS pk FROM q) GROUP BY cand),
 yr AS (SELECT cand, y, sum(pnl::DECIMAL(18, 4))::DOUBLE AS net, CASE WHEN count(*) > 1 AND round(stddev_pop(pnl), 6) > 0 THEN round(avg(pnl) / stddev_pop(pnl) * sqrt(252), 6) END AS sh FROM o GROUP BY ALL),
-pt AS (SELECT cand, CASE WHEN y < 1994 THEN 'validation' WHEN y > 1995 THEN 'holdout' ELSE 'test' END AS part, count(*) AS n, sum(pnl::DECIMAL(18, 4))::DOUBLE AS net, CASE WHEN count(*) > 1 AND round(stddev_pop(pnl), 6) > 0 THEN round(avg(pnl) / stddev_pop(pnl) * sqrt(252), 6) END AS sh,
+pt AS (SELECT cand, CASE WHEN y < 1998 THEN 'validation' WHEN y > 1999 THEN 'holdout' ELSE 'test' END AS part, count(*) AS n, sum(pnl::DECIMAL(18, 4))::DOUBLE AS net, CASE WHEN count(*) > 1 AND round(stddev_pop(pnl), 6) > 0 THEN round(avg(pnl) / stddev_pop(pnl) * sqrt(252), 6) END AS sh,
   round(sum(CASE WHEN pnl > 0 THEN pnl::DECIMAL(18, 4) END)::DOUBLE / nullif(sum(CASE WHEN pnl < 0 THEN -pnl::DECIMAL(18, 4) END)::DOUBLE, 0), 6) AS pf FROM o GROUP BY ALL),
 fo AS (SELECT cand, count(*) AS folds, count(*) FILTER (net > 0) AS positive_folds, round(quantile_cont(sh, 0.5), 6) AS median_fold_sharpe, round(count(*) FILTER (net > 0) / count(*), 9) AS pyr FROM yr GROUP BY cand),
 c AS (SELECT t.cand, t.n / 730.0::DOUBLE * 365 * 40 AS aty, t.sh AS ts, t.net AS tn, t.pf, t.net / t.n AS mean, dd.dd, h.sh AS hs, h.net AS hn, v.sh AS vs, folds, positive_folds, median_fold_sharpe AS mfs, pyr, 100 + 20 * (t.cand % 40) AS combos
@@ -65,10 +65,10 @@ def candidates(spark, sf):
     sharpe = F.when((F.count("*") > 1) & (F.round(F.stddev_pop("pnl"), 6) > 0), F.round(F.avg("pnl") / F.stddev_pop("pnl") * F.sqrt(F.lit(252.0)), 6))
     years = o.groupBy("cand", "y").agg(total.alias("net"), sharpe.alias("sh"))
     folds = years.groupBy("cand").agg(F.count("*").alias("folds"), F.count_if(F.col("net") > 0).alias("positive_folds"), F.round(F.percentile("sh", 0.5), 6).alias("median_fold_sharpe"), F.round(F.count_if(F.col("net") > 0) / F.count("*"), 9).alias("positive_year_ratio"))
-    part = F.when(F.col("y") < 1994, "validation").when(F.col("y") > 1995, "holdout").otherwise("test")
+    part = F.when(F.col("y") < 1998, "validation").when(F.col("y") > 1999, "holdout").otherwise("test")
     gain, loss = F.sum(F.when(money > 0, money)).cast("double"), F.sum(F.when(money < 0, -money)).cast("double")
     parts = o.groupBy("cand", part.alias("part")).agg(F.count("*").alias("n"), total.alias("net"), sharpe.alias("sharpe"), F.round(gain / F.nullif(loss, F.lit(0.0)), 6).alias("profit_factor"))
-    draw = M.running(o.where("y IN (1994, 1995)"), ["cand"]).groupBy("cand").agg(F.max("drawdown").alias("test_max_drawdown"))
+    draw = M.running(o.where("y IN (1998, 1999)"), ["cand"]).groupBy("cand").agg(F.max("drawdown").alias("test_max_drawdown"))
     test = parts.where("part = 'test'").select("cand", (F.col("n") / F.lit(730.0) * 365 * 40).alias("test_annual_trades"), F.col("sharpe").alias("test_sharpe"), F.col("net").alias("test_net"), F.col("profit_factor").alias("test_profit_factor"), (F.col("net") / F.col("n")).alias("test_mean"))
     side = lambda p: parts.where(F.col("part") == p).select("cand", F.col("sharpe").alias(f"{p}_sharpe"), F.col("net").alias(f"{p}_net"))
     c = test.join(draw, "cand").join(folds, "cand").join(side("holdout"), "cand", "left").join(side("validation"), "cand", "left")
@@ -202,13 +202,13 @@ def pool_change(spark, sf):
     return Y.pool_change(l.where("l_quantity > 25"), l.where("l_discount > 0.05"), "k")
 
 
-_QT = "q AS (SELECT quantile_cont(l_quantity, [0.2, 0.8]) AS a, quantile_cont(l_tax, [0.2, 0.8]) AS b FROM lineitem WHERE year(l_shipdate) < 1995), rl AS (SELECT unnest(['l_quantity<=0.2', 'l_quantity>=0.2', 'l_quantity<=0.8', 'l_quantity>=0.8', 'l_tax<=0.2', 'l_tax>=0.2', 'l_tax<=0.8', 'l_tax>=0.8']) AS rule, unnest([a[1], a[1], a[2], a[2], b[1], b[1], b[2], b[2]]) AS t FROM q), x AS (SELECT l_quantity, l_tax, round(l_extendedprice - 35000, 2)::DECIMAL(18, 2) AS pnl FROM lineitem WHERE year(l_shipdate) >= 1995)"
+_QT = "q AS (SELECT quantile_cont(l_quantity, [0.2, 0.8]) AS a, quantile_cont(l_tax, [0.2, 0.8]) AS b FROM lineitem WHERE year(l_shipdate) < 1998), rl AS (SELECT unnest(['l_quantity<=0.2', 'l_quantity>=0.2', 'l_quantity<=0.8', 'l_quantity>=0.8', 'l_tax<=0.2', 'l_tax>=0.2', 'l_tax<=0.8', 'l_tax>=0.8']) AS rule, unnest([a[1], a[1], a[2], a[2], b[1], b[1], b[2], b[2]]) AS t FROM q), x AS (SELECT l_quantity, l_tax, round(l_extendedprice - 35000, 2)::DECIMAL(18, 2) AS pnl FROM lineitem WHERE year(l_shipdate) >= 1998)"
 _PASS = "CASE WHEN {r}.rule LIKE 'l_quantity<%' THEN l_quantity <= {r}.t WHEN {r}.rule LIKE 'l_quantity>%' THEN l_quantity >= {r}.t WHEN {r}.rule LIKE 'l_tax<%' THEN l_tax <= {r}.t ELSE l_tax >= {r}.t END"
 
 
 def _rules(spark, sf):
     l = S.table(spark, sf, "lineitem").select("l_quantity", "l_tax", F.year("l_shipdate").alias("y"), F.round(F.col("l_extendedprice") - 35_000, 2).cast("decimal(18,2)").alias("pnl"))
-    return l.where("y >= 1995"), Y.quantile_rules(l.where("y < 1995"), ["l_quantity", "l_tax"], [0.2, 0.8])
+    return l.where("y >= 1998"), Y.quantile_rules(l.where("y < 1998"), ["l_quantity", "l_tax"], [0.2, 0.8])
 
 
 @query(f"WITH {_QT} SELECT rule, count(*) AS n, round(sum(pnl)::DOUBLE, 2) AS net FROM x, rl WHERE {_PASS.format(r='rl')} GROUP BY rule")
@@ -223,11 +223,11 @@ def quantile_rule_pairs(spark, sf):
     return Y.rule_results(rows, rules, ["l_quantity", "l_tax"], True).withColumn("net", F.round(F.col("net").cast("double"), 2))
 
 
-@query(f"""WITH {_O}, y AS (SELECT year(ts)::INT AS y, grp, status, count(*) AS n, count(*) FILTER (pnl > 0) AS w, sum(pnl) AS net FROM o GROUP BY ALL), f AS (SELECT unnest([1994, 1995, 1996, 1997]) AS test_year),
+@query(f"""WITH {_O}, y AS (SELECT year(ts)::INT AS y, grp, status, count(*) AS n, count(*) FILTER (pnl > 0) AS w, sum(pnl) AS net FROM o GROUP BY ALL), f AS (SELECT unnest([1997, 1998, 1999, 2000]) AS test_year),
 g AS (SELECT test_year, grp, status, coalesce(sum(n) FILTER (y < test_year), 0)::BIGINT AS train_n, coalesce(sum(w) FILTER (y < test_year), 0)::BIGINT AS train_wins, coalesce(sum(n) FILTER (y = test_year), 0)::BIGINT AS test_n, coalesce(sum(w) FILTER (y = test_year), 0)::BIGINT AS test_wins, sum(net) FILTER (y = test_year) AS test_net FROM y, f GROUP BY ALL)
 SELECT test_year, grp, status, train_n, train_wins, test_n, test_wins, round(test_net, 2) AS test_net FROM g WHERE train_n >= 10 AND train_wins / train_n >= 0.2""")
 def expanding_walk_forward(spark, sf):
-    return r2(Y.expanding_folds(S.order_pnl(spark, sf), ["grp", "status"], [1994, 1995, 1996, 1997], 10, 0.2))
+    return r2(Y.expanding_folds(S.order_pnl(spark, sf), ["grp", "status"], [1997, 1998, 1999, 2000], 10, 0.2))
 
 
 @query("""WITH y AS (SELECT p_brand AS rule, p_size % 5 AS year, round(sum(p_retailprice - 1400), 6) AS net FROM part GROUP BY ALL), r AS (SELECT rule, list(net ORDER BY year) AS v FROM (SELECT b.rule, d.year, coalesce(net, 0) AS net FROM (SELECT DISTINCT rule FROM y) b, (SELECT DISTINCT year FROM y) d LEFT JOIN y ON y.rule = b.rule AND y.year = d.year) GROUP BY rule),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import grammar as G
+from ..operators import bars as B
 from ..operators import features as X
 from ..operators import joins as J
 from ..operators import scans as C
@@ -25,8 +26,8 @@ def query(sql=None):
     return add
 
 
-def frame(spark, sf):
-    return X.frame_features(hourly(spark, sf))
+def frame(spark, sf, minutes: int = 60, opening: tuple[int, int] = (0, 179), zone: str | None = None):
+    return X.frame_features(B.tick_bars(S.ticks(spark, sf), minutes), opening, zone)
 
 
 ENTRY = {"all": [{"feature": "close", "op": ">", "value": "high20_prev"}, {"feature": "volume_bin", "op": ">=", "value": 0}, {"any": [{"feature": "z20", "op": ">=", "value": "0.5"}, {"feature": "ret5", "op": ">", "value": 2}]}]}
@@ -70,11 +71,16 @@ def _scan_sql(families: dict, columns: str = "symbol, timestamp, session_bucket,
     return " UNION ALL ".join(f"SELECT {columns}, '{n}' AS scan_type, {s} AS direction FROM r WHERE {c}" for n, sides in families.items() for s, c in zip((1, -1), sides) if c)
 
 
+#: Minutes of a bar, opening minutes and zone of each set: sets B and C go by New York time, where the half hour from 9:30 opens.
+NEW_YORK = (30, (570, 599), "America/New_York")
+BASES = {"a": (60,), "b": NEW_YORK, "c": NEW_YORK}
+
+
 def _scan_query(letter: str) -> None:
     families = C.SETS[letter]
     name = f"scan_set_{letter}"
-    QUERIES[name] = lambda spark, sf: C.scan(frame(spark, sf), families).select("symbol", "timestamp", "scan_type", "direction", "session_bucket", "trend_bin", "volume_bin", "range_bin")
-    ORACLE[name] = f"""WITH {D.features()}, {_RF}, {_SIDED}, s AS ({_MIRRORED[letter]})
+    QUERIES[name] = lambda spark, sf: C.scan(frame(spark, sf, *BASES[letter]), families).select("symbol", "timestamp", "scan_type", "direction", "session_bucket", "trend_bin", "volume_bin", "range_bin")
+    ORACLE[name] = f"""WITH {D.features(*BASES[letter])}, {_RF}, {_SIDED}, s AS ({_MIRRORED[letter]})
 SELECT symbol, timestamp, scan_type, d AS direction, session_bucket, trend_bin, volume_bin, range_bin FROM s"""
 
 
@@ -131,7 +137,7 @@ trend_pullback_reclaim: t = 1 AND c > m20 AND r5 < 0 AND r1 > 0
 ma50_stretch_reversion: z <= -1.25 AND l >= 0.55
 bollinger20_reversion: y <= -1.75 AND l >= 0.5
 vwap_side_continuation: c > vw AND r1 > 0 AND t = 1
-vwap_reclaim_continuation: prev_vwap_dist * d < 0 AND vwap_dist * d >= 0 AND r1 > 0 AND t = 1 AND volume_bin >= 0
+vwap_reclaim_continuation: prev_vwap_dist * d < 0 AND vwap_dist * d >= 0 AND r1 > 0
 donchian20_breakout: c > top20 AND volume_bin >= 0
 donchian60_breakout: c > top60 AND volume_bin >= 0
 failed_donchian20_reversion: lo < bot20 AND c > bot20 AND z <= -0.75
@@ -141,7 +147,7 @@ rsi14_reversion: rsi <= 30 AND l >= 0.45
 rsi14_momentum: rsi >= 60 AND r1 > 0 AND t = 1
 stoch20_reversion: st <= 0.1 AND l >= 0.5
 session_extreme_reversion: c <= sl + 0.1 * range20 AND z <= -1 AND volume_bin <= 1
-opening_range_breakout: minute >= 600 AND minute <= 959 AND c > orx AND t = 1 AND volume_bin >= 0
+opening_range_breakout: minute >= 600 AND minute <= 959 AND c > orx AND volume_bin >= 0
 low_volume_drift: t = 1 AND volume_bin = -1 AND r1 > 0""")}
 for _l in "abc":
     _scan_query(_l)
@@ -177,10 +183,10 @@ def close_to_close(spark, sf):
 HORIZONS = [1, 3, 6]
 
 
-@query(f"""WITH {D.features()}, {_RF}, {_SIDED}, s AS ({_MIRRORED['c']}), h AS (SELECT symbol, timestamp, unnest([1, 3, 6])::INT AS horizon, unnest([lead(close, 1) OVER w, lead(close, 3) OVER w, lead(close, 6) OVER w]) AS fc FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY timestamp)),
+@query(f"""WITH {D.features(*NEW_YORK)}, {_RF}, {_SIDED}, s AS ({_MIRRORED['c']}), h AS (SELECT symbol, timestamp, unnest([1, 3, 6])::INT AS horizon, unnest([lead(close, 1) OVER w, lead(close, 3) OVER w, lead(close, 6) OVER w]) AS fc FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY timestamp)),
 e AS (SELECT scan_type, d AS direction, horizon, round((fc - close) * d, 9) AS p FROM s JOIN h USING (symbol, timestamp) WHERE fc IS NOT NULL) SELECT scan_type, direction, horizon, {_STATS} FROM e GROUP BY ALL""")
 def scan_horizons(spark, sf):
-    s = C.scan(C.at_horizons(frame(spark, sf), HORIZONS), C.SET_C, ["symbol", "timestamp", "close", "horizon", "future_close"])
+    s = C.scan(C.at_horizons(frame(spark, sf, *NEW_YORK), HORIZONS), C.SET_C, ["symbol", "timestamp", "close", "horizon", "future_close"])
     return r6(C.edge_stats(s.withColumn("pnl", (F.col("future_close") - F.round("close", 9)) * F.col("direction")), ["scan_type", "direction", "horizon"]))
 
 
@@ -314,7 +320,7 @@ def limit_fill(spark, sf):
     return r6(J.limit_fills(o, t, 7200).select("trade_id", "side", "fill_time", "fill_price"))
 
 
-YEARS = list(range(1992, 2000))
+YEARS = list(range(1995, 2002))
 
 
 @query("SELECT o_orderpriority AS grp, " + ", ".join(f"round(sum(CASE WHEN year(o_orderdate) = {y} THEN o_totalprice END), 2) AS y{y}" for y in YEARS) + " FROM orders GROUP BY 1")

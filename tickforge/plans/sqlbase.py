@@ -14,8 +14,10 @@ def _steps(c: str) -> str:
     return f"CASE WHEN {c} >= 2 THEN 3 WHEN {c} >= 1.5 THEN 2 WHEN {c} >= 1 THEN 1 WHEN {c} < 0.7 THEN -1 ELSE 0 END"
 
 
-def features(minutes: int = 60) -> str:
-    """CTEs ending in f, the frame features of bars."""
+def features(minutes: int = 60, opening: tuple[int, int] = (0, 179), zone: str = "UTC") -> str:
+    """CTEs ending in f, the frame features of bars, with days and minutes of a zone."""
+    local = f"timezone('{zone}', timezone('UTC', timestamp))" if zone != "UTC" else "timestamp"
+    inside = "minute BETWEEN {} AND {}".format(*opening)
     s, d = "PARTITION BY symbol ORDER BY timestamp", "PARTITION BY symbol, day ORDER BY timestamp"
     over = lambda agg, n: f"{agg} OVER ({s} ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING)"
     up, cr = f"OVER ({d} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)", f"OVER ({d} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
@@ -25,10 +27,10 @@ def features(minutes: int = 60) -> str:
     cols += [f"{over('avg(rng)', n)} AS range{n}" for n in (20, 60)] + [f"{over('avg(tick_count)', n)} AS vol{n}" for n in (20, 50)]
     cols += [f"{over('avg(greatest(ret1, 0))', 14)} AS gain14", f"{over('avg(greatest(-ret1, 0))', 14)} AS loss14"]
     cols += [f"sum((high + low + close) / 3 * greatest(tick_count, 1)) {cr} / sum(greatest(tick_count, 1)) {cr} AS session_vwap", f"max(high) {up} AS session_high_prev", f"min(low) {up} AS session_low_prev",
-             f"first(open) {cr} AS session_open", f"max(CASE WHEN minute BETWEEN 0 AND 179 THEN high END) {up} AS opening_high_prev", f"min(CASE WHEN minute BETWEEN 0 AND 179 THEN low END) {up} AS opening_low_prev"]
+             f"first(open) {cr} AS session_open", f"max(CASE WHEN {inside} THEN high END) {up} AS opening_high_prev", f"min(CASE WHEN {inside} THEN low END) {up} AS opening_low_prev"]
     ratio = lambda a, b, o: f"CASE WHEN {b} > 0 THEN {a} / {b} ELSE {o} END"
     return f"""{bars(minutes)},
-f0 AS (SELECT *, timestamp::DATE AS day, (hour(timestamp) * 60 + minute(timestamp))::INT AS minute, dayofweek(timestamp)::INT AS dow, high - low AS rng, close - lag(close) OVER ({s}) AS ret1 FROM bars),
+f0 AS (SELECT *, {local}::DATE AS day, (hour({local}) * 60 + minute({local}))::INT AS minute, dayofweek({local})::INT AS dow, high - low AS rng, close - lag(close) OVER ({s}) AS ret1 FROM bars),
 f1 AS (SELECT *, {', '.join(cols)} FROM f0),
 f2 AS (SELECT symbol, day, lag(h) OVER w AS prior_day_high, lag(l) OVER w AS prior_day_low, lag(c) OVER w AS prior_day_close FROM (
   SELECT symbol, day, max(high) AS h, min(low) AS l, arg_max(close, timestamp) AS c FROM f0 GROUP BY symbol, day) WINDOW w AS (PARTITION BY symbol ORDER BY day)),

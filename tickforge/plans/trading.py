@@ -335,7 +335,7 @@ def structure_events(spark, sf):
     return r6(R.structure_events(hourly(spark, sf)).drop("pivot_time"))
 
 
-FOLDS = (date(1992, 1, 1), date(1998, 12, 31), 365, 90, 180, 180, 5, 60)
+FOLDS = (date(1995, 1, 1), date(2001, 12, 31), 365, 90, 180, 180, 5, 60)
 
 
 def _folds_sql(folds: tuple = FOLDS) -> str:
@@ -377,8 +377,8 @@ def param_grid(spark, sf):
     return g.select("a", "b", "c", F.sha2(F.format_string("a=%d;b=%d;c=%d", "a", "b", "c"), 256).alias("variant"))
 
 
-@query(f"WITH {_O}, y AS (SELECT unnest([1994, 1995, 1996]) AS year) SELECT y.year, grp, count(*) FILTER (year(ts) < y.year) AS train_n, count(*) FILTER (year(ts) >= y.year) AS test_n, round(sum(CASE WHEN year(ts) < y.year THEN pnl END), 2) AS train_net, round(sum(CASE WHEN year(ts) >= y.year THEN pnl END), 2) AS test_net FROM o, y GROUP BY ALL")
+@query(f"WITH {_O}, y AS (SELECT unnest([1996, 1998, 2000]) AS year) SELECT y.year, grp, count(*) FILTER (year(ts) < y.year) AS train_n, count(*) FILTER (year(ts) >= y.year) AS test_n, round(sum(CASE WHEN year(ts) < y.year THEN pnl END), 2) AS train_net, round(sum(CASE WHEN year(ts) >= y.year THEN pnl END), 2) AS test_net FROM o, y GROUP BY ALL")
 def activation_years(spark, sf):
-    o = S.order_pnl(spark, sf).withColumn("year", F.explode(F.array(*map(F.lit, (1994, 1995, 1996)))))
+    o = S.order_pnl(spark, sf).withColumn("year", F.explode(F.array(*map(F.lit, (1996, 1998, 2000)))))
     before = F.year("ts") < F.col("year")
     return o.groupBy("year", "grp").agg(F.count_if(before).alias("train_n"), F.count_if(~before).alias("test_n"), F.round(F.sum(F.when(before, F.col("pnl"))), 2).alias("train_net"), F.round(F.sum(F.when(~before, F.col("pnl"))), 2).alias("test_net"))
