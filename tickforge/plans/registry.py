@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import market, passages, research, signals, strategies, streams, trading
+from . import grammars, market, passages, research, signals, strategies, streams, trading
 
-MODULES = [market, signals, trading, passages, research, strategies, streams]
+MODULES = [market, signals, trading, passages, grammars, research, strategies, streams]
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLE = {k: v for m in MODULES for k, v in m.ORACLE.items()}
