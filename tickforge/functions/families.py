@@ -45,7 +45,9 @@ def base_families() -> list[dict]:
 def seeded_trees(levels: dict[str, list[float]], count: int, seed: int, sizes: tuple[int, int] = (2, 4)) -> list[dict]:
     """Trees with AND, OR and NOT over leaves that compare a feature with one of its levels; drawn by a seed, equal draws come once."""
     r, out, seen = random.Random(seed), [], set()
-    while len(out) < count and len(seen) < 50 * count:
+    for _ in range(50 * count):
+        if len(out) == count:
+            break
         leaves = [{"feature": f, "op": r.choice([">=", "<="]), "value": float(r.choice(levels[f]))} for f in sorted(r.sample(sorted(levels), min(len(levels), r.randint(*sizes))))]
         kind = r.choice(["all", "all", "any", "but"])
         node = {kind: leaves} if kind != "but" else {"all": [*leaves[:-1], {"not": leaves[-1]}]}
