@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import bisect
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.windows import UP, day_window, frame, full, steps, symbol_window
 
-#: Bars of a day that are counted one by one for a percentile.
-PERCENTILE_RUN = 32
 
 def prior_day(bars: DataFrame) -> DataFrame:
     """Adds the levels of the trading day before, from a frame of days: no join, and nothing is done for levels that aren't used."""
@@ -53,20 +54,19 @@ def frame_features(bars: DataFrame, opening: tuple[int, int] = (0, 179), zone: s
 def session_percentile(bars: DataFrame, value: str, least: int) -> DataFrame:
     """(symbol, timestamp, share): the share of a day's values so far that don't exceed a bar's own; null before so many bars.
 
-    Values of a day are ranked, and merged into runs of bars: a bar counts whole earlier runs by a running count
-    at its rank and only its own run one by one, so a day of n bars makes n * sqrt(n) rows at most, never a list a bar.
+    A task holds one day of a symbol, whose bars are put into a sorted list one after the other.
     """
+    def run(day: pa.Table) -> pa.Table:
+        day = day.sort_by("timestamp")
+        seen, share = [], []
+        for k, x in enumerate(day["x"].to_pylist(), 1):
+            if x is not None:
+                bisect.insort(seen, x)
+            share.append(bisect.bisect_right(seen, x) / k if k >= least and x is not None else None)
+        return pa.Table.from_arrays([day["symbol"], day["timestamp"], pa.array(share, pa.float64())], names=["symbol", "timestamp", "share"])
+
     d = bars.select("symbol", F.to_date("timestamp").alias("day"), "timestamp", F.col(value).cast("double").alias("x"))
-    d = d.withColumn("k", F.row_number().over(day_window())).withColumn("run", F.floor((F.col("k") - 1) / PERCENTILE_RUN))
-    own = d.select("symbol", "day", "run", F.col("k").alias("k2"), F.col("x").alias("x2"))
-    inside = d.join(own, ["symbol", "day", "run"]).where("k2 <= k AND x2 <= x").groupBy("symbol", "day", "k").agg(F.count("*").alias("inside"))
-    runs = d.groupBy("symbol", "day").agg(F.max("run").alias("runs"))
-    marks = d.join(runs, ["symbol", "day"]).withColumn("at", F.explode(F.sequence(F.col("run"), F.col("runs"))))
-    # for each run as reader: values of earlier runs, and its own as questions, in order of value
-    w = Window.partitionBy("symbol", "day", "at").orderBy("x").rangeBetween(UP, 0)
-    before = marks.withColumn("before", F.sum(F.when(F.col("run") < F.col("at"), 1).otherwise(0)).over(w)).where("run = at").select("symbol", "day", "k", "before")
-    out = d.join(inside, ["symbol", "day", "k"]).join(before, ["symbol", "day", "k"])
-    return out.select("symbol", "timestamp", F.when(F.col("k") >= least, (F.col("inside") + F.col("before")) / F.col("k")).alias("share"))
+    return d.groupBy("symbol", "day").applyInArrow(run, f"symbol string, timestamp {dict(bars.dtypes)['timestamp']}, share double")
 
 
 def full_features(bars: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .quantiles import exact_quantiles
+
 UP = Window.unboundedPreceding
 
 
@@ -62,22 +64,9 @@ def subset_totals(ledger: DataFrame, group: str, most: int) -> DataFrame:
     return out.select(F.array_join("members", "+").alias("subset"), F.size("members").cast("long").alias("size"), "n", "net")
 
 
-def nearest_rank(df: DataFrame, by: list[str], value: str, q: float, bins: int = 4096) -> DataFrame:
-    """The value at index round-half-even(q * (n - 1)) of a group's sorted values; nulls don't count.
-
-    A histogram of each group tells the bin that holds the index; only that bin's rows are put in order.
-    """
-    d = df.where(F.col(value).isNotNull()).withColumn("__v", F.col(value).cast("double"))
-    ends = d.groupBy(*by).agg(F.min("__v").alias("__a"), F.max("__v").alias("__b"), F.count("*").alias("__n"))
-    d = d.join(ends, by) if by else d.crossJoin(ends)  # one row without groups
-    d = d.withColumn("__bin", F.when(F.col("__b") > F.col("__a"), F.least(F.floor((F.col("__v") - F.col("__a")) / (F.col("__b") - F.col("__a")) * bins), F.lit(bins - 1))).otherwise(0))
-    hist = d.groupBy(*by, "__bin").agg(F.count("*").alias("__c"), F.max("__n").alias("__n"))
-    before = Window.partitionBy(*by).orderBy("__bin").rowsBetween(UP, -1)  # `bins` rows a group
-    at = F.bround(F.lit(q) * (F.col("__n") - 1)).cast("long")
-    hist = hist.withColumn("__s", F.coalesce(F.sum("__c").over(before), F.lit(0))).where((at >= F.col("__s")) & (at < F.col("__s") + F.col("__c")))
-    x = d.drop("__n").join(hist.select(*by, "__bin", "__s", "__n"), [*by, "__bin"])
-    x = x.withColumn("__i", F.row_number().over(Window.partitionBy(*by, "__bin").orderBy(value)) - 1 + F.col("__s"))
-    return x.where(F.col("__i") == at).select(*by, F.col(value).alias("value"))
+def nearest_rank(df: DataFrame, by: list[str], value: str, q: float) -> DataFrame:
+    """The value at index round-half-even(q * (n - 1)) of a group's sorted values; nulls don't count."""
+    return exact_quantiles(df, by, value, {"value": (q, "nearest")}).select(*by, "value")
 
 
 def one_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators import bars as B
 from ..sources import fixtures as S
+from ..sources import versions
 from ..streaming import bars as T
 from ..streaming import sessions as G
 from . import sqlbase as D
@@ -88,8 +89,8 @@ def stream_lookback_signal(spark, sf):
 def stream_upsert_bars(spark, sf):
     """Bars as they stand after every micro-batch: later versions of a bar replace earlier ones."""
     at = _folder(spark)
-    T.upsert_available(T.minute_bars(_arrivals(spark, sf, f"{at}/in", order="mixed"), 60, "40 days"), f"{at}/out", f"{at}/state", ["symbol", "timestamp"])
-    out = T.last_version(spark, f"{at}/out", ["symbol", "timestamp"]).where("symbol <> 'end'")
+    T.upsert_available(T.minute_bars(_arrivals(spark, sf, f"{at}/in", order="mixed"), 60, "40 days"), f"{at}/out", f"{at}/state", ["symbol", "timestamp"], compact_every=2)
+    out = versions.last_version(spark, f"{at}/out", ["symbol", "timestamp"]).where("symbol <> 'end'")
     return r6(out.withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz")).withColumn("tick_count", F.col("tick_count").cast("int")))
 
 

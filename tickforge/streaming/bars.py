@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..sources import versions
+
 
 def tick_stream(spark: SparkSession, folder: str, schema, files: int = 1) -> DataFrame:
     """Ticks (symbol, timestamp, ..., seq) from Parquet files that arrive in a folder; timestamps become event time."""
@@ -162,15 +164,11 @@ def run_available(stream: DataFrame, out: str, checkpoint: str, mode: str = "app
         raise q.exception()
 
 
-def upsert_available(stream: DataFrame, out: str, checkpoint: str, keys: list[str]) -> None:
-    """Later rows of a key replace earlier ones: each micro-batch writes its rows with its number, readers take the last (last_version)."""
+def upsert_available(stream: DataFrame, out: str, checkpoint: str, keys: list[str], compact_every: int = 32) -> None:
+    """Later rows of a key replace earlier ones: each micro-batch is a version of its number, and every so many versions become one (sources.versions.last_version reads them)."""
     def write(batch: DataFrame, number: int) -> None:
-        batch.withColumn("version", F.lit(number)).write.mode("overwrite").parquet(f"{out}/version={number}")
+        versions.append_version(batch, out, number)
+        if (number + 1) % compact_every == 0:
+            versions.compact(batch.sparkSession, out, keys)
 
     stream.drop("version").writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-
-
-def last_version(spark: SparkSession, out: str, keys: list[str]) -> DataFrame:
-    rows = spark.read.parquet(out)
-    rest = [c for c in rows.columns if c not in (*keys, "version")]
-    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "version").alias("r")).select(*keys, "r.*")
