@@ -137,17 +137,39 @@ def minute_brackets(signals: DataFrame, bars: DataFrame, stop_points: float, rew
     The entry bar is tested too. After hold bars the position is closed at that bar's close; at the end of its day (reason date) at the day's
     last close, and at the end of all bars by time. bars: symbol, timestamp, bid and ask open, high, low, close.
     """
+    return _minute_brackets(signals.select("symbol", "timestamp", "direction"), bars, F.lit(stop_points), F.lit(reward), F.lit(hold), [])
+
+
+def _minute_brackets(signals: DataFrame, bars: DataFrame, stop_points, reward, hold, keep: list[str]) -> DataFrame:
     b = numbered(bars.withColumn("day", F.to_date("timestamp")), "timestamp", keys=["symbol", "day"]).withColumn("at", F.col("i"))
-    e = signals.select("symbol", "timestamp", "direction").join(b.select("symbol", "timestamp", "day", "i", "bid_open", "ask_open"), ["symbol", "timestamp"])
+    e = signals.join(b.select("symbol", "timestamp", "day", "i", "bid_open", "ask_open"), ["symbol", "timestamp"])
     e = e.withColumns({"entry": F.when(F.col("direction") == 1, F.col("ask_open")).otherwise(F.col("bid_open")), "first_i": F.col("i"), "until": F.col("i") + hold})
-    x = bracket_exits(_priced(e, F.lit(stop_points), reward), b, ["symbol", "day"], False, longest=1440)
+    x = bracket_exits(_priced(e, stop_points, reward), b, ["symbol", "day"], False, longest=1440)
     x = x.join(b.select("symbol", "day", F.col("i").alias("exit_i"), F.col("timestamp").alias("exit_time")), ["symbol", "day", "exit_i"], "left").join(_days(b, False), ["symbol", "day"])
     none = F.col("reason").isNull()
     side = F.when(F.col("direction") == 1, F.col("edge.bid_close")).otherwise(F.col("edge.ask_close"))
-    return x.select("symbol", "timestamp", "direction", "entry", F.when(none, F.col("edge.timestamp")).otherwise(F.col("exit_time")).alias("exit_time"), F.when(none, side).otherwise(F.col("exit_price")).alias("exit_price"),
+    return x.select(*keep, "symbol", "timestamp", "direction", "entry", F.when(none, F.col("edge.timestamp")).otherwise(F.col("exit_time")).alias("exit_time"), F.when(none, side).otherwise(F.col("exit_price")).alias("exit_price"),
                     F.when(none, F.when(F.col("last_day"), "time").otherwise("date")).otherwise(F.col("reason")).alias("reason"))
 
 
+def bracket_sweep(signals: DataFrame, bars: DataFrame, specs: list[dict], round_trip: float = 0.0) -> DataFrame:
+    """Results of a grid of brackets over all signals: name, stop, reward, hold, trades, wins, net, gross_win, gross_loss, stops, targets, and the rank by net.
+
+    specs (name, stop, reward, hold) are a list that the caller holds; each signal is taken with each of them, and all go through one index
+    of the bars. Results are whole micro-points before they are added, so sums don't depend on the order of rows.
+    """
+    grid = F.array(*(F.struct(F.lit(s["name"]).alias("name"), F.lit(float(s["stop"])).alias("stop_points"), F.lit(float(s["reward"])).alias("reward"), F.lit(int(s["hold"])).alias("hold")) for s in specs))
+    s = signals.select("symbol", "timestamp", "direction", F.explode(grid).alias("g")).select("symbol", "timestamp", "direction", "g.*")
+    keep = ["name", "stop_points", "reward", "hold"]
+    x = _minute_brackets(s, bars, F.col("stop_points"), F.col("reward"), F.col("hold"), keep)
+    p = F.round(((F.col("exit_price") - F.col("entry")) * F.col("direction") - round_trip) * 1_000_000).cast("long")
+    total = lambda c: F.sum(c) / F.lit(1e6)
+    out = x.withColumn("p", p).groupBy(*keep).agg(F.count("*").alias("trades"), F.count_if(F.col("p") > 0).alias("wins"), total("p").alias("net"), total(F.greatest("p", F.lit(0))).alias("gross_win"), total(F.greatest(-F.col("p"), F.lit(0))).alias("gross_loss"),
+                                                  F.count_if(F.col("reason") == "stop").alias("stops"), F.count_if(F.col("reason") == "target").alias("targets"))
+    rank = F.row_number().over(Window.orderBy(F.desc("net"), "name"))  # a row for each of specs
+    return out.withColumn("rank", rank).withColumnRenamed("stop_points", "stop")
+
+
 def atr_brackets(signals: DataFrame, bars: DataFrame, atr_multiple: float, reward: float, hold: int, tick: float = 0.25, ticks: tuple[float, float] = (8, 400), length: int = 20) -> DataFrame:
     """signals (symbol, timestamp, direction) entered at the open of their own bar, with a stop of atr_multiple mean true ranges between ticks[0] and ticks[1] ticks: entry, stop, exit_time, exit_price, reason.
 

@@ -63,6 +63,23 @@ def minute_brackets(spark, sf):
     return r6(P.minute_brackets(_signals(b.withColumn("move", F.col("bid_close") - F.col("bid_open")), ["timestamp"]), b, 1.0, 3.0, 6))
 
 
+GRID = [{"name": f"stop {a} reward {r} hold {h}", "stop": a, "reward": r, "hold": h} for a in (0.5, 1.0, 2.0) for r in (1.0, 2.0, 3.0) for h in (3, 6)]
+
+
+@query(f"""WITH {_QB.split("e AS (SELECT *, CASE")[0]} g AS (SELECT a AS stop_points, r AS reward, h AS hold, 'stop ' || a || ' reward ' || r || ' hold ' || h AS name FROM (SELECT unnest([0.5, 1.0, 2.0])::DOUBLE AS a), (SELECT unnest([1.0, 2.0, 3.0])::DOUBLE AS r), (SELECT unnest([3, 6])::INT AS h)),
+e0 AS (SELECT *, CASE WHEN move > 0 THEN 1 ELSE -1 END AS direction FROM ix), e AS (SELECT *, entry - direction * stop_points AS stop, entry + direction * stop_points * reward AS target FROM (SELECT *, CASE WHEN direction = 1 THEN ask_open ELSE bid_open END AS entry FROM e0, g)),
+ends AS (SELECT e.*, least(e.k + hold, d.k) AS k2 FROM e JOIN (SELECT symbol, day, max(k) AS k FROM ix GROUP BY ALL) d USING (symbol, day)),
+hit AS (SELECT e.symbol, e.k, name, min(r.k) AS k3 FROM ends e JOIN ix r ON r.symbol = e.symbol AND r.k BETWEEN e.k AND e.k2 WHERE CASE WHEN e.direction = 1 THEN r.bid_low <= e.stop OR r.bid_high >= e.target ELSE r.ask_high >= e.stop OR r.ask_low <= e.target END GROUP BY ALL),
+x AS (SELECT e.*, CASE WHEN k3 IS NULL THEN 'time' WHEN CASE WHEN direction = 1 THEN r.bid_low <= stop ELSE r.ask_high >= stop END THEN 'stop' ELSE 'target' END AS reason, r.bid_close AS rb, r.ask_close AS ra FROM ends e LEFT JOIN hit USING (symbol, k, name) JOIN ix r ON r.symbol = e.symbol AND r.k = coalesce(k3, k2)),
+y AS (SELECT *, round(((CASE reason WHEN 'stop' THEN stop WHEN 'target' THEN target ELSE CASE WHEN direction = 1 THEN rb ELSE ra END END - entry) * direction - 0.1) * 1000000)::BIGINT AS p FROM x),
+z AS (SELECT name, stop_points AS stop, reward, hold, count(*) AS trades, count(*) FILTER (p > 0) AS wins, round(sum(p)::DOUBLE / 1000000, 6) AS net, round(sum(greatest(p, 0))::DOUBLE / 1000000, 6) AS gross_win, round(sum(greatest(-p, 0))::DOUBLE / 1000000, 6) AS gross_loss, count(*) FILTER (reason = 'stop') AS stops, count(*) FILTER (reason = 'target') AS targets FROM y GROUP BY ALL)
+SELECT *, row_number() OVER (ORDER BY net DESC, name)::INT AS rank FROM z""")
+def bracket_sweep(spark, sf):
+    """Eighteen brackets over every quarter-hour bar."""
+    b = B.quote_bars(S.ticks(spark, sf), 15)
+    return r6(P.bracket_sweep(_signals(b.withColumn("move", F.col("bid_close") - F.col("bid_open")), ["timestamp"]), b, GRID, 0.1))
+
+
 @query(f"""WITH {D.bars(60)}, p AS (SELECT *, row_number() OVER w AS k, lag(close) OVER w AS pc, lag(close - open) OVER w AS move FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY timestamp)),
 a AS (SELECT *, coalesce(round(avg(CASE WHEN pc IS NOT NULL THEN greatest(high - low, abs(high - pc), abs(low - pc)) END) OVER (PARTITION BY symbol ORDER BY timestamp ROWS BETWEEN 19 PRECEDING AND CURRENT ROW), 9), 0) AS atr, CASE WHEN move > 0 THEN 1 ELSE -1 END AS direction FROM p),
 b AS (SELECT *, least(greatest(atr * 1.5 / 0.25, 8), 400) * 0.25 AS pts FROM a), e AS (SELECT b.*, open - direction * pts AS stop, open + direction * pts * 2.0 AS target, least(b.k + 24, l.k) AS k2 FROM b JOIN (SELECT symbol, max(k) AS k FROM b GROUP BY ALL) l USING (symbol)),
