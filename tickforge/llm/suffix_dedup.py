@@ -1,4 +1,4 @@
-"""Removal of passages that occur in an earlier document, by longest previous factors over a distributed suffix order.
+"""Removal of passages that occur in an earlier document, by previous factors of 50 bytes over a distributed order of suffixes.
 
 A byte goes if a 50-byte string that covers it also starts in a document with a smaller id: the suffix at that
 place has a previous factor of 50 bytes or more. Only suffixes that can have one are put in order. Each 50-byte
@@ -9,11 +9,10 @@ string names one of its 20-byte grams, that of the least hash (equal strings nam
    two documents of the block share) are cut out; of runs equal in a block, byte by byte, only the first is sent;
    Strings of a gram that very many blocks share are sent one by one and meet by their own hash, so that the
    contexts of a frequent gram don't come to one task;
-3. the runs that share a gram meet, and their suffixes are sorted by their bytes, down to 50 of them, and by
-   document. The common prefix of each two neighbours is measured. The search for a suffix's previous smaller
-   document goes back from it, and that for its next smaller one forward, as long as 50 bytes stay common: beyond
-   that a factor is too short to count. As equal suffixes are in the order of documents, there is no next smaller
-   one among them, and a suffix has a previous one if its document isn't the first of its equals;
+3. the runs that share a gram meet, and their suffixes are sorted by their first 50 bytes, then by document. A
+   suffix has a previous factor of 50 bytes or more if it equals the neighbour before it in those bytes and its
+   document isn't the first of such equals. That is all that the cut needs: the array of longest previous factors
+   with its previous and next smaller positions is not built, lengths beyond or below 50 bytes are never known;
 4. the places found go back to the blocks, where the bytes they cover are removed.
 
 Hashes choose what meets; bytes alone decide what goes. Whole texts are never shuffled; what is shuffled are grams
