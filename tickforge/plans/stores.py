@@ -34,15 +34,15 @@ def exact_quantiles(spark, sf):
 
 
 def _windows(spark, sf):
-    e = S.macro_events(spark, sf).where("importance = 2")
+    e = S.macro_events(spark, sf).where("importance >= 1")
     every = F.array(*map(F.lit, ("click", "error", "purchase", "signup", "view")))
     return e.select(F.explode(F.when(F.col("symbol") == "*", every).otherwise(F.array("symbol"))).alias("symbol"), F.col("pre_from").alias("start"), F.col("post_to").alias("end"))
 
 
-@query(f"""WITH {D.TICKS}, w AS (SELECT ['click', 'error', 'purchase', 'signup', 'view', '*'][s_suppkey % 6 + 1] AS symbol, TIMESTAMP '2024-01-01' + to_minutes(s_suppkey * 43 % 43200) AS t FROM supplier WHERE s_nationkey % 3 = 2)
+@query(f"""WITH {D.TICKS}, w AS (SELECT ['click', 'error', 'purchase', 'signup', 'view', '*'][s_suppkey % 6 + 1] AS symbol, TIMESTAMP '2024-01-01' + to_minutes(s_suppkey * 43 % 43200) AS t FROM supplier WHERE s_nationkey % 3 >= 1)
 SELECT symbol, timestamp, seq, round(bid, 6) AS bid FROM ticks WHERE EXISTS (SELECT 1 FROM w WHERE (w.symbol = ticks.symbol OR w.symbol = '*') AND ticks.timestamp BETWEEN t - INTERVAL 30 MINUTES AND t + INTERVAL 55 MINUTES)""")
 def quotes_pruned(spark, sf):
-    """Quotes around the important events, from a table stored by day of which only the files with such times are opened."""
+    """Quotes around events of some importance, from a table stored by day of which only the files with such times are opened."""
     at = _folder(spark)
     t = S.ticks(spark, sf).withColumn("day", F.to_date("timestamp"))
     t.repartition("day").sortWithinPartitions("day", "symbol", "timestamp").write.partitionBy("day").parquet(f"{at}/quotes")
