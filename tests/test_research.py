@@ -209,3 +209,17 @@ def test_binary_ticks_have_a_time(spark, tmp_path):
     (at / "14h_ticks.bi5").write_bytes(lzma.compress(struct.pack(">IIIff", 1500, 101000, 100000, 2.0, 1.0) + struct.pack(">IIIff", 2500, 100000, 101000, 2.0, 1.0), format=lzma.FORMAT_ALONE))
     got = sorted(map(tuple, files.hourly_ticks(spark, f"{at}/*").collect()), key=lambda r: r[1])
     assert [(r[0], r[1], r[2], r[3], r[4], r[5]) for r in got] == [("EURUSD", datetime(2024, 1, 3, 14, 0, 1, 500000), 100.0, 101.0, 1.0, 2.0), ("EURUSD", datetime(2024, 1, 3, 14, 0, 2, 500000), 100.0, 101.0, 2.0, 1.0)]
+
+
+def test_folds_meet_rows_alike_in_both_ways(spark, monkeypatch):
+    from datetime import date
+
+    from tickforge.operators import validation
+
+    folds = validation.rolling_folds(spark, date(2020, 1, 1), date(2020, 12, 31), 90, 20, 20, 30, 2, 5)
+    rows = spark.createDataFrame([(k, datetime(2020, 1, 1) + timedelta(days=k % 366, hours=k % 24)) for k in range(800)] + [(900, None)], "seq long, ts timestamp_ntz")
+    spans = [tuple(r) for r in folds.collect()]
+    want = sorted((r.seq, f, s) for r in rows.collect() for f, s, a, b in spans if r.ts and a <= r.ts.date() <= b)
+    for most in (10_000, 0):
+        monkeypatch.setattr(validation, "FOLDS_SENT", most)
+        assert sorted((r.seq, r.fold, r.split) for r in validation.in_folds(rows, folds).collect()) == want

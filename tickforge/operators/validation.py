@@ -7,7 +7,6 @@ from datetime import date, timedelta
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .joins import interval_join
 from .scans import edge_stats
 
 
@@ -28,10 +27,21 @@ def rolling_folds(spark: SparkSession, first: date, last: date, train: int, vali
     return spark.createDataFrame(out, "fold int, split string, from_day date, to_day date")
 
 
+#: Folds up to which their bins are sent to all tasks; more of them meet the rows by bin and salt.
+FOLDS_SENT, FOLD_SALTS = 10_000, 32
+
+
 def in_folds(ledger: DataFrame, folds: DataFrame) -> DataFrame:
-    """Each row of the ledger once for each fold and split that holds its day; bins of 32 days, no range join."""
-    spans = folds.withColumns({"__a": F.col("from_day").cast("timestamp_ntz"), "__b": F.col("to_day").cast("timestamp_ntz") + F.expr("INTERVAL '86399' SECOND")})
-    return interval_join(ledger, spans, "ts", "__a", "__b", 32 * 86_400).drop("__a", "__b")
+    """Each row of the ledger once for each fold and split that holds its day: bins of 32 days, no range join, and no month in one task."""
+    bin_ = lambda c: F.floor(F.datediff(F.col(c).cast("date"), F.lit("1970-01-01").cast("date")) / 32)
+    spans = folds.withColumn("__bin", F.explode(F.sequence(bin_("from_day"), bin_("to_day"))))
+    rows, key = ledger.withColumn("__bin", bin_("ts")), ["__bin"]
+    if folds.count() <= FOLDS_SENT:
+        spans = F.broadcast(spans)
+    else:
+        rows, key = rows.withColumn("__salt", F.pmod(F.xxhash64(*ledger.columns), F.lit(FOLD_SALTS)).cast("int")), ["__bin", "__salt"]
+        spans = spans.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(FOLD_SALTS - 1))))
+    return rows.join(spans, key).where(F.col("ts").cast("date").between(F.col("from_day"), F.col("to_day"))).drop(*key)
 
 
 def overlapping_tests(folds: DataFrame) -> DataFrame:
