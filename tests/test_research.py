@@ -125,11 +125,6 @@ def test_stores(spark, tmp_path):
     assert sorted((r.intent_id, r.before, r.status) for r in stores.bad_transitions(x).collect()) == [("i", "risk_approved", "filled"), ("j", None, "approved")]
 
 
-def test_greedy_pool():
-    c = [{"n": 1, "cost": 3, "kind": "a"}, {"n": 2, "cost": 3, "kind": "a"}, {"n": 3, "cost": 9, "kind": "b"}, {"n": 4, "cost": 2, "kind": "b"}]
-    assert [x["n"] for x in research.greedy_pool(c, 8, "cost", {"kind": 1})] == [1, 4]
-
-
 def test_batch_equals_single_runs(spark):
     r = random.Random(9)
     rows = [("A", T0 + timedelta(minutes=k), 100.0 + k % 7, 101 + k % 7 + r.random(), 99 + k % 7 - r.random(), 100.0 + k % 7, 99.9 + k % 7, 100.1 + k % 7, float(k % 5)) for k in range(120)]

@@ -223,19 +223,6 @@ def rule_results(rows: DataFrame, rules: DataFrame, features: list[str], pairs:
     return rows.crossJoin(F.broadcast(two)).where(ok & ok2).groupBy(F.concat_ws("&", "rule", "rule_2").alias("rule")).agg(F.count("*").alias("n"), F.sum("pnl").alias("net"))
 
 
-def greedy_pool(candidates: list[dict], budget: float, cost: str, caps: dict[str, int]) -> list[dict]:
-    """Candidates taken in order while their cost fits what is left of the budget and no value of a capped column comes too often. For the short list that a ranking leaves."""
-    taken, spent, seen = [], 0.0, {}
-    for c in candidates:
-        keys = [(k, c[k]) for k in caps]
-        if spent + c[cost] <= budget and all(seen.get(k, 0) < caps[k[0]] for k in keys):
-            taken.append(c)
-            spent += c[cost]
-            for k in keys:
-                seen[k] = seen.get(k, 0) + 1
-    return taken
-
-
 def inverse(spec: dict) -> dict:
     """A copy of a strategy that takes the other side of each signal, named so; that of an inverse is the strategy again."""
     out = dict(spec)

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import bars as B
+from ..session import shared_folder
 from ..sources import fixtures as S
 from ..sources import versions
 from ..streaming import bars as T
@@ -20,13 +18,7 @@ QUERIES, ORACLE = {}, {}
 
 
 def _folder(spark) -> str:
-    """A folder all machines share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="tickforge-stream-")
-    return f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return shared_folder(spark, "stream")
 
 
 FILES = 4

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(master: str = "local[*]", partitions: int = 8, **conf: str) -> SparkSession:
@@ -13,3 +16,21 @@ def session(master: str = "local[*]", partitions: int = 8, **conf: str) -> Spark
     for k, v in (base | conf).items():
         b = b.config(k, v)
     return b.getOrCreate()
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new name in a folder that all machines share: spark.checkpoint.dir, or a temporary folder where it is unset (local sessions only)."""
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="tickforge-")
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The rows, computed once and read from the shared folder from now on, so that a lost executor costs no recomputation of earlier rounds."""
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_folder(spark, "checkpoint"))
+    return df.checkpoint()
