@@ -91,6 +91,26 @@ def test_jaccard_of_large_regions(spark, small, sparse):
     assert key(jaccard_join.link_components(d, block_bytes=20_000, small=small, sparse=sparse).collect()) == key(brute_components(rows))
 
 
+def test_texts_of_few_common_lines_divide(spark, monkeypatch):
+    """240 texts, each five of ten lines: a region's pairs are not all measured, and the components are right."""
+    r = random.Random(3)
+    lines = [" ".join(f"w{r.randrange(5000)}" for _ in range(40)) for _ in range(10)]
+    rows = [(k, " ".join(lines[i] for i in sorted(r.sample(range(10), 5)))) for k in range(240)]
+    measured, table = [], jaccard_join.Scratch.table
+
+    def counted(self, df, name):
+        out = table(self, df, name)
+        if name.startswith("measured"):
+            measured.append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard_join.Scratch, "table", counted)
+    got = jaccard_join.link_components(spark.createDataFrame(rows, "doc_id long, text string"), small=8, sparse=0).collect()
+    assert key(got) == key(brute_components(rows)) and len(measured) > 2
+    assert sum(measured) < 2 * 240 * 239
+
+
+
 def brute_repeats(rows):
     first = {}
     for i, t, *_ in rows:

@@ -10,9 +10,12 @@ Jaccard distance d is a metric; two documents link at d <= R. The join goes from
    at in both sets. Regions with the same members are one region.
 2. A region of up to SMALL documents is joined directly. A larger one elects document pivots, every member is
    measured against them, and those within R are linked. Its members then go to the Voronoi cell of the nearest
-   pivot p if it is nearer than NEAR, and as replicas to each other cell q with d(x, q) <= d(x, nearest) + 2 R: if y
-   links with an x of cell q, d(y, q) <= d(y, nearest) + 2 R. Members far from all pivots make one more cell, which
-   needs no replicas, as its pairs with nearer documents are found in the cells of these.
+   pivot p if that is within NEAR, and as replicas to each other cell q with d(x, q) <= d(x, nearest) + 2 R and
+   d(x, q) <= NEAR + R: if x links with a y of cell q, both hold. Members far from all pivots make one more cell, which
+   needs no replicas, as its pairs with nearer documents are found in the cells of these. Pivots say nothing about such
+   members; they are divided again by single shingles, now in the order of how many of them have each, as those that are
+   rare among them tell apart what the region's own shingle brought together. This is done wherever it at least
+   halves the sum of squares of the sizes, so that texts of a few common lines divide by pairs of lines, then by three.
 3. A cell whose documents are in one component is done. Where all but SPARSE documents are in one, these are taken
    to the others in rows of their own, and compared where the triangle inequality's window, |d(x, p) - d(y, p)| <= R,
    and the sizes let them link; only links come out. Other cells are regions of the
@@ -43,7 +46,7 @@ PART_DOCS, LEAST_PARTS = 20_000, 256
 #: Frequent shingles: found at least so often in a block; kept by so many bits, the most frequent first.
 OFTEN, TABLE_BITS, TABLE_KEYS = 2, 24, 1 << 18
 #: Documents of a region that is joined directly, pivots of a larger one in the first round, farthest distance to a cell's pivot.
-SMALL, PIVOTS, NEAR = 24, 8, 0.6
+SMALL, PIVOTS, NEAR = 24, 8, 0.4
 #: Documents of a cell outside its largest component, up to which they are measured against the others.
 SPARSE = 256
 #: Bytes of sets in a row that is compared with a cell's documents, on average.
@@ -351,6 +354,26 @@ def link_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         out = rows.join(packed, "region").select(F.col("id").alias("a"), F.explode(F.transform(F.filter("others", linked), lambda o: o["id"])).alias("b"))
         return out.distinct()
 
+    def divided(rows: DataFrame, number: int) -> DataFrame:
+        """Regions (region, id, n, left) of the members of far cells by the shingles that are rare in a cell; cells that these don't divide stay."""
+        size = rows.groupBy("region").agg(F.count("*").alias("size"))
+        each = rows.join(own.hint("merge"), ["id", "n"]).select("region", "id", "n", "left", F.explode("shingles").alias("shingle"))
+        often = each.groupBy("region", "shingle").agg(F.count("*").alias("c")).where("c > 1")
+        had = each.join(often.hint("merge"), ["region", "shingle"]).groupBy("region", "id", "n", "left").agg(F.array_sort(F.collect_list(F.struct("c", "shingle"))).alias("s"))  # a set at most
+        alone = F.col("n") - F.size("s")  # these come first and meet none
+        prefix = F.greatest(F.lit(0), (F.col("n") - F.ceil(F.col("n") * LINK / 100) + 1 - alone).cast("int"))
+        met = had.select("region", "id", "n", "left", alone.alias("alone"), F.posexplode(F.slice("s", F.lit(1), prefix)).alias("place", "x"))
+        met = met.select("region", F.xxhash64("region", "x.shingle").alias("part"), "id", "n", F.least("left", F.col("n") - F.col("alone") - F.col("place")).alias("left"))
+        met = scratch.table(met, f"met-{number}")
+        part = met.groupBy("region", "part").agg(F.count("*").alias("c"), *print_).where("c > 1")
+        part = part.withColumn("lead", F.min("part").over(Window.partitionBy("region", "c", "h0", "h1")))  # parts of the same documents are one
+        pairs = part.where("part = lead").groupBy("region").agg(F.sum(F.col("c") * F.col("c")).alias("pairs"))
+        plan = size.join(pairs, "region", "left").select("region", (F.coalesce("pairs", F.lit(0)) * 2 <= F.col("size") * F.col("size")).alias("smaller"))
+        plan = scratch.table(plan, f"plan-{number}")
+        whole = rows.join(plan.where("NOT smaller"), "region", "left_semi")
+        finer = met.join(plan.where("smaller"), "region", "left_semi").join(part.select("part", "lead"), "part")
+        return whole.unionByName(finer.groupBy(F.col("lead").alias("region"), "id", "n").agg(F.max("left").alias("left")))
+
     def sided(rows: DataFrame, side: str) -> DataFrame:
         return rows.select("region", *[F.col(c).alias(c + side) for c in rows.columns if c != "region"])
 
@@ -367,7 +390,8 @@ def link_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         here = rest.join(size, "region").withColumn("elected", (F.col("id") == F.col("least")) | (share * F.col("size") < PIVOTS << number))
         here = scratch.table(here, f"here-{number}")
         pivots = here.where("elected").select("region", F.col("id").alias("pivot")).distinct()
-        star = scratch.table(here.join(pivots, "region").where("id <> pivot").select("region", "id", "n", "left", "elected", "pivot"), f"star-{number}")
+        once = F.when(F.col("elected"), F.col("id") < F.col("pivot")).otherwise(F.col("id") != F.col("pivot"))
+        star = scratch.table(here.join(pivots, "region").where(once).select("region", "id", "n", "left", "elected", "pivot"), f"star-{number}")
         seen = measured(star.select(F.col("id").alias("a"), F.col("pivot").alias("b")), own, str(number))
         links = scratch.table(links.unionByName(seen.where("linked").select("a", "b")), f"links-{number}")
         components = scratch.table(connected_components(links, scratch, f"stars-{number}"), f"components-{number}")
@@ -376,10 +400,10 @@ def link_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         near = near.withColumn("best", F.min(F.struct("d", "pivot")).over(Window.partitionBy("region", "id", "n")))
         home = F.col("pivot") == F.col("best.pivot")
         far = home & (F.col("best.d") > NEAR)
-        inside = (home & ~far) | ((F.col("d") <= F.col("best.d") + 2 * R + 1e-9) & (F.col("best.d") <= NEAR + R + 1e-9))
+        inside = (home & ~far) | ((F.col("d") <= F.col("best.d") + 2 * R + 1e-9) & (F.col("d") <= NEAR + R + 1e-9))
         # cells of one pivot are one, whatever regions they come from
-        cells = near.where(inside).groupBy(F.xxhash64("pivot").alias("region"), "id", "n").agg(F.max("left").alias("left"), F.min("d").alias("d"), F.max(home & ~far).alias("home"))
-        cells = cells.unionByName(near.where(far).select(F.xxhash64("region", F.lit("far")).alias("region"), "id", "n", "left", "d", F.lit(True).alias("home")))
+        cells = near.where(inside).groupBy(F.xxhash64("pivot").alias("region"), "id", "n").agg(F.max("left").alias("left"), F.min("d").alias("d"), F.max(home & ~far).alias("home"), F.lit(False).alias("far"))
+        cells = cells.unionByName(near.where(far).select(F.xxhash64("region", F.lit("far")).alias("region"), "id", "n", "left", "d", F.lit(True).alias("home"), F.lit(True).alias("far")))
         least = cells.groupBy("region").agg(F.min("n").alias("least"))
         partner = F.greatest("least", F.ceil(F.col("n") * LINK / 100))  # the smallest set that may be a partner
         cells = cells.join(least, "region").where(_enough(F.col("left"), F.col("n") + partner)).join(components, "id", "left").withColumn("component", F.coalesce("component", "id"))
@@ -391,7 +415,10 @@ def link_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         rows = unsettled.where("few")
         found = scratch.table(crossing(rows, own), f"found-{number}")
         links = scratch.table(links.unionByName(found), f"all-links-{number}")
-        rest = scratch.table(unsettled.where("NOT few").select("region", "id", "n", "left"), f"rest-{number}")
+        rest = scratch.table(unsettled.where("NOT few").select("region", "id", "n", "left", "far"), f"rest-{number}")
+        if rest.where("far").limit(1).count():
+            rest = scratch.table(divided(rest.where("far").drop("far"), number).unionByName(rest.where("NOT far").drop("far")), f"divided-{number}")
+        rest = rest.select("region", "id", "n", "left")
         for name in ("here", "star", "cells", "parted"):
             scratch.drop(f"{name}-{number}")
         number += 1
