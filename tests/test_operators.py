@@ -3,6 +3,7 @@
 from datetime import datetime as dt
 from datetime import timedelta
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -128,3 +129,25 @@ def test_interval_join_holds_both_ends(spark):
     s = spark.createDataFrame([(T0 + timedelta(minutes=1), T0 + timedelta(minutes=3))], "a timestamp_ntz, b timestamp_ntz")
     assert sorted(r.i for r in joins.interval_join(p, s, "ts", "a", "b", 60).select("i").collect()) == [1, 2, 3]
     assert joins.interval_join(p.where(F.lit(False)), s, "ts", "a", "b").count() == 0
+
+
+def test_first_row_that_fits_price_and_size():
+    r = np.random.default_rng(3)
+    for n in (0, 1, 2, 3, 64, 1000):
+        price, size = r.integers(0, 40, n).astype(float), r.integers(0, 30, n).astype(float)
+        start, limit, least = r.integers(0, n + 2, 300), r.integers(-1, 6, 300).astype(float), r.integers(0, 32, 300).astype(float)
+        want = [next((j for j in range(s, n) if price[j] <= a and size[j] >= b), -1) for s, a, b in zip(start.tolist(), limit, least)]
+        assert joins.first_fits(price, size, start, limit, least).tolist() == want
+
+
+def test_limit_orders_wait_through_many_quotes(spark):
+    """Quotes and orders at one time make no row for each pair, and orders fill in the next bin of time."""
+    n = 20_000
+    q = spark.range(n).selectExpr("'A' AS symbol", "timestamp_micros(id * 1000)::timestamp_ntz AS timestamp", "99D AS bid", f"if(id = {n - 1}, 90D, 100D) AS ask", "1D AS bid_size", "if(id % 2 = 1, 2D, 1D) AS ask_size", "id AS seq")
+    o = spark.range(n).selectExpr("id AS trade_id", "'A' AS symbol", "timestamp_micros(0)::timestamp_ntz AS at", "'long' AS side", "95D AS limit", "2 AS contracts")
+    rows = joins.limit_fills(o, q, 60).groupBy("fill_time", "fill_price").count().collect()
+    assert [(r["count"], r.fill_price) for r in rows] == [(n, 95.0)]
+    late = spark.createDataFrame([(1, "A", dt(2024, 1, 1, 0, 59, 30), "short", 99.0, 1), (2, "A", dt(2024, 1, 1, 0, 58, 0), "short", 99.0, 1), (3, "A", dt(2024, 1, 1, 0, 59, 30), "short", 99.5, 1)], "trade_id int, symbol string, at timestamp_ntz, side string, limit double, contracts int")
+    one = spark.createDataFrame([("A", dt(2024, 1, 1, 1, 0, 30), 99.25, 100.0, 1.0, 1.0, 0)], "symbol string, timestamp timestamp_ntz, bid double, ask double, bid_size double, ask_size double, seq long")
+    got = {r.trade_id: r.fill_time for r in joins.limit_fills(late, one, 60).collect()}
+    assert got == {1: dt(2024, 1, 1, 1, 0, 30), 2: None, 3: None}
