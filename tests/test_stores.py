@@ -106,3 +106,18 @@ def test_memory_view(spark):
     got = [(r.evidence_id, r.decision_id, r.at, r.label, r.facts) for r in V.memory_view(e, d, o, limit=3).collect()]
     assert got[:2] == [(1, "d1", T0 + timedelta(hours=3), "win", {"a": "1", "b": "3"}), (2, None, T0 + timedelta(hours=1), None, {})] and len(got) == 3
     assert [r.evidence_id for r in V.memory_view(e, d, o, where="module = 'm' AND label IS NULL").collect()] == [2]
+
+
+def test_quantiles_of_few_groups_deal_no_rows_by_group(spark):
+    """Rows meet the ranges of their group where they are: what is shuffled are histograms."""
+    d = spark.range(200_000).select((F.col("id") % 3).alias("g"), F.rand(5).alias("v"))
+    out = Q.exact_quantiles(d, ["g"], "v", {"p": (0.95, "nearest")})
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastNestedLoopJoin" in plan or "BroadcastHashJoin" in plan  # of the rows, before any statistics
+    assert out.count() == 3
+    sizes = Q.FEW_GROUPS
+    try:
+        Q.FEW_GROUPS = 2
+        assert sorted(map(tuple, Q.exact_quantiles(d, ["g"], "v", {"p": (0.95, "nearest")}).collect())) == sorted(map(tuple, out.collect()))
+    finally:
+        Q.FEW_GROUPS = sizes

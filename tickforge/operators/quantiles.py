@@ -3,7 +3,8 @@
 A histogram of each group (partial aggregation, at most BINS rows a group) tells the bin that holds a rank; the next histogram is of that
 bin alone, between the least and the greatest value that really lie in it, and so on. The first one is on a logarithmic scale, so a value
 far outside takes a bin of its own and not all others' room. At the end the few values that are left are counted by value, so
-ties cost nothing. No task sorts or holds a group's values.
+ties cost nothing. No task sorts or holds a group's values. Of few groups the ranges go to the rows: a join by group would deal all
+rows of a group to one task. What a round finds is kept, so each round reads the rows once.
 """
 
 from __future__ import annotations
@@ -13,7 +14,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 BINS, ROUNDS = 4096, 3
+#: Groups up to which their ranges, two for each wanted quantile, are broadcast.
+FEW_GROUPS = 20_000
 #: How ranks (from 0) and the weight of the upper one follow from a probability and the number of values.
 METHODS = ("linear", "nearest", "discrete")
 
@@ -46,8 +51,10 @@ def exact_quantiles(rows: DataFrame, by: list[str], value: str, wanted: dict[str
         return F.when(F.col("v") == float("-inf"), -1).when(F.col("v") == float("inf"), BINS).otherwise(inside).cast("int")
 
     ends = d.groupBy(*keys).agg(F.count("*").alias("n"), *(f(F.when(F.abs(F.col("v")) < float("inf"), F.col("v"))).alias(c) for c, f in (("lo", F.min), ("hi", F.max))))
-    first = ends.toDF(*(f"e_{c}" for c in ends.columns))
-    x = d.join(first, reduce(lambda a, b: a & b, [d[k].eqNullSafe(first[f"e_{k}"]) for k in keys], F.lit(True))) if keys else d.join(F.broadcast(first))  # one row without groups
+    ends = cut(ends)
+    few = F.broadcast if ends.limit(FEW_GROUPS + 1).count() <= FEW_GROUPS else plain
+    first = few(ends.toDF(*(f"e_{c}" for c in ends.columns)))
+    x = d.join(first, reduce(lambda a, b: a & b, [d[k].eqNullSafe(first[f"e_{k}"]) for k in keys], F.lit(True)))
     x = x.withColumns({"lo": F.col("e_lo"), "hi": F.col("e_hi")}).withColumn("bin", bin_of(log))
     hist = x.groupBy(*keys, "bin").agg(F.count("*").alias("c"), F.min("v").alias("a"), F.max("v").alias("b"))
 
@@ -67,16 +74,16 @@ def exact_quantiles(rows: DataFrame, by: list[str], value: str, wanted: dict[str
         out = h.join(t, reduce(lambda a, b: a & b, on))
         return out.select(*(F.col(f"t_{k}").alias(k) for k in [*keys, "name", "side"]), (F.col("t_rank") - F.col("upto") + F.col("c")).alias("rank"), F.col("a").alias("lo"), F.col("b").alias("hi"))
 
-    state = chosen(hist, targets, [])
+    state = cut(chosen(hist, targets, []))
 
     def inside(state):
-        s = state.toDF(*(f"s_{c}" for c in state.columns))
+        s = few(state.toDF(*(f"s_{c}" for c in state.columns)))
         on = reduce(lambda a, b: a & b, [d[k].eqNullSafe(s[f"s_{k}"]) for k in keys], F.lit(True)) & d.v.between(s.s_lo, s.s_hi)
         return d.join(s, on).select(*(F.col(f"s_{c}").alias(c) for c in state.columns), "v")
 
     for _ in range(ROUNDS - 1):
         x = inside(state).withColumn("bin", bin_of(plain))
-        state = chosen(x.groupBy(*keys, "name", "side", "bin").agg(F.count("*").alias("c"), F.min("v").alias("a"), F.max("v").alias("b")), state.select(*keys, "name", "side", "rank"), ["name", "side"])
+        state = cut(chosen(x.groupBy(*keys, "name", "side", "bin").agg(F.count("*").alias("c"), F.min("v").alias("a"), F.max("v").alias("b")), state.select(*keys, "name", "side", "rank"), ["name", "side"]))
     left = inside(state).groupBy(*keys, "name", "side", "rank", "v").agg(F.count("*").alias("c"))
     upto = F.sum("c").over(Window.partitionBy(*keys, "name", "side").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
     found = left.withColumn("upto", upto).where("rank < upto AND rank >= upto - c").groupBy(*keys).agg(*(F.max(F.when((F.col("name") == n) & (F.col("side") == s), F.col("v"))).alias(f"{s}_{k}") for k, n in enumerate(wanted) for s in ("low", "high")))
