@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
 from .joins import asof, limit_fills
-from .metrics import nearest_rank
+from .quantiles import exact_quantiles
 
 QUOTE = ["bid", "ask", "bid_size", "ask_size", "spread", "mid"]
 
@@ -53,13 +54,12 @@ def execution_summary(rows: DataFrame, delays: tuple = (0, 1, 5), after: tuple =
     """One row a measure: name, samples, mean and a nearest-rank percentile (the 5th of delays, the 95th of moves after a fill)."""
     plain = ["gross_delta", "conservative_delta", "spread_cost", "fill_ratio", "missed_cost"]
     ranked = {**{f"delay_{s}_delta": 0.05 for s in delays}, **{f"adverse_{s}": 0.95 for s in after}}
+    rows = cut(rows.select(*plain, *ranked))  # read again by each round of the quantiles
     long = rows.select(F.explode(F.array(*[F.struct(F.lit(n).alias("measure"), F.col(n).alias("v")) for n in [*plain, *ranked]])).alias("m")).select("m.*").where("v IS NOT NULL")
     out = long.groupBy("measure").agg(F.count("*").alias("samples"), (F.sum(F.round("v", 6).cast("decimal(18,6)")).cast("double") / F.count("*")).alias("mean"))
-    tails = None
-    for q in (0.05, 0.95):
-        t = nearest_rank(long.where(F.col("measure").isin([n for n, p in ranked.items() if p == q])), ["measure"], "v", q)
-        tails = t if tails is None else tails.unionByName(t)
-    return out.join(tails.withColumnRenamed("value", "tail"), "measure", "left")
+    tails = exact_quantiles(long.where(F.col("measure").isin(list(ranked))), ["measure"], "v", {"low": (0.05, "nearest"), "high": (0.95, "nearest")})
+    tails = tails.select("measure", F.when(F.col("measure").isin([n for n, p in ranked.items() if p == 0.95]), F.col("high")).otherwise(F.col("low")).alias("tail"))
+    return out.join(tails, "measure", "left")
 
 
 def paper_replay(trades: DataFrame, start: float = 100_000.0) -> DataFrame:
