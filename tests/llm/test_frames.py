@@ -4,6 +4,7 @@ import hashlib
 import random
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -253,3 +254,28 @@ def test_warc_of_nothing(spark):
     root = warc.Scratch(spark, "test").path("warc")
     assert warc.write_warc(spark.createDataFrame([], "page_id long, url string, html string"), root).count() == 0
     assert warc.read_warc(spark, root).count() == 0
+
+
+def test_copies_go_as_a_whole_and_send_nothing(spark):
+    from tickforge.llm import suffix_dedup as S
+
+    text = "".join(chr(97 + (k * k * 7 + k // 3) % 26) for k in range(400))
+    other = "0123456789" * 4 + text[:60]
+    rows = [(5, text), (9, text), (9, text), (None, text), (2, "short"), (7, "short"), (5, text), (3, text + "x" * 80), (11, other), (4, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = sorted((r.doc_id or 0, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in S.remove_repeats(docs, block_bytes=300).collect())
+
+    def plain(d, t):
+        raw = (t or "").encode()
+        before = {x[k:k + 50] for i, x in ((i, (x or "").encode()) for i, x in rows if i is not None) if d is not None and i < d for k in range(len(x) - 49)}
+        gone = [False] * len(raw)
+        for k in range(len(raw) - 49):
+            if raw[k:k + 50] in before:
+                gone[k:k + 50] = [True] * 50
+        spans = sum(g and not (k and gone[k - 1]) for k, g in enumerate(gone))
+        return d or 0, len(raw), sum(gone), spans, bytes(b for b, g in zip(raw, gone) if not g)
+
+    assert got == sorted(plain(*r) for r in rows)
+    data = np.frombuffer((text + text).encode(), np.uint8)
+    doc = S.runs_of_strings(data, np.array([0, 400, 800]), skip=np.array([1]))[0]
+    assert set(doc.tolist()) == {0}

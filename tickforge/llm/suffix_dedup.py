@@ -4,6 +4,7 @@ A byte goes if a 50-byte string that covers it also starts in a document with a
 place has a previous factor of 50 bytes or more. Only suffixes that can have one are put in order. Each 50-byte
 string names one of its 20-byte grams, that of the least hash (equal strings name equal grams), so:
 
+0. a text of 50 bytes or more that equals, by SHA-256, one of a smaller id goes as a whole and is not looked at further;
 1. texts are stored in blocks in the shared folder, and the named grams of each block meet by hash;
 2. grams that two blocks share go back to their blocks, where runs of strings naming such a gram (or one that
    two documents of the block share) are cut out; of runs equal in a block, byte by byte, only the first is sent;
@@ -15,7 +16,9 @@ string names one of its 20-byte grams, that of the least hash (equal strings nam
    with its previous and next smaller positions is not built, lengths beyond or below 50 bytes are never known;
 4. the places found go back to the blocks, where the bytes they cover are removed.
 
-Hashes choose what meets; bytes alone decide what goes. Whole texts are never shuffled; what is shuffled are grams
+What steps 2 and 3 found is written to the shared folder, so that the shuffle files before it can go.
+
+Apart from the digests of whole texts, hashes choose what meets; bytes alone decide what goes. Whole texts are never shuffled; what is shuffled are grams
 (6 bytes each) and the runs. A passage in a third of all documents is one entry per block, not per document.
 """
 
@@ -25,6 +28,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,6 +43,8 @@ PART_DOCS, LEAST_PARTS = 20_000, 256
 RUN, SLICE = 32, 1 << 20
 #: Blocks of a gram beyond which its strings meet one by one.
 HOT_BLOCKS = 2048
+#: Tasks that the copies of one text are dealt to.
+SALTS = 8
 KEY = np.uint64((1 << 48) - 1)
 _U = np.uint64
 
@@ -59,10 +65,13 @@ def _window_hashes(data: np.ndarray, size: int, powers: Powers) -> np.ndarray:
     return mixed(h)
 
 
-def _segments(bounds: np.ndarray, chunk_bytes: int):
+def _segments(bounds: np.ndarray, chunk_bytes: int, skip: np.ndarray | None = None):
     """Chunks of (document, start, end): whole texts, or overlapping parts of long ones, of LENGTH bytes at least."""
     chunk, held = [], 0
-    for d in np.flatnonzero(np.diff(bounds) >= LENGTH).tolist():
+    use = np.diff(bounds) >= LENGTH
+    if skip is not None:
+        use[skip] = False
+    for d in np.flatnonzero(use).tolist():
         a, end = int(bounds[d]), int(bounds[d + 1])
         while end - a >= LENGTH:
             b = min(end, a + chunk_bytes)
@@ -76,10 +85,10 @@ def _segments(bounds: np.ndarray, chunk_bytes: int):
         yield chunk
 
 
-def runs_of_strings(data: np.ndarray, bounds: np.ndarray, chunk_bytes: int = CHUNK_BYTES) -> tuple[np.ndarray, ...]:
-    """Runs of consecutive 50-byte strings that name the same gram: document, place, number of strings, gram, fingerprint of the run's bytes."""
+def runs_of_strings(data: np.ndarray, bounds: np.ndarray, chunk_bytes: int = CHUNK_BYTES, skip: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """Runs of consecutive 50-byte strings that name the same gram: document, place, number of strings, gram, fingerprint of the run's bytes. Documents of skip are left out."""
     out = []
-    for chunk in _segments(bounds, chunk_bytes):
+    for chunk in _segments(bounds, chunk_bytes, skip):
         text = np.concatenate([data[a:b] for _, a, b in chunk]) if len(chunk) > 1 else data[chunk[0][1]:chunk[0][2]]
         sizes = np.array([b - a for _, a, b in chunk])
         ends = np.cumsum(sizes)
@@ -186,46 +195,52 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     inner = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(columns)], F.col(f"`{text_col}`").alias("t"), F.col(f"`{id_col}`").cast("long").alias("i"))
     text_at = len(columns)
 
-    def scan(batch):
+    def scan(batch, copies):
         data, bounds = text_bytes(batch.column(text_at))
         ids, known = batch.column(text_at + 1), np.array(batch.column(text_at + 1).is_valid(), dtype=bool)
         ids = np.array(ids.fill_null(0), np.int64)
-        doc, place, count, gram, print_ = runs_of_strings(data, bounds, chunk_bytes)
+        doc, place, count, gram, print_ = runs_of_strings(data, bounds, chunk_bytes, copies)
         live = known[doc] if len(doc) else np.empty(0, bool)
         return data, bounds, ids, doc[live], place[live], count[live], gram[live] & KEY, print_[live]
 
     def store(batches):
         begin("suffix_dedup")
         for block in cut_blocks(batches, text_at, block_bytes):
-            yield pa.RecordBatch.from_arrays([pa.array([save_block(root, block)])], names=["block"])
+            texts, ids = block.column(text_at), block.column(text_at + 1)
+            long = np.flatnonzero(np.array(pc.and_(ids.is_valid(), pc.greater_equal(pc.fill_null(pc.binary_length(texts), 0), LENGTH)), bool))
+            digests = [hashlib.sha256(t.as_buffer()).digest() for t in texts.take(pa.array(long))]
+            lists = [pa.array([x], pa.list_(t)) for x, t in ((long, pa.int64()), (ids.take(pa.array(long)).to_pylist(), pa.int64()), (digests, pa.binary()))]
+            yield pa.RecordBatch.from_arrays([pa.array([save_block(root, block)]), *lists], names=["block", "pos", "ids", "digests"])
 
     def grams(batches):
         begin("suffix_dedup")
-        for name in (n for batch in batches for n in batch.column(0).to_pylist()):
-            gram = scan(load_block(root, name))[6]
+        for name, copies in (x for batch in batches for x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+            copies = np.array(copies or [], np.int64)
+            gram = scan(load_block(root, name), copies)[6]
             keys = np.unique(gram)
             part = (keys & _U(parts - 1)).astype(np.int64)
             order = np.argsort(part, kind="stable")
             keys, part = keys[order], part[order]
             at = np.searchsorted(part, np.arange(parts + 1))
             rows = [p for p in range(parts) if at[p + 1] > at[p]] or [0]  # each block sends a row at least
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int32()), pa.array([name] * len(rows)), pa.array([pack48(keys[at[p]:at[p + 1]]) for p in rows], pa.binary()), pa.array([i == 0 for i in range(len(rows))])], names=["part", "block", "keys", "first"])
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int32()), pa.array([name] * len(rows)), pa.array([pack48(keys[at[p]:at[p + 1]]) for p in rows], pa.binary()), pa.array([copies.astype("<i8").tobytes()] + [None] * (len(rows) - 1), pa.binary())], names=["part", "block", "keys", "copies"])
 
     def shared(table: pa.Table) -> pa.Table:
-        names, first = table.column("block").to_pylist(), table.column("first").to_pylist()
+        names, copies = table.column("block").to_pylist(), table.column("copies").to_pylist()
         keys = [unpack48(k) for k in table.column("keys").to_pylist()]
         every, blocks = np.unique(np.concatenate(keys), return_counts=True)
         twice, hot = every[blocks > 1], every[blocks > hot_blocks]
         found = [k[in_sorted(k, twice)] for k in keys]
-        use = [i for i, f in enumerate(found) if len(f) or first[i]]
-        return pa.table({"block": pa.array([names[i] for i in use], pa.string()), "keys": pa.array([pack48(found[i]) for i in use], pa.binary()), "hot": pa.array([pack48(found[i][in_sorted(found[i], hot)]) for i in use], pa.binary())})
+        use = [i for i, f in enumerate(found) if len(f) or copies[i] is not None]
+        return pa.table({"block": pa.array([names[i] for i in use], pa.string()), "keys": pa.array([pack48(found[i]) for i in use], pa.binary()), "hot": pa.array([pack48(found[i][in_sorted(found[i], hot)]) for i in use], pa.binary()), "copies": pa.array([copies[i] for i in use], pa.binary())})
 
     def cut(table: pa.Table) -> pa.Table:
         begin("suffix_dedup")
         trim()
         name = table.column("block")[0].as_py()
         keys = np.sort(np.concatenate([unpack48(k) for k in table.column("keys").to_pylist()]))
-        data, _, ids, doc, place, count, gram, print_ = scan(load_block(root, name))
+        copies = next(c for c in table.column("copies").to_pylist() if c is not None)
+        data, _, ids, doc, place, count, gram, print_ = scan(load_block(root, name), np.frombuffer(copies, "<i8"))
         own = ids[doc] if len(doc) else np.empty(0, np.int64)
         order = np.argsort(gram, kind="stable")
         start = np.flatnonzero(np.append(True, np.diff(gram[order]) != 0)) if len(order) else np.empty(0, np.int64)
@@ -251,7 +266,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         every = ((1 << count[later].astype(np.uint64)) - 1).astype(np.uint64)
         alias = ~head & ~later
         rows = [(0, name, 1, b"", place[later].astype("<i8").tobytes(), every.astype("<u4").tobytes(), b""),
-                (0, name, 2, b"", place[alias].astype("<i8").tobytes(), place[lead[alias]].astype("<i8").tobytes(), b"")]
+                (0, name, 2, b"", place[alias].astype("<i8").tobytes(), place[lead[alias]].astype("<i8").tobytes(), b""), (0, name, 3, b"", copies, b"", b"")]
         own, place, count, gram = own[head], place[head], count[head], gram[head]
         part = (gram & _U(parts - 1)).astype(np.int64)
         order = np.argsort(part, kind="stable")
@@ -263,7 +278,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
                 texts = b"".join(data[x:x + n + LENGTH - 1].tobytes() for x, n in zip(place[a:b].tolist(), count[a:b].tolist()))
                 rows.append((p, name, 0, own[a:b].astype("<i8").tobytes(), place[a:b].astype("<i8").tobytes(), count[a:b].astype("u1").tobytes(), texts))
         spread = int.from_bytes(hashlib.sha1(name.encode()).digest()[:4], "big") % parts
-        rows[:2] = [(spread, *r[1:]) for r in rows[:2]]
+        rows[:3] = [(spread, *r[1:]) for r in rows[:3]]
         kinds = [pa.int32(), pa.string(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
         return pa.table([pa.array(x, t) for x, t in zip(zip(*rows), kinds)], names=["part", "block", "kind", "owners", "places", "counts", "texts"])
 
@@ -309,7 +324,9 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
             hit = in_sorted(lead, place[order])
             place, mask = np.concatenate([place, copy[hit]]), np.concatenate([mask, mask[order][np.searchsorted(place[order], lead[hit])]])
         starts = np.concatenate([np.empty(0, np.int64), *[place[(mask >> b) & 1 == 1] + b for b in range(RUN)]]).astype(np.int64)
-        change = np.bincount(starts, minlength=len(data) + 1) - np.bincount(starts + LENGTH, minlength=len(data) + 1)
+        copies = np.concatenate([np.empty(0, "<i8"), *[np.frombuffer(p, "<i8") for k, p, _ in rows if k == 3]]).astype(np.int64)
+        first, end = np.concatenate([starts, bounds[copies]]), np.concatenate([starts + LENGTH, bounds[copies + 1]])
+        change = np.bincount(first, minlength=len(data) + 1) - np.bincount(end, minlength=len(data) + 1)
         gone = np.cumsum(change)[:-1] > 0
         n = np.diff(bounds)
         total = np.concatenate([[0], np.cumsum(gone)])
@@ -330,11 +347,22 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
             kept.append(raw[a:b] if not r else data[a:b][~gone[a:b]].tobytes())
         return pa.table([*block.columns[:text_at], pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.binary())], names=[*[f"c{i}" for i in range(text_at)], "n_bytes", "n_removed", "n_spans", "kept"])
 
-    stored = scratch.table(inner.mapInArrow(store, "block string"), "stored")  # blocks are written once, whatever is done with the result
-    step = stored.repartition(max(1, min(stored.count(), 100_000)), "block").mapInArrow(grams, "part int, block string, keys binary, first boolean")
-    step = step.groupBy("part").applyInArrow(shared, "block string, keys binary, hot binary")
+    stored = scratch.table(inner.mapInArrow(store, "block string, pos array<long>, ids array<long>, digests array<binary>"), "stored")  # blocks are written once, whatever is done with the result
+    texts = stored.select("block", F.explode(F.arrays_zip("pos", "ids", "digests")).alias("x")).select("block", "x.pos", F.col("x.ids").alias("id"), F.col("x.digests").alias("digest"))
+    several = texts.groupBy("digest").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last")
+    several = several.select("digest", "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    copies = texts.withColumn("salt", F.pmod(F.xxhash64("block"), F.lit(SALTS)).cast("int")).join(several, ["digest", "salt"]).where("id > first")
+    copies = copies.groupBy("block").agg(F.collect_list("pos").alias("copies"))  # no more than a block's documents
+    names = scratch.table(stored.select("block").join(copies, "block", "left"), "names")
+    step = names.repartition(max(1, min(names.count(), 100_000)), "block").mapInArrow(grams, "part int, block string, keys binary, copies binary")
+    step = step.groupBy("part").applyInArrow(shared, "block string, keys binary, hot binary, copies binary")
+    step = scratch.table(step, "shared")
+    scratch.release()
     step = step.groupBy("block").applyInArrow(cut, "part int, block string, kind int, owners binary, places binary, counts binary, texts binary")
     step = step.groupBy("part").applyInArrow(factors, "block string, kind int, places binary, masks binary")
+    step = scratch.table(step, "factors")
+    scratch.drop("shared")
+    scratch.release()
     step = step.groupBy("block").applyInArrow(remove, ", ".join(f"c{i} {fields[c]}" for i, c in enumerate(columns)) + ", n_bytes long, n_removed long, n_spans long, kept binary")
     return step.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(columns)], "n_bytes", "n_removed", "n_spans", "kept")
 
