@@ -151,3 +151,14 @@ def test_limit_orders_wait_through_many_quotes(spark):
     one = spark.createDataFrame([("A", dt(2024, 1, 1, 1, 0, 30), 99.25, 100.0, 1.0, 1.0, 0)], "symbol string, timestamp timestamp_ntz, bid double, ask double, bid_size double, ask_size double, seq long")
     got = {r.trade_id: r.fill_time for r in joins.limit_fills(late, one, 60).collect()}
     assert got == {1: dt(2024, 1, 1, 1, 0, 30), 2: None, 3: None}
+
+
+def test_links_are_counted_in_parts_and_tiles(spark, monkeypatch):
+    r = np.random.default_rng(5)
+    sets = [frozenset(r.choice(12, r.integers(1, 8)).tolist()) for _ in range(60)]
+    rows = spark.createDataFrame([(i, t) for i, s in enumerate(sets) for t in s], "i long, t long")
+    want = [(i, min(j for j, z in enumerate(sets) if z == s), sum(len(s & z) / len(s | z) >= 0.5 for z in sets) - 1) for i, s in enumerate(sets)]
+    for tokens, tile, columns in ((joins.PART_TOKENS, joins.TILE, joins.COLUMNS), (60, 3, 5)):
+        for name, v in (("PART_TOKENS", tokens), ("TILE", tile), ("COLUMNS", columns)):
+            monkeypatch.setattr(joins, name, v)
+        assert sorted(map(tuple, joins.jaccard_links(rows, "i", "t", 0.5).collect())) == want
