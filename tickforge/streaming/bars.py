@@ -86,8 +86,11 @@ def merged_reports(reports: DataFrame, columns: list[str], late: str = "1 day",
         *held, until = state.get if state.exists else (None,)
         held, until = held or None, until or 0
         out = []
-        for r in pd.concat(list(frames)).sort_values("seq").itertuples():
-            own = [getattr(r, c) for c in columns]
+        frames = list(frames)
+        rows = frames[0] if len(frames) == 1 else pd.concat(frames)
+        order = rows["seq"].to_numpy().argsort(kind="stable")  # a key has few rows: what counts is the cost of a call
+        seqs, times, *values = (rows[c].to_numpy()[order].tolist() for c in ("seq", "at", *columns))
+        for seq, at, *own in zip(seqs, times, *values):
             own = [None if v is None or v != v else v for v in own]
             if held is None:
                 held, kind = own, "new"
@@ -97,11 +100,11 @@ def merged_reports(reports: DataFrame, columns: list[str], late: str = "1 day",
                 kind = "conflict" if differs else "enriched" if fills else "duplicate"
                 if not differs:
                     held = [a if a is not None else b for a, b in zip(held, own)]
-            until = max(until, r.at // 1000 + keep_hours * 3_600_000)
-            out.append((r.key, r.seq, kind))
+            until = max(until, at // 1000 + keep_hours * 3_600_000)
+            out.append(kind)
         state.update((*held, until))
         state.setTimeoutTimestamp(max(until, state.getCurrentWatermarkMs()) + 1)
-        yield pd.DataFrame(out, columns=["key", "seq", "outcome"])
+        yield pd.DataFrame({"key": key[0], "seq": seqs, "outcome": out})
 
     timed = reports.where("timestamp IS NOT NULL").withWatermark("timestamp", late).withColumn("at", F.unix_micros(F.col("timestamp").cast("timestamp")))
     return timed.groupBy("key").applyInPandasWithState(run, "key long, seq long, outcome string", f"{fields}, until long", "append", GroupStateTimeout.EventTimeTimeout)
