@@ -112,6 +112,29 @@ def test_texts_of_few_common_lines_divide(spark, monkeypatch):
 
 
 
+def test_regions_of_one_group_of_near_copies_are_one(spark, monkeypatch):
+    """150 near copies share many first shingles: members meet pivots of a few regions, not of one for each shingle."""
+    r = random.Random(8)
+    words, rows = [f"w{r.randrange(5000)}" for _ in range(150)], []
+    for k in range(150):
+        w = list(words)
+        for at in r.sample(range(150), 4):
+            w[at] = f"x{k}y{at}"
+        rows.append((k, " ".join(w)))
+    star, table = [], jaccard_join.Scratch.table
+
+    def counted(self, df, name):
+        out = table(self, df, name)
+        if name.startswith("star-"):
+            star.append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard_join.Scratch, "table", counted)
+    got = jaccard_join.link_components(spark.createDataFrame(rows, "doc_id long, text string"), sparse=0).collect()
+    assert key(got) == key(brute_components(rows))
+    assert sum(star) < 3 * 150 * jaccard_join.PIVOTS, star
+
+
 def brute_repeats(rows):
     first = {}
     for i, t, *_ in rows:

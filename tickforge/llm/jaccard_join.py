@@ -8,7 +8,10 @@ Jaccard distance d is a metric; two documents link at d <= R. The join goes from
    share fewer of them with others link with nothing and are left out. For the rest the order is made exact, rare shingles first
    (by the number of documents that have them), and a pair is compared only if enough shingles follow the one it meets
    at in both sets. Regions with the same members are one region.
-2. A region of up to SMALL documents is joined directly. A larger one elects document pivots, every member is
+2. A region of up to SMALL documents is joined directly. Larger ones whose first member in a random order of documents is the
+   same, which two are with the chance that a member of either is one of both, become one region where its size squared is no more
+   than the sum of theirs: near copies share many shingles, so many regions hold them all but a few. A region elects document
+   pivots, every member is
    measured against them, and those within R are linked. Its members then go to the Voronoi cell of the nearest
    pivot p if that is within NEAR, and as replicas to each other cell q with d(x, q) <= d(x, nearest) + 2 R and
    d(x, q) <= NEAR + R: if x links with a y of cell q, both hold. Members far from all pivots make one more cell, which
@@ -32,7 +35,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .blocks import BLOCK_BYTES, CHUNK_BYTES, PrimePrints, block_root, cut_blocks, in_sorted, load_block, mixed, pack48, save_block, unpack48
@@ -374,6 +377,18 @@ def link_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         finer = met.join(plan.where("smaller"), "region", "left_semi").join(part.select("part", "lead"), "part")
         return whole.unionByName(finer.groupBy(F.col("lead").alias("region"), "id", "n").agg(F.max("left").alias("left")))
 
+    def united(rows: DataFrame, share: Column, number: int) -> tuple[DataFrame, DataFrame]:
+        """Regions (region, least, size) and their members, where regions of nearly the same members are one."""
+        least = rows.groupBy("region").agg(F.min_by("id", share).alias("least"), F.count("*").alias("size"))
+        least = scratch.table(least, f"least-{number}")
+        union = scratch.table(rows.join(least, "region").groupBy("least", "id", "n").agg(F.max("left").alias("left")), f"union-{number}")
+        pairs = least.groupBy("least").agg(F.sum(F.col("size") * F.col("size")).alias("pairs"))
+        one = union.groupBy("least").agg(F.count("*").alias("size")).join(pairs, "least").where(F.col("size") * F.col("size") <= F.col("pairs"))
+        one = scratch.table(one.select(F.xxhash64(F.lit("union"), "least").alias("region"), "least", "size"), f"one-{number}")
+        apart = least.join(one.select("least"), "least", "left_anti").select("region", "least", "size")
+        members = union.join(one.select("region", "least"), "least").select("region", "id", "n", "left")
+        return one.unionByName(apart), members.unionByName(rows.join(apart.select("region"), "region", "left_semi").select("region", "id", "n", "left"))
+
     def sided(rows: DataFrame, side: str) -> DataFrame:
         return rows.select("region", *[F.col(c).alias(c + side) for c in rows.columns if c != "region"])
 
@@ -386,8 +401,8 @@ def link_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     number = 0
     while rest.limit(1).count():
         share = F.pmod(F.xxhash64(F.lit(number), "id"), F.lit(1 << 40)) / (1 << 40)
-        size = rest.groupBy("region").agg(F.min_by("id", share).alias("least"), F.count("*").alias("size"))
-        here = rest.join(size, "region").withColumn("elected", (F.col("id") == F.col("least")) | (share * F.col("size") < PIVOTS << number))
+        size, here = united(rest, share, number)
+        here = here.join(size, "region").withColumn("elected", (F.col("id") == F.col("least")) | (share * F.col("size") < PIVOTS << number))
         here = scratch.table(here, f"here-{number}")
         pivots = here.where("elected").select("region", F.col("id").alias("pivot")).distinct()
         once = F.when(F.col("elected"), F.col("id") < F.col("pivot")).otherwise(F.col("id") != F.col("pivot"))
@@ -419,7 +434,7 @@ def link_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         if rest.where("far").limit(1).count():
             rest = scratch.table(divided(rest.where("far").drop("far"), number).unionByName(rest.where("NOT far").drop("far")), f"divided-{number}")
         rest = rest.select("region", "id", "n", "left")
-        for name in ("here", "star", "cells", "parted"):
+        for name in ("least", "union", "one", "here", "star", "cells", "parted"):
             scratch.drop(f"{name}-{number}")
         number += 1
     components = scratch.table(connected_components(links, scratch, "all-stars"), "components")
