@@ -162,3 +162,39 @@ def test_links_are_counted_in_parts_and_tiles(spark, monkeypatch):
         for name, v in (("PART_TOKENS", tokens), ("TILE", tile), ("COLUMNS", columns)):
             monkeypatch.setattr(joins, name, v)
         assert sorted(map(tuple, joins.jaccard_links(rows, "i", "t", 0.5).collect())) == want
+
+
+def rows_made(plan):
+    """Most rows that a step of an executed plan gave."""
+    name = plan.getClass().getSimpleName()
+    below = [plan.executedPlan()] if name == "AdaptiveSparkPlanExec" else [plan.plan()] if name.endswith("QueryStageExec") else [plan.children().apply(k) for k in range(plan.children().size())]
+    own = plan.metrics().get("numOutputRows")
+    return max([own.get().value() if own.isDefined() else 0, *map(rows_made, below)])
+
+
+def test_event_context_equals_pairs_and_makes_none(spark):
+    """Points on and beside all edges, over midnight, without a symbol or time; many points in many events make no row for a pair."""
+    r = np.random.default_rng(4)
+    minute, start = timedelta(minutes=1), dt(2024, 1, 2, 22, 0)
+    events = []
+    for k in range(60):
+        at = start + int(r.integers(0, 300)) * minute
+        events.append((k, at, int(r.integers(0, 3)), ["A", "B", "*"][k % 3], at - 30 * minute, at + 10 * minute, at + 55 * minute))
+    e = spark.createDataFrame(events, "event_id long, event_time timestamp_ntz, importance int, symbol string, pre_from timestamp_ntz, release_to timestamp_ntz, post_to timestamp_ntz")
+    times = [t + d * timedelta(microseconds=1) for x in events[:20] for t in (x[1], x[4], x[5], x[6]) for d in (-1, 0, 1)]
+    times += [start + timedelta(seconds=int(s)) for s in r.integers(-9000, 30000, 6000)]
+    points = [(["A", "B", "C", "*", None][k % 5], t, k) for k, t in enumerate(times)] + [("A", None, len(times))]
+    out = joins.event_context(spark.createDataFrame(points, "symbol string, timestamp timestamp_ntz, point_id long"), e)
+    got = {x.point_id: tuple(x)[3:] for x in out.collect()}
+    assert out.columns[:3] == ["point_id", "symbol", "timestamp"] and len(got) == len(points)
+    pairs = 0
+    for symbol, t, k in points:
+        hit = [x for x in events if t and (x[3] == "*" or x[3] == symbol) and x[4] <= t <= x[6]]
+        pairs += len(hit)
+        top = max(hit, key=lambda x: (x[2], -x[0]), default=None)
+        state = "normal" if not top else "pre_event" if t < top[1] else "release_window" if t <= top[5] else "post_event"
+        to, since = ([abs((x[1] - t) / minute) for x in hit if (x[1] >= t if later else x[1] <= t)] for later in (True, False))
+        want = (state, ",".join(str(x[0]) for x in hit), top and top[2], min(to, default=None), min(since, default=None))
+        assert got[k][:3] == want[:3] and got[k][3:] == pytest.approx(want[3:]), (symbol, t)
+    made = rows_made(out._jdf.queryExecution().executedPlan())
+    assert 0 < made < 2 * len(points) < pairs, (made, pairs)
