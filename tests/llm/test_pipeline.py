@@ -4,10 +4,11 @@ import hashlib
 import random
 import zlib
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tickforge.llm import pieces
+from tickforge.llm import pieces, worker
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
@@ -58,3 +59,33 @@ def test_passages_cut_whole_characters_only(spark):
     frame = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in docs], "doc_id long, text string, lang string, source string, n_chars long")
     got = {row.doc_id: row.text for row in corpus_pipeline.passage_stage(spark, frame, "").collect()}
     assert got == {1: docs[0][1], 2: "mojibake \uFFFD two  \uFFFD 2", 3: docs[2][1], 5: ""}
+
+
+def test_batches_are_bounded_by_bytes(spark):
+    """A worker gets batches of about BATCH_BYTES, whatever the number and the size of rows; a size that the session was given stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    texts = [f"text {i} " + "some words of a row " * 150 for i in range(3000)] + ["a long row " * (worker.BATCH_BYTES // 8), None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(1).cache()
+    spark.conf.unset(key)
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], names=["rows", "size"])
+
+    try:
+        out = {r.doc_id: tuple(r)[1:] for r in pieces.encode_pieces(docs, digests=True).collect()}
+        found = docs.mapInArrow(sizes, "rows long, size long").collect()
+        assert sum(r.rows for r in found) == len(texts)
+        assert all(r.size <= worker.BATCH_BYTES + 10_000 for r in found if r.size < worker.BATCH_BYTES * 5 // 4), "batches of ordinary rows"
+        assert sum(r.size >= worker.BATCH_BYTES * 5 // 4 for r in found) == 1, "only the long row's is larger"
+        assert max(r.size for r in found) < 3 * worker.BATCH_BYTES
+        codec = pieces.PieceCodec(pieces.model_path())
+        for i, t in enumerate(texts):
+            ids, decoded = codec.by_library(t or "")
+            assert out[i] == (ids.count(b" ") + 1, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest())
+        spark.conf.set(key, "1m")
+        worker.bound_batches(spark)
+        assert spark.conf.get(key) == "1m"
+    finally:
+        spark.conf.unset(key)
+        docs.unpersist()

@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from .blocks import BLOCK_BYTES, CHUNK_BYTES, PrimePrints, block_root, cut_blocks, in_sorted, load_block, mixed, pack48, save_block, unpack48
 from .components import connected_components
 from .scratch import Scratch
-from .worker import begin, trim
+from .worker import begin, bound_batches, trim
 
 SHINGLE_WORDS, LINK = 5, 80  # words of a shingle; per cent of the union that two linked documents share
 R = 1 - LINK / 100
@@ -222,6 +222,7 @@ def link_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     columns, whatever their names, are ignored.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     scratch = Scratch(spark, "jaccard_join")
     root = block_root(scratch)
     parts = 1 << max(LEAST_PARTS - 1, docs.count() // PART_DOCS).bit_length()

@@ -20,7 +20,7 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .worker import begin, keeps
+from .worker import begin, bound_batches, keeps
 
 SPACE = "▁"
 #: Units kept in each of a worker's two memos; a full one becomes the older one, from which units in use return. Longer units than UNIT_CHARS are not kept.
@@ -250,6 +250,7 @@ def encode_pieces(docs: DataFrame, path: str | None = None, *, id_col: str = "do
             if found:
                 yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=[f.split("` ")[0].strip("`") if f[0] == "`" else f.split()[0] for f in schema.split(", ")])
 
+    bound_batches(docs.sparkSession)
     return docs.select(id_col, text_col).mapInArrow(run, schema)
 
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .worker import begin, trim
+from .worker import begin, bound_batches, trim
 
 #: Bounds of the fit: labelled rows, their text bytes (longer texts take no part in it), words of the vocabulary.
 FIT_ROWS, FIT_TEXT_BYTES, VOCABULARY = 4000, 30_000, 6000
@@ -183,6 +183,7 @@ def score_quality(docs: DataFrame, model: QualityModel, *, id_col: str = "doc_id
     like others (a null id is not held out); an empty table gives no rows. Texts of any length are scored whole. A
     column of keep that has the name of one given out here is left out.
     """
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by VOCABULARY and DIMENSIONS
     columns = [id_col, *[c for c in keep or [] if c not in (id_col, "held_out", "score", "predicted")]]
     fields = {f.name: f.dataType.simpleString() for f in docs.schema.fields}

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .blocks import BLOCK_BYTES, CHUNK_BYTES, Powers, block_root, cut_blocks, in_sorted, load_block, mixed, pack48, save_block, text_bytes, unpack48
 from .scratch import Scratch
-from .worker import begin, trim
+from .worker import begin, bound_batches, trim
 
 LENGTH, GRAM = 50, 20
 #: Documents whose grams make one part, and the least number of parts.
@@ -185,6 +185,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     be read.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     scratch = Scratch(spark, "suffix_dedup")
     root = block_root(scratch)
     fields = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
