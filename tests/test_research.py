@@ -218,3 +218,19 @@ def test_folds_meet_rows_alike_in_both_ways(spark, monkeypatch):
     for most in (10_000, 0):
         monkeypatch.setattr(validation, "FOLDS_SENT", most)
         assert sorted((r.seq, r.fold, r.split) for r in validation.in_folds(rows, folds).collect()) == want
+
+
+def line_items(spark, folder):
+    """Line items of two years before 1998, two from it on, and one without a date."""
+    rows = [(float(q), 0.01 * q, 35_000.0 + q, datetime(year, 6, 1) if year else None) for year in (1996, 1997, 1998, 2001, None) for q in range(1, 6)]
+    spark.createDataFrame(rows, "l_quantity double, l_tax double, l_extendedprice double, l_shipdate timestamp_ntz").write.parquet(f"{folder}/lineitem.parquet")
+    return str(folder)
+
+
+def test_quantile_rules_judge_every_row_in_its_part(spark, tmp_path):
+    from tickforge.plans import research as plans
+
+    got = {(r.part, r.rule): (r.n, r.net) for r in plans.quantile_rules(spark, line_items(spark, tmp_path)).collect()}
+    low, high, most = (1, 1.0), (1, 5.0), (4, 14.0)  # thresholds are 1.8 and 4.2
+    want = {"<=0.2": low, ">=0.2": most, "<=0.8": (4, 10.0), ">=0.8": high}
+    assert got == {(p, f + r): (n * years, net * years) for p, years in (("train", 2), ("test", 2), (None, 1)) for f in ("l_quantity", "l_tax") for r, (n, net) in want.items()}
