@@ -234,3 +234,12 @@ def test_quantile_rules_judge_every_row_in_its_part(spark, tmp_path):
     low, high, most = (1, 1.0), (1, 5.0), (4, 14.0)  # thresholds are 1.8 and 4.2
     want = {"<=0.2": low, ">=0.2": most, "<=0.8": (4, 10.0), ">=0.8": high}
     assert got == {(p, f + r): (n * years, net * years) for p, years in (("train", 2), ("test", 2), (None, 1)) for f in ("l_quantity", "l_tax") for r, (n, net) in want.items()}
+
+
+def test_quantile_rule_pairs_judge_every_row_in_its_part(spark, tmp_path):
+    from tickforge.plans import research as plans
+
+    got = {(r.part, r.rule): r.n for r in plans.quantile_rule_pairs(spark, line_items(spark, tmp_path)).collect()}
+    passed = {"<=0.2": {1}, ">=0.2": {2, 3, 4, 5}, "<=0.8": {1, 2, 3, 4}, ">=0.8": {5}}
+    both = {f"l_quantity{a}&l_tax{b}": len(x & y) for a, x in passed.items() for b, y in passed.items() if x & y}
+    assert got == {(p, r): n * years for p, years in (("train", 2), ("test", 2), (None, 1)) for r, n in both.items()}
