@@ -243,3 +243,24 @@ def test_quantile_rule_pairs_judge_every_row_in_its_part(spark, tmp_path):
     passed = {"<=0.2": {1}, ">=0.2": {2, 3, 4, 5}, "<=0.8": {1, 2, 3, 4}, ">=0.8": {5}}
     both = {f"l_quantity{a}&l_tax{b}": len(x & y) for a, x in passed.items() for b, y in passed.items() if x & y}
     assert got == {(p, r): n * years for p, years in (("train", 2), ("test", 2), (None, 1)) for r, n in both.items()}
+
+
+def test_candidate_gates_judge_candidates_without_orders_in_a_part(spark, tmp_path):
+    import duckdb
+
+    from tickforge.plans import research as plans
+
+    years = {0: range(1995, 2002), 1: (1995, 1996), 2: (1996, 1998, 1999), 3: (2001,)}
+    rows = [(100 * c + k, c, 121_000.0 + 50 * (k % 3), datetime(y, 3, 1 + k)) for c, ys in years.items() for y in ys for k in range(12)] + [(998, 4, 1.0, None), (999, None, 1.0, datetime(1998, 1, 1))]
+    spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_totalprice double, o_orderdate timestamp_ntz").write.parquet(f"{tmp_path}/orders.parquet")
+    got = {r.cand: r.reasons.split(",") for r in plans.candidate_gates(spark, str(tmp_path)).collect()}
+    assert sorted(got) == [0, 1, 2, 3, 4]
+    assert all({"annual_trades_test", "sharpe_test_aggregate", "net_pnl_test", "profit_factor_test", "avg_trade_net_pnl"} <= set(got[c]) for c in (1, 3))
+    assert "max_drawdown_test" not in got[1] and sorted(c for c in got if "net_pnl_final_holdout" in got[c]) == [1, 2, 4]
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW orders AS SELECT * FROM read_parquet('{tmp_path}/orders.parquet/*.parquet')")
+    for name in ("candidate_gates", "overfitting_report"):
+        want = con.sql(plans.ORACLE[name])
+        shown = lambda rs: sorted(tuple(map(str, r)) for r in rs)
+        assert shown(plans.QUERIES[name](spark, str(tmp_path)).select(*want.columns).collect()) == shown(want.fetchall())
+    assert sorted(r.cand for r in plans.overfitting_report(spark, str(tmp_path)).collect()) == [0, 2]
